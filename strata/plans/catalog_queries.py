@@ -1 +1,34 @@
-"""(filled in below)"""
+"""Registered catalog queries and the materialised weekly rollup."""
+
+from __future__ import annotations
+
+from strata.plans.oracle_base import with_programme
+from strata.plans.registry import Ctx, register
+from strata.sources import catalog as CAT
+from strata.sources import sinks as SK
+from strata.sources.tables import DRIVER_TABLES, driver_tables, register_views
+
+
+@register("table_row_counts", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in DRIVER_TABLES))
+def table_row_counts(spark, sf_dir):
+    return CAT.table_row_counts(driver_tables(spark, sf_dir))
+
+
+@register("schema_context")
+def schema_context(spark, sf_dir):
+    """Rows-only: DESCRIBE over the driver tables' views, one line per table."""
+    register_views(spark, sf_dir)
+    return CAT.schema_context(CAT.describe_tables(spark, list(DRIVER_TABLES)), max_tables=15, max_columns=12)
+
+
+@register("weekly_rollup", with_programme("""
+SELECT c.academy_id, CAST(date_trunc('week', s.session_date) AS DATE) AS week, count(*) AS attendance_rows,
+       count(*) FILTER (WHERE a.attended_normalized) AS present_rows, count(a.participant_id) AS total_attendances,
+       count(DISTINCT a.participant_id) AS unique_attendees
+FROM p_attendance_n a JOIN p_session s ON a.session_id = s.session_id JOIN p_cohort c ON s.cohort_id = c.cohort_id
+JOIN p_hierarchy h ON c.academy_id = h.academy_id
+GROUP BY 1, 2"""))
+def weekly_rollup(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return SK.weekly_rollup(c.tables, c.hierarchy)

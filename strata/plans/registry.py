@@ -41,11 +41,16 @@ def register(key: str, sql: str | None = None):
 class Ctx:
     """Per-call programme tables, hierarchy and scoped tables (all lazy)."""
 
+    _hierarchies: dict = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str, scope: SC.Scope | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.tables: Tables = program_tables(spark, sf_dir)
-        self.hierarchy = H.build_hierarchy(self.tables)
+        key = id(self.tables)
+        if key not in Ctx._hierarchies or Ctx._hierarchies[key][0] is not self.tables:
+            Ctx._hierarchies[key] = (self.tables, H.build_hierarchy(self.tables))
+        self.hierarchy = Ctx._hierarchies[key][1]
         self.scope = scope or SC.Scope()
         self.scoped = SC.apply_scope(self.tables, self.hierarchy, self.scope)
 

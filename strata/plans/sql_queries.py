@@ -1 +1,111 @@
-"""(filled in below)"""
+"""Registered SQL-text and question jobs: extract_sql, route_questions,
+guarded_sql, answer_questions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strata.functions.routing import EXAMPLE_QUESTIONS, route_sql
+from strata.functions.sqltext import extract_sql, extract_sql_reference
+from strata.operators.sqljobs import guarded_sql as run_guarded
+from strata.plans import questions as Q
+from strata.plans.registry import QUERIES, register
+from strata.sources.tables import driver_tables, register_views
+
+NL = "\n"
+
+
+def replies_from_events(events):
+    """A model-style reply per event, in six shapes (sql fence, plain fence,
+    inline statement, prose, WITH in a plain fence, upper-case fence)."""
+    eid, uid, et = (F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("event_type"))
+    shape = F.pmod(F.col("event_id"), F.lit(6))
+    text = (F.when(shape == 0, F.concat(F.lit("```sql" + NL + "SELECT event_type, count(*) FROM events WHERE user_id = "),
+                                        uid, F.lit(NL + "GROUP BY event_type" + NL + "```")))
+            .when(shape == 1, F.concat(F.lit("Here you go:" + NL + "```" + NL + "SELECT * FROM events WHERE event_id = "),
+                                       eid, F.lit(";" + NL + "```" + NL + "Done.")))
+            .when(shape == 2, F.concat(F.lit("The query is SELECT value FROM events WHERE event_type = '"), et,
+                                       F.lit("';" + NL + NL + "Hope it helps.")))
+            .when(shape == 3, F.concat(F.lit("  No query needed for "), et, F.lit(" "), F.col("props"), F.lit("  ")))
+            .when(shape == 4, F.concat(F.lit("```" + NL + "WITH t AS (SELECT * FROM events WHERE user_id = "), uid,
+                                       F.lit(") SELECT count(*) FROM t" + NL + "```")))
+            .otherwise(F.concat(F.lit("```SQL" + NL + "select l.* from lineitem l where l_orderkey = "), eid,
+                                F.lit(NL + "```"))))
+    return events.select(F.col("event_id").alias("reply_id"), text.alias("reply"))
+
+
+_REPLY_SQL = """
+CASE event_id % 6
+  WHEN 0 THEN '```sql' || chr(10) || 'SELECT event_type, count(*) FROM events WHERE user_id = ' || CAST(user_id AS VARCHAR)
+              || chr(10) || 'GROUP BY event_type' || chr(10) || '```'
+  WHEN 1 THEN 'Here you go:' || chr(10) || '```' || chr(10) || 'SELECT * FROM events WHERE event_id = '
+              || CAST(event_id AS VARCHAR) || ';' || chr(10) || '```' || chr(10) || 'Done.'
+  WHEN 2 THEN 'The query is SELECT value FROM events WHERE event_type = ''' || event_type || ''';' || chr(10) || chr(10)
+              || 'Hope it helps.'
+  WHEN 3 THEN '  No query needed for ' || event_type || ' ' || props || '  '
+  WHEN 4 THEN '```' || chr(10) || 'WITH t AS (SELECT * FROM events WHERE user_id = ' || CAST(user_id AS VARCHAR)
+              || ') SELECT count(*) FROM t' || chr(10) || '```'
+  ELSE '```SQL' || chr(10) || 'select l.* from lineitem l where l_orderkey = ' || CAST(event_id AS VARCHAR) || chr(10) || '```'
+END"""
+
+
+def _strip(x):
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _grp(x, p):
+    return _strip(f"regexp_extract({x}, '{p}', 1)")
+
+
+_P1, _P2 = "(?is)```sql\\s*\\n(.*?)\\n```", "(?s)```\\s*\\n(.*?)\\n```"
+_P3, _P4 = "(?is)(SELECT\\s+.*?)(?:;|\\n\\n|$)", "(?is)((?:WITH|SELECT)\\s+.*?)(?:;|\\n\\n|$)"
+
+_EXTRACT_SQL = f"""
+, r AS (SELECT event_id AS reply_id, {_REPLY_SQL} AS reply FROM events)
+SELECT reply_id,
+  CASE WHEN regexp_matches(reply, '{_P1}') THEN {_grp('reply', _P1)}
+       WHEN regexp_matches(reply, '{_P2}') AND starts_with(upper({_grp('reply', _P2)}), 'SELECT') THEN {_grp('reply', _P2)}
+       WHEN regexp_matches(reply, '{_P3}') THEN regexp_replace({_grp('reply', _P3)}, ';+$', '')
+       ELSE {_strip('reply')} END AS extracted_sql_reference,
+  CASE WHEN regexp_matches(reply, '{_P1}') THEN {_grp('reply', _P1)}
+       WHEN regexp_matches(reply, '{_P2}') AND (starts_with(upper({_grp('reply', _P2)}), 'SELECT')
+            OR starts_with(upper({_grp('reply', _P2)}), 'WITH')) THEN {_grp('reply', _P2)}
+       WHEN regexp_matches(reply, '{_P4}') THEN regexp_replace({_grp('reply', _P4)}, '\\s*```\\s*$', '')
+       ELSE {_strip('reply')} END AS extracted_sql
+FROM r""".replace(", r AS", "WITH r AS", 1)
+
+
+@register("extract_sql", _EXTRACT_SQL)
+def extract_sql_query(spark, sf_dir):
+    replies = replies_from_events(driver_tables(spark, sf_dir)["events"])
+    return replies.select("reply_id", extract_sql_reference(F.col("reply")).alias("extracted_sql_reference"),
+                          extract_sql(F.col("reply")).alias("extracted_sql"))
+
+
+_Q_LIST = "[" + ", ".join("'" + q.replace("'", "''") + "'" for q in EXAMPLE_QUESTIONS) + "]"
+_QUESTION_SQL = (f"CASE WHEN event_type = 'error' THEN upper({_Q_LIST}[(event_id % {len(EXAMPLE_QUESTIONS)}) + 1]) "
+                 f"ELSE {_Q_LIST}[(event_id % {len(EXAMPLE_QUESTIONS)}) + 1] END")
+
+
+@register("route_questions", f"""
+WITH q AS (SELECT event_id AS question_id, {_QUESTION_SQL} AS question FROM events)
+SELECT question_id, question, {route_sql('question')} AS intent FROM q""")
+def route_questions_query(spark, sf_dir):
+    return Q.route_questions(Q.questions_from_events(driver_tables(spark, sf_dir)["events"]))
+
+
+GUARDED_TEXT = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey;"
+
+
+@register("guarded_sql", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders "
+                         "ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def guarded_sql_query(spark, sf_dir):
+    register_views(spark, sf_dir)
+    return run_guarded(spark, GUARDED_TEXT, max_rows=100).df
+
+
+@register("answer_questions")
+def answer_questions_query(spark, sf_dir):
+    """Rows-only: one envelope per question derived from the events."""
+    questions = Q.questions_from_events(driver_tables(spark, sf_dir)["events"])
+    return Q.answer_questions(spark, questions, sf_dir, QUERIES)

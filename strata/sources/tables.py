@@ -76,9 +76,62 @@ def load_tables(spark: SparkSession, location: str, fmt: str = "parquet",
     return tables.persist() if cache else tables
 
 
+class _LazyTables(dict):
+    """Driver tables read on first use (a read resolves the file's schema)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self._spark, self._dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name not in DRIVER_TABLES:
+            raise KeyError(name)
+        df = self._spark.read.parquet(os.path.join(self._dir, f"{name}.parquet"))
+        self[name] = df
+        return df
+
+    def items(self):
+        return [(n, self[n]) for n in DRIVER_TABLES]
+
+    def values(self):
+        return [self[n] for n in DRIVER_TABLES]
+
+    def keys(self):
+        return list(DRIVER_TABLES)
+
+    def __iter__(self):
+        return iter(DRIVER_TABLES)
+
+    def __len__(self):
+        return len(DRIVER_TABLES)
+
+
+# Plans are immutable, so the read and derived tables of one (session, folder)
+# are built once and shared by every query.  ``reload`` forgets them.
+_MEMO: dict[tuple[int, str], tuple[SparkSession, _LazyTables, dict]] = {}
+
+
+def _memo(spark: SparkSession, sf_dir: str):
+    key = (id(spark), os.path.abspath(sf_dir))
+    hit = _MEMO.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, _LazyTables(spark, sf_dir), {})
+        _MEMO[key] = hit
+    return hit
+
+
+def reload(spark: SparkSession | None = None) -> None:
+    """Forget memoised plans (and cached data) so the next query re-reads."""
+    for key in list(_MEMO):
+        if spark is None or _MEMO[key][0] is spark:
+            derived = _MEMO.pop(key)[2].get("program")
+            if derived is not None:
+                derived.unpersist()
+
+
 def driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The driver's parquet tables, lazily."""
-    return {n: spark.read.parquet(os.path.join(sf_dir, f"{n}.parquet")) for n in DRIVER_TABLES}
+    """The driver's parquet tables, lazily (read on first access)."""
+    return _memo(spark, sf_dir)[1]
 
 
 def register_views(spark: SparkSession, sf_dir: str, tables: Tables | None = None) -> None:
@@ -106,6 +159,14 @@ def _segment_id(col):
 
 
 def program_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """Programme tables derived from the driver tables, memoised per folder."""
+    derived = _memo(spark, sf_dir)[2]
+    if "program" not in derived:
+        derived["program"] = derive_program_tables(spark, sf_dir)
+    return derived["program"]
+
+
+def derive_program_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Programme tables derived from the driver tables (a pure Spark plan).
 
     region <- region; city <- nation; community / product_type / academy /
