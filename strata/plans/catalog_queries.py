@@ -32,3 +32,20 @@ GROUP BY 1, 2"""))
 def weekly_rollup(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     return SK.weekly_rollup(c.tables, c.hierarchy)
+
+
+@register("stream_weekly_trend", with_programme("""
+SELECT CAST(date_trunc('week', s.session_date) AS DATE) AS week, count(a.participant_id) AS total_attendances,
+       count(*) AS attendance_rows,
+       round(count(*) FILTER (WHERE a.attended_normalized) * 100e0 / count(*), 6) AS attendance_rate
+FROM p_attendance_n a JOIN s_session s ON a.session_id = s.session_id GROUP BY 1"""))
+def stream_weekly_trend(spark, sf_dir):
+    """Streamed weekly counts and rate (the approximate distinct is left out of
+    the compared columns)."""
+    from pyspark.sql import functions as F
+    from strata.streaming.weekly import stream_weekly_trend as run
+
+    out = run(spark, sf_dir)
+    return out.select("week", "total_attendances", "attendance_rows",
+                      F.round(F.col("present_rows").cast("double") * 100 / F.col("attendance_rows"), 6)
+                      .alias("attendance_rate"))

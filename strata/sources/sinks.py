@@ -38,7 +38,10 @@ def write_weekly_rollup(rollup: DataFrame, path: str, mode: str = "overwrite") -
 def trend_from_rollup(spark: SparkSession, path: str, hierarchy: DataFrame, scope: Scope | None, as_of,
                       days_back: int = 90) -> DataFrame:
     """Weekly trend read back from a written rollup: counts and rate exact,
-    distinct attendees estimated by merging the per-academy sketches."""
+    distinct attendees estimated by merging the per-academy sketches.
+
+    The rollup holds whole weeks, so the week containing the cutoff is
+    complete here, while the live trend cuts it at the cutoff."""
     r = spark.read.parquet(path)
     r = r.filter(on_or_after("week", as_of, days_back + 6))  # prune partitions, then exact filter below
     academies = (scope or Scope()).filter(hierarchy).select("academy_id")
