@@ -121,48 +121,58 @@ def kpis(scoped: Scoped, as_of) -> DataFrame:
 def kpis_rollup(tables: Tables, hierarchy: DataFrame, as_of) -> DataFrame:
     """KPIs for every region, city, community and academy, and the total.
 
-    Each fact is brought to academy grain (additive parts summed per academy;
-    distinct measures kept at (academy, value) grain), joined to the small
-    hierarchy, and rolled up over region > city > community > academy.  The
-    grouping id tells a subtotal from a NULL parent stored in the data.  Every
-    academy of the hierarchy gets a row (zeros when it has no facts).
+    Additive parts (rows, flags, sums) are aggregated per academy and left
+    joined onto the academy list (one row per key on both sides), then rolled
+    up over region > city > community > academy: a rollup of a table with one
+    row per academy.  Distinct measures cannot be summed, so the four of them
+    go through one pass: (academy, measure, value) rows, de-duplicated at
+    academy grain (map-side), expanded over the grouping sets and counted.
+    The grouping id tells a subtotal from a NULL parent stored in the data;
+    every academy of the hierarchy gets a row (zeros when it has no facts).
     """
     h = hierarchy.select(*ROLLUP_KEYS)
     cohort_academy = tables["cohort"].select("cohort_id", "academy_id")
-    session_academy = tables["session"].join(cohort_academy, "cohort_id")
-
-    def rollup(grain: DataFrame, *aggs: Column) -> DataFrame:
-        return (grain.join(h, "academy_id").rollup(*ROLLUP_KEYS)
-                .agg(F.grouping_id().alias("gid"), *aggs))
-
-    p_grain = (participants_normalized(tables).join(cohort_academy, "cohort_id")
-               .groupBy("academy_id").agg(*_participant_parts(None, as_of)))
-    p = rollup(p_grain, *[F.sum(c).alias(c) for c in ("total_participants", "active_participants",
-                                                        "days_sum", "days_n")])
-
-    s_grain = (session_academy.groupBy("academy_id", "session_date")
-               .agg(F.count(F.lit(1)).alias("n"), F.sum("duration_minutes").alias("dur_sum"),
-                    F.count("duration_minutes").alias("dur_n")))
-    s = rollup(s_grain, F.sum("n").alias("total_sessions"),
-               F.count_distinct("session_date").alias("unique_session_days"),
-               F.sum("dur_sum").alias("dur_sum"), F.sum("dur_n").alias("dur_n"))
-
-    a_grain = (attendance_normalized(tables).join(session_academy.select("session_id", "academy_id"), "session_id")
-               .groupBy("academy_id", "participant_id")
-               .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("attended_normalized")).alias("flags")))
-    a = rollup(a_grain, F.sum("n").alias("total_attendances"), F.sum("flags").alias("flags_sum"),
-               F.count_distinct("participant_id").alias("participants_attended"))
-
-    k_grain = (tables["skill_achievement"]
-               .join(participants_normalized(tables).select("participant_id", "cohort_id"), "participant_id")
-               .join(cohort_academy, "cohort_id")
-               .groupBy("academy_id", "participant_id", "skill_id").agg(F.count(F.lit(1)).alias("n")))
-    k = rollup(k_grain, F.sum("n").alias("total_achievements"),
-               F.count_distinct("skill_id").alias("unique_skills_achieved"),
-               F.count_distinct("participant_id").alias("participants_with_achievements"))
-
-    every = h.rollup(*ROLLUP_KEYS).agg(F.grouping_id().alias("gid"))
-    keys = ROLLUP_KEYS + ("gid",)
-    out = _finish(_stack([every, p, s, a, k], keys), keys)
+    sessions = tables["session"].join(cohort_academy, "cohort_id")
+    participants = participants_normalized(tables).join(cohort_academy, "cohort_id")
+    attendance = attendance_normalized(tables).join(sessions.select("session_id", "academy_id"), "session_id")
+    skills = tables["skill_achievement"].join(participants.select("participant_id", "academy_id"), "participant_id")
+
+    additive = (h
+                .join(participants.groupBy("academy_id").agg(*_participant_parts(None, as_of)), "academy_id", "left")
+                .join(sessions.groupBy("academy_id").agg(F.count(F.lit(1)).alias("total_sessions"),
+                                                         F.sum("duration_minutes").alias("dur_sum"),
+                                                         F.count("duration_minutes").alias("dur_n")),
+                      "academy_id", "left")
+                .join(attendance.groupBy("academy_id").agg(F.count(F.lit(1)).alias("total_attendances"),
+                                                           F.count_if("attended_normalized").alias("flags_sum")),
+                      "academy_id", "left")
+                .join(skills.groupBy("academy_id").agg(F.count(F.lit(1)).alias("total_achievements")),
+                      "academy_id", "left"))
+    sums = ("total_participants", "active_participants", "days_sum", "days_n", "total_sessions", "dur_sum",
+            "dur_n", "total_attendances", "flags_sum", "total_achievements")
+    added = additive.rollup(*ROLLUP_KEYS).agg(F.grouping_id().alias("gid"), *[F.sum(c).alias(c) for c in sums])
+
+    def tagged(df: DataFrame, measure: str, value) -> DataFrame:
+        return df.select("academy_id", F.lit(measure).alias("measure"), value.cast("long").alias("value"))
+
+    values = (tagged(sessions, "unique_session_days", F.datediff("session_date", F.lit("1970-01-01")))
+              .unionByName(tagged(attendance, "participants_attended", F.col("participant_id")))
+              .unionByName(tagged(skills, "unique_skills_achieved", F.col("skill_id")))
+              .unionByName(tagged(skills, "participants_with_achievements", F.col("participant_id")))
+              .filter(F.col("value").isNotNull()).distinct())
+    keys = ["measure", *ROLLUP_KEYS]
+    sets = [keys[:n] for n in range(len(keys), 0, -1)]
+    # measure is in every set, so its grouping bit is 0 and gid matches ``added``
+    distinct = (values.join(h, "academy_id").groupingSets(sets, *keys)
+                .agg(F.grouping_id().alias("gid"), F.count_distinct("value").alias("n")))
+    pivoted = distinct.groupBy(*ROLLUP_KEYS, "gid").agg(
+        *[F.max(F.when(F.col("measure") == m, F.col("n"))).alias(m) for m in DISTINCT_MEASURES])
+
+    out_keys = ROLLUP_KEYS + ("gid",)
+    out = _finish(_stack([added, pivoted], out_keys), out_keys)
     level = F.create_map(*[x for g, name in LEVEL_OF_GROUPING.items() for x in (F.lit(g), F.lit(name))])
     return out.select(level[F.col("gid")].alias("level"), *[c for c in out.columns])
+
+
+DISTINCT_MEASURES = ("unique_session_days", "participants_attended", "unique_skills_achieved",
+                     "participants_with_achievements")

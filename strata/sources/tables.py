@@ -149,6 +149,15 @@ def register_views(spark: SparkSession, sf_dir: str, tables: Tables | None = Non
 # nation's customers into three communities.
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 BAND_EDGES = (2500, 6500)
+# Order status of a part's latest order -> participant activity (1 active,
+# 2 inactive, anything else unknown).
+STATUS_CODES = {"O": 1, "F": 2, "P": 3}
+ORDER_KEY_LIMIT = 1 << 40
+EPOCH = "1970-01-01"
+
+
+def _status_code(col):
+    return F.create_map(*[x for k, v in STATUS_CODES.items() for x in (F.lit(k), F.lit(v))])[col]
 
 
 def _segment_id(col):
@@ -209,20 +218,30 @@ def derive_program_tables(spark: SparkSession, sf_dir: str) -> Tables:
     attendance = li.select(F.lit(None).cast("long").alias("attendance_id"), F.col("l_orderkey").alias("session_id"),
                            F.col("l_partkey").alias("participant_id"), status.alias("attendance_status"))
 
-    # First and last order of each part.  min/max of a struct orders by its
-    # fields in turn, so ties on the date fall to the order key; both combine
-    # map-side, so a part found on a third of all lines still ships one row per task.
+    # First and last order of each part, ordered by (order date, order key).
+    # The pair is packed into one long (days << 40 | key) so min_by / max_by
+    # keep fixed-width buffers: hash aggregation with a map-side combine, so a
+    # part found on a third of all lines still ships one row per task.  Keys
+    # must fit 40 bits (TPC-H keys at 100 TB do); a larger key fails loudly.
+    key = F.col("o_orderkey")
+    checked_key = F.when((key >= 0) & (key < F.lit(ORDER_KEY_LIMIT)), key).otherwise(
+        F.raise_error(F.lit("order key outside the 40-bit range used for ordering")).cast("long"))
+    days = F.datediff(F.to_date("o_orderdate"), F.lit(EPOCH)).cast("long")
     line_orders = li.select("l_orderkey", "l_partkey").join(
         orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"),
         F.col("l_orderkey") == F.col("o_orderkey"))
-    firsts = line_orders.groupBy("l_partkey").agg(
-        F.min(F.struct("o_orderdate", "o_orderkey", "o_custkey")).alias("first"),
-        F.max(F.struct("o_orderdate", "o_orderkey", "o_orderstatus")).alias("last"))
+    firsts = (line_orders
+              .select("l_partkey", "o_custkey", "o_orderdate",
+                      (days * F.lit(ORDER_KEY_LIMIT) + checked_key).alias("rank_key"),
+                      _status_code(F.col("o_orderstatus")).alias("status_code"))
+              .groupBy("l_partkey")
+              .agg(F.min_by("o_custkey", "rank_key").alias("cohort_id"),
+                   F.min("o_orderdate").alias("first_date"),
+                   F.max_by("status_code", "rank_key").alias("last_status")))
     participant = firsts.select(
-        F.col("l_partkey").alias("participant_id"), F.col("first.o_custkey").alias("cohort_id"),
-        F.to_date("first.o_orderdate").alias("enrollment_date"),
-        F.when(F.col("last.o_orderstatus") == "O", "Active")
-         .when(F.col("last.o_orderstatus") == "F", "inactive").alias("is_active"))
+        F.col("l_partkey").alias("participant_id"), "cohort_id",
+        F.to_date("first_date").alias("enrollment_date"),
+        F.when(F.col("last_status") == 1, "Active").when(F.col("last_status") == 2, "inactive").alias("is_active"))
 
     skill = d["events"].filter(F.col("event_type") == "purchase").select(
         F.col("event_id").alias("skill_achievement_id"), F.col("user_id").alias("participant_id"),
