@@ -1,11 +1,13 @@
-"""Question tables: derive them, route them, answer them in one job."""
+"""Question tables: derive them, route them, answer them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import json
+from concurrent.futures import ThreadPoolExecutor
 
-from strata.functions.routing import EXAMPLE_QUESTIONS, LADDER, DEFAULT_INTENT, route
-from strata.operators.metrics import _stack
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from strata.functions.routing import DEFAULT_INTENT, EXAMPLE_QUESTIONS, LADDER, route
 
 ANSWER_SCHEMA = "intent string, sql string, answer string, row_count long, result_json string"
 
@@ -42,56 +44,60 @@ def route_questions(questions: DataFrame) -> DataFrame:
     return questions.withColumn("intent", route(F.col("question")))
 
 
-def _answer_text(intent: str, n: Column, r: Column) -> Column:
+def answer_text(intent: str, n: int, r: dict | None) -> str:
     """Deterministic answer sentence from the row count and the first row."""
-    f = F.format_string
+    if n == 0 or r is None:
+        return "The query returned no results."
     texts = {
-        "attendance_highest": f("Academy %s has the highest attendance rate: %.1f%% over %d records.",
-                                r["academy_code"], r["attendance_rate"], r["attendance_rows"]),
-        "attendance_lowest": f("Academy %s has the lowest attendance rate: %.1f%% over %d records.",
-                               r["academy_code"], r["attendance_rate"], r["attendance_rows"]),
-        "inactive": f("%d participants have not attended in the last 30 days.", n),
-        "session_duration": f("Average session duration by region (%d regions); e.g. %s: %.0f minutes.",
-                              n, r["region_name"], r["avg_duration"]),
-        "top_skilled": f("Participant %d leads with %d distinct skills.", r["participant_id"], r["skills_achieved"]),
-        "top_skills": f("Most achieved skill this month: %d (%d achievements).", r["skill_id"], r["achievements"]),
-        "last_week": f("Last week: %d sessions scheduled, %d attendance records, %.1f contact hours.",
-                       r["sessions_scheduled"], r["attendance_rows"], r["contact_hours"]),
-        "active_communities": f("Community %s has the most active participants (%d).",
-                                r["community_name"], r["active_participants"]),
-        "attendance_by_product": f("Attendance by product type (%d types); e.g. %s: %.1f%%.",
-                                   n, r["product_type_name"], r["attendance_rate"]),
-        "quarter_trend": f("Attendance rate per quarter over %d quarters.", n),
-        "weekday": f("Best day: %s at %.1f%%.", r["day_name"], r["attendance_rate"]),
-        "enrollment_growth": f("Enrolment per month over %d months.", n),
-        "snapshot": f("Snapshot: %d participants, %d sessions, attendance rate %.1f%%, %d skill achievements.",
-                      r["total_participants"], r["total_sessions"], r["attendance_rate"], r["total_achievements"]),
+        "attendance_highest": lambda: "Academy %s has the highest attendance rate: %.1f%% over %d records."
+        % (r["academy_code"], r["attendance_rate"], r["attendance_rows"]),
+        "attendance_lowest": lambda: "Academy %s has the lowest attendance rate: %.1f%% over %d records."
+        % (r["academy_code"], r["attendance_rate"], r["attendance_rows"]),
+        "inactive": lambda: "%d participants have not attended in the last 30 days." % n,
+        "session_duration": lambda: "Average session duration by region (%d regions); e.g. %s: %.0f minutes."
+        % (n, r["region_name"], r["avg_duration"]),
+        "top_skilled": lambda: "Participant %d leads with %d distinct skills."
+        % (r["participant_id"], r["skills_achieved"]),
+        "top_skills": lambda: "Most achieved skill this month: %d (%d achievements)."
+        % (r["skill_id"], r["achievements"]),
+        "last_week": lambda: "Last week: %d sessions scheduled, %d attendance records, %.1f contact hours."
+        % (r["sessions_scheduled"], r["attendance_rows"], r["contact_hours"]),
+        "active_communities": lambda: "Community %s has the most active participants (%d)."
+        % (r["community_name"], r["active_participants"]),
+        "attendance_by_product": lambda: "Attendance by product type (%d types); e.g. %s: %.1f%%."
+        % (n, r["product_type_name"], r["attendance_rate"]),
+        "quarter_trend": lambda: "Attendance rate per quarter over %d quarters." % n,
+        "weekday": lambda: "Best day: %s at %.1f%%." % (r["day_name"], r["attendance_rate"]),
+        "enrollment_growth": lambda: "Enrolment per month over %d months." % n,
+        "snapshot": lambda: "Snapshot: %d participants, %d sessions, attendance rate %.1f%%, %d skill achievements."
+        % (r["total_participants"], r["total_sessions"], r["attendance_rate"], r["total_achievements"]),
     }
-    return F.when(n == 0, F.lit("The query returned no results.")).otherwise(texts[intent])
+    return texts[intent]()
+
+
+def _intent_row(spark: SparkSession, sf_dir: str, queries: dict, intent: str, key: str) -> tuple:
+    """At most ``PREVIEW_ROWS`` rows come back (a limit; a top-k for ordered
+    answers); the full count runs only when the preview is full."""
+    res = queries[key](spark, sf_dir)
+    preview = [r.asDict() for r in res.limit(PREVIEW_ROWS).collect()]
+    n = len(preview) if len(preview) < PREVIEW_ROWS else res.count()
+    answer = answer_text(intent, n, preview[0] if preview else None)
+    return (intent, f"query:{key}", answer, n, json.dumps(preview, default=str))
 
 
-def intent_answers(spark: SparkSession, sf_dir: str, queries: dict) -> DataFrame:
+def intent_answers(spark: SparkSession, sf_dir: str, queries: dict, parallelism: int = 4) -> DataFrame:
     """One row per intent: its answer, row count and a JSON preview.
 
-    Each intent's query runs once (persisted for its three small reads: the
-    count, the first row, at most ``PREVIEW_ROWS`` rows), whatever the number
-    of questions.  Only that bounded summary row per intent reaches the driver;
-    the 13 rows then form the answer table.
+    Each intent's query runs once (plus a count when its answer has more than
+    ``PREVIEW_ROWS`` rows), whatever the number of questions.  The intents are
+    independent jobs, submitted from a few threads so the scheduler overlaps
+    them.  Only a bounded preview per intent reaches the driver; the 13 rows
+    then form the answer table.
     """
-    rows = []
-    for intent, key in INTENT_QUERY.items():
-        res = queries[key](spark, sf_dir).persist()
-        try:
-            count = res.agg(F.count(F.lit(1)).alias("row_count"))
-            first = res.limit(1).select(F.struct(*res.columns).alias("first"))
-            preview = (res.limit(PREVIEW_ROWS)
-                       .agg(F.to_json(F.collect_list(F.struct(*res.columns))).alias("result_json")))
-            one = _stack([count, first, preview]).select(
-                _answer_text(intent, F.col("row_count"), F.col("first")).alias("answer"), "row_count", "result_json")
-            r = one.first()
-        finally:
-            res.unpersist()
-        rows.append((intent, f"query:{key}", r["answer"], r["row_count"], r["result_json"]))
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        futures = [pool.submit(_intent_row, spark, sf_dir, queries, intent, key)
+                   for intent, key in INTENT_QUERY.items()]
+        rows = [f.result() for f in futures]
     return spark.createDataFrame(rows, ANSWER_SCHEMA)
 
 
@@ -109,5 +115,5 @@ def answer_questions(spark: SparkSession, questions: DataFrame, sf_dir: str, que
         F.lit(None).cast("string").alias("error"), "result_json")
 
 
-__all__ = ["questions_from_events", "route_questions", "answer_questions", "intent_answers",
+__all__ = ["questions_from_events", "route_questions", "answer_questions", "intent_answers", "answer_text",
            "INTENT_QUERY", "LADDER", "DEFAULT_INTENT"]
