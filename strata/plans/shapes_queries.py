@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from strata.functions.dates import wall_clock
 from strata.operators import shapes as SH
 from strata.plans.oracle_base import with_programme
 from strata.plans.registry import AS_OF, Ctx, register
@@ -64,8 +65,7 @@ def top_products_month(spark, sf_dir):
     d = driver_tables(spark, sf_dir)
     start = dt.datetime(AS_OF.year, AS_OF.month, 1)
     end = dt.datetime(start.year + start.month // 12, start.month % 12 + 1, 1)
-    month = d["lineitem"].filter((F.col("l_shipdate") >= F.lit(start).cast("timestamp_ntz"))
-                                 & (F.col("l_shipdate") < F.lit(end).cast("timestamp_ntz")))
+    month = d["lineitem"].filter((F.col("l_shipdate") >= wall_clock(start)) & (F.col("l_shipdate") < wall_clock(end)))
     best = SH.top_n(month, ["l_partkey"], F.sum(SH.revenue()).cast("double"), "revenue", 10)
     return (best.join(d["part"].select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
             .select("l_partkey", "p_name", "revenue"))

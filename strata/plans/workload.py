@@ -12,7 +12,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strata.functions.dates import month_index, on_or_after
+from strata.functions.dates import month_index, on_or_after, wall_clock
 from strata.operators.metrics import _stack
 from strata.operators.scope import attendance_normalized
 from strata.plans.oracle_base import with_programme
@@ -150,7 +150,7 @@ def k07_top_skills(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     start = dt.datetime(SKILLS_AS_OF.year, SKILLS_AS_OF.month, 1)
     return (c.scoped.skills
-            .filter((F.col("achieved_at") >= F.lit(start)) & (F.col("achieved_at") < F.lit(SKILLS_AS_OF)))
+            .filter((F.col("achieved_at") >= wall_clock(start)) & (F.col("achieved_at") < wall_clock(SKILLS_AS_OF)))
             .groupBy("skill_id").agg(F.count(F.lit(1)).alias("achievements"))
             .orderBy(F.desc("achievements"), "skill_id").limit(5))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-L, S, D, I, TS = T.LongType(), T.StringType(), T.DateType(), T.IntegerType(), T.TimestampType()
+L, S, D, I, TS = T.LongType(), T.StringType(), T.DateType(), T.IntegerType(), T.TimestampNTZType()
 
 
 def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:

@@ -246,7 +246,7 @@ def derive_program_tables(spark: SparkSession, sf_dir: str) -> Tables:
     skill = d["events"].filter(F.col("event_type") == "purchase").select(
         F.col("event_id").alias("skill_achievement_id"), F.col("user_id").alias("participant_id"),
         F.get_json_object("props", "$.k").cast("long").alias("skill_id"),
-        F.col("ts").cast("timestamp").alias("achieved_at"))
+        F.col("ts").cast("timestamp_ntz").alias("achieved_at"))
 
     raw = {"region": region, "city": city, "community": community, "product_type": product_type,
            "academy": academy, "cohort": cohort, "participant": participant, "session": session,

@@ -11,6 +11,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from strata.functions.dates import utc_date, utc_midnight
 from strata.functions.flags import attended
 from strata.operators.hierarchy import build_hierarchy
 from strata.operators.scope import Scope, apply_scope
@@ -60,14 +61,14 @@ def stream_weekly_trend(spark: SparkSession, sf_dir: str, scope: Scope | None =
     """
     tables = program_tables(spark, sf_dir)
     sessions = apply_scope(tables, build_hierarchy(tables), scope or Scope()).sessions
-    static = sessions.select("session_id", F.col("session_date").cast("timestamp").alias("session_ts"))
+    static = sessions.select("session_id", utc_midnight("session_date").alias("session_ts"))
     rows = attendance_stream(spark, sf_dir).join(static, "session_id")
     counts = weekly_window_counts(rows, watermark)
     out_path = sink_path or shared_dir(spark, "weekly-trend-stream")
     ckpt = checkpoint or shared_dir(spark, "weekly-trend-stream-state")
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        (batch.select(F.to_date(F.col("w.start")).alias("week"), "attendance_rows", "total_attendances",
+        (batch.select(utc_date(F.col("w.start")).alias("week"), "attendance_rows", "total_attendances",
                       "present_rows", "unique_attendees_approx")
          .write.mode("overwrite" if output_mode == "complete" else "append").parquet(out_path))
 
