@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strata.functions.dates import on_or_after, week_start
+from strata.functions.dates import cutoff, on_or_after, week_start
 from strata.operators.scope import Scoped, attendance_normalized
 from strata.sources.tables import Tables
 
@@ -24,7 +24,12 @@ def attendance_trends(tables: Tables, scoped: Scoped, as_of, days_back: int = 90
     s = scoped.sessions.filter(on_or_after("session_date", as_of, days_back))
     if until is not None:
         s = s.filter(F.col("session_date") <= F.lit(until))
-    rows = attendance_normalized(tables).join(s.select("session_id", "session_date"), "session_id")
+    a = attendance_normalized(tables)
+    if "session_month" in a.columns:
+        # Materialised layout: read only the months the window can touch.
+        first_month = F.trunc(F.to_date(cutoff(as_of, days_back)), "month")
+        a = a.filter(F.col("session_month") >= first_month).drop("session_month")
+    rows = a.join(s.select("session_id", "session_date"), "session_id")
     return (rows.groupBy(week_start("session_date").alias("week"))
             .agg(F.count_distinct("participant_id").alias("unique_attendees"),
                  F.count("participant_id").alias("total_attendances"),

@@ -46,7 +46,11 @@ KEYS: dict[str, str] = {
 }
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
+# Layout columns kept when a table carries them (see sources/layout.py).
+LAYOUT_COLUMNS: dict[str, tuple[str, ...]] = {"session": ("session_month",), "attendance": ("session_month",)}
+
+
+def conform(df: DataFrame, table: str, keep_layout: bool = False) -> DataFrame:
     """Project ``df`` onto the fixed schema of ``table``.
 
     Renames documented aliases, casts to the declared types, adds missing
@@ -71,6 +75,8 @@ def conform(df: DataFrame, table: str) -> DataFrame:
         else:
             c = F.lit(None).cast(field.dataType)
         cols.append(c.alias(field.name))
+    if keep_layout:
+        cols += [F.col(c) for c in LAYOUT_COLUMNS.get(table, ()) if c in present]
     out = df.select(*cols)
     key = KEYS.get(table)
     if key is not None:

@@ -67,7 +67,7 @@ def load_tables(spark: SparkSession, location: str, fmt: str = "parquet",
                 raw = reader.load(path)
             else:
                 raw = spark.table(f"{location}.{name}")
-            frames[name] = conform(raw, name)
+            frames[name] = conform(raw, name, keep_layout=True)
         except AnalysisException as exc:  # missing table/path: typed empty table
             frames[name] = empty(spark, name)
             missing.add(name)

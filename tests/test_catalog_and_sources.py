@@ -75,3 +75,26 @@ def test_weekly_rollup_sink_roundtrip(spark, tmp_path):
         assert from_rollup[week].total_attendances == r.total_attendances
         assert from_rollup[week].attendance_rate == r.attendance_rate
         assert abs(from_rollup[week].unique_attendees_est - r.unique_attendees) <= max(2, 0.1 * r.unique_attendees)
+
+
+def test_materialised_layout_prunes_months(spark, tmp_path):
+    import datetime as dt
+    from strata.operators.hierarchy import build_hierarchy
+    from strata.operators.scope import apply_scope
+    from strata.operators.trends import attendance_trends
+    from strata.sources.layout import write_program_tables
+    derived = program_tables(spark, "/root/testdata/sf0.001")
+    root = str(tmp_path / "layout")
+    write_program_tables(derived, root)
+    loaded = load_tables(spark, root)
+    assert not loaded.missing - {"sport_type"}
+    as_of = dt.datetime(2001, 8, 1)
+
+    def trend(t):
+        return attendance_trends(t, apply_scope(t, build_hierarchy(t)), as_of, 90)
+
+    got, want = trend(loaded), trend(derived)
+    assert sorted(got.collect()) == sorted(want.collect())
+    plan = got._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [isnotnull(session_month" in plan and "2001-05-01" in plan
