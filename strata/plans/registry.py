@@ -14,7 +14,7 @@ from strata.operators import metrics as M
 from strata.operators import scope as SC
 from strata.operators import trends as T
 from strata.plans.oracle_base import KPI_SQL, with_programme
-from strata.sources.tables import Tables, program_tables
+from strata.sources.tables import Tables, memo_slot, program_tables
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -41,16 +41,18 @@ def register(key: str, sql: str | None = None):
 class Ctx:
     """Per-call programme tables, hierarchy and scoped tables (all lazy)."""
 
-    _hierarchies: dict = {}
-
     def __init__(self, spark: SparkSession, sf_dir: str, scope: SC.Scope | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.tables: Tables = program_tables(spark, sf_dir)
-        key = id(self.tables)
-        if key not in Ctx._hierarchies or Ctx._hierarchies[key][0] is not self.tables:
-            Ctx._hierarchies[key] = (self.tables, H.build_hierarchy(self.tables))
-        self.hierarchy = Ctx._hierarchies[key][1]
+        slot = memo_slot(spark, sf_dir)
+        if "hierarchy" not in slot:
+            # The hierarchy has one row per academy (small) and feeds nearly
+            # every query: keep it cached for the session, like the dashboard's
+            # snapshot cache.  A lost block is rebuilt from lineage; ``reload``
+            # drops it.
+            slot["hierarchy"] = H.build_hierarchy(self.tables).persist()
+        self.hierarchy = slot["hierarchy"]
         self.scope = scope or SC.Scope()
         self.scoped = SC.apply_scope(self.tables, self.hierarchy, self.scope)
 

@@ -121,12 +121,18 @@ def _memo(spark: SparkSession, sf_dir: str):
 
 
 def reload(spark: SparkSession | None = None) -> None:
-    """Forget memoised plans (and cached data) so the next query re-reads."""
+    """Forget memoised plans and cached data so the next query re-reads
+    (the dashboard's "reload" button)."""
     for key in list(_MEMO):
         if spark is None or _MEMO[key][0] is spark:
-            derived = _MEMO.pop(key)[2].get("program")
-            if derived is not None:
-                derived.unpersist()
+            for item in _MEMO.pop(key)[2].values():
+                item.unpersist()
+
+
+def memo_slot(spark: SparkSession, sf_dir: str) -> dict:
+    """Per (session, folder) store for derived plans; ``reload`` unpersists
+    everything in it."""
+    return _memo(spark, sf_dir)[2]
 
 
 def driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

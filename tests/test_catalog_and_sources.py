@@ -98,3 +98,15 @@ def test_materialised_layout_prunes_months(spark, tmp_path):
     plan = got._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "PartitionFilters: [isnotnull(session_month" in plan and "2001-05-01" in plan
+
+
+def test_reload_drops_memoised_plans(spark):
+    from strata.plans.registry import Ctx
+    from strata.sources.tables import memo_slot, reload
+    sf = "/root/testdata/sf0.001"
+    first = Ctx(spark, sf)
+    assert Ctx(spark, sf).hierarchy is first.hierarchy
+    assert first.hierarchy.is_cached
+    reload(spark)
+    assert "hierarchy" not in memo_slot(spark, sf)
+    assert Ctx(spark, sf).hierarchy is not first.hierarchy
