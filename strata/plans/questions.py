@@ -40,6 +40,27 @@ def questions_from_events(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_id").alias("question_id"), text.alias("question"))
 
 
+def questions_frame(spark: SparkSession, model_input) -> DataFrame:
+    """Coerce the batch scorer's input into a ``question_id, question`` table:
+    a DataFrame with a ``question`` column, a pandas DataFrame, a dict of
+    lists, a list of strings or one string (the forms the reference accepts).
+    Only the caller's own question list passes through the driver here."""
+    if isinstance(model_input, DataFrame):
+        df = model_input
+        if "question_id" not in df.columns:
+            df = df.withColumn("question_id", F.monotonically_increasing_id())
+        return df.select(F.col("question_id").cast("long"), F.col("question").cast("string"))
+    if hasattr(model_input, "to_dict") and hasattr(model_input, "columns"):  # pandas
+        model_input = model_input.to_dict(orient="list")
+    if isinstance(model_input, dict):
+        items = list(model_input.get("question", []))
+    elif isinstance(model_input, str):
+        items = [model_input]
+    else:
+        items = list(model_input)
+    return spark.createDataFrame([(i, str(q)) for i, q in enumerate(items)], "question_id long, question string")
+
+
 def route_questions(questions: DataFrame) -> DataFrame:
     return questions.withColumn("intent", route(F.col("question")))
 
@@ -115,5 +136,5 @@ def answer_questions(spark: SparkSession, questions: DataFrame, sf_dir: str, que
         F.lit(None).cast("string").alias("error"), "result_json")
 
 
-__all__ = ["questions_from_events", "route_questions", "answer_questions", "intent_answers", "answer_text",
+__all__ = ["questions_from_events", "questions_frame", "route_questions", "answer_questions", "intent_answers", "answer_text",
            "INTENT_QUERY", "LADDER", "DEFAULT_INTENT"]

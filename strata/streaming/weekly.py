@@ -48,14 +48,16 @@ def weekly_window_counts(rows: DataFrame, watermark: str) -> DataFrame:
 
 def stream_weekly_trend(spark: SparkSession, sf_dir: str, scope: Scope | None = None, sink_path: str | None = None,
                         checkpoint: str | None = None, watermark: str = "14 days",
-                        output_mode: str = "complete") -> DataFrame:
+                        output_mode: str = "complete", progress: list | None = None) -> DataFrame:
     """Run the stream over everything available (``availableNow``) and return
     the weekly table it wrote.
 
     ``complete`` mode keeps one state row per week (small; grows with the
     number of weeks, not rows) and is exact for out-of-order files.  ``append``
     emits a week once the watermark passes it and drops later rows for it:
-    use it only for time-ordered input.  Output goes through ``foreachBatch``
+    use it only for time-ordered input; pass a list as ``progress`` to get the
+    query's progress reports (``stateOperators[].numRowsDroppedByWatermark``
+    counts what was dropped).  Output goes through ``foreachBatch``
     to parquet in the shared checkpoint folder (overwritten per epoch, so a
     replayed epoch is harmless); state and offsets live in ``checkpoint``.
     """
@@ -75,4 +77,11 @@ def stream_weekly_trend(spark: SparkSession, sf_dir: str, scope: Scope | None =
     query = (counts.writeStream.outputMode(output_mode).foreachBatch(write)
              .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     query.awaitTermination()
+    if progress is not None:
+        progress.extend(query.recentProgress)
     return spark.read.parquet(out_path)
+
+
+def rows_dropped_by_watermark(progress: list) -> int:
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in progress
+               for op in (p.get("stateOperators") or []))

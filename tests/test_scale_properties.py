@@ -72,3 +72,28 @@ def test_stream_equals_batch(spark):
     qs = E.queries()
     batch = qs["weekly_rollup"](spark, SF).groupBy("week").sum("attendance_rows", "total_attendances").collect()
     assert streamed == {r[0]: (r[1], r[2]) for r in batch}
+
+
+def test_stream_append_mode_reports_late_rows(spark, tmp_path):
+    from strata.streaming.weekly import rows_dropped_by_watermark, stream_weekly_trend
+    progress = []
+    complete = stream_weekly_trend(spark, SF)
+    appended = stream_weekly_trend(spark, SF, output_mode="append", watermark="0 seconds", progress=progress)
+    assert progress and rows_dropped_by_watermark(progress) >= 0
+    # append emits a week only once the watermark passes it: never more than complete mode
+    assert appended.count() <= complete.count()
+    got = {r.week: r.attendance_rows for r in appended.collect()}
+    full = {r.week: r.attendance_rows for r in complete.collect()}
+    assert all(got[w] <= full[w] for w in got)
+
+
+def test_questions_frame_accepts_reference_inputs(spark):
+    import pandas as pd
+    from strata.plans.questions import questions_frame, route_questions
+    for obj in ("Which day of the week has the best attendance?",
+                ["Which day of the week has the best attendance?"],
+                {"question": ["Which day of the week has the best attendance?"]},
+                pd.DataFrame({"question": ["Which day of the week has the best attendance?"]}),
+                spark.createDataFrame([("Which day of the week has the best attendance?",)], "question string")):
+        rows = route_questions(questions_frame(spark, obj)).collect()
+        assert [r.intent for r in rows] == ["weekday"]
