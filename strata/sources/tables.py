@@ -55,16 +55,18 @@ def load_tables(spark: SparkSession, location: str, fmt: str = "parquet",
     """
     frames, missing, errors = {}, set(), {}
     is_path = "/" in location or location.startswith(".")
+    reader = spark.read.format(fmt).options(**(options or {}))
+    if fmt == "csv":
+        reader = reader.option("header", True)
     for name in names:
         try:
             if is_path:
-                path = os.path.join(location, f"{name}.{fmt}")
-                if not os.path.exists(path) and os.path.exists(os.path.join(location, name)):
-                    path = os.path.join(location, name)
-                reader = spark.read.format(fmt).options(**(options or {}))
-                if fmt == "csv":
-                    reader = reader.option("header", True)
-                raw = reader.load(path)
+                # ``<name>.<fmt>`` first, then a folder ``<name>``; Spark resolves
+                # both, so this works the same on local disks and object stores.
+                try:
+                    raw = reader.load(os.path.join(location, f"{name}.{fmt}"))
+                except AnalysisException:
+                    raw = reader.load(os.path.join(location, name))
             else:
                 raw = spark.table(f"{location}.{name}")
             frames[name] = conform(raw, name, keep_layout=True)
