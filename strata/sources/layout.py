@@ -19,15 +19,25 @@ PARTITION_COLUMN = "session_month"
 PARTITIONED = ("session", "attendance")
 
 
-def write_program_tables(tables: Tables, root: str, mode: str = "overwrite") -> None:
+def _by_month(df, files_per_month: int):
+    """Shuffle so each month is spread over ``files_per_month`` tasks (hash of
+    the session id): about that many files per month directory, instead of one
+    per task and month, and no month squeezed into a single task."""
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(files_per_month))
+    return df.repartition(PARTITION_COLUMN, bucket)
+
+
+def write_program_tables(tables: Tables, root: str, mode: str = "overwrite", files_per_month: int = 4) -> None:
     month = F.trunc("session_date", "month").alias(PARTITION_COLUMN)
     for name, df in tables.frames.items():
         path = os.path.join(root, name)
         if name == "session":
-            df.select("*", month).write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path)
+            out = _by_month(df.select("*", month), files_per_month)
+            out.write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path)
         elif name == "attendance":
             months = tables["session"].select("session_id", month)
-            (df.join(months, "session_id", "left").select(*df.columns, PARTITION_COLUMN)
-             .write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path))
+            out = _by_month(df.join(months, "session_id", "left").select(*df.columns, PARTITION_COLUMN),
+                            files_per_month)
+            out.write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path)
         else:
             df.write.mode(mode).parquet(path)

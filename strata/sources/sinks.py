@@ -31,8 +31,11 @@ def weekly_rollup(tables: Tables, hierarchy: DataFrame, with_sketch: bool = Fals
 
 def write_weekly_rollup(rollup: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write the rollup as parquet partitioned by week (so trend reads prune to
-    the weeks they need); the committer makes the write atomic per job."""
-    rollup.write.mode(mode).partitionBy("week").parquet(path)
+    the weeks they need); the committer makes the write atomic per job.
+
+    The rollup has one row per (academy, week), so a week is small: shuffling
+    by week first gives one file per week instead of one per task and week."""
+    rollup.repartition("week").write.mode(mode).partitionBy("week").parquet(path)
 
 
 def trend_from_rollup(spark: SparkSession, path: str, hierarchy: DataFrame, scope: Scope | None, as_of,

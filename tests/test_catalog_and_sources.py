@@ -110,3 +110,12 @@ def test_reload_drops_memoised_plans(spark):
     reload(spark)
     assert "hierarchy" not in memo_slot(spark, sf)
     assert Ctx(spark, sf).hierarchy is not first.hierarchy
+
+
+def test_layout_file_counts_are_bounded(spark, tmp_path):
+    import glob
+    from strata.sources.layout import write_program_tables
+    root = str(tmp_path / "layout")
+    write_program_tables(program_tables(spark, "/root/testdata/sf0.001"), root, files_per_month=2)
+    for month_dir in glob.glob(root + "/attendance/session_month=*"):
+        assert len(glob.glob(month_dir + "/*.parquet")) <= 2
