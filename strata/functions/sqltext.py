@@ -47,3 +47,26 @@ def extract_sql(text: Column) -> Column:
             .when(text.rlike(PLAIN_FENCE) & opens, plain)
             .when(text.rlike(STATEMENT), unfenced)
             .otherwise(strip_ws(text)))
+
+
+def with_extracted_sql(df, text_col: str, reference_col: str = "extracted_sql_reference",
+                       ours_col: str = "extracted_sql"):
+    """Both ladders over a table of replies, sharing the fence matches.
+
+    Each fence pattern runs once per row in a first projection (a match is a
+    non-empty group 0); the statement patterns run only for rows that reach
+    them.  Same results as the two column functions, about a third less regex
+    work."""
+    t = F.col(text_col)
+    base = df.select("*", F.regexp_extract(t, SQL_FENCE, 0).alias("_m1"), F.regexp_extract(t, SQL_FENCE, 1).alias("_g1"),
+                     F.regexp_extract(t, PLAIN_FENCE, 0).alias("_m2"), F.regexp_extract(t, PLAIN_FENCE, 1).alias("_g2"))
+    in_sql_fence, in_plain_fence = F.col("_m1") != "", F.col("_m2") != ""
+    g1, g2 = strip_ws(F.col("_g1")), strip_ws(F.col("_g2"))
+    reference = (F.when(in_sql_fence, g1).when(in_plain_fence & F.upper(g2).startswith("SELECT"), g2)
+                 .when(t.rlike(SELECT_STATEMENT), F.regexp_replace(_group(t, SELECT_STATEMENT), r";+$", ""))
+                 .otherwise(strip_ws(t)))
+    opens = F.upper(g2).startswith("SELECT") | F.upper(g2).startswith("WITH")
+    ours = (F.when(in_sql_fence, g1).when(in_plain_fence & opens, g2)
+            .when(t.rlike(STATEMENT), F.regexp_replace(_group(t, STATEMENT), r"\s*```\s*$", ""))
+            .otherwise(strip_ws(t)))
+    return base.select(*df.columns, reference.alias(reference_col), ours.alias(ours_col))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strata.functions.routing import EXAMPLE_QUESTIONS, route_sql
-from strata.functions.sqltext import extract_sql, extract_sql_reference
+from strata.functions.sqltext import with_extracted_sql
 from strata.operators.sqljobs import guarded_sql as run_guarded
 from strata.plans import questions as Q
 from strata.plans.registry import QUERIES, register
@@ -78,8 +78,7 @@ FROM r""".replace(", r AS", "WITH r AS", 1)
 @register("extract_sql", _EXTRACT_SQL)
 def extract_sql_query(spark, sf_dir):
     replies = replies_from_events(driver_tables(spark, sf_dir)["events"])
-    return replies.select("reply_id", extract_sql_reference(F.col("reply")).alias("extracted_sql_reference"),
-                          extract_sql(F.col("reply")).alias("extracted_sql"))
+    return with_extracted_sql(replies, "reply").select("reply_id", "extracted_sql_reference", "extracted_sql")
 
 
 _Q_LIST = "[" + ", ".join("'" + q.replace("'", "''") + "'" for q in EXAMPLE_QUESTIONS) + "]"

@@ -62,3 +62,10 @@ def test_guarded_sql(spark):
     assert not parse.ok
     runtime = guarded_sql(spark, "SELECT CAST('x' AS INT) AS v", eager=True)
     assert not runtime.ok
+
+
+def test_shared_ladder_equals_column_functions(spark):
+    from strata.functions.sqltext import with_extracted_sql
+    df = spark.createDataFrame([(t,) for t, _, _ in CASES], "t string")
+    got = with_extracted_sql(df, "t", "a", "b").select("t", "a", "b").collect()
+    assert [(r.a, r.b) for r in got] == [(ref, ours) for _, ref, ours in CASES]
