@@ -121,14 +121,17 @@ def kpis(scoped: Scoped, as_of) -> DataFrame:
 def kpis_rollup(tables: Tables, hierarchy: DataFrame, as_of) -> DataFrame:
     """KPIs for every region, city, community and academy, and the total.
 
-    Additive parts (rows, flags, sums) are aggregated per academy and left
-    joined onto the academy list (one row per key on both sides), then rolled
-    up over region > city > community > academy: a rollup of a table with one
-    row per academy.  Distinct measures cannot be summed, so the four of them
-    go through one pass: (academy, measure, value) rows, de-duplicated at
-    academy grain (map-side), expanded over the grouping sets and counted.
-    The grouping id tells a subtotal from a NULL parent stored in the data;
-    every academy of the hierarchy gets a row (zeros when it has no facts).
+    Each fact is reduced once to a grain keyed by academy and the value its
+    distinct measure counts: sessions per (academy, date), attendance per
+    (academy, participant), skills per (academy, participant, skill); partial
+    aggregation runs map-side.  From the grains, (1) additive parts are summed
+    per academy, left joined onto the academy list (one row per key on both
+    sides) and rolled up over region > city > community > academy -- a rollup
+    of a table with one row per academy; (2) the grain keys, already distinct
+    per academy, feed one grouping-sets pass that counts distinct values per
+    level.  Spark reuses each grain's shuffle for both uses.  The grouping id
+    tells a subtotal from a NULL parent stored in the data; every academy of
+    the hierarchy gets a row (zeros when it has no facts).
     """
     h = hierarchy.select(*ROLLUP_KEYS)
     cohort_academy = tables["cohort"].select("cohort_id", "academy_id")
@@ -137,16 +140,21 @@ def kpis_rollup(tables: Tables, hierarchy: DataFrame, as_of) -> DataFrame:
     attendance = attendance_normalized(tables).join(sessions.select("session_id", "academy_id"), "session_id")
     skills = tables["skill_achievement"].join(participants.select("participant_id", "academy_id"), "participant_id")
 
+    s_grain = sessions.groupBy("academy_id", "session_date").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("duration_minutes").alias("dur_sum"),
+        F.count("duration_minutes").alias("dur_n"))
+    a_grain = attendance.groupBy("academy_id", "participant_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("attended_normalized").alias("flags"))
+    k_grain = skills.groupBy("academy_id", "participant_id", "skill_id").agg(F.count(F.lit(1)).alias("n"))
+
     additive = (h
                 .join(participants.groupBy("academy_id").agg(*_participant_parts(None, as_of)), "academy_id", "left")
-                .join(sessions.groupBy("academy_id").agg(F.count(F.lit(1)).alias("total_sessions"),
-                                                         F.sum("duration_minutes").alias("dur_sum"),
-                                                         F.count("duration_minutes").alias("dur_n")),
-                      "academy_id", "left")
-                .join(attendance.groupBy("academy_id").agg(F.count(F.lit(1)).alias("total_attendances"),
-                                                           F.count_if("attended_normalized").alias("flags_sum")),
-                      "academy_id", "left")
-                .join(skills.groupBy("academy_id").agg(F.count(F.lit(1)).alias("total_achievements")),
+                .join(s_grain.groupBy("academy_id").agg(F.sum("n").alias("total_sessions"),
+                                                        F.sum("dur_sum").alias("dur_sum"),
+                                                        F.sum("dur_n").alias("dur_n")), "academy_id", "left")
+                .join(a_grain.groupBy("academy_id").agg(F.sum("n").alias("total_attendances"),
+                                                        F.sum("flags").alias("flags_sum")), "academy_id", "left")
+                .join(k_grain.groupBy("academy_id").agg(F.sum("n").alias("total_achievements")),
                       "academy_id", "left"))
     sums = ("total_participants", "active_participants", "days_sum", "days_n", "total_sessions", "dur_sum",
             "dur_n", "total_attendances", "flags_sum", "total_achievements")
@@ -155,11 +163,13 @@ def kpis_rollup(tables: Tables, hierarchy: DataFrame, as_of) -> DataFrame:
     def tagged(df: DataFrame, measure: str, value) -> DataFrame:
         return df.select("academy_id", F.lit(measure).alias("measure"), value.cast("long").alias("value"))
 
-    values = (tagged(sessions, "unique_session_days", F.datediff("session_date", F.lit("1970-01-01")))
-              .unionByName(tagged(attendance, "participants_attended", F.col("participant_id")))
-              .unionByName(tagged(skills, "unique_skills_achieved", F.col("skill_id")))
-              .unionByName(tagged(skills, "participants_with_achievements", F.col("participant_id")))
-              .filter(F.col("value").isNotNull()).distinct())
+    values = (tagged(s_grain, "unique_session_days", F.datediff("session_date", F.lit("1970-01-01")))
+              .unionByName(tagged(a_grain, "participants_attended", F.col("participant_id")))
+              .unionByName(tagged(k_grain.select("academy_id", "skill_id").distinct(), "unique_skills_achieved",
+                                  F.col("skill_id")))
+              .unionByName(tagged(k_grain.select("academy_id", "participant_id").distinct(),
+                                  "participants_with_achievements", F.col("participant_id")))
+              .filter(F.col("value").isNotNull()))
     keys = ["measure", *ROLLUP_KEYS]
     sets = [keys[:n] for n in range(len(keys), 0, -1)]
     # measure is in every set, so its grouping bit is 0 and gid matches ``added``
