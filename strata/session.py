@@ -23,6 +23,35 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(total_cores: int) -> dict[str, str]:
+    """Settings for a large cluster (e.g. 1000 executors over 100 TB): start
+    shuffles wide (about 4 partitions per core) and let AQE coalesce them to
+    ~256 MB each; read splits of 256 MB; split skewed join partitions above
+    1 GB or 5x the median.  Broadcast stays bounded by the static threshold
+    and AQE's runtime one (64 MB here); anything larger is a sort-merge join."""
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(max(200, 4 * total_cores)),
+        "spark.sql.shuffle.partitions": str(max(200, 4 * total_cores)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
+def apply_conf(spark: SparkSession, conf: dict[str, str], override: bool = False) -> None:
+    """Set runtime SQL options on an existing session; by default only the
+    ones the cluster has not set itself."""
+    for k, v in conf.items():
+        if override or spark.conf.get(k, None) in (None, ""):
+            spark.conf.set(k, v)
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "strata",
                   driver_memory: str = "8g", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the package defaults.

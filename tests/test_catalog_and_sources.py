@@ -119,3 +119,12 @@ def test_layout_file_counts_are_bounded(spark, tmp_path):
     write_program_tables(program_tables(spark, "/root/testdata/sf0.001"), root, files_per_month=2)
     for month_dir in glob.glob(root + "/attendance/session_month=*"):
         assert len(glob.glob(month_dir + "/*.parquet")) <= 2
+
+
+def test_cluster_conf_keeps_cluster_settings(spark):
+    from strata.session import apply_conf, cluster_conf
+    conf = cluster_conf(8000)
+    assert conf["spark.sql.shuffle.partitions"] == "32000"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    apply_conf(spark, {"spark.sql.shuffle.partitions": "32000"})  # already set: kept
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
