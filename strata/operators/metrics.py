@@ -64,7 +64,7 @@ def _finish(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*cols)
 
 
-def _stack(parts: list[DataFrame], keys: tuple[str, ...] = ()) -> DataFrame:
+def stack_parts(parts: list[DataFrame], keys: tuple[str, ...] = ()) -> DataFrame:
     """Union the per-fact results and keep, per key, the one non-null value of
     each column.  Inputs are already aggregated, so this is a tiny aggregation."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -115,7 +115,7 @@ def kpis(scoped: Scoped, as_of) -> DataFrame:
     k = scoped.skills.agg(F.count(F.lit(1)).alias("total_achievements"),
                           F.count_distinct("skill_id").alias("unique_skills_achieved"),
                           F.count_distinct("participant_id").alias("participants_with_achievements"))
-    return _finish(_stack([p, s, a, k]))
+    return _finish(stack_parts([p, s, a, k]))
 
 
 def kpis_rollup(tables: Tables, hierarchy: DataFrame, as_of) -> DataFrame:
@@ -179,7 +179,7 @@ def kpis_rollup(tables: Tables, hierarchy: DataFrame, as_of) -> DataFrame:
         *[F.max(F.when(F.col("measure") == m, F.col("n"))).alias(m) for m in DISTINCT_MEASURES])
 
     out_keys = ROLLUP_KEYS + ("gid",)
-    out = _finish(_stack([added, pivoted], out_keys), out_keys)
+    out = _finish(stack_parts([added, pivoted], out_keys), out_keys)
     level = F.create_map(*[x for g, name in LEVEL_OF_GROUPING.items() for x in (F.lit(g), F.lit(name))])
     return out.select(level[F.col("gid")].alias("level"), *[c for c in out.columns])
 

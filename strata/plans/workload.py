@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strata.functions.dates import month_index, on_or_after, wall_clock
-from strata.operators.metrics import _stack
+from strata.operators.metrics import stack_parts
 from strata.operators.scope import attendance_normalized
 from strata.plans.oracle_base import with_programme
 from strata.plans.registry import AS_OF, SKILLS_AS_OF, Ctx, register
@@ -180,7 +180,7 @@ def k08_last_week(spark, sf_dir):
          .agg(F.count(F.lit(1)).alias("attendance_rows"),
               F.count_distinct("session_id").alias("sessions_with_attendance"),
               F.count_if("attended_normalized").alias("present_rows")))
-    both = _stack([s, a])
+    both = stack_parts([s, a])
     return both.select(
         "sessions_scheduled", "sessions_with_attendance", "attendance_rows",
         F.round(F.try_divide(F.col("attendance_rows").cast("double"), F.col("sessions_with_attendance")), 6)

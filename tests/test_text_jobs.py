@@ -69,3 +69,18 @@ def test_shared_ladder_equals_column_functions(spark):
     df = spark.createDataFrame([(t,) for t, _, _ in CASES], "t string")
     got = with_extracted_sql(df, "t", "a", "b").select("t", "a", "b").collect()
     assert [(r.a, r.b) for r in got] == [(ref, ours) for _, ref, ours in CASES]
+
+
+def test_answer_envelopes(spark):
+    import __spark_entry__ as E
+    from strata.plans.questions import answer_questions, questions_frame
+    qs = ["Which day of the week has the best attendance?", "What is going on?",
+          "How many sessions were scheduled last week?"]
+    out = answer_questions(spark, questions_frame(spark, qs), "/root/testdata/sf0.001", E.queries())
+    rows = {r.question: r for r in out.collect()}
+    assert len(rows) == 3 and all(r.status == "success" and r.error is None for r in rows.values())
+    assert rows[qs[0]].intent == "weekday" and rows[qs[0]].answer.startswith("Best day: ")
+    assert rows[qs[1]].intent == "snapshot" and "participants" in rows[qs[1]].answer
+    assert rows[qs[2]].answer.startswith("Last week: ")
+    assert set(out.columns) >= {"status", "question", "answer", "sql", "row_count", "execution_time", "timestamp",
+                                "error"}
