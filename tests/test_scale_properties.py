@@ -97,3 +97,17 @@ def test_questions_frame_accepts_reference_inputs(spark):
                 spark.createDataFrame([("Which day of the week has the best attendance?",)], "question string")):
         rows = route_questions(questions_frame(spark, obj)).collect()
         assert [r.intent for r in rows] == ["weekday"]
+
+
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
+             "FlatMapGroupsInPandas", "MapInPandas")
+
+
+def test_no_registered_plan_has_cross_joins_or_python(spark):
+    bad = {}
+    for key, build in E.queries().items():
+        text = plan_of(build(spark, SF))
+        hits = [f for f in FORBIDDEN if f in text]
+        if hits:
+            bad[key] = hits
+    assert not bad
