@@ -7,7 +7,6 @@ union and collapsed with one small aggregation, so there is no cross join.
 
 from __future__ import annotations
 
-import datetime as dt
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
