@@ -120,17 +120,18 @@ def kpis(scoped: Scoped, as_of) -> DataFrame:
 def kpis_rollup(tables: Tables, hierarchy: DataFrame, as_of) -> DataFrame:
     """KPIs for every region, city, community and academy, and the total.
 
-    Each fact is reduced once to a grain keyed by academy and the value its
-    distinct measure counts: sessions per (academy, date), attendance per
-    (academy, participant), skills per (academy, participant, skill); partial
-    aggregation runs map-side.  From the grains, (1) additive parts are summed
-    per academy, left joined onto the academy list (one row per key on both
-    sides) and rolled up over region > city > community > academy -- a rollup
-    of a table with one row per academy; (2) the grain keys, already distinct
-    per academy, feed one grouping-sets pass that counts distinct values per
-    level.  Spark reuses each grain's shuffle for both uses.  The grouping id
-    tells a subtotal from a NULL parent stored in the data; every academy of
-    the hierarchy gets a row (zeros when it has no facts).
+    One pass over each fact.  Each fact is reduced to a grain keyed by academy
+    and the value its distinct measure counts -- sessions per (academy, date),
+    attendance per (academy, participant), skills per (academy, skill) and
+    (academy, participant); participants per academy -- with its additive
+    parts (rows, flags, sums) alongside.  The grains are stacked as tagged rows
+    and aggregated once over the grouping sets region > city > community >
+    academy with the value in every set: that de-duplicates values per level
+    node while summing the parts.  A second, small aggregation per node then
+    counts the values (the distinct measure) and adds up the parts.  The
+    hierarchy itself is stacked in too, so every academy and every parent gets
+    a row (zeros when it has no facts); the grouping id tells a subtotal from a
+    NULL parent stored in the data.
     """
     h = hierarchy.select(*ROLLUP_KEYS)
     cohort_academy = tables["cohort"].select("cohort_id", "academy_id")
@@ -138,47 +139,55 @@ def kpis_rollup(tables: Tables, hierarchy: DataFrame, as_of) -> DataFrame:
     participants = participants_normalized(tables).join(cohort_academy, "cohort_id")
     attendance = attendance_normalized(tables).join(sessions.select("session_id", "academy_id"), "session_id")
     skills = tables["skill_achievement"].join(participants.select("participant_id", "academy_id"), "participant_id")
-
-    s_grain = sessions.groupBy("academy_id", "session_date").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("duration_minutes").alias("dur_sum"),
-        F.count("duration_minutes").alias("dur_n"))
-    a_grain = attendance.groupBy("academy_id", "participant_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("attended_normalized").alias("flags"))
-    k_grain = skills.groupBy("academy_id", "participant_id", "skill_id").agg(F.count(F.lit(1)).alias("n"))
-
-    additive = (h
-                .join(participants.groupBy("academy_id").agg(*_participant_parts(None, as_of)), "academy_id", "left")
-                .join(s_grain.groupBy("academy_id").agg(F.sum("n").alias("total_sessions"),
-                                                        F.sum("dur_sum").alias("dur_sum"),
-                                                        F.sum("dur_n").alias("dur_n")), "academy_id", "left")
-                .join(a_grain.groupBy("academy_id").agg(F.sum("n").alias("total_attendances"),
-                                                        F.sum("flags").alias("flags_sum")), "academy_id", "left")
-                .join(k_grain.groupBy("academy_id").agg(F.sum("n").alias("total_achievements")),
-                      "academy_id", "left"))
-    sums = ("total_participants", "active_participants", "days_sum", "days_n", "total_sessions", "dur_sum",
-            "dur_n", "total_attendances", "flags_sum", "total_achievements")
-    added = additive.rollup(*ROLLUP_KEYS).agg(F.grouping_id().alias("gid"), *[F.sum(c).alias(c) for c in sums])
-
-    def tagged(df: DataFrame, measure: str, value) -> DataFrame:
-        return df.select("academy_id", F.lit(measure).alias("measure"), value.cast("long").alias("value"))
-
-    values = (tagged(s_grain, "unique_session_days", F.datediff("session_date", F.lit("1970-01-01")))
-              .unionByName(tagged(a_grain, "participants_attended", F.col("participant_id")))
-              .unionByName(tagged(k_grain.select("academy_id", "skill_id").distinct(), "unique_skills_achieved",
-                                  F.col("skill_id")))
-              .unionByName(tagged(k_grain.select("academy_id", "participant_id").distinct(),
-                                  "participants_with_achievements", F.col("participant_id")))
-              .filter(F.col("value").isNotNull()))
-    keys = ["measure", *ROLLUP_KEYS]
-    sets = [keys[:n] for n in range(len(keys), 0, -1)]
-    # measure is in every set, so its grouping bit is 0 and gid matches ``added``
-    distinct = (values.join(h, "academy_id").groupingSets(sets, *keys)
-                .agg(F.grouping_id().alias("gid"), F.count_distinct("value").alias("n")))
-    pivoted = distinct.groupBy(*ROLLUP_KEYS, "gid").agg(
-        *[F.max(F.when(F.col("measure") == m, F.col("n"))).alias(m) for m in DISTINCT_MEASURES])
-
+    one = F.count(F.lit(1))
+
+    def tagged(df: DataFrame, measure: str, value, **parts) -> DataFrame:
+        cols = [F.col("academy_id"), F.lit(measure).alias("measure"), value.cast("long").alias("value")]
+        return df.select(*cols, *[c.cast("long").alias(k) for k, c in parts.items()])
+
+    grains = [
+        tagged(h, "academies", F.lit(None)),
+        tagged(participants.groupBy("academy_id").agg(*_participant_parts(None, as_of)), "participants",
+               F.lit(None), n=F.col("total_participants"), active=F.col("active_participants"),
+               days_sum=F.col("days_sum"), days_n=F.col("days_n")),
+        tagged(sessions.groupBy("academy_id", "session_date").agg(
+            one.alias("n"), F.sum("duration_minutes").alias("dur_sum"), F.count("duration_minutes").alias("dur_n")),
+            "sessions", F.datediff("session_date", F.lit("1970-01-01")),
+            n=F.col("n"), dur_sum=F.col("dur_sum"), dur_n=F.col("dur_n")),
+        tagged(attendance.groupBy("academy_id", "participant_id").agg(
+            one.alias("n"), F.count_if("attended_normalized").alias("flags")),
+            "attendance", F.col("participant_id"), n=F.col("n"), flags=F.col("flags")),
+        tagged(skills.groupBy("academy_id", "skill_id").agg(one.alias("n")), "skills", F.col("skill_id"),
+               n=F.col("n")),
+        tagged(skills.groupBy("academy_id", "participant_id").agg(one.alias("n")), "skill_participants",
+               F.col("participant_id")),
+    ]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), grains)
+    parts = [c for c in stacked.columns if c not in ("academy_id", "measure", "value")]
+
+    # value leads the grouping columns and is in every set, so its grouping
+    # bit is the most significant and always 0: gid is 0/1/3/7/15 as in rollup.
+    keys = ["value", "measure", *ROLLUP_KEYS]
+    sets = [keys[:n] for n in range(len(keys), 1, -1)]
+    per_value = (stacked.join(h, "academy_id").groupingSets(sets, *keys)
+                 .agg(F.grouping_id().alias("gid"), *[F.sum(c).alias(c) for c in parts]))
+    per_node = per_value.groupBy("measure", *ROLLUP_KEYS, "gid").agg(
+        F.count("value").alias("distinct_values"), *[F.sum(c).alias(c) for c in parts])
+
+    def pick(measure: str, col: str, name: str):
+        return F.max(F.when(F.col("measure") == measure, F.col(col))).alias(name)
+
+    wide = per_node.groupBy(*ROLLUP_KEYS, "gid").agg(
+        pick("participants", "n", "total_participants"), pick("participants", "active", "active_participants"),
+        pick("participants", "days_sum", "days_sum"), pick("participants", "days_n", "days_n"),
+        pick("sessions", "n", "total_sessions"), pick("sessions", "distinct_values", "unique_session_days"),
+        pick("sessions", "dur_sum", "dur_sum"), pick("sessions", "dur_n", "dur_n"),
+        pick("attendance", "n", "total_attendances"), pick("attendance", "flags", "flags_sum"),
+        pick("attendance", "distinct_values", "participants_attended"),
+        pick("skills", "n", "total_achievements"), pick("skills", "distinct_values", "unique_skills_achieved"),
+        pick("skill_participants", "distinct_values", "participants_with_achievements"))
     out_keys = ROLLUP_KEYS + ("gid",)
-    out = _finish(stack_parts([added, pivoted], out_keys), out_keys)
+    out = _finish(wide, out_keys)
     level = F.create_map(*[x for g, name in LEVEL_OF_GROUPING.items() for x in (F.lit(g), F.lit(name))])
     return out.select(level[F.col("gid")].alias("level"), *[c for c in out.columns])
 
