@@ -124,6 +124,34 @@ def drilldown_academy(spark, sf_dir):
     return M.kpis(Ctx(spark, sf_dir, SC.Scope(academy_id=ACADEMY)).scoped, AS_OF)
 
 
+CITY, COMMUNITY = 7, 22
+
+
+@register("drilldown_city", with_programme(KPI_SQL, where=f"city_id = {CITY}"))
+def drilldown_city(spark, sf_dir):
+    return M.kpis(Ctx(spark, sf_dir, SC.Scope(city_id=CITY)).scoped, AS_OF)
+
+
+@register("drilldown_community", with_programme(KPI_SQL, where=f"region_id = 2 AND community_id = {COMMUNITY}"))
+def drilldown_community(spark, sf_dir):
+    """Two filters combined (region and community), as the cascade allows."""
+    return M.kpis(Ctx(spark, sf_dir, SC.Scope(region_id=2, community_id=COMMUNITY)).scoped, AS_OF)
+
+
+@register("weekly_trend_region", with_programme("""
+SELECT CAST(date_trunc('week', s.session_date) AS DATE) AS week,
+       count(DISTINCT a.participant_id) AS unique_attendees,
+       count(a.participant_id) AS total_attendances,
+       round(count(*) FILTER (WHERE a.attended_normalized) * 100e0 / count(*), 6) AS attendance_rate
+FROM p_attendance_n a JOIN s_session s ON a.session_id = s.session_id
+WHERE CAST(s.session_date AS TIMESTAMP) >= TIMESTAMP '2000-08-01 00:00:00'
+GROUP BY 1""", where=f"region_id = {REGION}"))
+def weekly_trend_region(spark, sf_dir):
+    """Region 0 over the longest window the dashboard offers (365 days)."""
+    c = Ctx(spark, sf_dir, SC.Scope(region_id=REGION))
+    return T.attendance_trends(c.tables, c.scoped, AS_OF, 365)
+
+
 _ROLLUP_SQL = """,
 r_p AS (
   SELECT h.region_id, h.city_id, h.community_id, h.academy_id,
