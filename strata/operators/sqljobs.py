@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+# Statements that only read: anything else (DDL, DML, SET, CACHE, ...) would run
+# eagerly inside spark.sql(), so it is refused before Spark sees it.
+_QUERY_START = re.compile(r"^(SELECT|WITH|VALUES|TABLE|FROM)\b", re.IGNORECASE)
+_LEADING_COMMENTS = re.compile(r"^(\s+|--[^\n]*(\n|$)|/\*.*?\*/)+", re.DOTALL)
+
 ERROR_SCHEMA = T.StructType([T.StructField("error", T.StringType()), T.StructField("sql", T.StringType())])
 
 
@@ -19,14 +25,20 @@ class Guarded:
 
 def guarded_sql(spark: SparkSession, text: str, max_rows: int = 100, eager: bool = False) -> Guarded:
     """``spark.sql(text).limit(max_rows)``; a parse or analysis failure becomes
-    a one-row ``(error, sql)`` table.
+    a one-row ``(error, sql)`` table.  Only one read-only query statement is
+    run (checked on its first keyword before Spark sees it); a ';' inside the
+    text is refused rather than split.
 
     The cap is always applied (a text test for 'LIMIT' is fooled by names like
     ``credit_limit``).  Errors that only show at run time (ANSI casts, division
     by zero) surface on use; ``eager=True`` runs the capped result once to
     catch them here.
     """
-    statement = text.strip().rstrip(";")
+    statement = text.strip().rstrip(";").strip()
+    body = _LEADING_COMMENTS.sub("", statement)
+    if not _QUERY_START.match(body) or ";" in body:
+        msg = "only a single query statement (SELECT / WITH ...) is accepted"
+        return Guarded(spark.createDataFrame([(msg, statement)], ERROR_SCHEMA), False, msg)
     try:
         df = spark.sql(statement).limit(max_rows)
         if eager:

@@ -127,8 +127,10 @@ def reload(spark: SparkSession | None = None) -> None:
     (the dashboard's "reload" button)."""
     for key in list(_MEMO):
         if spark is None or _MEMO[key][0] is spark:
-            for item in _MEMO.pop(key)[2].values():
+            session, _, derived = _MEMO.pop(key)
+            for item in derived.values():
                 item.unpersist()
+            session.catalog.refreshByPath(key[1])  # drop cached file listings
 
 
 def memo_slot(spark: SparkSession, sf_dir: str) -> dict:

@@ -84,3 +84,17 @@ def test_answer_envelopes(spark):
     assert rows[qs[2]].answer.startswith("Last week: ")
     assert set(out.columns) >= {"status", "question", "answer", "sql", "row_count", "execution_time", "timestamp",
                                 "error"}
+
+
+def test_guarded_sql_refuses_statements_that_write(spark):
+    spark.range(3).write.mode("overwrite").saveAsTable("guard_keep")
+    try:
+        for text in ("DROP TABLE guard_keep", "  -- note\n insert into guard_keep values (9)",
+                     "SELECT 1; DROP TABLE guard_keep", "SET spark.sql.shuffle.partitions=1"):
+            g = guarded_sql(spark, text)
+            assert not g.ok and g.df.first().error.startswith("only a single query")
+        assert spark.table("guard_keep").count() == 3
+        ok = guarded_sql(spark, "/* c */ WITH t AS (SELECT * FROM guard_keep) SELECT count(*) AS n FROM t")
+        assert ok.ok and ok.df.first().n == 3
+    finally:
+        spark.sql("DROP TABLE IF EXISTS guard_keep")
