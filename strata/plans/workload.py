@@ -290,12 +290,14 @@ SELECT weekday, ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturd
 FROM d"""))
 def k12_weekday(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    per_day = (session_attendance(c).groupBy(F.weekday("session_date").alias("weekday"))
+    per_day = (session_attendance(c).groupBy(F.weekday("session_date").cast("long").alias("weekday"))
                .agg(F.sum("rows").alias("attendance_rows"), F.sum("flags").alias("flags")))
     names = F.array(*[F.lit(n) for n in WEEKDAYS])
     out = per_day.select("weekday", F.element_at(names, F.col("weekday") + 1).alias("day_name"), "attendance_rows",
                          _pct("flags", "attendance_rows").alias("attendance_rate"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("attendance_rate"), "weekday")))
+    # the window runs over the 7-row per-weekday aggregate
+    rank = F.row_number().over(Window.orderBy(F.desc("attendance_rate"), "weekday")).cast("long")
+    return out.withColumn("rank", rank)
 
 
 @register("k13_enrollment_growth", with_programme("""
