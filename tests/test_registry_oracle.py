@@ -43,9 +43,16 @@ def test_oracle_keys_are_queries():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
+DUCK_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+             "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("key", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, key):
     sdf = E.queries()[key](spark, SF)
     res = con.sql(E.oracle_sql()[key])
     assert sorted(sdf.columns) == sorted(res.columns)
+    spark_types = {f.name: DUCK_TYPE.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in sdf.schema.fields}
+    assert spark_types == dict(zip(res.columns, [str(t) for t in res.types]))
     assert canon(sdf.columns, [tuple(r) for r in sdf.collect()]) == canon(res.columns, res.fetchall())
