@@ -15,9 +15,6 @@ from strata.functions.dates import as_datetime
 from strata.operators.scope import Scoped, attendance_normalized, participants_normalized
 from strata.sources.tables import Tables
 
-COUNT_COLUMNS = ("total_participants", "active_participants", "total_sessions", "unique_session_days",
-                 "total_attendances", "participants_attended", "total_achievements",
-                 "unique_skills_achieved", "participants_with_achievements")
 KPI_COLUMNS = ("total_participants", "active_participants", "avg_days_enrolled",
                "total_sessions", "unique_session_days", "avg_session_duration",
                "total_attendances", "attendance_rate", "participants_attended",
@@ -37,13 +34,31 @@ def _days_enrolled(as_of) -> Column:
     return F.datediff(F.lit(as_datetime(as_of).date()), F.col("enrollment_date"))
 
 
-def _participant_parts(df: DataFrame, as_of) -> list[Column]:
+def _participant_parts(as_of) -> list[Column]:
     return [F.count(F.lit(1)).alias("total_participants"),
             F.count_if(F.col("is_active_normalized")).alias("active_participants"),
             F.sum(_days_enrolled(as_of)).alias("days_sum"),
             F.count(_days_enrolled(as_of)).alias("days_n")]
 
 
+def _session_parts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("total_sessions"),
+            F.count_distinct("session_date").alias("unique_session_days"),
+            F.sum("duration_minutes").alias("dur_sum"), F.count("duration_minutes").alias("dur_n")]
+
+
+def _attendance_parts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("total_attendances"),
+            F.count_if(F.col("attended_normalized")).alias("flags_sum"),
+            F.count_distinct("participant_id").alias("participants_attended")]
+
+
+def _skill_parts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("total_achievements"),
+            F.count_distinct("skill_id").alias("unique_skills_achieved"),
+            F.count_distinct("participant_id").alias("participants_with_achievements")]
+
+
 def _finish(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Counts default to 0, means are sum/n with the empty-fact rule, doubles
     rounded to 6 places."""
@@ -73,48 +88,28 @@ def stack_parts(parts: list[DataFrame], keys: tuple[str, ...] = ()) -> DataFrame
 
 
 def participant_kpis(scoped: Scoped, as_of) -> DataFrame:
-    return _finish(scoped.participants.agg(*_participant_parts(scoped.participants, as_of)))\
-        .select("total_participants", "active_participants", "avg_days_enrolled")
+    return _finish(scoped.participants.agg(*_participant_parts(as_of)))
 
 
 def session_kpis(scoped: Scoped) -> DataFrame:
-    s = scoped.sessions
-    agg = s.agg(F.count(F.lit(1)).alias("total_sessions"),
-                F.count_distinct("session_date").alias("unique_session_days"),
-                F.sum("duration_minutes").alias("dur_sum"), F.count("duration_minutes").alias("dur_n"))
-    return _finish(agg).select("total_sessions", "unique_session_days", "avg_session_duration")
+    return _finish(scoped.sessions.agg(*_session_parts()))
 
 
 def attendance_kpis(scoped: Scoped) -> DataFrame:
-    a = scoped.attendance
-    agg = a.agg(F.count(F.lit(1)).alias("total_attendances"),
-                F.count_if(F.col("attended_normalized")).alias("flags_sum"),
-                F.count_distinct("participant_id").alias("participants_attended"))
-    return _finish(agg).select("total_attendances", "attendance_rate", "participants_attended")
+    return _finish(scoped.attendance.agg(*_attendance_parts()))
 
 
 def skill_kpis(scoped: Scoped) -> DataFrame:
-    k = scoped.skills
-    agg = k.agg(F.count(F.lit(1)).alias("total_achievements"),
-                F.count_distinct("skill_id").alias("unique_skills_achieved"),
-                F.count_distinct("participant_id").alias("participants_with_achievements"))
-    return _finish(agg).select("total_achievements", "unique_skills_achieved", "participants_with_achievements")
+    return _finish(scoped.skills.agg(*_skill_parts()))
 
 
 def kpis(scoped: Scoped, as_of) -> DataFrame:
-    """All 12 KPIs of one scope as one row."""
-    p = scoped.participants.agg(*_participant_parts(scoped.participants, as_of))
-    s = scoped.sessions.agg(F.count(F.lit(1)).alias("total_sessions"),
-                            F.count_distinct("session_date").alias("unique_session_days"),
-                            F.sum("duration_minutes").alias("dur_sum"),
-                            F.count("duration_minutes").alias("dur_n"))
-    a = scoped.attendance.agg(F.count(F.lit(1)).alias("total_attendances"),
-                              F.count_if(F.col("attended_normalized")).alias("flags_sum"),
-                              F.count_distinct("participant_id").alias("participants_attended"))
-    k = scoped.skills.agg(F.count(F.lit(1)).alias("total_achievements"),
-                          F.count_distinct("skill_id").alias("unique_skills_achieved"),
-                          F.count_distinct("participant_id").alias("participants_with_achievements"))
-    return _finish(stack_parts([p, s, a, k]))
+    """All 12 KPIs of one scope as one row: four separate aggregations (one
+    per fact), stacked and collapsed."""
+    return _finish(stack_parts([scoped.participants.agg(*_participant_parts(as_of)),
+                                scoped.sessions.agg(*_session_parts()),
+                                scoped.attendance.agg(*_attendance_parts()),
+                                scoped.skills.agg(*_skill_parts())]))
 
 
 def kpis_rollup(tables: Tables, hierarchy: DataFrame, as_of) -> DataFrame:
@@ -147,7 +142,7 @@ def kpis_rollup(tables: Tables, hierarchy: DataFrame, as_of) -> DataFrame:
 
     grains = [
         tagged(h, "academies", F.lit(None)),
-        tagged(participants.groupBy("academy_id").agg(*_participant_parts(None, as_of)), "participants",
+        tagged(participants.groupBy("academy_id").agg(*_participant_parts(as_of)), "participants",
                F.lit(None), n=F.col("total_participants"), active=F.col("active_participants"),
                days_sum=F.col("days_sum"), days_n=F.col("days_n")),
         tagged(sessions.groupBy("academy_id", "session_date").agg(
