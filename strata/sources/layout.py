@@ -41,3 +41,27 @@ def write_program_tables(tables: Tables, root: str, mode: str = "overwrite", fil
             out.write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path)
         else:
             df.write.mode(mode).parquet(path)
+
+
+def save_program_tables(spark, tables: Tables, database: str, root: str, buckets: int = 64,
+                        mode: str = "overwrite") -> None:
+    """Catalog tables for a recurring dashboard: session and attendance bucketed
+    by ``session_id`` into the same number of buckets (and attendance also
+    partitioned by session month), so the largest join reads co-located
+    buckets without a shuffle; other tables plain.  Data sits at
+    ``root/<name>`` (a shared folder), registered as ``database.<name>``."""
+    from strata.sources.catalog import ensure_schema
+
+    ensure_schema(spark, database)
+    month = F.trunc("session_date", "month").alias(PARTITION_COLUMN)
+    for name, df in tables.frames.items():
+        writer_df = df
+        if name == "session":
+            writer_df = df.select("*", month)
+        elif name == "attendance":
+            months = tables["session"].select("session_id", month)
+            writer_df = df.join(months, "session_id", "left").select(*df.columns, PARTITION_COLUMN)
+        writer = writer_df.write.mode(mode).format("parquet").option("path", os.path.join(root, name))
+        if name in PARTITIONED:
+            writer = writer.partitionBy(PARTITION_COLUMN).bucketBy(buckets, "session_id").sortBy("session_id")
+        writer.saveAsTable(f"{database}.{name}")

@@ -128,3 +128,24 @@ def test_cluster_conf_keeps_cluster_settings(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     apply_conf(spark, {"spark.sql.shuffle.partitions": "32000"})  # already set: kept
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
+    from strata.sources.layout import save_program_tables
+    derived = program_tables(spark, "/root/testdata/sf0.001")
+    save_program_tables(spark, derived, "strata_layout_test", str(tmp_path / "tables"), buckets=8)
+    try:
+        t = load_tables(spark, "strata_layout_test")
+        assert not t.missing - {"sport_type"}
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            joined = t["attendance"].join(t["session"], "session_id")
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+            assert joined.count() == derived["attendance"].join(derived["session"], "session_id").count()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    finally:
+        for name in derived.frames:
+            spark.sql(f"DROP TABLE IF EXISTS strata_layout_test.{name}")
