@@ -13,6 +13,10 @@ from pyspark.sql import Column, functions as F
 SQL_FENCE = r"(?is)```sql\s*\n(.*?)\n```"
 PLAIN_FENCE = r"(?s)```\s*\n(.*?)\n```"
 SELECT_STATEMENT = r"(?is)(SELECT\s+.*?)(?:;|\n\n|$)"
+# The shorter ladder's patterns: an exact ```sql fence line, then SELECT up to
+# ';' or the end only (the ';' is inside the group and stripped after).
+SQL_FENCE_EXACT = r"(?is)```sql\n(.*?)\n```"
+SELECT_TO_SEMICOLON = r"(?is)(SELECT\s+.*?(?:;|$))"
 # Ours: a statement may also open with WITH.
 STATEMENT = r"(?is)((?:WITH|SELECT)\s+.*?)(?:;|\n\n|$)"
 
@@ -37,6 +41,15 @@ def extract_sql_reference(text: Column) -> Column:
             .otherwise(strip_ws(text)))
 
 
+def extract_sql_short(text: Column) -> Column:
+    """The shorter ladder: ```sql fence -> ``SELECT ...`` up to ';' or the end
+    (a blank line does not stop it; a plain fence is not tried) -> the whole
+    text stripped."""
+    return (F.when(text.rlike(SQL_FENCE_EXACT), _group(text, SQL_FENCE_EXACT))
+            .when(text.rlike(SELECT_TO_SEMICOLON), F.regexp_replace(_group(text, SELECT_TO_SEMICOLON), r";+$", ""))
+            .otherwise(strip_ws(text)))
+
+
 def extract_sql(text: Column) -> Column:
     """Same ladder, but ``WITH ... SELECT`` is kept whole (not cut at its inner
     SELECT) and a closing fence left at the end is removed."""

@@ -96,27 +96,30 @@ def answer_text(intent: str, n: int, r: dict | None) -> str:
     return texts[intent]()
 
 
-def _intent_row(spark: SparkSession, sf_dir: str, queries: dict, intent: str, key: str) -> tuple:
-    """At most ``PREVIEW_ROWS`` rows come back (a limit; a top-k for ordered
+def _intent_row(spark: SparkSession, sf_dir: str, queries: dict, intent: str, key: str,
+                preview_rows: int = PREVIEW_ROWS) -> tuple:
+    """At most ``preview_rows`` rows come back (a limit; a top-k for ordered
     answers); the full count runs only when the preview is full."""
     res = queries[key](spark, sf_dir)
-    preview = [r.asDict() for r in res.limit(PREVIEW_ROWS).collect()]
-    n = len(preview) if len(preview) < PREVIEW_ROWS else res.count()
+    preview = [r.asDict() for r in res.limit(preview_rows).collect()]
+    n = len(preview) if len(preview) < preview_rows else res.count()
     answer = answer_text(intent, n, preview[0] if preview else None)
     return (intent, f"query:{key}", answer, n, json.dumps(preview, default=str))
 
 
-def intent_answers(spark: SparkSession, sf_dir: str, queries: dict, parallelism: int = 4) -> DataFrame:
+def intent_answers(spark: SparkSession, sf_dir: str, queries: dict, parallelism: int = 4,
+                   preview_rows: int = PREVIEW_ROWS) -> DataFrame:
     """One row per intent: its answer, row count and a JSON preview.
 
     Each intent's query runs once (plus a count when its answer has more than
-    ``PREVIEW_ROWS`` rows), whatever the number of questions.  The intents are
+    ``preview_rows`` rows: the reference shows 15, 20 or 10), whatever the
+    number of questions.  The intents are
     independent jobs, submitted from a few threads so the scheduler overlaps
     them.  Only a bounded preview per intent reaches the driver; the 13 rows
     then form the answer table.
     """
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        futures = [pool.submit(_intent_row, spark, sf_dir, queries, intent, key)
+        futures = [pool.submit(_intent_row, spark, sf_dir, queries, intent, key, preview_rows)
                    for intent, key in INTENT_QUERY.items()]
         rows = [f.result() for f in futures]
     return spark.createDataFrame(rows, ANSWER_SCHEMA)

@@ -39,17 +39,20 @@ def describe_tables(spark: SparkSession, names: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def schema_context(described: DataFrame, max_tables: int | None = 15, max_columns: int | None = 12) -> DataFrame:
+def schema_context(described: DataFrame, max_tables: int | None = 15, max_columns: int | None = 12,
+                   suffix: bool = True) -> DataFrame:
     """One line per table, ``table(col:type, ...)``, at most ``max_columns``
-    columns then `` ... (N total)``; the first ``max_tables`` tables by name.
-    Per-table lists are bounded by the schema width, not by data."""
+    columns then `` ... (N total)`` (unless ``suffix`` is off); the first
+    ``max_tables`` tables by name.  The reference's variants are 15 x 12 with
+    the suffix, no caps, 20 x 15 without it, and 10 x 10 with it.  Per-table
+    lists are bounded by the schema width, not by data."""
     entries = F.sort_array(F.collect_list(F.struct("position", F.concat_ws(":", "column_name", "data_type")
                                                                   .alias("text"))))
     per_table = described.groupBy("table_name").agg(
         entries.alias("cols"), F.count("column_name").alias("n"), F.max("error").alias("error"))
     shown = F.col("cols.text") if max_columns is None else F.slice(F.col("cols.text"), 1, max_columns)
     text = F.array_join(shown, ", ")
-    if max_columns is not None:
+    if max_columns is not None and suffix:
         text = F.when(F.col("n") > max_columns,
                       F.concat(text, F.lit(" ... ("), F.col("n").cast("string"), F.lit(" total)"))).otherwise(text)
     line = F.when(F.col("error").isNotNull(), F.concat(F.col("table_name"), F.lit("(error: "), F.col("error"), F.lit(")")))\

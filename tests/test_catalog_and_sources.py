@@ -149,3 +149,10 @@ def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
     finally:
         for name in derived.frames:
             spark.sql(f"DROP TABLE IF EXISTS strata_layout_test.{name}")
+
+
+def test_schema_context_without_suffix(spark):
+    spark.range(1).selectExpr(*[f"id AS c{i}" for i in range(16)]).createOrReplaceTempView("wide_t2")
+    line = CAT.schema_context(CAT.describe_tables(spark, ["wide_t2"]), max_tables=20, max_columns=15,
+                              suffix=False).first().context_line
+    assert line.count(":bigint") == 15 and "total" not in line

@@ -98,3 +98,16 @@ def test_guarded_sql_refuses_statements_that_write(spark):
         assert ok.ok and ok.df.first().n == 3
     finally:
         spark.sql("DROP TABLE IF EXISTS guard_keep")
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("```sql\nSELECT 1\n```", "SELECT 1"),
+    ("```sql  \nSELECT 1\n```", "SELECT 1\n```"),        # no whitespace tolerated after the fence word
+    ("Use SELECT c FROM t; thanks", "SELECT c FROM t"),
+    ("Use select d from t\n\nmore", "select d from t\n\nmore"),  # a blank line does not stop it
+    ("```\nSELECT b FROM t\n```", "SELECT b FROM t\n```"),  # no plain-fence step
+])
+def test_extract_sql_short(spark, text, expected):
+    from strata.functions.sqltext import extract_sql_short
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(extract_sql_short(F.col("t")).alias("s")).first().s == expected
