@@ -23,9 +23,26 @@ class Guarded:
     error: str | None = None
 
 
-def guarded_sql(spark: SparkSession, text: str, max_rows: int = 100, eager: bool = False) -> Guarded:
+def _error_frame(spark: SparkSession, msg: str, statement: str, error_columns: tuple[str, ...]) -> DataFrame:
+    values = {"error": msg, "sql": statement, "query": statement}
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in error_columns])
+    return spark.createDataFrame([tuple(values[c] for c in error_columns)], schema)
+
+
+def run_sql(spark: SparkSession, text: str) -> DataFrame:
+    """Plain SQL scan: the statement's result, or an empty table (no columns)
+    when it cannot be parsed or resolved."""
+    try:
+        return spark.sql(text)
+    except (ParseException, AnalysisException):
+        return spark.createDataFrame([], T.StructType([]))
+
+
+def guarded_sql(spark: SparkSession, text: str, max_rows: int = 100, eager: bool = False,
+                error_columns: tuple[str, ...] = ("error", "sql")) -> Guarded:
     """``spark.sql(text).limit(max_rows)``; a parse or analysis failure becomes
-    a one-row ``(error, sql)`` table.  Only one read-only query statement is
+    a one-row ``(error, sql)`` table (or ``(error, query)`` / ``(error)``, the
+    reference's other shapes, via ``error_columns``).  Only one read-only query statement is
     run (checked on its first keyword before Spark sees it); a ';' inside the
     text is refused rather than split.
 
@@ -38,7 +55,7 @@ def guarded_sql(spark: SparkSession, text: str, max_rows: int = 100, eager: bool
     body = _LEADING_COMMENTS.sub("", statement)
     if not _QUERY_START.match(body) or ";" in body:
         msg = "only a single query statement (SELECT / WITH ...) is accepted"
-        return Guarded(spark.createDataFrame([(msg, statement)], ERROR_SCHEMA), False, msg)
+        return Guarded(_error_frame(spark, msg, statement, error_columns), False, msg)
     try:
         df = spark.sql(statement).limit(max_rows)
         if eager:
@@ -48,4 +65,4 @@ def guarded_sql(spark: SparkSession, text: str, max_rows: int = 100, eager: bool
         msg = str(exc).splitlines()[0]
     except Exception as exc:  # runtime failure under eager=True
         msg = f"{type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}"
-    return Guarded(spark.createDataFrame([(msg, statement)], ERROR_SCHEMA), False, msg)
+    return Guarded(_error_frame(spark, msg, statement, error_columns), False, msg)

@@ -15,6 +15,17 @@ def list_tables(spark: SparkSession, namespace: str | None = None) -> DataFrame:
     return spark.sql(f"SHOW TABLES IN {namespace}" if namespace else "SHOW TABLES")
 
 
+def list_tables_preview(tables: DataFrame, n: int = 15) -> DataFrame:
+    """One line: the first ``n`` table names (sorted), then "... and N more".
+    The list is catalog metadata, bounded by the number of tables."""
+    names = F.sort_array(F.collect_list("tableName"))
+    total = F.size(names)
+    head = F.array_join(F.slice(names, 1, n), ", ")
+    text = F.when(total > n, F.concat(head, F.lit(" ... and "), (total - n).cast("string"), F.lit(" more")))\
+        .otherwise(head)
+    return tables.agg(total.alias("table_count"), text.alias("preview"))
+
+
 def describe_tables(spark: SparkSession, names: list[str]) -> DataFrame:
     """One row per column of each table: ``table_name, position, column_name,
     data_type``.  ``DESCRIBE TABLE`` per table (a catalog command), minus the

@@ -156,3 +156,12 @@ def test_schema_context_without_suffix(spark):
     line = CAT.schema_context(CAT.describe_tables(spark, ["wide_t2"]), max_tables=20, max_columns=15,
                               suffix=False).first().context_line
     assert line.count(":bigint") == 15 and "total" not in line
+
+
+def test_list_tables_preview(spark):
+    for i in range(17):
+        spark.range(1).createOrReplaceTempView(f"prev_t{i:02d}")
+    listed = CAT.list_tables(spark).filter("tableName LIKE 'prev_t%'")
+    row = CAT.list_tables_preview(listed, 15).first()
+    assert row.table_count == 17 and row.preview.endswith(" ... and 2 more")
+    assert row.preview.startswith("prev_t00, prev_t01")

@@ -111,3 +111,12 @@ def test_extract_sql_short(spark, text, expected):
     from strata.functions.sqltext import extract_sql_short
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(extract_sql_short(F.col("t")).alias("s")).first().s == expected
+
+
+def test_guarded_sql_error_shapes_and_run_sql(spark):
+    from strata.operators.sqljobs import run_sql
+    for cols in (("error", "sql"), ("error", "query"), ("error",)):
+        g = guarded_sql(spark, "SELECT nope FROM nowhere_t", error_columns=cols)
+        assert not g.ok and tuple(g.df.columns) == cols
+    assert run_sql(spark, "SELECT nope FROM nowhere_t").columns == []
+    assert run_sql(spark, "SELECT 1 AS one").first().one == 1
