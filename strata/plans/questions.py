@@ -125,17 +125,26 @@ def intent_answers(spark: SparkSession, sf_dir: str, queries: dict, parallelism:
     return spark.createDataFrame(rows, ANSWER_SCHEMA)
 
 
-def answer_questions(spark: SparkSession, questions: DataFrame, sf_dir: str, queries: dict) -> DataFrame:
+def answer_questions(spark: SparkSession, questions: DataFrame, sf_dir: str, queries: dict,
+                     envelope: str = "standard") -> DataFrame:
     """Envelope per question: status, question, answer, sql, row_count,
-    execution_time, timestamp, error.  The per-intent answer table has one row
-    per intent (a fixed, small set), so it is broadcast to the questions."""
+    execution_time, timestamp, error.  ``envelope="extended"`` gives the
+    reference's other shape: result_count, execution_time_seconds, model,
+    sql_query and raw_results instead.  The per-intent answer table has one
+    row per intent (a fixed, small set), so it is broadcast to the questions."""
     answers = intent_answers(spark, sf_dir, queries)
     routed = route_questions(questions)
     out = routed.join(F.broadcast(answers), "intent", "left")
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
+    if envelope == "extended":
+        return out.select(
+            "question_id", F.lit("success").alias("status"), "question", "intent", "answer",
+            F.col("row_count").alias("result_count"), F.lit(None).cast("double").alias("execution_time_seconds"),
+            F.lit(None).cast("string").alias("model"), F.col("sql").alias("sql_query"),
+            F.col("result_json").alias("raw_results"), stamp, F.lit(None).cast("string").alias("error"))
     return out.select(
         "question_id", F.lit("success").alias("status"), "question", "intent", "answer", "sql", "row_count",
-        F.lit(None).cast("double").alias("execution_time"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+        F.lit(None).cast("double").alias("execution_time"), stamp,
         F.lit(None).cast("string").alias("error"), "result_json")
 
 

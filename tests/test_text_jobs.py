@@ -84,6 +84,10 @@ def test_answer_envelopes(spark):
     assert rows[qs[2]].answer.startswith("Last week: ")
     assert set(out.columns) >= {"status", "question", "answer", "sql", "row_count", "execution_time", "timestamp",
                                 "error"}
+    ext = answer_questions(spark, questions_frame(spark, qs[:1]), "/root/testdata/sf0.001", E.queries(),
+                           envelope="extended")
+    assert {"result_count", "execution_time_seconds", "model", "sql_query", "raw_results"} <= set(ext.columns)
+    assert ext.first().result_count == 7
 
 
 def test_guarded_sql_refuses_statements_that_write(spark):
