@@ -78,17 +78,23 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     Read from the session; a local one is created only when the setting is unset
     (tests, local runs).  Never a machine-local folder on a cluster, since the
-    cluster sets the option.
+    cluster sets the option.  Works without a SparkContext (Spark Connect).
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no context, only the conf
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and sc is not None:
+        configured = sc.getConf().get("spark.checkpoint.dir")
     if not configured:
         configured = tempfile.mkdtemp(prefix="strata-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    if sc is not None:
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir() or configured
+    return configured
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
