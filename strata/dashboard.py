@@ -77,6 +77,25 @@ class Dashboard:
         """KPIs for every region, city, community and academy at once."""
         return M.kpis_rollup(self.tables, self.hierarchy, self.as_of)
 
+    def ask(self, question: str, scope: SC.Scope | None = None) -> dict:
+        """Answer one plain-language question within ``scope`` (the chat box):
+        route it, run the intent's query over the scoped tables, and phrase the
+        answer from at most ``PREVIEW_ROWS`` rows and the row count."""
+        from pyspark.sql import functions as F
+
+        from strata.functions.routing import route
+        from strata.plans.questions import PREVIEW_ROWS, answer_text
+        from strata.plans.registry import Ctx
+        from strata.plans.workload import INTENT_FUNCTIONS
+
+        intent = (self.spark.createDataFrame([(question,)], "question string")
+                  .select(route(F.col("question")).alias("intent")).first().intent)
+        res = INTENT_FUNCTIONS[intent](Ctx.of(self.spark, self.tables, self.hierarchy, scope), self.as_of)
+        preview = [r.asDict() for r in res.limit(PREVIEW_ROWS).collect()]
+        n = len(preview) if len(preview) < PREVIEW_ROWS else res.count()
+        return {"question": question, "intent": intent, "row_count": n, "rows": preview,
+                "answer": answer_text(intent, n, preview[0] if preview else None)}
+
     def reload(self) -> None:
         """Drop cached data so the next call reads the sources again."""
         self.hierarchy.unpersist()

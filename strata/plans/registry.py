@@ -56,6 +56,15 @@ class Ctx:
         self.scope = scope or SC.Scope()
         self.scoped = SC.apply_scope(self.tables, self.hierarchy, self.scope)
 
+    @classmethod
+    def of(cls, spark: SparkSession, tables: Tables, hierarchy: DataFrame, scope: SC.Scope | None = None) -> "Ctx":
+        """A context over tables that are already loaded (e.g. a dashboard's)."""
+        c = cls.__new__(cls)
+        c.spark, c.sf_dir, c.tables, c.hierarchy = spark, None, tables, hierarchy
+        c.scope = scope or SC.Scope()
+        c.scoped = SC.apply_scope(tables, hierarchy, c.scope)
+        return c
+
 
 # ---------------------------------------------------------------- dashboard core
 

@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strata.functions.dates import month_index, on_or_after, wall_clock
-from strata.operators.metrics import stack_parts
+from strata.operators.metrics import kpis, stack_parts
 from strata.operators.scope import attendance_normalized
 from strata.plans.oracle_base import with_programme
 from strata.plans.registry import AS_OF, SKILLS_AS_OF, Ctx, register
@@ -53,12 +53,20 @@ ORDER BY attendance_rate {dir}, academy_code LIMIT 1"""
 
 @register("k01_attendance_highest", with_programme(_ACADEMY_RATE_SQL.format(dir="DESC")))
 def k01_attendance_highest(spark, sf_dir):
-    return academy_rates(Ctx(spark, sf_dir)).orderBy(F.desc("attendance_rate"), "academy_code").limit(1)
+    return k01_in(Ctx(spark, sf_dir))
+
+
+def k01_in(c: Ctx, as_of=AS_OF) -> DataFrame:
+    return academy_rates(c).orderBy(F.desc("attendance_rate"), "academy_code").limit(1)
 
 
 @register("k02_attendance_lowest", with_programme(_ACADEMY_RATE_SQL.format(dir="ASC")))
 def k02_attendance_lowest(spark, sf_dir):
-    return academy_rates(Ctx(spark, sf_dir)).orderBy(F.asc("attendance_rate"), "academy_code").limit(1)
+    return k02_in(Ctx(spark, sf_dir))
+
+
+def k02_in(c: Ctx, as_of=AS_OF) -> DataFrame:
+    return academy_rates(c).orderBy(F.asc("attendance_rate"), "academy_code").limit(1)
 
 
 def inactive_participants(c: Ctx, as_of, days: int = 30) -> DataFrame:
@@ -77,7 +85,11 @@ SELECT participant_id, cohort_id, enrollment_date, is_active FROM s_participant
 WHERE NOT EXISTS (SELECT 1 FROM f_attendance f WHERE f.participant_id = p.participant_id AND f.attended_normalized
                   AND CAST(f.session_date AS TIMESTAMP) >= TIMESTAMP '2001-07-02 00:00:00')"""))
 def k03_inactive_participants(spark, sf_dir):
-    return inactive_participants(Ctx(spark, sf_dir), AS_OF, 30)
+    return k03_in(Ctx(spark, sf_dir))
+
+
+def k03_in(c: Ctx, as_of=AS_OF) -> DataFrame:
+    return inactive_participants(c, as_of, 30)
 
 
 @register("k04_duration_by_region", with_programme("""
@@ -92,7 +104,10 @@ SELECT h.region_id, h.region_name, count(*) AS sessions,
 FROM s_session s JOIN s_cohort c ON s.cohort_id = c.cohort_id JOIN s_hierarchy h ON c.academy_id = h.academy_id
 GROUP BY h.region_id, h.region_name"""))
 def k04_duration_by_region(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
+    return k04_in(Ctx(spark, sf_dir))
+
+
+def k04_in(c: Ctx, as_of=AS_OF) -> DataFrame:
     d = F.col("duration_minutes")
     per_cohort = c.scoped.sessions.groupBy("cohort_id").agg(
         F.count(F.lit(1)).alias("sessions"), F.sum(d).alias("dur_sum"), F.count(d).alias("dur_n"),
@@ -114,7 +129,10 @@ def k04_duration_by_region(spark, sf_dir):
 SELECT participant_id, count(DISTINCT skill_id) AS skills_achieved, count(*) AS achievements
 FROM s_skill GROUP BY participant_id ORDER BY skills_achieved DESC, participant_id LIMIT 5"""))
 def k05_top_skilled(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
+    return k05_in(Ctx(spark, sf_dir))
+
+
+def k05_in(c: Ctx, as_of=AS_OF) -> DataFrame:
     return (c.scoped.skills.groupBy("participant_id")
             .agg(F.count_distinct("skill_id").alias("skills_achieved"), F.count(F.lit(1)).alias("achievements"))
             .orderBy(F.desc("skills_achieved"), "participant_id").limit(5))
@@ -128,7 +146,10 @@ FROM s_participant p LEFT JOIN per_p pp ON p.participant_id = pp.participant_id
 JOIN s_cohort c ON p.cohort_id = c.cohort_id JOIN s_hierarchy h ON c.academy_id = h.academy_id
 GROUP BY c.academy_id, h.academy_code ORDER BY skill_rate, h.academy_code LIMIT 5"""))
 def k06_lowest_skill_rate(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
+    return k06_in(Ctx(spark, sf_dir))
+
+
+def k06_in(c: Ctx, as_of=AS_OF) -> DataFrame:
     per_participant = c.scoped.skills.groupBy("participant_id").agg(F.count(F.lit(1)).alias("n"))
     per_academy = (c.scoped.participants.select("participant_id", "cohort_id")
                    .join(per_participant, "participant_id", "left")
@@ -147,10 +168,13 @@ SELECT skill_id, count(*) AS achievements FROM s_skill
 WHERE achieved_at >= TIMESTAMP '2024-01-01 00:00:00' AND achieved_at < TIMESTAMP '2024-01-31 00:00:00'
 GROUP BY skill_id ORDER BY achievements DESC, skill_id LIMIT 5"""))
 def k07_top_skills(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
-    start = dt.datetime(SKILLS_AS_OF.year, SKILLS_AS_OF.month, 1)
+    return k07_in(Ctx(spark, sf_dir))
+
+
+def k07_in(c: Ctx, as_of=SKILLS_AS_OF) -> DataFrame:
+    start = dt.datetime(as_of.year, as_of.month, 1)
     return (c.scoped.skills
-            .filter((F.col("achieved_at") >= wall_clock(start)) & (F.col("achieved_at") < wall_clock(SKILLS_AS_OF)))
+            .filter((F.col("achieved_at") >= wall_clock(start)) & (F.col("achieved_at") < wall_clock(as_of)))
             .groupBy("skill_id").agg(F.count(F.lit(1)).alias("achievements"))
             .orderBy(F.desc("achievements"), "skill_id").limit(5))
 
@@ -172,8 +196,11 @@ SELECT (SELECT count(*) FROM w) AS sessions_scheduled, sa.sessions_with_attendan
        round(coalesce((SELECT sum(duration_minutes) FROM w), 0) / 60e0, 6) AS contact_hours
 FROM sa"""))
 def k08_last_week(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
-    start, end = last_week_bounds(AS_OF)
+    return k08_in(Ctx(spark, sf_dir))
+
+
+def k08_in(c: Ctx, as_of=AS_OF) -> DataFrame:
+    start, end = last_week_bounds(as_of)
     week = c.scoped.sessions.filter(F.col("session_date").between(F.lit(start), F.lit(end)))
     s = week.agg(F.count(F.lit(1)).alias("sessions_scheduled"), F.sum("duration_minutes").alias("dur_sum"))
     a = (attendance_normalized(c.tables).join(week.select("session_id"), "session_id")
@@ -194,7 +221,10 @@ SELECT h.community_id, h.community_name, count(*) FILTER (WHERE p.is_active_norm
 FROM s_participant p JOIN s_cohort c ON p.cohort_id = c.cohort_id JOIN s_hierarchy h ON c.academy_id = h.academy_id
 GROUP BY h.community_id, h.community_name ORDER BY active_participants DESC, h.community_id LIMIT 3"""))
 def k09_active_communities(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
+    return k09_in(Ctx(spark, sf_dir))
+
+
+def k09_in(c: Ctx, as_of=AS_OF) -> DataFrame:
     per_cohort = c.scoped.participants.groupBy("cohort_id").agg(
         F.count_if("is_active_normalized").alias("active"))
     return (per_cohort.join(c.scoped.cohorts.select("cohort_id", "academy_id"), "cohort_id")
@@ -209,8 +239,11 @@ WHERE attended_normalized AND participant_id IS NOT NULL
   AND CAST(session_date AS TIMESTAMP) >= TIMESTAMP '2001-07-18 00:00:00'
 GROUP BY participant_id HAVING count(DISTINCT session_id) >= 2"""))
 def k09b_active_14d(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
-    recent = c.scoped.sessions.filter(on_or_after("session_date", AS_OF, 14)).select("session_id")
+    return k09b_in(Ctx(spark, sf_dir))
+
+
+def k09b_in(c: Ctx, as_of=AS_OF) -> DataFrame:
+    recent = c.scoped.sessions.filter(on_or_after("session_date", as_of, 14)).select("session_id")
     return (attendance_normalized(c.tables)
             .filter(F.col("attended_normalized") & F.col("participant_id").isNotNull())
             .join(recent, "session_id")
@@ -241,8 +274,11 @@ SELECT product_type_name, count(*) AS attendance_rows,
          AS change_pct_points
 FROM f_attendance GROUP BY product_type_name"""))
 def k10_attendance_by_product(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
-    q0, q1 = _quarter_start(AS_OF, 0), _quarter_start(AS_OF, 1)
+    return k10_in(Ctx(spark, sf_dir))
+
+
+def k10_in(c: Ctx, as_of=AS_OF) -> DataFrame:
+    q0, q1 = _quarter_start(as_of, 0), _quarter_start(as_of, 1)
     quarter = F.trunc("session_date", "quarter")
     f = session_attendance(c).join(c.scoped.hierarchy.select("academy_id", "product_type_name"), "academy_id")
     agg = f.groupBy("product_type_name").agg(
@@ -269,7 +305,10 @@ SELECT quarter, attendance_rows, round(rate, 6) AS attendance_rate,
                                     RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), 6) AS change_pct_points
 FROM q"""))
 def k11_quarter_trend(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
+    return k11_in(Ctx(spark, sf_dir))
+
+
+def k11_in(c: Ctx, as_of=AS_OF) -> DataFrame:
     per_q = (session_attendance(c).groupBy(F.trunc("session_date", "quarter").alias("quarter"))
              .agg(F.sum("rows").alias("attendance_rows"), F.sum("flags").alias("flags")))
     rate = F.col("flags").cast("double") * 100 / F.col("attendance_rows")
@@ -289,7 +328,10 @@ SELECT weekday, ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturd
        row_number() OVER (ORDER BY round(rate, 6) DESC, weekday) AS rank
 FROM d"""))
 def k12_weekday(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
+    return k12_in(Ctx(spark, sf_dir))
+
+
+def k12_in(c: Ctx, as_of=AS_OF) -> DataFrame:
     per_day = (session_attendance(c).groupBy(F.weekday("session_date").cast("long").alias("weekday"))
                .agg(F.sum("rows").alias("attendance_rows"), F.sum("flags").alias("flags")))
     names = F.array(*[F.lit(n) for n in WEEKDAYS])
@@ -316,7 +358,10 @@ SELECT month, new_participants, running_total,
        round((new_participants - prev_year) * 100e0 / prev_year, 6) AS yoy_pct
 FROM w"""))
 def k13_enrollment_growth(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
+    return k13_in(Ctx(spark, sf_dir))
+
+
+def k13_in(c: Ctx, as_of=AS_OF) -> DataFrame:
     per_month = (c.scoped.participants.filter(F.col("enrollment_date").isNotNull())
                  .groupBy(F.trunc("enrollment_date", "month").alias("month"))
                  .agg(F.count(F.lit(1)).alias("new_participants"))
@@ -333,3 +378,17 @@ def k13_enrollment_growth(spark, sf_dir):
 
     return per_month.select("month", "new_participants", running.alias("running_total"),
                             growth(prev_m).alias("mom_pct"), growth(prev_y).alias("yoy_pct"))
+
+
+def snapshot_in(c: Ctx, as_of=AS_OF) -> DataFrame:
+    """The fallback answer: all KPIs of the scope."""
+    return kpis(c.scoped, as_of)
+
+
+# Intent (see functions/routing.py) -> query over a context, for any scope.
+INTENT_FUNCTIONS = {
+    "attendance_highest": k01_in, "attendance_lowest": k02_in, "inactive": k03_in, "session_duration": k04_in,
+    "top_skilled": k05_in, "top_skills": k07_in, "last_week": k08_in, "active_communities": k09_in,
+    "attendance_by_product": k10_in, "quarter_trend": k11_in, "weekday": k12_in, "enrollment_growth": k13_in,
+    "snapshot": snapshot_in,
+}

@@ -33,3 +33,13 @@ def test_metrics_trends_views(dash):
     assert [r.cohort_count for r in dash.cohort_overview().collect()] == [2, 1, 1]
     assert {r.level for r in dash.options(north).collect()} == {"region", "city", "community", "academy"}
     assert dash.all_levels().filter("level = 'all'").first().total_participants == 5
+
+
+def test_ask_within_scope(dash):
+    north = dash.select(region="North")
+    a = dash.ask("Which academy has the highest attendance rate?", north)
+    assert a["intent"] == "attendance_highest"
+    assert a["rows"][0]["academy_code"] == "AC1" and a["rows"][0]["attendance_rate"] == 80.0
+    assert a["answer"].startswith("Academy AC1 has the highest attendance rate: 80.0%")
+    snap = dash.ask("anything else?", north)
+    assert snap["intent"] == "snapshot" and snap["rows"][0]["total_participants"] == 4
