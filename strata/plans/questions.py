@@ -93,7 +93,10 @@ def answer_text(intent: str, n: int, r: dict | None) -> str:
         "snapshot": lambda: "Snapshot: %d participants, %d sessions, attendance rate %.1f%%, %d skill achievements."
         % (r["total_participants"], r["total_sessions"], r["attendance_rate"], r["total_achievements"]),
     }
-    return texts[intent]()
+    try:
+        return texts[intent]()
+    except (TypeError, KeyError):  # a NULL value (e.g. all durations missing) or an unexpected row shape
+        return "The query returned %d rows." % n
 
 
 def _intent_row(spark: SparkSession, sf_dir: str, queries: dict, intent: str, key: str,

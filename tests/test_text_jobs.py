@@ -124,3 +124,11 @@ def test_guarded_sql_error_shapes_and_run_sql(spark):
         assert not g.ok and tuple(g.df.columns) == cols
     assert run_sql(spark, "SELECT nope FROM nowhere_t").columns == []
     assert run_sql(spark, "SELECT 1 AS one").first().one == 1
+
+
+def test_answer_text_survives_nulls():
+    from strata.plans.questions import answer_text
+    assert answer_text("session_duration", 2, {"region_name": "X", "avg_duration": None}) == \
+        "The query returned 2 rows."
+    assert answer_text("weekday", 0, None) == "The query returned no results."
+    assert answer_text("weekday", 7, {"day_name": "Monday", "attendance_rate": 51.25}) == "Best day: Monday at 51.2%."
