@@ -100,10 +100,15 @@ def answer_text(intent: str, n: int, r: dict | None) -> str:
 
 
 def _intent_row(spark: SparkSession, sf_dir: str, queries: dict, intent: str, key: str,
-                preview_rows: int = PREVIEW_ROWS) -> tuple:
+                preview_rows: int = PREVIEW_ROWS, scope=None) -> tuple:
     """At most ``preview_rows`` rows come back (a limit; a top-k for ordered
     answers); the full count runs only when the preview is full."""
-    res = queries[key](spark, sf_dir)
+    if scope is None:
+        res = queries[key](spark, sf_dir)
+    else:
+        from strata.plans.registry import Ctx
+        from strata.plans.workload import INTENT_FUNCTIONS
+        res = INTENT_FUNCTIONS[intent](Ctx(spark, sf_dir, scope))
     preview = [r.asDict() for r in res.limit(preview_rows).collect()]
     n = len(preview) if len(preview) < preview_rows else res.count()
     answer = answer_text(intent, n, preview[0] if preview else None)
@@ -111,7 +116,7 @@ def _intent_row(spark: SparkSession, sf_dir: str, queries: dict, intent: str, ke
 
 
 def intent_answers(spark: SparkSession, sf_dir: str, queries: dict, parallelism: int = 4,
-                   preview_rows: int = PREVIEW_ROWS) -> DataFrame:
+                   preview_rows: int = PREVIEW_ROWS, scope=None) -> DataFrame:
     """One row per intent: its answer, row count and a JSON preview.
 
     Each intent's query runs once (plus a count when its answer has more than
@@ -122,20 +127,21 @@ def intent_answers(spark: SparkSession, sf_dir: str, queries: dict, parallelism:
     then form the answer table.
     """
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        futures = [pool.submit(_intent_row, spark, sf_dir, queries, intent, key, preview_rows)
+        futures = [pool.submit(_intent_row, spark, sf_dir, queries, intent, key, preview_rows, scope)
                    for intent, key in INTENT_QUERY.items()]
         rows = [f.result() for f in futures]
     return spark.createDataFrame(rows, ANSWER_SCHEMA)
 
 
 def answer_questions(spark: SparkSession, questions: DataFrame, sf_dir: str, queries: dict,
-                     envelope: str = "standard") -> DataFrame:
+                     envelope: str = "standard", scope=None) -> DataFrame:
     """Envelope per question: status, question, answer, sql, row_count,
     execution_time, timestamp, error.  ``envelope="extended"`` gives the
     reference's other shape: result_count, execution_time_seconds, model,
     sql_query and raw_results instead.  The per-intent answer table has one
-    row per intent (a fixed, small set), so it is broadcast to the questions."""
-    answers = intent_answers(spark, sf_dir, queries)
+    row per intent (a fixed, small set), so it is broadcast to the questions.
+    With ``scope`` every answer is computed within that drill-down scope."""
+    answers = intent_answers(spark, sf_dir, queries, scope=scope)
     routed = route_questions(questions)
     out = routed.join(F.broadcast(answers), "intent", "left")
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")

@@ -132,3 +132,14 @@ def test_answer_text_survives_nulls():
         "The query returned 2 rows."
     assert answer_text("weekday", 0, None) == "The query returned no results."
     assert answer_text("weekday", 7, {"day_name": "Monday", "attendance_rate": 51.25}) == "Best day: Monday at 51.2%."
+
+
+def test_answers_within_a_scope(spark):
+    import __spark_entry__ as E
+    from strata.operators.scope import Scope
+    from strata.plans.questions import answer_questions, questions_frame
+    q = questions_frame(spark, ["Give me a snapshot"])
+    everything = answer_questions(spark, q, "/root/testdata/sf0.001", E.queries()).first()
+    region1 = answer_questions(spark, q, "/root/testdata/sf0.001", E.queries(), scope=Scope(region_id=1)).first()
+    assert everything.intent == region1.intent == "snapshot"
+    assert everything.answer != region1.answer  # fewer participants within region 1
