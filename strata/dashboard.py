@@ -26,13 +26,16 @@ class Dashboard:
         self.spark = spark
         self.tables = tables
         self.as_of = as_of or dt.datetime.now()
+        self.location: str | None = None
         self.hierarchy = H.build_hierarchy(tables).persist()
 
     @classmethod
     def load(cls, spark: SparkSession, location: str, fmt: str = "parquet", as_of=None,
              cache: bool = False) -> "Dashboard":
         """Load every table from a catalog namespace or folder (see ``load_tables``)."""
-        return cls(spark, load_tables(spark, location, fmt=fmt, cache=cache), as_of)
+        dash = cls(spark, load_tables(spark, location, fmt=fmt, cache=cache), as_of)
+        dash.location, dash._fmt, dash._cache = location, fmt, cache
+        return dash
 
     def options(self, scope: SC.Scope | None = None) -> DataFrame:
         """The four cascading option lists under ``scope``."""
@@ -97,7 +100,18 @@ class Dashboard:
                 "answer": answer_text(intent, n, preview[0] if preview else None)}
 
     def reload(self) -> None:
-        """Drop cached data so the next call reads the sources again."""
+        """Drop cached data and Spark's cached table metadata, then load again
+        (the dashboard's "reload" button)."""
         self.hierarchy.unpersist()
         self.tables.unpersist()
+        if self.location is not None:
+            is_path = "/" in self.location or self.location.startswith(".")
+            for name in self.tables.frames:
+                if name in self.tables.missing:
+                    continue
+                if is_path:
+                    self.spark.catalog.refreshByPath(self.location)
+                    break
+                self.spark.catalog.refreshTable(f"{self.location}.{name}")
+            self.tables = load_tables(self.spark, self.location, fmt=self._fmt, cache=self._cache)
         self.hierarchy = H.build_hierarchy(self.tables).persist()

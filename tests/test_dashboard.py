@@ -43,3 +43,16 @@ def test_ask_within_scope(dash):
     assert a["answer"].startswith("Academy AC1 has the highest attendance rate: 80.0%")
     snap = dash.ask("anything else?", north)
     assert snap["intent"] == "snapshot" and snap["rows"][0]["total_participants"] == 4
+
+
+def test_reload_sees_new_rows(spark, tmp_path, mini):
+    from strata.sources.layout import write_program_tables
+    root = str(tmp_path / "tables")
+    write_program_tables(mini, root)
+    d = Dashboard.load(spark, root, as_of=dt.datetime(2024, 3, 31), cache=True)
+    assert d.metrics().first().total_participants == 5
+    extra = spark.createDataFrame([(7, 3, dt.date(2024, 3, 2), "yes")],
+                                  "participant_id long, cohort_id long, enrollment_date date, is_active string")
+    extra.write.mode("append").parquet(root + "/participant")
+    d.reload()
+    assert d.metrics().first().total_participants == 6
