@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 _QUERY_START = re.compile(r"^(SELECT|WITH|VALUES|TABLE|FROM)\b", re.IGNORECASE)
 _LEADING_COMMENTS = re.compile(r"^(\s+|--[^\n]*(\n|$)|/\*.*?\*/)+", re.DOTALL)
 
-ERROR_SCHEMA = T.StructType([T.StructField("error", T.StringType()), T.StructField("sql", T.StringType())])
 
 
 @dataclass

@@ -165,3 +165,15 @@ def test_list_tables_preview(spark):
     row = CAT.list_tables_preview(listed, 15).first()
     assert row.table_count == 17 and row.preview.endswith(" ... and 2 more")
     assert row.preview.startswith("prev_t00, prev_t01")
+
+
+def test_answer_records_json_sink(spark, tmp_path):
+    import json as js
+    from strata.sources.sinks import write_records_json
+    df = spark.createDataFrame([(1, "a", None), (2, "b", 1.5)], "id long, s string, x double")
+    path = str(tmp_path / "records")
+    write_records_json(df, path)
+    lines = [js.loads(x) for f in sorted(os.listdir(path)) if f.endswith(".json")
+             for x in open(os.path.join(path, f)) if x.strip()]
+    assert sorted(r["id"] for r in lines) == [1, 2]
+    assert [r for r in lines if r["id"] == 2][0]["x"] == 1.5
