@@ -71,7 +71,8 @@ def with_extracted_sql(df, text_col: str, reference_col: str = "extracted_sql_re
     them.  Same results as the two column functions, about a third less regex
     work."""
     t = F.col(text_col)
-    base = df.select("*", F.regexp_extract(t, SQL_FENCE, 0).alias("_m1"), F.regexp_extract(t, SQL_FENCE, 1).alias("_g1"),
+    base = df.select("*",
+                     F.regexp_extract(t, SQL_FENCE, 0).alias("_m1"), F.regexp_extract(t, SQL_FENCE, 1).alias("_g1"),
                      F.regexp_extract(t, PLAIN_FENCE, 0).alias("_m2"), F.regexp_extract(t, PLAIN_FENCE, 1).alias("_g2"))
     in_sql_fence, in_plain_fence = F.col("_m1") != "", F.col("_m2") != ""
     g1, g2 = strip_ws(F.col("_g1")), strip_ws(F.col("_g2"))

@@ -157,5 +157,6 @@ def answer_questions(spark: SparkSession, questions: DataFrame, sf_dir: str, que
         F.lit(None).cast("string").alias("error"), "result_json")
 
 
-__all__ = ["questions_from_events", "questions_frame", "route_questions", "answer_questions", "intent_answers", "answer_text",
+__all__ = ["questions_from_events", "questions_frame", "route_questions", "answer_questions", "intent_answers",
+           "answer_text",
            "INTENT_QUERY", "LADDER", "DEFAULT_INTENT"]

@@ -335,7 +335,8 @@ def k12_in(c: Ctx, as_of=AS_OF) -> DataFrame:
     per_day = (session_attendance(c).groupBy(F.weekday("session_date").cast("long").alias("weekday"))
                .agg(F.sum("rows").alias("attendance_rows"), F.sum("flags").alias("flags")))
     names = F.array(*[F.lit(n) for n in WEEKDAYS])
-    out = per_day.select("weekday", F.element_at(names, (F.col("weekday") + 1).cast("int")).alias("day_name"), "attendance_rows",
+    day_name = F.element_at(names, (F.col("weekday") + 1).cast("int")).alias("day_name")
+    out = per_day.select("weekday", day_name, "attendance_rows",
                          _pct("flags", "attendance_rows").alias("attendance_rate"))
     # the window runs over the 7-row per-weekday aggregate
     rank = F.row_number().over(Window.orderBy(F.desc("attendance_rate"), "weekday")).cast("long")

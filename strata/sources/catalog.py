@@ -66,8 +66,9 @@ def schema_context(described: DataFrame, max_tables: int | None = 15, max_column
     if max_columns is not None and suffix:
         text = F.when(F.col("n") > max_columns,
                       F.concat(text, F.lit(" ... ("), F.col("n").cast("string"), F.lit(" total)"))).otherwise(text)
-    line = F.when(F.col("error").isNotNull(), F.concat(F.col("table_name"), F.lit("(error: "), F.col("error"), F.lit(")")))\
-        .otherwise(F.concat(F.col("table_name"), F.lit("("), text, F.lit(")")))
+    failed = F.concat(F.col("table_name"), F.lit("(error: "), F.col("error"), F.lit(")"))
+    described = F.concat(F.col("table_name"), F.lit("("), text, F.lit(")"))
+    line = F.when(F.col("error").isNotNull(), failed).otherwise(described)
     out = per_table.select("table_name", F.col("n").alias("column_count"), line.alias("context_line"))
     return out.orderBy("table_name").limit(max_tables) if max_tables is not None else out
 
