@@ -42,7 +42,7 @@ from strata.llm.common import materialise, text_chunks, texts_of
 
 ELIGIBLE = (1 << 64) // 5  # hashes below this come first in the order of the prefix
 PIVOT_ROUNDS = 2
-CELLS = 32  # of a set's sketch: how many of its hashes fall into each equal part of the hash space
+COARSE, CELLS = 8, 32  # of a set's sketch: how many of its hashes fall into each equal part of the hash space
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -120,13 +120,18 @@ def _band(n, percent: int):
 
 
 def _possible(percent: int, a: str = "a_", b: str = "b_"):
-    """What size and position leave possible, for entries a and b of one list."""
-    need = F.expr(f"ceil({percent} * ({a}n + {b}n) / {100 + percent}D - 1e-9)")
-    room = 1 + F.least(F.col(f"{a}n") - F.col(f"{a}pos") - 1 + F.least(f"{a}pos", f"{b}pos"), F.col(f"{b}n") - F.col(f"{b}pos") - 1 + F.least(f"{a}pos", f"{b}pos"))
+    """What sizes, positions and sketches leave possible, for entries a and b of one list.
+
+    At the first hash that two sets share, all their common hashes lie at or behind it, so a linked
+    pair passes in that list; the same pair may fail in the lists of its later common hashes.
+    """
     sizes = (100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n"))
-    differ = F.expr(" + ".join(f"abs(get({a}cells, {i}) - get({b}cells, {i}))" for i in range(CELLS)))  # unrolled: compiled
+    need = F.expr(f"{percent} * ({a}n + {b}n) / {100 + percent}D - 1e-9")
+    room = F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos"))
     allowed = F.expr(f"{100 - percent} * ({a}n + {b}n) / {100 + percent}D + 1e-9")
-    return sizes & (room >= need) & (differ <= allowed)
+    coarse = F.expr(" + ".join(f"abs(get({a}coarse, {i}) - get({b}coarse, {i}))" for i in range(COARSE)))  # compiled, the next one is not
+    differ = F.aggregate(F.zip_with(f"{a}cells", f"{b}cells", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    return sizes & (room >= need) & (coarse <= allowed) & (differ <= allowed)
 
 
 def _banded(entries: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +176,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def join_links(docs: DataFrame, sets: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b): verified links between classes, enough of them to connect every component."""
-    entries = index_lists(sets, percent).join(sets.select("rep", "cells"), "rep")
+    entries = index_lists(sets, percent).join(sets.select("rep", "cells", "coarse"), "rep")
     lists = _banded(materialise(entries, "jaccard-lists"), percent)
     links = None
     tried = None
@@ -186,12 +191,12 @@ def join_links(docs: DataFrame, sets: DataFrame, n: int, percent: int, id_col: s
         if k < PIVOT_ROUNDS:
             # one pivot for each list: first the smallest id (most lists of a group agree on it), then any
             key = F.col("rep") if k == 0 else F.xxhash64("rep", "hash", F.lit(k))
-            pivots = marked.groupBy("hash", "band").agg(F.min(F.struct(key.alias("key"), F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("cells").alias("b_cells"), F.col("root").alias("b_root"))).alias("p")).select("hash", "band", "p.*")
+            pivots = marked.groupBy("hash", "band").agg(F.min(F.struct(key.alias("key"), F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("cells").alias("b_cells"), F.col("coarse").alias("b_coarse"), F.col("root").alias("b_root"))).alias("p")).select("hash", "band", "p.*")
             met = marked.join(pivots, ["hash", "band"])
         else:
-            other = marked.select("hash", "band", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("cells").alias("b_cells"), F.col("root").alias("b_root"), F.col("visitor").alias("b_visitor"))
+            other = marked.select("hash", "band", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("cells").alias("b_cells"), F.col("coarse").alias("b_coarse"), F.col("root").alias("b_root"), F.col("visitor").alias("b_visitor"))
             met = marked.join(other, ["hash", "band"]).where("rep < b and visitor + b_visitor < 2")
-        met = met.where("root <> b_root").withColumnsRenamed({"n": "a_n", "pos": "a_pos", "cells": "a_cells"}).where(_possible(percent))
+        met = met.where("root <> b_root").withColumnsRenamed({"n": "a_n", "pos": "a_pos", "cells": "a_cells", "coarse": "a_coarse"}).where(_possible(percent))
         pairs = met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"), F.when(F.col("rep") < F.col("b"), F.col("a_n")).otherwise(F.col("b_n")).alias("n_a"), F.when(F.col("rep") < F.col("b"), F.col("b_n")).otherwise(F.col("a_n")).alias("n_b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
@@ -223,7 +228,7 @@ def _unexcluded(pairs: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row."""
     members = _sets(docs, n, percent, id_col, text_col, False)
-    classes = _sets(docs, n, percent, id_col, text_col, True).where("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.first("n_first").alias("n_first"), F.first("hashes").alias("hashes"), F.first("cells").alias("cells"))
+    classes = _sets(docs, n, percent, id_col, text_col, True).where("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.first("n_first").alias("n_first"), F.first("hashes").alias("hashes"), F.first("cells").alias("cells")).withColumn("coarse", F.expr(f"transform(sequence(0, {COARSE - 1}), i -> aggregate(slice(cells, i * {CELLS // COARSE} + 1, {CELLS // COARSE}), 0, (t, x) -> t + x))"))
     classes = materialise(classes, "jaccard-classes")
     links = join_links(docs, classes, n, percent, id_col, text_col)
     roots = components(links)
