@@ -47,3 +47,40 @@ def op10_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.repair_tokens import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+
+
+def _rules_sql() -> str:
+    from strata.llm.quality_rules import ORACLE as sql
+
+    return sql
+
+
+@register("op1_quality_rules", _rules_sql())
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from strata.llm import quality_rules as Q
+
+    rows = Q.ledger(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    base_failed = F.col("fail_bits").bitwiseAND(F.lit(Q.BASE).cast("bigint")) != 0
+    return rows.select("doc_id", *Q.MEASURES[:5], base_failed.alias("base_failed"), Q.passes().alias("kept"), "fail_bits")
+
+
+@register("op2_language_ppm")
+def op2_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from strata.llm import language_ppm as L
+
+    docs = table(spark, sf_dir, "documents")
+    model = L.learn(docs.where(L.fold() != 2).select("text", "lang"))
+    rows = docs.select("doc_id", "text", F.coalesce(L.fold() == 2, F.lit(False)).alias("held_out"))
+    return L.predict(rows, model, keep=("doc_id", "held_out"))
+
+
+@register("op3_secret_randomness")
+def op3_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.secret_randomness import find_secrets
+
+    rows = find_secrets(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
