@@ -6,8 +6,8 @@ reach.  Steps, each a Spark job over hashed columns:
 
 1. *Equal sets* become one class (``min(doc_id)``, map-side combined), so copies never meet a join.
 2. *Index lists*.  Two linked sets share a hash among the first ``n - ceil(t n) + 1`` ("prefix") of
-   either one, under any common order of the hashes.  The order used puts a fixed fifth of the hash
-   space (``ELIGIBLE``) first, rarest hash first, counted over all documents; a set with too few of
+   either one, under any common order of the hashes.  The order used puts a fixed part of the hash
+   space (``eligible_below``) first, rarest hash first, counted over all documents; a set with too few of
    those fills its prefix from the rest by hash value.  Hashes of one set only drop out, the others
    form index lists of (hash, size band, position).
 3. *Skipped blocks*.  A list is cut by size band: sets whose sizes differ by more than the threshold
@@ -40,7 +40,6 @@ from pyspark.sql import Window
 from strata.llm import pieces as P
 from strata.llm.common import materialise, text_chunks, texts_of
 
-ELIGIBLE = (1 << 64) // 5  # hashes below this come first in the order of the prefix
 PIVOT_ROUNDS = 2
 COARSE, CELLS = 8, 32  # of a set's sketch: how many of its hashes fall into each equal part of the hash space
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -64,6 +63,11 @@ def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
     return out
 
 
+def eligible_below(percent: int) -> np.uint64:
+    """Hashes below this come first in the order of the prefix: twice the part that a prefix takes."""
+    return np.uint64(min((1 << 64) - 1, (1 << 64) * 2 * (100 - percent) // 100))
+
+
 def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
@@ -84,7 +88,7 @@ def _sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, wit
                     his.append((f >> 64) - (1 << 63))
                     los.append((f & (1 << 64) - 1) - (1 << 63))
                     if with_tokens:
-                        first = int(np.searchsorted(s, np.uint64(ELIGIBLE)))
+                        first = int(np.searchsorted(s, eligible_below(percent)))
                         firsts.append(first)
                         cells.append(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=CELLS).astype(np.int32))
                         tokens.append(s[:max(first, prefix_length(len(s), percent))].view(np.int64))

@@ -84,3 +84,55 @@ def op3_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = find_secrets(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+@register("op7_pii_crf")
+def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from strata.llm import pii_crf as C
+
+    docs = table(spark, sf_dir, "documents")
+    rows = C.find_pii(docs, C.train(docs), keep=("doc_id",))
+    return rows.select("doc_id", *[f"n_{k}" for k in C.KINDS], F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+@register("op4_collision_ann")
+def op4_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from strata.llm.collision_ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def _preference_sql() -> str:
+    from strata.llm.preference_format import ORACLE as sql
+
+    return sql
+
+
+@register("op5_preference_format", _preference_sql())
+def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.preference_format import format_preferences, pairs_by_id
+
+    return format_preferences(pairs_by_id(table(spark, sf_dir, "conversations")))
+
+
+def _mix_sql() -> str:
+    from strata.llm.temperature_mix import ORACLE as sql
+
+    return sql
+
+
+@register("op6_temperature_mix", _mix_sql())
+def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus' own size as budget, 98 % of the largest entropy, at most four passes over a source."""
+    from pyspark.sql import functions as F
+
+    from strata.llm.temperature_mix import Target, mix, word_count
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    total = docs.agg(F.sum(word_count(F.col("text"))).alias("t")).first()["t"] or 0
+    mixed = mix(docs, Target(entropy=0.98, max_repeats=4, budget=total), seed=7)
+    return mixed.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), "mix_key", "copies", "exponent")

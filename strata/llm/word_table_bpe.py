@@ -119,13 +119,16 @@ def blocks(docs: DataFrame, tokenizer: str, buckets: int, id_col: str, text_col:
     def emit(ids: list, sizes: list, parts: list, words: dict[int, str]) -> Iterator[pa.RecordBatch]:
         hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         distinct, inverse = np.unique(hashes, return_inverse=True)
-        bucket = (distinct >> np.uint64(7)) % np.uint64(buckets)
+        # numbered by falling frequency, which packs best; a bucket lists its words in that order
+        ranked = np.argsort(-np.bincount(inverse, minlength=len(distinct)), kind="stable")
+        rank = np.empty(len(distinct), np.uint32)
+        rank[ranked] = np.arange(len(distinct), dtype=np.uint32)
+        distinct = distinct[ranked]
+        bucket = ((distinct >> np.uint64(7)) % np.uint64(buckets)).astype(np.uint32)
         order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), np.uint32)
-        place[order] = np.arange(len(order), dtype=np.uint32)
         block = uuid.uuid4().hex
-        rows = [{"kind": 0, "block": block, "bucket": None, "n_docs": len(ids), "ids": ids, "payload": _pack(np.array(sizes, np.uint32), place[inverse])}]
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+        rows = [{"kind": 0, "block": block, "bucket": None, "n_docs": len(ids), "ids": ids, "payload": _pack(np.array(sizes, np.uint32), rank[inverse], bucket)}]
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         names = [words[h] for h in distinct[order].tolist()]
         for k in np.flatnonzero(np.diff(edges)).tolist():
             data = zstandard.compress("\n".join(names[edges[k]:edges[k + 1]]).encode("utf-8", "surrogatepass"), 3)
@@ -216,14 +219,17 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1).to_pylist()[0]
-                sizes, places = _unpack(row["positions"])
+                sizes, ranks, bucket = _unpack(row["positions"])
+                order = np.argsort(bucket, kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
                 got = [_unpack(w["payload"]) for w in sorted(row["words"] or [], key=lambda w: w["bucket"])]
                 counts = np.concatenate([g[0] for g in got]).astype(np.int64) if got else np.zeros(0, np.int64)
                 flat = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.uint32)
                 starts, ends = np.cumsum(counts) - counts, np.cumsum(sizes, dtype=np.int64)
                 cols: list[list] = [[], [], []]
                 for begin, end in zip((ends - sizes).tolist(), ends.tolist()):
-                    at = places[begin:end]
+                    at = place[ranks[begin:end]]
                     ids = P.ragged(flat, starts[at], counts[at])
                     numbers, text = spell(tokenizer, ids)
                     if digests:
