@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.llm.pieces import ragged
+
 PROJECTIONS = 64
-THRESHOLD = 0.55  # of the arrays
-GROWTH = 1.2
-CANDIDATES = 0.02  # part of a block that is verified besides the k
+THRESHOLD = 0.8  # of the arrays
+GROWTH = 1.15
+CANDIDATES, LEAST = 0.12, 256  # part of a block, and least number, verified besides the k
 BLOCK_ROWS = 16_384
-QUERY_ROWS = 4096
+QUERY_ROWS = 2048
 SEED = 20_240_229
 
 
@@ -48,38 +50,39 @@ def block_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries:
     projected, asked = x @ a, queries @ a
     order = np.argsort(projected, axis=0, kind="stable")
     arrays = np.take_along_axis(projected, order, axis=0)
-    need, enough = int(np.ceil(THRESHOLD * PROJECTIONS)), min(n, k + 1 + int(CANDIDATES * n))
-    spread = projected.std(axis=0).mean() or 1.0
+    flat = np.ascontiguousarray(order.T.astype(np.int32)).reshape(-1)
+    base = np.arange(PROJECTIONS, dtype=np.int64) * n
+    need, enough = int(np.ceil(THRESHOLD * PROJECTIONS)), min(n, k + 1 + max(LEAST, int(CANDIDATES * n)))
+    spread = float(projected.std(axis=0).mean()) or 1.0
     out_q, out_v, out_d = [], [], []
-    open_ = np.arange(len(queries))
-    half = spread * 0.1
-    while len(open_):
-        lo, hi = np.empty((len(open_), PROJECTIONS), np.int64), np.empty((len(open_), PROJECTIONS), np.int64)
-        for j in range(PROJECTIONS):
-            lo[:, j] = np.searchsorted(arrays[:, j], asked[open_, j] - half, "left")
-            hi[:, j] = np.searchsorted(arrays[:, j], asked[open_, j] + half, "right")
-        whole = (lo == 0).all(axis=1) & (hi == n).all(axis=1)
-        left = []
-        # windows whose joint size cannot give enough collisions need no look
-        ready = whole | ((hi - lo).sum(axis=1) >= need * enough)
-        for r, q in enumerate(open_.tolist()):
-            if not ready[r]:
-                left.append(q)
-                continue
-            met = np.zeros(n, np.int16)
-            for j in range(PROJECTIONS):
-                met[order[lo[r, j]:hi[r, j], j]] += 1
-            found = np.flatnonzero(met >= need)
-            if len(found) < enough and not whole[r]:
-                left.append(q)
-                continue
-            found = found[ids[found] != query_ids[q]]
-            d = np.sqrt(((x[found] - queries[q]) ** 2).sum(axis=1))
-            best = np.lexsort((ids[found], d))[:k]
-            out_q.append(np.full(len(best), query_ids[q]))
-            out_v.append(ids[found[best]])
-            out_d.append(d[best])
-        open_, half = np.array(left, np.int64), half * GROWTH
+    for first in range(0, len(queries), 256):
+        open_ = np.arange(first, min(first + 256, len(queries)))
+        met = np.zeros((len(open_), n), np.uint8)  # collisions so far; PROJECTIONS is below 256
+        row = np.arange(len(open_))
+        low = np.stack([np.searchsorted(arrays[:, j], asked[open_, j]) for j in range(PROJECTIONS)], axis=1)
+        high, half = low.copy(), 0.1 * spread
+        while len(open_):
+            lo = np.stack([np.searchsorted(arrays[:, j], asked[open_, j] - half, "left") for j in range(PROJECTIONS)], axis=1)
+            hi = np.stack([np.searchsorted(arrays[:, j], asked[open_, j] + half, "right") for j in range(PROJECTIONS)], axis=1)
+            stay = np.ones(len(open_), bool)
+            # windows whose joint size cannot give enough collisions need no look yet
+            for r in np.flatnonzero((hi - lo).sum(axis=1) >= need * enough).tolist():
+                q, count = open_[r], met[row[r]]
+                starts = np.concatenate([base + lo[r], base + high[r]])  # what the wider windows add
+                sizes = np.concatenate([low[r] - lo[r], hi[r] - high[r]])
+                count += np.bincount(ragged(flat, starts, sizes), minlength=n).astype(np.uint8)
+                low[r], high[r] = lo[r], hi[r]
+                if np.count_nonzero(count >= need) < enough:
+                    continue
+                found = np.flatnonzero(count >= need)
+                found = found[ids[found] != query_ids[q]]
+                d = np.sqrt(((x[found] - queries[q]) ** 2).sum(axis=1))
+                best = np.lexsort((ids[found], d))[:k]
+                out_q.append(np.full(len(best), query_ids[q]))
+                out_v.append(ids[found[best]])
+                out_d.append(d[best])
+                stay[r] = False
+            open_, row, low, high, half = open_[stay], row[stay], low[stay], high[stay], half * GROWTH
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     return join(out_q, np.int64), join(out_v, np.int64), join(out_d, np.float64)
 

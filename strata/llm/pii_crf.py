@@ -107,7 +107,8 @@ def plain(word: str) -> bool:
 
 
 def features(word: str) -> list[int]:
-    """Slots of the features of a word: its squeezed shape, and how many digits, dots, dashes and @ it has.
+    """Slots of the features of a word: its squeezed shape, and how many digits, dots, dashes and @ it has,
+    and whether it has a card's check digit.
     Plain words share one feature, so the margin against them is one number."""
     if plain(word):
         return [_slot("plain")]
@@ -117,7 +118,7 @@ def features(word: str) -> list[int]:
     groups = re.split(r"[^0-9]+", core.strip("()+-."))
     return [_slot(x) for x in (
         "bias", f"shape={shape[:24]}", f"digits={min(digits, 20)}", f"letters={min(letters, 3)}", f"dots={min(core.count('.'), 4)}",
-        f"dashes={min(core.count('-'), 4)}", f"at={min(core.count('@'), 2)}", f"first={shape[:1]}", f"paren={'(' in core or ')' in core}",
+        f"dashes={min(core.count('-'), 4)}", f"at={min(core.count('@'), 2)}", f"first={shape[:1]}", f"card={digits == len(core) and 16 <= digits <= 19 and luhn(core)}", f"paren={'(' in core or ')' in core}",
         f"groups={','.join(str(min(len(g), 9)) for g in groups[:5]) if not letters else 'x'}")]
 
 
