@@ -153,6 +153,8 @@ def fit(samples: dict[str, list[str]], shares: dict[str, float]) -> Model:
         grams = grams[inside[ORDER:]]
         counted.append([np.unique(grams & np.uint64((1 << 8 * k) - 1), return_counts=True) for k in range(1, ORDER + 2)])
     keys = [np.unique(np.concatenate([c[k][0] for c in counted])) for k in range(ORDER + 1)]
+    for k in range(ORDER, 0, -1):  # contexts that are no grams themselves (a text's leading blanks) get rows, too
+        keys[k - 1] = np.union1d(keys[k - 1], keys[k] >> np.uint64(8))
     n = [np.zeros((len(keys[k]), len(languages))) for k in range(ORDER + 1)]
     for j, c in enumerate(counted):
         for k in range(ORDER + 1):
@@ -167,19 +169,14 @@ def fit(samples: dict[str, list[str]], shares: dict[str, float]) -> Model:
             total, distinct, esc = (np.broadcast_to(x, n[0].shape) for x in (total, distinct, esc))
             shorter = np.full(n[0].shape, 8.0)
         else:
-            # contexts are grams one shorter, or not counted as grams themselves (a text's first bytes)
             contexts, where = np.unique(context, return_inverse=True)
             total, distinct = np.zeros((len(contexts), len(languages))), np.zeros((len(contexts), len(languages)))
             np.add.at(total, where, n[k])
             np.add.at(distinct, where, n[k] > 0)
             esc_of = np.where(total > 0, -np.log2(np.maximum(distinct, 1) / np.maximum(total + distinct, 1)), 0.0)
-            at = np.searchsorted(keys[k - 1], contexts)
-            known = (at < len(keys[k - 1])) & (keys[k - 1][np.minimum(at, len(keys[k - 1]) - 1)] == contexts)
             table = np.zeros((len(keys[k - 1]), len(languages)), np.float32)
-            table[at[known]] = esc_of[known]
+            table[np.searchsorted(keys[k - 1], contexts)] = esc_of
             escapes.append(table)
-            # a context that is no gram itself cannot be looked up when it escapes: it costs nothing there
-            esc_of[~known] = 0.0
             total, distinct, esc = total[where], distinct[where], esc_of[where]
             shorter = cost[k - 1][np.searchsorted(keys[k - 1], keys[k] & np.uint64((1 << 8 * k) - 1))]
         with np.errstate(divide="ignore"):

@@ -7,10 +7,9 @@ conditional likelihood over a small labelled table: lines of a bounded sample of
 (``TRAIN_TEXTS``), labelled by the fixed patterns, some with the matched text disguised so that the
 shape, not the pattern, must tell.  The labelled table may also be given.
 
-Decoding is exact Viterbi in numpy batches.  Words without a digit or an ``@`` get ``O`` from any
-neighbourhood if the trained weights prefer it by more than every transition can give back; this
-margin is checked for each model, and then only the runs of other words need decoding.  If the
-margin is too small, whole lines are decoded.
+Words without a digit or an ``@`` are ``O`` by a fixed constraint of the model, in training and decoding, and
+so are the ends of a line.  Exact Viterbi decoding then falls apart into the runs of other words, each
+between two ``O``; they are decoded in numpy batches of like length, and most text is never featurised.
 
 Cases: null text is empty; repeated rows are scanned one by one; very long texts are scanned whole in
 linear time; other columns stay unless they have the name of an added one.
@@ -33,6 +32,7 @@ LABELS = ("O", *KINDS)
 TRAIN_TEXTS = 1500
 MAX_TEXT_BYTES = 16_384
 BATCH = 2048
+NEVER = -50.0  # the emission score that forbids a label
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
@@ -107,9 +107,8 @@ def plain(word: str) -> bool:
 
 
 def features(word: str) -> list[int]:
-    """Slots of the features of a word: its squeezed shape, and how many digits, dots, dashes and @ it has,
-    and whether it has a card's check digit.
-    Plain words share one feature, so the margin against them is one number."""
+    """Slots of the features of a word: its squeezed shape, how many digits, dots, dashes and @ it has, and
+    whether it has a card's check digit.  Plain words have the one feature that forbids other labels."""
     if plain(word):
         return [_slot("plain")]
     core = word.strip(".,;:!?\"'")
@@ -129,21 +128,15 @@ class Crf:
 
     def __init__(self):
         self.emit = np.zeros((N_FEATURES, len(LABELS)))
+        self.emit[_slot("plain"), 1:] = NEVER
         self.move = np.zeros((len(LABELS), len(LABELS)))
 
     def scores(self, words: list[str]) -> np.ndarray:
         return np.array([self.emit[features(w)].sum(axis=0) for w in words]).reshape(-1, len(LABELS))
 
-    def plain_is_o(self) -> bool:
-        """True if a plain word is ``O`` on every best path: its emission margin beats all that the two
-        transitions around it can give back."""
-        e = self.emit[_slot("plain")]
-        give = 2 * (self.move.max() - self.move.min())
-        return bool(e[0] - e[1:].max() > give)
-
     def fit(self, lines: list[tuple[list[str], list[int]]], epochs: int = 120, rate: float = 0.25, decay: float = 1e-3) -> "Crf":
         """Maximise the penalised conditional log-likelihood (full-batch Adam, forward-backward in numpy)."""
-        lines = [x for x in lines if x[0]]
+        lines = [([".", *words, "."], [0, *labels, 0]) for words, labels in lines if words]  # a line's ends are O
         if not lines:
             return self
         K, S, T_ = len(LABELS), len(lines), max(len(w) for w, _ in lines)
@@ -181,7 +174,9 @@ class Crf:
             pair = np.exp(a[:, :-1, :, None] + self.move + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None])
             model_emit = np.zeros_like(self.emit)
             np.add.at(model_emit, feats, marginal[rows, cols])
-            for w, grad, m, v in ((self.emit, (gold_emit - model_emit) / S - decay * self.emit, 0, 1), (self.move, (gold_move - pair[both].sum(axis=0)) / S - decay * self.move, 2, 3)):
+            slope = (gold_emit - model_emit) / S - decay * self.emit
+            slope[_slot("plain")] = 0  # the constraint stays
+            for w, grad, m, v in ((self.emit, slope, 0, 1), (self.move, (gold_move - pair[both].sum(axis=0)) / S - decay * self.move, 2, 3)):
                 state[m] = 0.9 * state[m] + 0.1 * grad
                 state[v] = 0.999 * state[v] + 0.001 * grad * grad
                 w += rate * (state[m] / (1 - 0.9 ** step)) / (np.sqrt(state[v] / (1 - 0.999 ** step)) + 1e-8)
@@ -226,7 +221,7 @@ def label_line(line: str) -> tuple[list[str], list[int]]:
     words, labels = [], []
     for m in WORD.finditer(line):
         words.append(m[0])
-        labels.append(next((LABELS.index(k) for k, a, b in spans if a < m.end() and m.start() < b), 0))
+        labels.append(0 if plain(m[0]) else next((LABELS.index(k) for k, a, b in spans if a < m.end() and m.start() < b), 0))
     return words, labels
 
 
@@ -279,21 +274,18 @@ def train(docs: DataFrame, text_col: str = "text") -> Crf:
 
 def crf_spans(model: Crf, texts: list[str]) -> list[list[Span]]:
     """What the CRF finds in each text: neighbouring words of one kind, outer punctuation trimmed."""
-    everything = not model.plain_is_o()
     owners, words, sequences, known = [], [], [], {}
     for k, text in enumerate(texts):
-        if not everything and "@" not in text and not DIGITS.search(text):
+        if "@" not in text and not DIGITS.search(text):
             continue
         run: list[tuple[int, int]] = []
-        last = None
-        for m in WORD.finditer(text) if everything else ODD_WORD.finditer(text):
-            between = text[last:m.start()] if last is not None else ""
-            if run and (("\n" in between) if everything else between.strip(" \t\n\v\f\r") or "\n" in between):
+        for m in ODD_WORD.finditer(text):
+            between = text[run[-1][1]:m.start()] if run else ""
+            if run and ("\n" in between or between.strip(" \t\v\f\r")):
                 owners.append(k)
                 words.append(run)
                 run = []
             run.append(m.span())
-            last = m.end()
         if run:
             owners.append(k)
             words.append(run)
@@ -304,7 +296,10 @@ def crf_spans(model: Crf, texts: list[str]) -> list[list[Span]]:
             if w not in known:
                 known[w] = model.emit[features(w)].sum(axis=0)
             rows.append(known[w])
-        sequences.append(np.array(rows))
+        rows = np.array(rows)
+        rows[0] += model.move[0]  # what stands before and behind a run is O
+        rows[-1] += model.move[:, 0]
+        sequences.append(rows)
     out: list[list[Span]] = [[] for _ in texts]
     for k, run, path in zip(owners, words, model.viterbi(sequences)):
         at = 0
@@ -324,7 +319,7 @@ def crf_spans(model: Crf, texts: list[str]) -> list[list[Span]]:
     return out
 
 
-#: A word with a digit or an @ (no other words are decoded if the margin holds).
+#: A word with a digit or an @; no other words are decoded.
 ODD_WORD = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 
 
