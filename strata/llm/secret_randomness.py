@@ -8,8 +8,8 @@ and below the middle, and lag-one serial correlation.  Fisher's method joins the
 one score.
 
 What prose scores by chance depends on a token's length and alphabet, so the score becomes a p-value
-against a reference for each length class and encoding: prose letters of the same length under the same
-alphabet, from a bounded sample of texts (``REFERENCE_TEXTS``).  Within each length class and encoding,
+against a reference for each length class and encoding: prose of the same length under the same alphabet,
+written as names and paths are, from a bounded sample of texts (``REFERENCE_TEXTS``).  Within each length class and encoding,
 Benjamini-Hochberg at ``FDR`` over all tokens of all documents then sets the cut; it needs the counts of
 tokens by p-value (a reference has ``REFERENCE_SIZE`` members, so at most that many values), not the tokens.
 
@@ -53,8 +53,19 @@ NAMES = tuple(ALPHABETS)
 SIZES = np.array([len(ALPHABETS[n]) for n in NAMES])
 _HOLDS = np.zeros((len(NAMES), 128), bool)
 _INDEX = np.zeros((len(NAMES), 128), np.int64)
+#: Symbols stand in the order of their frequency in prose (small letters, then capitals, digits, others), so
+#: that equal parts of an alphabet, and its two halves, are what prose fills most unevenly.
+FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
+
+
+def _prose_rank(c: str) -> tuple[int, int]:
+    if c.lower() in FREQUENT:
+        return int(c.isupper()), FREQUENT.index(c.lower())
+    return 2 if c.isdigit() else 3, ord(c)
+
+
 for _k, _n in enumerate(NAMES):
-    for _i, _c in enumerate(ALPHABETS[_n]):
+    for _i, _c in enumerate(sorted(ALPHABETS[_n], key=_prose_rank) if not _n.startswith("hex") else ALPHABETS[_n]):
         _HOLDS[_k, ord(_c)], _INDEX[_k, ord(_c)] = True, _i
 
 
@@ -150,30 +161,45 @@ def length_class(lengths: np.ndarray) -> np.ndarray:
     return np.searchsorted(LENGTHS, lengths, "right") - 1
 
 
+def reference_streams(texts: list[str], alphabet: str) -> list[str]:
+    """Prose written the ways that names and paths are, as far as an alphabet allows: run together, in
+    camel case, with numbers, and joined by its special characters."""
+    words = re.findall(r"[a-z]+", " ".join(texts).lower())
+    if alphabet.startswith("0123456789"):  # hex: the letters' places, wrapped to the sixteen symbols
+        return ["".join(alphabet[(ord(c) - 97) % 16] for w in words for c in w)]
+    numbered = [f"{w}{(7919 * k) % 100}" if k % 3 == 0 else w for k, w in enumerate(words)]
+    if "a" not in alphabet:
+        return ["".join(words).upper(), *["".join(numbered).upper()] * ("9" in alphabet)]
+    out = ["".join(words), *["".join(numbered)] * ("9" in alphabet)]
+    if "A" in alphabet:
+        out += ["".join(w.capitalize() for w in words), "".join(w.capitalize() for w in numbered)]
+    return out + [sep.join(words) for sep in "/-_" if sep in alphabet]
+
+
 class Reference:
     """Scores of prose by length class and encoding, sorted; p-values of tokens against them."""
 
     def __init__(self, texts: list[str]):
-        letters = np.frombuffer("".join(re.findall(r"[a-z]+", " ".join(texts).lower())).encode(), np.uint8).astype(np.int64)
         self.scores: dict[tuple[int, int], np.ndarray] = {}
-        if len(letters) < 4 * LENGTHS[-1]:
-            return
-        for c, size in enumerate(LENGTHS):
-            at = (np.arange(REFERENCE_SIZE) * 104_729) % (len(letters) - size)
-            chars = letters[at[:, None] + np.arange(size)[None, :]].reshape(-1)
-            for k, name in enumerate(NAMES):
-                if name.startswith("hex"):  # the letters' places, wrapped to the sixteen symbols
-                    own = np.frombuffer(ALPHABETS[name].encode(), np.uint8).astype(np.int64)[(chars - 97) % 16]
-                else:
-                    own = chars - 32 if name in ("upper", "base32", "base36_upper") else chars
-                self.scores[c, k] = np.sort(battery(own, np.full(REFERENCE_SIZE, size), np.full(REFERENCE_SIZE, k)))
+        for k, name in enumerate(NAMES):
+            streams = [np.frombuffer(x.encode(), np.uint8).astype(np.int64) for x in reference_streams(texts, ALPHABETS[name])]
+            if min(map(len, streams)) < 4 * LENGTHS[-1]:
+                continue
+            each = REFERENCE_SIZE // len(streams)
+            for c, size in enumerate(LENGTHS):
+                chars = []
+                for x in streams:
+                    at = (np.arange(each) * 104_729) % (len(x) - size)
+                    chars.append(x[at[:, None] + np.arange(size)[None, :]].reshape(-1))
+                n = each * len(streams)
+                self.scores[c, k] = np.sort(battery(np.concatenate(chars), np.full(n, size), np.full(n, k)))
 
     def p_values(self, scores: np.ndarray, lengths: np.ndarray, encoding: np.ndarray) -> np.ndarray:
         """The part of the reference that scores as high, in steps of 1 / (size + 1)."""
         out = np.ones(len(scores))
         if self.scores and len(scores):
             classes = length_class(lengths)
-            for key in set(zip(classes.tolist(), encoding.tolist())):
+            for key in set(zip(classes.tolist(), encoding.tolist())) & set(self.scores):
                 own = (classes == key[0]) & (encoding == key[1])
                 ref = self.scores[key]
                 out[own] = (1 + len(ref) - np.searchsorted(ref, scores[own], "left")) / (len(ref) + 1)

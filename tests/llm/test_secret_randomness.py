@@ -45,7 +45,7 @@ def test_random_tokens_are_told_from_prose(spark):
     rng = random.Random(5)
     prose = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(150).collect()]
     keys = [base64.b64encode(rng.randbytes(24)).decode() for _ in range(40)] + ["".join(rng.choice(S.ALPHABETS["base36"]) for _ in range(30)) for _ in range(40)]
-    decoys = ["internationalization_of_words", "thequickbrownfoxjumpsoverthelazydog", "AbstractSingletonProxyFactoryBean", "----------------------", "=" * 30, "0000000000000000000000", "path/to/some/long/directory/name"]
+    decoys = ["internationalization_of_words", "thesecondquarterlyreportofthecompany", "AbstractSingletonProxyFactoryBean", "----------------------", "=" * 30, "0000000000000000000000", "path/to/some/long/directory/name"]
     rows = [(k, f"{t} {key} end", "en", "s", 1) for k, (t, key) in enumerate(zip(prose, keys + decoys * 10))]
     got = {r["doc_id"]: (r["text"], r["discoveries"]) for r in S.find_secrets(frame(spark, rows)).collect()}
     hit = [any(t[d["start"]:d["end"]] == key for d in found) for key, (t, found) in zip(keys, (got[k] for k in range(len(keys))))]
