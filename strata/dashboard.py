@@ -11,21 +11,23 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strata.functions.dates import as_datetime
 from strata.operators import hierarchy as H
 from strata.operators import metrics as M
 from strata.operators import scope as SC
 from strata.operators import trends as T
 from strata.sources.tables import Tables, load_tables
 
-# The trend periods the dashboard offers (days), default 90.
+# The trend periods the dashboard offers (days), default 90; any
+# other number of days works, too.
 TREND_PERIODS = (30, 60, 90, 180, 365)
 
 
 class Dashboard:
-    def __init__(self, spark: SparkSession, tables: Tables, as_of: dt.datetime | None = None):
+    def __init__(self, spark: SparkSession, tables: Tables, as_of: dt.datetime | dt.date | str | None = None):
         self.spark = spark
         self.tables = tables
-        self.as_of = as_of or dt.datetime.now()
+        self.as_of = as_datetime(as_of) if as_of is not None else dt.datetime.now()
         self.location: str | None = None
         self.hierarchy = H.build_hierarchy(tables).persist()
 
@@ -38,8 +40,12 @@ class Dashboard:
         return dash
 
     def options(self, scope: SC.Scope | None = None) -> DataFrame:
-        """The four cascading option lists under ``scope``."""
-        return H.drilldown_options(self.hierarchy, scope)
+        """The four cascading option lists under ``scope``, sorted, "All" first."""
+        return H.drilldown_options(self.hierarchy, scope, with_all=True)
+
+    def notices(self) -> dict[str, str]:
+        """Tables that could not be loaded (their numbers are 0), with the error."""
+        return dict(self.tables.errors)
 
     def select(self, region: str | None = None, city: str | None = None, community: str | None = None,
                academy: str | None = None) -> SC.Scope:
@@ -65,13 +71,12 @@ class Dashboard:
         return M.kpis(self.scoped(scope), self.as_of)
 
     def trends(self, scope: SC.Scope | None = None, days_back: int = 90) -> DataFrame:
-        if days_back not in TREND_PERIODS:
-            raise ValueError(f"days_back must be one of {TREND_PERIODS}")
-        return T.attendance_trends(self.tables, self.scoped(scope), self.as_of, days_back).orderBy("week")
+        if days_back <= 0:
+            raise ValueError("days_back must be a positive number of days")
+        return T.attendance_trends(self.tables, self.scoped(scope), self.as_of, days_back)
 
     def product_mix(self, scope: SC.Scope | None = None) -> DataFrame:
-        return T.product_mix_share(self.scoped(scope)).orderBy("academy_count", "product_type_name",
-                                                                ascending=[False, True])
+        return T.product_mix_share(self.scoped(scope))
 
     def cohort_overview(self, scope: SC.Scope | None = None, n: int = 10) -> DataFrame:
         return T.top_academies_by_cohorts(self.scoped(scope), n)
@@ -83,21 +88,27 @@ class Dashboard:
     def ask(self, question: str, scope: SC.Scope | None = None) -> dict:
         """Answer one plain-language question within ``scope`` (the chat box):
         route it, run the intent's query over the scoped tables, and phrase the
-        answer from at most ``PREVIEW_ROWS`` rows and the row count."""
+        answer; ``rows`` is a bounded preview, ``data`` all rows (lazy)."""
         from pyspark.sql import functions as F
 
-        from strata.functions.routing import route
-        from strata.plans.questions import PREVIEW_ROWS, answer_text
+        from strata.functions.routing import route_corrected
+        from strata.plans.questions import answer_intent, answer_results
         from strata.plans.registry import Ctx
-        from strata.plans.workload import INTENT_FUNCTIONS
 
         intent = (self.spark.createDataFrame([(question,)], "question string")
-                  .select(route(F.col("question")).alias("intent")).first().intent)
-        res = INTENT_FUNCTIONS[intent](Ctx.of(self.spark, self.tables, self.hierarchy, scope), self.as_of)
-        preview = [r.asDict() for r in res.limit(PREVIEW_ROWS).collect()]
-        n = len(preview) if len(preview) < PREVIEW_ROWS else res.count()
-        return {"question": question, "intent": intent, "row_count": n, "rows": preview,
-                "answer": answer_text(intent, n, preview[0] if preview else None)}
+                  .select(route_corrected(F.col("question")).alias("intent")).first().intent)
+        ctx = Ctx.of(self.spark, self.tables, self.hierarchy, scope)
+        got = answer_intent(ctx, intent, self.as_of)
+        data = answer_results(ctx, [intent], self.as_of)[intent] if got["status"] == "success" else None
+        return {"question": question, "data": data, **{k: got[k] for k in ("intent", "status", "row_count", "rows", "answer", "error", "seconds")}}
+
+    def answer_batch(self, questions, scope: SC.Scope | None = None, envelope: str = "standard", results_dir: str | None = None) -> DataFrame:
+        """Envelopes for a table, list or dict of questions (see ``answer_questions``)."""
+        from strata.plans.questions import answer_questions, questions_frame
+        from strata.plans.registry import Ctx
+
+        ctx = Ctx.of(self.spark, self.tables, self.hierarchy, scope)
+        return answer_questions(questions_frame(self.spark, questions), ctx, self.as_of, envelope, results_dir=results_dir)
 
     def reload(self) -> None:
         """Drop cached data and Spark's cached table metadata, then load again

@@ -23,6 +23,12 @@ LADDER = [
 ]
 DEFAULT_INTENT = "snapshot"
 
+# Ours: questions that the ladder above sends to the wrong answer, tried first.
+CORRECTIONS = [
+    ("lowest_skill_rate", [["skill achievement"], ["lowest", "worst"]]),
+    ("attendance_highest", [["attendance rate"], ["best"]]),
+]
+
 # The dashboard's example questions, then its input placeholder.
 EXAMPLE_QUESTIONS = [
     "Which academy has the highest attendance rate?",
@@ -41,10 +47,15 @@ EXAMPLE_QUESTIONS = [
 ]
 
 
-def route(question: Column) -> Column:
+def route_corrected(question: Column) -> Column:
+    """The ladder with our corrections in front of it."""
+    return route(question, CORRECTIONS + LADDER)
+
+
+def route(question: Column, ladder: list | None = None) -> Column:
     q = F.lower(question)
     expr = None
-    for intent, groups in LADDER:
+    for intent, groups in ladder or LADDER:
         cond = None
         for group in groups:
             any_of = None
@@ -54,16 +65,3 @@ def route(question: Column) -> Column:
             cond = any_of if cond is None else (cond & any_of)
         expr = F.when(cond, F.lit(intent)) if expr is None else expr.when(cond, F.lit(intent))
     return expr.otherwise(F.lit(DEFAULT_INTENT))
-
-
-def route_sql(question_sql: str) -> str:
-    """The same ladder as a SQL CASE expression (used by the oracle)."""
-    q = f"lower({question_sql})"
-    whens = []
-    for intent, groups in LADDER:
-        conds = []
-        for group in groups:
-            ors = " OR ".join(f"contains({q}, '{p.replace(chr(39), chr(39) * 2)}')" for p in group)
-            conds.append(f"({ors})")
-        whens.append(f"WHEN {' AND '.join(conds)} THEN '{intent}'")
-    return "CASE " + " ".join(whens) + f" ELSE '{DEFAULT_INTENT}' END"

@@ -17,8 +17,10 @@ SELECT_STATEMENT = r"(?is)(SELECT\s+.*?)(?:;|\n\n|$)"
 # ';' or the end only (the ';' is inside the group and stripped after).
 SQL_FENCE_EXACT = r"(?is)```sql\n(.*?)\n```"
 SELECT_TO_SEMICOLON = r"(?is)(SELECT\s+.*?(?:;|$))"
-# Ours: a statement may also open with WITH.
-STATEMENT = r"(?is)((?:WITH|SELECT)\s+.*?)(?:;|\n\n|$)"
+# Ours: a statement may also open with a common table expression, written as
+# WITH name [(columns)] AS ( -- the plain word "with" is prose.
+WITH_OPENING = r"\bWITH\s+(?:RECURSIVE\s+)?[\w`\"]+\s*(?:\([^)]*\)\s*)?AS\s*\("
+STATEMENT = r"(?is)((?:" + WITH_OPENING + r"|\bSELECT\s+).*?)(?:;|\n\n|$)"
 
 
 def strip_ws(col: Column) -> Column:

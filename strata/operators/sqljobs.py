@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-# Statements that only read: anything else (DDL, DML, SET, CACHE, ...) would run
-# eagerly inside spark.sql(), so it is refused before Spark sees it.
-_QUERY_START = re.compile(r"^(SELECT|WITH|VALUES|TABLE|FROM)\b", re.IGNORECASE)
-_LEADING_COMMENTS = re.compile(r"^(\s+|--[^\n]*(\n|$)|/\*.*?\*/)+", re.DOTALL)
-
+REFUSED = "only a single query statement (SELECT / WITH ...) is accepted"
 
 
 @dataclass
 class Guarded:
+    """``df`` is the capped result or the error table; ``truncated`` tells, when
+    asked for, that the statement has more rows than the cap let through."""
+
     df: DataFrame
     ok: bool
     error: str | None = None
+    truncated: bool | None = None
 
 
 def _error_frame(spark: SparkSession, msg: str, statement: str, error_columns: tuple[str, ...]) -> DataFrame:
@@ -37,31 +36,36 @@ def run_sql(spark: SparkSession, text: str) -> DataFrame:
         return spark.createDataFrame([], T.StructType([]))
 
 
-def guarded_sql(spark: SparkSession, text: str, max_rows: int = 100, eager: bool = False,
-                error_columns: tuple[str, ...] = ("error", "sql")) -> Guarded:
-    """``spark.sql(text).limit(max_rows)``; a parse or analysis failure becomes
+def guarded_sql(spark: SparkSession, text: str, max_rows: int | None = 100, eager: bool = False,
+                error_columns: tuple[str, ...] = ("error", "sql"), tables: dict[str, DataFrame] | None = None) -> Guarded:
+    """The statement's rows, at most ``max_rows`` (None: all); a failure becomes
     a one-row ``(error, sql)`` table (or ``(error, query)`` / ``(error)``, the
-    reference's other shapes, via ``error_columns``).  Only one read-only query statement is
-    run (checked on its first keyword before Spark sees it); a ';' inside the
-    text is refused rather than split.
+    other shapes, via ``error_columns``).
+
+    Only queries run, and Spark's parser is the judge: the text is only ever
+    parsed inside a subquery, where nothing but one query is grammatical, so
+    DML behind a WITH or FROM, DDL, SET and several statements do not parse
+    there and never run.  ``tables`` names DataFrames that the text refers to
+    as ``{name}``.
 
-    The cap is always applied (a text test for 'LIMIT' is fooled by names like
-    ``credit_limit``).  Errors that only show at run time (ANSI casts, division
-    by zero) surface on use; ``eager=True`` runs the capped result once to
-    catch them here.
+    Errors that only show at run time (ANSI casts, division by zero) surface on
+    use; ``eager=True`` runs the query once to catch them here and sets
+    ``truncated``.
     """
     statement = text.strip().rstrip(";").strip()
-    body = _LEADING_COMMENTS.sub("", statement)
-    if not _QUERY_START.match(body) or ";" in body:
-        msg = "only a single query statement (SELECT / WITH ...) is accepted"
-        return Guarded(_error_frame(spark, msg, statement, error_columns), False, msg)
     try:
-        df = spark.sql(statement).limit(max_rows)
+        # the line breaks keep a closing comment from swallowing the bracket
+        full = spark.sql(f"SELECT * FROM (\n{statement}\n)", **(tables or {}))
+        capped = full if max_rows is None else full.limit(max_rows)
+        truncated = None
         if eager:
-            df.take(1)
-        return Guarded(df, True)
-    except (ParseException, AnalysisException) as exc:
-        msg = str(exc).splitlines()[0]
+            truncated = False if max_rows is None else bool(full.offset(max_rows).limit(1).take(1))
+            capped.take(1)
+        return Guarded(capped, True, truncated=truncated)
+    except ParseException as exc:
+        msg = f"{REFUSED}: {exc}"
+    except AnalysisException as exc:
+        msg = str(exc)
     except Exception as exc:  # runtime failure under eager=True
-        msg = f"{type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}"
+        msg = f"{type(exc).__name__}: {exc}"
     return Guarded(_error_frame(spark, msg, statement, error_columns), False, msg)

@@ -2,33 +2,42 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import os
+import time
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from strata.functions.routing import DEFAULT_INTENT, EXAMPLE_QUESTIONS, LADDER, route
-
-ANSWER_SCHEMA = "intent string, sql string, answer string, row_count long, result_json string"
-
-# Intent -> registered query that answers it.
-INTENT_QUERY = {
-    "attendance_highest": "k01_attendance_highest",
-    "attendance_lowest": "k02_attendance_lowest",
-    "inactive": "k03_inactive_participants",
-    "session_duration": "k04_duration_by_region",
-    "top_skilled": "k05_top_skilled",
-    "top_skills": "k07_top_skills",
-    "last_week": "k08_last_week",
-    "active_communities": "k09_active_communities",
-    "attendance_by_product": "k10_attendance_by_product",
-    "quarter_trend": "k11_quarter_trend",
-    "weekday": "k12_weekday",
-    "enrollment_growth": "k13_enrollment_growth",
-    "snapshot": "kpi_overall",
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+
+from strata.functions.routing import EXAMPLE_QUESTIONS, route, route_corrected
+
+ANSWER_SCHEMA = ("intent string, status string, answer string, sql string, row_count long, seconds double, "
+                 "preview_json string, results string, error string")
+
+# The order in which an intent's rows are shown (and its answer is phrased from
+# the first one); answers with an order of their own repeat it here.
+INTENT_ORDER = {
+    "attendance_highest": "attendance_rate DESC, academy_code",
+    "attendance_lowest": "attendance_rate, academy_code",
+    "inactive": "participant_id",
+    "session_duration": "region_id",
+    "top_skilled": "skills_achieved DESC, participant_id",
+    "lowest_skill_rate": "skill_rate, academy_code",
+    "top_skills": "achievements DESC, skill_id",
+    "last_week": "sessions_scheduled",
+    "active_communities": "active_participants DESC, community_id",
+    "attendance_by_product": "product_type_name",
+    "quarter_trend": "quarter DESC",
+    "weekday": "rank",
+    "enrollment_growth": "month DESC",
+    "snapshot": "total_participants",
 }
+# Intents that are sums of the same (academy, date) attendance counts.
+DAILY_INTENTS = ("attendance_highest", "attendance_lowest", "attendance_by_product", "quarter_trend", "weekday")
 
-PREVIEW_ROWS = 15
+PREVIEW_ROWS = 15  # rows shown with an answer; the full rows are DataFrames (``answer_results``)
 
 
 def questions_from_events(events: DataFrame) -> DataFrame:
@@ -62,101 +71,117 @@ def questions_frame(spark: SparkSession, model_input) -> DataFrame:
 
 
 def route_questions(questions: DataFrame) -> DataFrame:
-    return questions.withColumn("intent", route(F.col("question")))
+    """``intent`` by the dashboard's ladder and ``intent_corrected`` by ours."""
+    q = F.col("question")
+    return questions.withColumn("intent", route(q)).withColumn("intent_corrected", route_corrected(q))
+
+
+def _change(value, unit: str) -> str:
+    return "" if value is None else f" ({value:+.1f} {unit})"
 
 
 def answer_text(intent: str, n: int, r: dict | None) -> str:
-    """Deterministic answer sentence from the row count and the first row."""
+    """Deterministic answer sentence from the row count and the first row in
+    the intent's order."""
     if n == 0 or r is None:
         return "The query returned no results."
     texts = {
-        "attendance_highest": lambda: "Academy %s has the highest attendance rate: %.1f%% over %d records."
-        % (r["academy_code"], r["attendance_rate"], r["attendance_rows"]),
-        "attendance_lowest": lambda: "Academy %s has the lowest attendance rate: %.1f%% over %d records."
-        % (r["academy_code"], r["attendance_rate"], r["attendance_rows"]),
-        "inactive": lambda: "%d participants have not attended in the last 30 days." % n,
-        "session_duration": lambda: "Average session duration by region (%d regions); e.g. %s: %.0f minutes."
-        % (n, r["region_name"], r["avg_duration"]),
-        "top_skilled": lambda: "Participant %d leads with %d distinct skills."
-        % (r["participant_id"], r["skills_achieved"]),
-        "top_skills": lambda: "Most achieved skill this month: %d (%d achievements)."
-        % (r["skill_id"], r["achievements"]),
-        "last_week": lambda: "Last week: %d sessions scheduled, %d attendance records, %.1f contact hours."
-        % (r["sessions_scheduled"], r["attendance_rows"], r["contact_hours"]),
-        "active_communities": lambda: "Community %s has the most active participants (%d)."
-        % (r["community_name"], r["active_participants"]),
-        "attendance_by_product": lambda: "Attendance by product type (%d types); e.g. %s: %.1f%%."
-        % (n, r["product_type_name"], r["attendance_rate"]),
-        "quarter_trend": lambda: "Attendance rate per quarter over %d quarters." % n,
-        "weekday": lambda: "Best day: %s at %.1f%%." % (r["day_name"], r["attendance_rate"]),
-        "enrollment_growth": lambda: "Enrolment per month over %d months." % n,
-        "snapshot": lambda: "Snapshot: %d participants, %d sessions, attendance rate %.1f%%, %d skill achievements."
-        % (r["total_participants"], r["total_sessions"], r["attendance_rate"], r["total_achievements"]),
+        "attendance_highest": lambda: f"Academy {r['academy_code']} has the highest attendance rate: "
+                                      f"{r['attendance_rate']:.1f}% over {r['attendance_rows']:,} records.",
+        "attendance_lowest": lambda: f"Academy {r['academy_code']} has the lowest attendance rate: "
+                                     f"{r['attendance_rate']:.1f}% over {r['attendance_rows']:,} records.",
+        "inactive": lambda: f"{n:,} participants have not attended in the last 30 days.",
+        "session_duration": lambda: f"Average session duration by region ({n:,} regions); e.g. {r['region_name']}: "
+                                    f"{r['avg_duration']:.0f} minutes.",
+        "top_skilled": lambda: f"Participant {r['participant_id']} leads with {r['skills_achieved']:,} distinct skills.",
+        "lowest_skill_rate": lambda: f"Academy {r['academy_code']} has the lowest skill achievement rate: "
+                                     f"{r['skill_rate']:.2f} per participant.",
+        "top_skills": lambda: f"Most achieved skill this month: {r['skill_id']} ({r['achievements']:,} achievements).",
+        "last_week": lambda: f"Last week: {r['sessions_scheduled']:,} sessions scheduled, {r['attendance_rows']:,} "
+                             f"attendance records, {r['contact_hours']:,.1f} contact hours.",
+        "active_communities": lambda: f"Community {r['community_name']} has the most active participants "
+                                      f"({r['active_participants']:,}).",
+        "attendance_by_product": lambda: f"Attendance by product type ({n:,} types); e.g. {r['product_type_name']}: "
+                                         f"{r['attendance_rate']:.1f}%.",
+        "quarter_trend": lambda: "Attendance is " + (
+            "steady" if not r["change_pct_points"] else "improving" if r["change_pct_points"] > 0 else "declining")
+        + f": {r['attendance_rate']:.1f}% in the quarter from {r['quarter']}{_change(r['change_pct_points'], 'points')}, "
+          f"over {n:,} quarters.",
+        "weekday": lambda: f"Best day: {r['day_name']} at {r['attendance_rate']:.1f}%.",
+        "enrollment_growth": lambda: f"{r['new_participants']:,} participants enrolled in the month from {r['month']}"
+                                     f"{_change(r['mom_pct'], '% on the month before')}, {r['running_total']:,} in "
+                                     f"{n:,} months.",
+        "snapshot": lambda: f"Snapshot: {r['total_participants']:,} participants, {r['total_sessions']:,} sessions, "
+                            f"attendance rate {r['attendance_rate']:.1f}%, {r['total_achievements']:,} skill achievements.",
     }
     try:
         return texts[intent]()
-    except (TypeError, KeyError):  # a NULL value (e.g. all durations missing) or an unexpected row shape
-        return "The query returned %d rows." % n
+    except (TypeError, KeyError, ValueError):  # a NULL value (e.g. all durations missing) or an unexpected row shape
+        return f"The query returned {n:,} rows."
 
 
-def _intent_row(spark: SparkSession, sf_dir: str, queries: dict, intent: str, key: str,
-                preview_rows: int = PREVIEW_ROWS, scope=None) -> tuple:
-    """At most ``preview_rows`` rows come back (a limit; a top-k for ordered
-    answers); the full count runs only when the preview is full."""
-    if scope is None:
-        res = queries[key](spark, sf_dir)
-    else:
-        from strata.plans.registry import Ctx
-        from strata.plans.workload import INTENT_FUNCTIONS
-        res = INTENT_FUNCTIONS[intent](Ctx(spark, sf_dir, scope))
-    preview = [r.asDict() for r in res.limit(preview_rows).collect()]
-    n = len(preview) if len(preview) < preview_rows else res.count()
-    answer = answer_text(intent, n, preview[0] if preview else None)
-    return (intent, f"query:{key}", answer, n, json.dumps(preview, default=str))
-
-
-def intent_answers(spark: SparkSession, sf_dir: str, queries: dict, parallelism: int = 4,
-                   preview_rows: int = PREVIEW_ROWS, scope=None) -> DataFrame:
-    """One row per intent: its answer, row count and a JSON preview.
-
-    Each intent's query runs once (plus a count when its answer has more than
-    ``preview_rows`` rows: the reference shows 15, 20 or 10), whatever the
-    number of questions.  The intents are
-    independent jobs, submitted from a few threads so the scheduler overlaps
-    them.  Only a bounded preview per intent reaches the driver; the 13 rows
-    then form the answer table.
-    """
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        futures = [pool.submit(_intent_row, spark, sf_dir, queries, intent, key, preview_rows, scope)
-                   for intent, key in INTENT_QUERY.items()]
-        rows = [f.result() for f in futures]
-    return spark.createDataFrame(rows, ANSWER_SCHEMA)
-
-
-def answer_questions(spark: SparkSession, questions: DataFrame, sf_dir: str, queries: dict,
-                     envelope: str = "standard", scope=None) -> DataFrame:
-    """Envelope per question: status, question, answer, sql, row_count,
-    execution_time, timestamp, error.  ``envelope="extended"`` gives the
-    reference's other shape: result_count, execution_time_seconds, model,
-    sql_query and raw_results instead.  The per-intent answer table has one
-    row per intent (a fixed, small set), so it is broadcast to the questions.
-    With ``scope`` every answer is computed within that drill-down scope."""
-    answers = intent_answers(spark, sf_dir, queries, scope=scope)
-    routed = route_questions(questions)
+def answer_results(ctx, intents: list[str], as_of) -> dict[str, DataFrame]:
+    """The full answer of each intent as a lazy DataFrame.  ``as_of`` is one
+    clock, or a function of the intent."""
+    from strata.plans.workload import INTENT_FUNCTIONS
+
+    return {i: INTENT_FUNCTIONS[i](ctx, as_of(i) if callable(as_of) else as_of) for i in intents}
+
+
+def answer_intent(ctx, intent: str, as_of, preview_rows: int = PREVIEW_ROWS, results_dir: str | None = None) -> dict:
+    """One intent's answer: rows are counted and the first ``preview_rows`` in
+    its order taken in one pass (a top-k).  With ``results_dir`` all rows are
+    written below it.  A failure becomes an answer with status "error"."""
+    begun = time.perf_counter()
+    out = dict.fromkeys(("answer", "row_count", "preview_json", "results", "error"))
+    out |= {"intent": intent, "status": "success", "sql": f"query:{intent}", "rows": []}
+    try:
+        res = answer_results(ctx, [intent], as_of)[intent]
+        if results_dir:
+            out["results"] = os.path.join(results_dir, intent)
+            res.write.mode("overwrite").parquet(out["results"])
+            res = ctx.spark.read.parquet(out["results"])
+        seen = Observation()
+        top = res.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*[F.expr(c.removesuffix(" DESC")).desc() if c.endswith(" DESC")
+                                                                       else F.expr(c).asc() for c in INTENT_ORDER[intent].split(", ")])
+        out["rows"] = [r.asDict() for r in top.limit(preview_rows).collect()]
+        n = seen.get["n"]
+        out |= {"row_count": n, "answer": answer_text(intent, n, out["rows"][0] if out["rows"] else None),
+                "preview_json": json.dumps(out["rows"], default=str)}
+    except Exception as exc:  # one failing intent must not lose the batch
+        out |= {"status": "error", "error": f"{type(exc).__name__}: {exc}", "answer": f"Error executing query: {exc}"}
+    return out | {"seconds": round(time.perf_counter() - begun, 6)}
+
+
+def answer_questions(questions: DataFrame, ctx, as_of: dt.datetime | Callable[[str], dt.datetime],
+                     envelope: str = "standard", parallelism: int = 4, preview_rows: int = PREVIEW_ROWS,
+                     results_dir: str | None = None) -> DataFrame:
+    """Envelope per question over any tables and scope (a ``Ctx``): status,
+    question, answer, sql, row_count, execution_time, timestamp, error.
+    ``envelope="extended"`` gives the other shape: result_count,
+    execution_time_seconds, model, sql_query and raw_results (the folder that
+    holds all rows, if ``results_dir`` is given).
+
+    The questions are routed first and only the intents that occur are run, each
+    once, from a few threads.  The driver sees a bounded preview per intent; that
+    answer table (at most one row per intent of the ladder) is broadcast."""
+    routed = route_questions(questions).withColumn("intent", F.col("intent_corrected")).drop("intent_corrected")
+    intents = sorted(r["intent"] for r in routed.select("intent").distinct().collect())
+    with ctx.shared_daily(sum(i in DAILY_INTENTS for i in intents) > 1):
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            rows = list(pool.map(lambda i: answer_intent(ctx, i, as_of, preview_rows, results_dir), intents))
+    names = [c.split()[0] for c in ANSWER_SCHEMA.split(", ")]
+    answers = ctx.spark.createDataFrame([tuple(r[c] for c in names) for r in rows], ANSWER_SCHEMA)
     out = routed.join(F.broadcast(answers), "intent", "left")
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
     if envelope == "extended":
         return out.select(
-            "question_id", F.lit("success").alias("status"), "question", "intent", "answer",
-            F.col("row_count").alias("result_count"), F.lit(None).cast("double").alias("execution_time_seconds"),
-            F.lit(None).cast("string").alias("model"), F.col("sql").alias("sql_query"),
-            F.col("result_json").alias("raw_results"), stamp, F.lit(None).cast("string").alias("error"))
-    return out.select(
-        "question_id", F.lit("success").alias("status"), "question", "intent", "answer", "sql", "row_count",
-        F.lit(None).cast("double").alias("execution_time"), stamp,
-        F.lit(None).cast("string").alias("error"), "result_json")
-
-
-__all__ = ["questions_from_events", "questions_frame", "route_questions", "answer_questions", "intent_answers",
-           "answer_text",
-           "INTENT_QUERY", "LADDER", "DEFAULT_INTENT"]
+            "question_id", "status", "question", "intent", "answer", F.col("row_count").alias("result_count"),
+            F.col("seconds").alias("execution_time_seconds"), F.lit(None).cast("string").alias("model"),
+            F.col("sql").alias("sql_query"), F.col("results").alias("raw_results"), "preview_json", stamp, "error")
+    return out.select("question_id", "status", "question", "intent", "answer", "sql", "row_count",
+                      F.col("seconds").alias("execution_time"), stamp, "error", "preview_json")
+
+
+__all__ = ["questions_from_events", "questions_frame", "route_questions", "answer_questions", "answer_intent",
+           "answer_results", "answer_text"]

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -55,6 +56,22 @@ class Ctx:
         self.hierarchy = slot["hierarchy"]
         self.scope = scope or SC.Scope()
         self.scoped = SC.apply_scope(self.tables, self.hierarchy, self.scope)
+        self.daily: DataFrame | None = None
+
+    @contextmanager
+    def shared_daily(self, wanted: bool = True):
+        """Within the block, queries that sum attendance share one aggregate by
+        academy and date (academies x days, however many rows attended)."""
+        from strata.plans.workload import daily_attendance
+
+        if wanted:
+            self.daily = daily_attendance(self).persist()
+        try:
+            yield self
+        finally:
+            if wanted:
+                self.daily.unpersist()
+                self.daily = None
 
     @classmethod
     def of(cls, spark: SparkSession, tables: Tables, hierarchy: DataFrame, scope: SC.Scope | None = None) -> "Ctx":
@@ -63,6 +80,7 @@ class Ctx:
         c.spark, c.sf_dir, c.tables, c.hierarchy = spark, None, tables, hierarchy
         c.scope = scope or SC.Scope()
         c.scoped = SC.apply_scope(tables, hierarchy, c.scope)
+        c.daily = None
         return c
 
 

@@ -27,11 +27,15 @@ def test_metrics_trends_views(dash):
     assert (m.total_participants, m.total_sessions, m.total_attendances) == (4, 4, 6)
     weeks = [(r.week, r.total_attendances) for r in dash.trends(north, 90).collect()]
     assert weeks == [(dt.date(2024, 1, 1), 1), (dt.date(2024, 3, 25), 3)]
+    assert [r.week for r in dash.trends(north, 7).collect()] == [dt.date(2024, 3, 25)]
     with pytest.raises(ValueError):
-        dash.trends(north, 45)
+        dash.trends(north, 0)
     assert [r.product_type_name for r in dash.product_mix().collect()] == ["Youth", "Elite"]
     assert [r.cohort_count for r in dash.cohort_overview().collect()] == [2, 1, 1]
-    assert {r.level for r in dash.options(north).collect()} == {"region", "city", "community", "academy"}
+    options = [(r.level, r.option_name) for r in dash.options(north).collect()]
+    assert [o for lv, o in options if lv == "region"] == ["All", "North", "South"]
+    assert [lv for lv, o in options if o == "All"] == ["region", "city", "community", "academy"]
+    assert [o for lv, o in options if lv == "academy"] == ["All", "AC1", "AC2"]
     assert dash.all_levels().filter("level = 'all'").first().total_participants == 5
 
 

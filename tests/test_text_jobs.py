@@ -40,6 +40,9 @@ CASES = [
     ("```\nWITH w AS (SELECT 1) SELECT * FROM w\n```", "SELECT 1) SELECT * FROM w\n```",
      "WITH w AS (SELECT 1) SELECT * FROM w"),
     ("  nothing here  ", "nothing here", "nothing here"),
+    ("Here is a query with the counts per type: SELECT a FROM t;", "SELECT a FROM t", "SELECT a FROM t"),
+    ("You could go with this one.", "You could go with this one.", "You could go with this one."),
+    ("Try WITH w (a, b) AS (SELECT 1, 2) SELECT a FROM w; ok", "SELECT 1, 2) SELECT a FROM w", "WITH w (a, b) AS (SELECT 1, 2) SELECT a FROM w"),
 ]
 
 
@@ -72,11 +75,12 @@ def test_shared_ladder_equals_column_functions(spark):
 
 
 def test_answer_envelopes(spark):
-    import __spark_entry__ as E
     from strata.plans.questions import answer_questions, questions_frame
+    from strata.plans.registry import AS_OF, Ctx
+    c = Ctx(spark, "/root/testdata/sf0.001")
     qs = ["Which day of the week has the best attendance?", "What is going on?",
           "How many sessions were scheduled last week?"]
-    out = answer_questions(spark, questions_frame(spark, qs), "/root/testdata/sf0.001", E.queries())
+    out = answer_questions(questions_frame(spark, qs), c, AS_OF)
     rows = {r.question: r for r in out.collect()}
     assert len(rows) == 3 and all(r.status == "success" and r.error is None for r in rows.values())
     assert rows[qs[0]].intent == "weekday" and rows[qs[0]].answer.startswith("Best day: ")
@@ -84,20 +88,79 @@ def test_answer_envelopes(spark):
     assert rows[qs[2]].answer.startswith("Last week: ")
     assert set(out.columns) >= {"status", "question", "answer", "sql", "row_count", "execution_time", "timestamp",
                                 "error"}
-    ext = answer_questions(spark, questions_frame(spark, qs[:1]), "/root/testdata/sf0.001", E.queries(),
-                           envelope="extended")
+    assert all(r.execution_time > 0 for r in rows.values())
+    ext = answer_questions(questions_frame(spark, qs[:1]), c, AS_OF, envelope="extended")
     assert {"result_count", "execution_time_seconds", "model", "sql_query", "raw_results"} <= set(ext.columns)
     assert ext.first().result_count == 7
 
 
+def test_full_answers_leave_as_tables(spark, tmp_path):
+    from strata.plans.questions import PREVIEW_ROWS, answer_questions, answer_results, questions_frame
+    from strata.plans.registry import AS_OF, Ctx
+    c = Ctx(spark, "/root/testdata/sf0.001")
+    q = questions_frame(spark, ["Show me participants who haven't attended in the last 30 days"])
+    r = answer_questions(q, c, AS_OF, envelope="extended", results_dir=str(tmp_path)).first()
+    assert r.result_count > PREVIEW_ROWS
+    assert spark.read.parquet(r.raw_results).count() == r.result_count == answer_results(c, ["inactive"], AS_OF)["inactive"].count()
+    import json
+    shown = [x["participant_id"] for x in json.loads(r.preview_json)]
+    assert len(shown) == PREVIEW_ROWS and shown == sorted(shown)
+
+
+def test_one_failing_intent_keeps_the_rest(spark, monkeypatch):
+    from strata.plans import workload
+    from strata.plans.questions import answer_questions, questions_frame
+    from strata.plans.registry import AS_OF, Ctx
+
+    def broken(c, as_of):
+        raise ValueError("no such table")
+
+    monkeypatch.setitem(workload.INTENT_FUNCTIONS, "weekday", broken)
+    qs = ["Which day of the week has the best attendance?", "What is going on?"]
+    rows = {r.intent: r for r in answer_questions(questions_frame(spark, qs), Ctx(spark, "/root/testdata/sf0.001"), AS_OF).collect()}
+    assert rows["weekday"].status == "error" and rows["weekday"].answer == "Error executing query: no such table"
+    assert "no such table" in rows["weekday"].error and rows["snapshot"].status == "success"
+
+
+def test_only_routed_intents_run(spark, monkeypatch):
+    from strata.plans import workload
+    from strata.plans.questions import answer_questions, questions_frame
+    from strata.plans.registry import AS_OF, Ctx
+    ran = []
+    for name, fn in list(workload.INTENT_FUNCTIONS.items()):
+        monkeypatch.setitem(workload.INTENT_FUNCTIONS, name, lambda c, a, n=name, f=fn: (ran.append(n), f(c, a))[1])
+    answer_questions(questions_frame(spark, ["Which academy has the best attendance rate?", "quarter trend"]), Ctx(spark, "/root/testdata/sf0.001"), AS_OF)
+    assert sorted(ran) == ["attendance_highest", "quarter_trend"]
+
+
+def test_corrected_router(spark):
+    from strata.functions.routing import route_corrected
+    qs = ["List academies with the lowest skill achievement rates", "Which academy has the best attendance rate?", "Which participants have achieved the most skills?"]
+    got = [r.i for r in spark.createDataFrame([(q,) for q in qs], "question string").select(route_corrected(F.col("question")).alias("i")).collect()]
+    assert got == ["lowest_skill_rate", "attendance_highest", "top_skilled"]
+
+
 def test_guarded_sql_refuses_statements_that_write(spark):
     spark.range(3).write.mode("overwrite").saveAsTable("guard_keep")
     try:
         for text in ("DROP TABLE guard_keep", "  -- note\n insert into guard_keep values (9)",
-                     "SELECT 1; DROP TABLE guard_keep", "SET spark.sql.shuffle.partitions=1"):
+                     "SELECT 1; DROP TABLE guard_keep", "SET spark.sql.shuffle.partitions=1",
+                     "WITH t AS (SELECT 1 AS a) INSERT INTO guard_keep SELECT * FROM t",
+                     "FROM (SELECT 2 AS a) INSERT INTO guard_keep SELECT a", "WITH t AS (SELECT 1 AS a) DELETE FROM guard_keep",
+                     "UPDATE guard_keep SET id = 1", "MERGE INTO guard_keep USING guard_keep AS s ON true WHEN MATCHED THEN DELETE",
+                     "CREATE TABLE guard_new AS SELECT 1 AS a", "CACHE TABLE guard_keep", "SELECT 1) INSERT INTO guard_keep (SELECT 2",
+                     "INSERT INTO guard_keep VALUES (1) --", "TRUNCATE TABLE guard_keep"):
             g = guarded_sql(spark, text)
-            assert not g.ok and g.df.first().error.startswith("only a single query")
-        assert spark.table("guard_keep").count() == 3
+            assert not g.ok and g.df.first().error, text
+        assert sorted(r.id for r in spark.table("guard_keep").collect()) == [0, 1, 2]
+        assert guarded_sql(spark, "(SELECT 1 AS one)").df.first().one == 1
+        assert guarded_sql(spark, "SELECT ';' AS x;").df.first().x == ";"
+        assert guarded_sql(spark, "SELECT 1 AS one -- the end").df.first().one == 1
+        assert guarded_sql(spark, "SELECT id FROM {t} ORDER BY id DESC", tables={"t": spark.range(5)}).df.first().id == 4
+        many = guarded_sql(spark, "SELECT id FROM range(500) ORDER BY id DESC", eager=True)
+        assert many.truncated and many.df.count() == 100 and many.df.first().id == 499
+        every = guarded_sql(spark, "SELECT id FROM range(500)", max_rows=None, eager=True)
+        assert every.truncated is False and every.df.count() == 500
         ok = guarded_sql(spark, "/* c */ WITH t AS (SELECT * FROM guard_keep) SELECT count(*) AS n FROM t")
         assert ok.ok and ok.df.first().n == 3
     finally:
@@ -135,11 +198,11 @@ def test_answer_text_survives_nulls():
 
 
 def test_answers_within_a_scope(spark):
-    import __spark_entry__ as E
     from strata.operators.scope import Scope
     from strata.plans.questions import answer_questions, questions_frame
+    from strata.plans.registry import AS_OF, Ctx
     q = questions_frame(spark, ["Give me a snapshot"])
-    everything = answer_questions(spark, q, "/root/testdata/sf0.001", E.queries()).first()
-    region1 = answer_questions(spark, q, "/root/testdata/sf0.001", E.queries(), scope=Scope(region_id=1)).first()
+    everything = answer_questions(q, Ctx(spark, "/root/testdata/sf0.001"), AS_OF).first()
+    region1 = answer_questions(q, Ctx(spark, "/root/testdata/sf0.001", Scope(region_id=1)), AS_OF).first()
     assert everything.intent == region1.intent == "snapshot"
     assert everything.answer != region1.answer  # fewer participants within region 1
