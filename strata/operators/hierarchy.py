@@ -38,10 +38,11 @@ def build_hierarchy(tables: Tables) -> DataFrame:
     return h.select(*HIERARCHY_COLUMNS)
 
 
-def drilldown_options(hierarchy: DataFrame, scope=None) -> DataFrame:
+def drilldown_options(hierarchy: DataFrame, scope=None, with_all: bool = False) -> DataFrame:
     """The cascading option lists: for each level, the distinct non-null labels
     under the parents chosen in ``scope`` (each with the smallest id bearing it),
-    columns ``level, level_order, option_name, option_id``.
+    columns ``level, level_order, option_name, option_id``, sorted as shown:
+    by level, then label.  ``with_all`` puts "All" (no id) first in every list.
 
     As in the dashboard, a level is narrowed only by the choices above it.
     """
@@ -63,7 +64,13 @@ def drilldown_options(hierarchy: DataFrame, scope=None) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    if with_all:
+        spark = hierarchy.sparkSession
+        every = spark.createDataFrame([(lv, k, "All", None) for k, lv in enumerate(LEVELS)],
+                                      "level string, level_order int, option_name string, option_id long")
+        out = every.unionByName(out)
+    return out.orderBy("level_order", F.coalesce((F.col("option_name") != "All") | F.col("option_id").isNotNull(), F.lit(True)),
+                       "option_name")
 
 
 def resolve_names(hierarchy: DataFrame, level: str) -> DataFrame:

@@ -119,11 +119,11 @@ def kpis_rollup(tables: Tables, hierarchy: DataFrame, as_of) -> DataFrame:
     and the value its distinct measure counts -- sessions per (academy, date),
     attendance per (academy, participant), skills per (academy, skill) and
     (academy, participant); participants per academy -- with its additive
-    parts (rows, flags, sums) alongside.  The grains are stacked as tagged rows
-    and aggregated once over the grouping sets region > city > community >
-    academy with the value in every set: that de-duplicates values per level
-    node while summing the parts.  A second, small aggregation per node then
-    counts the values (the distinct measure) and adds up the parts.  The
+    parts (rows, flags, sums) alongside.  The grains are stacked as tagged rows,
+    shuffled once by (measure, value), and de-duplicated bottom-up: academies
+    to communities, cities, regions and the total, each level from the one
+    below.  A small aggregation per node then counts the values (the distinct
+    measure) and adds up the parts.  The
     hierarchy itself is stacked in too, so every academy and every parent gets
     a row (zeros when it has no facts); the grouping id tells a subtotal from a
     NULL parent stored in the data.
@@ -160,14 +160,19 @@ def kpis_rollup(tables: Tables, hierarchy: DataFrame, as_of) -> DataFrame:
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), grains)
     parts = [c for c in stacked.columns if c not in ("academy_id", "measure", "value")]
 
-    # value leads the grouping columns and is in every set, so its grouping
-    # bit is the most significant and always 0: gid is 0/1/3/7/15 as in rollup.
-    keys = ["value", "measure", *ROLLUP_KEYS]
-    sets = [keys[:n] for n in range(len(keys), 1, -1)]
-    per_value = (stacked.join(h, "academy_id").groupingSets(sets, *keys)
-                 .agg(F.grouping_id().alias("gid"), *[F.sum(c).alias(c) for c in parts]))
-    per_node = per_value.groupBy("measure", *ROLLUP_KEYS, "gid").agg(
-        F.count("value").alias("distinct_values"), *[F.sum(c).alias(c) for c in parts])
+    # One shuffle by the value serves all levels: the hierarchy is a tree, so each
+    # level's de-duplicated values follow from the level below, in place.
+    sums = [F.sum(c).alias(c) for c in parts]
+    level_rows = stacked.join(h, "academy_id").repartition("measure", "value")
+    nodes = []
+    for depth, gid in zip(range(len(ROLLUP_KEYS), -1, -1), LEVEL_OF_GROUPING):
+        keys = ROLLUP_KEYS[:depth]
+        level_rows = level_rows.groupBy("measure", "value", *keys).agg(*sums)
+        node = level_rows.groupBy("measure", *keys).agg(F.count("value").alias("distinct_values"), *sums)
+        nodes.append(node.select(
+            "measure", *[F.col(k) if k in keys else F.lit(None).cast(h.schema[k].dataType).alias(k) for k in ROLLUP_KEYS],
+            F.lit(gid).cast("long").alias("gid"), "distinct_values", *parts))
+    per_node = reduce(lambda a, b: a.unionByName(b), nodes)
 
     def pick(measure: str, col: str, name: str):
         return F.max(F.when(F.col("measure") == measure, F.col(col))).alias(name)
@@ -185,7 +190,3 @@ def kpis_rollup(tables: Tables, hierarchy: DataFrame, as_of) -> DataFrame:
     out = _finish(wide, out_keys)
     level = F.create_map(*[x for g, name in LEVEL_OF_GROUPING.items() for x in (F.lit(g), F.lit(name))])
     return out.select(level[F.col("gid")].alias("level"), *[c for c in out.columns])
-
-
-DISTINCT_MEASURES = ("unique_session_days", "participants_attended", "unique_skills_achieved",
-                     "participants_with_achievements")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from strata.functions.dates import as_datetime, on_or_after
 from strata.functions.flags import active, attended
 from strata.sources.tables import Tables
 
@@ -83,3 +84,29 @@ def sessions_in_range(sessions: DataFrame, start: dt.date | None, end: dt.date |
     if end is not None:
         out = out.filter(F.col("session_date") <= F.lit(end))
     return out
+
+
+# The month of its session, which the written layout adds to both fact tables.
+MONTH_COLUMN = "session_month"
+
+
+def _recent_months(df: DataFrame, as_of, days_back: int) -> DataFrame:
+    """Only the months that a trailing window can touch, where the table is
+    partitioned by month: a constant predicate on the partition column."""
+    if MONTH_COLUMN not in df.columns:
+        return df
+    first = (as_datetime(as_of) - dt.timedelta(days=days_back)).date().replace(day=1)
+    return df.filter(F.col(MONTH_COLUMN) >= F.lit(first))
+
+
+def sessions_since(sessions: DataFrame, as_of, days_back: int) -> DataFrame:
+    """Sessions of the trailing window."""
+    return _recent_months(sessions, as_of, days_back).filter(on_or_after("session_date", as_of, days_back))
+
+
+def attendance_in(tables: Tables, sessions: DataFrame | None, as_of, days_back: int,
+                  columns: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """Attendance of the months that the window can touch, joined to the given
+    sessions (None: not joined), with ``columns`` of theirs."""
+    a = _recent_months(attendance_normalized(tables), as_of, days_back).drop(MONTH_COLUMN)
+    return a if sessions is None else a.join(sessions.select(*columns), "session_id")

@@ -43,29 +43,35 @@ def top_n(df: DataFrame, keys: Sequence[str], measure: Column, name: str, n: int
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
-    """Rows per category and share of all rows (window over the small aggregate)."""
+    """Rows per category and share of all rows.  The total is a scalar subquery over per-category
+    counts, so a column of any cardinality stays spread over all tasks."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("row_count"))
-    return counts.withColumn(
-        "share_pct", F.round(F.col("row_count") * 100.0 / F.sum("row_count").over(Window.partitionBy()), 6))
+    total = counts.agg(F.sum("row_count")).scalar()
+    return counts.withColumn("share_pct", F.round(F.col("row_count") * 100.0 / total, 6))
 
 
 def summary_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count / min / max / mean / sample stddev per numeric column, one row per
     column.  One aggregation pass for all columns, then ``stack`` to long form.
-    Sums are exact decimals, so mean and stddev do not depend on row order."""
+    Mean and stddev are Spark's own (running moments, no cancellation, any
+    scale), rounded to 9 significant digits, where row order stops mattering."""
     aggs = []
     for c in columns:
-        x = money(c)
+        x = F.col(c).cast("double")
         aggs += [F.count(c).alias(f"{c}__n"), F.min(c).cast("double").alias(f"{c}__min"),
-                 F.max(c).cast("double").alias(f"{c}__max"), F.sum(x).cast("double").alias(f"{c}__s"),
-                 F.sum(x * x).cast("double").alias(f"{c}__ss")]
+                 F.max(c).cast("double").alias(f"{c}__max"), F.avg(x).alias(f"{c}__m"),
+                 F.stddev_samp(x).alias(f"{c}__sd")]
     wide = df.agg(*aggs)
-    parts = ", ".join(f"'{c}', `{c}__n`, `{c}__min`, `{c}__max`, `{c}__s`, `{c}__ss`" for c in columns)
-    long = wide.selectExpr(f"stack({len(columns)}, {parts}) AS (column_name, n, min_value, max_value, s, ss)")
-    mean = F.col("s") / F.col("n")
-    var = F.try_divide(F.col("ss") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1)
+    parts = ", ".join(f"'{c}', `{c}__n`, `{c}__min`, `{c}__max`, `{c}__m`, `{c}__sd`" for c in columns)
+    long = wide.selectExpr(f"stack({len(columns)}, {parts}) AS (column_name, n, min_value, max_value, m, sd)")
+
+    def settled(col: str) -> Column:
+        x = F.col(col)
+        unit = F.pow(F.lit(10.0), 8 - F.floor(F.log10(F.abs(x))))
+        return F.when(x == 0, x).otherwise(F.coalesce(F.round(x * unit) / unit, x))
+
     return long.select("column_name", F.col("n").alias("count"), "min_value", "max_value",
-                       F.round(mean, 6).alias("mean"), F.round(F.sqrt(var), 6).alias("stddev"))
+                       settled("m").alias("mean"), settled("sd").alias("stddev"))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
@@ -93,8 +99,21 @@ def paginate(df: DataFrame, order_by: Sequence[str], page: int, size: int) -> Da
     return df.orderBy(*order_by).offset(page * size).limit(size)
 
 
-def page_after(df: DataFrame, key: str, last_key, size: int) -> DataFrame:
-    """Keyset page: the ``size`` rows after ``last_key``.  For deep pages this
-    avoids sorting past every earlier row: the filter prunes, then a top-k."""
-    out = df if last_key is None else df.filter(F.col(key) > F.lit(last_key))
-    return out.orderBy(key).limit(size)
+def page_after(df: DataFrame, keys: str | Sequence[str], last: Sequence | object | None, size: int) -> DataFrame:
+    """Keyset page: the ``size`` rows after the key values ``last`` in the order
+    of ``keys``.  For deep pages this avoids sorting past every earlier row: the
+    filter prunes, then a top-k.  ``keys`` together must be unique and not NULL
+    (end them with an id), else rows that tie across a page end would be lost:
+    pass every key column, not only the one to sort by first."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    if last is None:
+        return df.orderBy(*keys).limit(size)
+    last = [last] if not isinstance(last, (list, tuple)) else list(last)
+    if len(last) != len(keys):
+        raise ValueError(f"{len(keys)} key columns need as many last values, got {len(last)}")
+    after, same = F.lit(False), F.lit(True)
+    for key, value in zip(keys, last):
+        after = after | (same & (F.col(key) > F.lit(value)))
+        same = same & (F.col(key) == F.lit(value))
+    # the first key alone, stated on its own, can be pushed to the scan
+    return df.filter((F.col(keys[0]) >= F.lit(last[0])) & after).orderBy(*keys).limit(size)

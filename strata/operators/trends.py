@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strata.functions.dates import cutoff, on_or_after, week_start
-from strata.operators.scope import Scoped, attendance_normalized
+from strata.functions.dates import week_start
+from strata.operators.scope import Scoped, attendance_in, sessions_since
 from strata.sources.tables import Tables
 
 
@@ -21,20 +21,16 @@ def attendance_trends(tables: Tables, scoped: Scoped, as_of, days_back: int = 90
     the distinct count runs as a two-level aggregation keyed (week, participant),
     so no single task sees a whole week.
     """
-    s = scoped.sessions.filter(on_or_after("session_date", as_of, days_back))
+    s = sessions_since(scoped.sessions, as_of, days_back)
     if until is not None:
         s = s.filter(F.col("session_date") <= F.lit(until))
-    a = attendance_normalized(tables)
-    if "session_month" in a.columns:
-        # Materialised layout: read only the months the window can touch.
-        first_month = F.trunc(F.to_date(cutoff(as_of, days_back)), "month")
-        a = a.filter(F.col("session_month") >= first_month).drop("session_month")
-    rows = a.join(s.select("session_id", "session_date"), "session_id")
+    rows = attendance_in(tables, s, as_of, days_back, ("session_id", "session_date"))
     return (rows.groupBy(week_start("session_date").alias("week"))
             .agg(F.count_distinct("participant_id").alias("unique_attendees"),
                  F.count("participant_id").alias("total_attendances"),
                  F.round(F.count_if(F.col("attended_normalized")).cast("double") * 100 / F.count(F.lit(1)), 6)
-                 .alias("attendance_rate")))
+                 .alias("attendance_rate"))
+            .orderBy("week"))
 
 
 def product_mix(scoped: Scoped) -> DataFrame:
@@ -42,7 +38,8 @@ def product_mix(scoped: Scoped) -> DataFrame:
     most first."""
     return (scoped.hierarchy.select("academy_id", "product_type_name").distinct()
             .na.drop(subset=["product_type_name"])
-            .groupBy("product_type_name").agg(F.count(F.lit(1)).alias("academy_count")))
+            .groupBy("product_type_name").agg(F.count(F.lit(1)).alias("academy_count"))
+            .orderBy(F.desc("academy_count"), "product_type_name"))
 
 
 def product_mix_share(scoped: Scoped) -> DataFrame:
@@ -50,7 +47,8 @@ def product_mix_share(scoped: Scoped) -> DataFrame:
     The window runs over the tiny per-type aggregate, not over facts."""
     mix = product_mix(scoped)
     total = F.sum("academy_count").over(Window.partitionBy())
-    return mix.withColumn("share_pct", F.round(F.col("academy_count") * 100.0 / total, 6))
+    return (mix.withColumn("share_pct", F.round(F.col("academy_count") * 100.0 / total, 6))
+            .orderBy(F.desc("academy_count"), "product_type_name"))
 
 
 def top_academies_by_cohorts(scoped: Scoped, n: int = 10) -> DataFrame:

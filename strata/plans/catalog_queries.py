@@ -6,7 +6,7 @@ from strata.plans.oracle_base import with_programme
 from strata.plans.registry import Ctx, register
 from strata.sources import catalog as CAT
 from strata.sources import sinks as SK
-from strata.sources.tables import DRIVER_TABLES, driver_tables, register_views
+from strata.sources.tables import DRIVER_TABLES, driver_tables
 
 
 @register("table_row_counts", "\nUNION ALL\n".join(
@@ -17,9 +17,8 @@ def table_row_counts(spark, sf_dir):
 
 @register("schema_context")
 def schema_context(spark, sf_dir):
-    """Rows-only: DESCRIBE over the driver tables' views, one line per table."""
-    register_views(spark, sf_dir)
-    return CAT.schema_context(CAT.describe_tables(spark, list(DRIVER_TABLES)), max_tables=15, max_columns=12)
+    """Rows-only: one line per driver table, from the tables' schemas."""
+    return CAT.schema_context(CAT.describe_frames(spark, dict(driver_tables(spark, sf_dir).items())))
 
 
 @register("weekly_rollup", with_programme("""

@@ -13,11 +13,13 @@ p_region AS (SELECT CAST(r_regionkey AS BIGINT) AS region_id, r_name AS region_n
 p_city AS (SELECT CAST(n_nationkey AS BIGINT) AS city_id, n_name AS city_name,
                   CAST(n_regionkey AS BIGINT) AS region_id FROM nation),
 p_cust AS (
-  SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS nation_id, c_mktsegment,
+  SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS nation_id,
+         CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY') THEN c_mktsegment
+              ELSE 'unknown' END AS c_mktsegment,
          CAST(c_nationkey AS BIGINT) * 3
            + CASE WHEN c_acctbal < 2500 THEN 0 WHEN c_acctbal < 6500 THEN 1 ELSE 2 END AS community_id,
          CAST(CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3
-                                WHEN 'HOUSEHOLD' THEN 4 WHEN 'MACHINERY' THEN 5 END AS BIGINT) AS seg
+                                WHEN 'HOUSEHOLD' THEN 4 WHEN 'MACHINERY' THEN 5 ELSE 0 END AS BIGINT) AS seg
   FROM customer),
 p_community AS (SELECT DISTINCT community_id, 'C' || CAST(community_id AS VARCHAR) AS community_name,
                        nation_id AS city_id FROM p_cust),

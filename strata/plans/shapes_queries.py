@@ -148,19 +148,26 @@ def distribution(spark, sf_dir):
 
 
 _STATS_COLS = ("l_quantity", "l_extendedprice", "l_discount")
+# a column with far more than two decimals
+_FINE, _FINE_SQL = "unit_share", "CAST(l_discount AS DOUBLE) / (1000 + CAST(l_partkey AS DOUBLE))"
+_STATS_NAMES = {_FINE_SQL: _FINE}
 
 
 def _stats_sql(c):
-    x = f"CAST({c} AS DECIMAL(18,2))"
-    s, ss = f"CAST(sum({x}) AS DOUBLE)", f"CAST(sum({x} * {x}) AS DOUBLE)"
-    return (f"SELECT '{c}' AS column_name, count({c}) AS count, CAST(min({c}) AS DOUBLE) AS min_value, "
-            f"CAST(max({c}) AS DOUBLE) AS max_value, round({s} / count({c}), 6) AS mean, "
-            f"round(sqrt(({ss} - {s} * {s} / count({c})) / (count({c}) - 1)), 6) AS stddev FROM lineitem")
+    x = f"CAST({c} AS DOUBLE)" if " " not in c else c
 
+    def nine_digits(y):
+        return f"round({y} * pow(10.0, 8 - floor(log10(abs({y}))))) / pow(10.0, 8 - floor(log10(abs({y}))))"
 
-@register("summary_stats", "\nUNION ALL\n".join(_stats_sql(c) for c in _STATS_COLS))
+    return (f"SELECT '{_STATS_NAMES.get(c, c)}' AS column_name, count({x}) AS count, min({x}) AS min_value, max({x}) AS max_value, "
+            f"{nine_digits(f'avg({x})')} AS mean, {nine_digits(f'stddev_samp({x})')} AS stddev FROM lineitem")
+
+
+@register("summary_stats", "\nUNION ALL\n".join(_stats_sql(c) for c in (*_STATS_COLS, _FINE_SQL)))
 def summary_stats(spark, sf_dir):
-    return SH.summary_stats(driver_tables(spark, sf_dir)["lineitem"], _STATS_COLS)
+    li = driver_tables(spark, sf_dir)["lineitem"]
+    fine = F.col("l_discount").cast("double") / (F.lit(1000) + F.col("l_partkey").cast("double"))
+    return SH.summary_stats(li.withColumn(_FINE, fine), (*_STATS_COLS, _FINE))
 
 
 @register("distinct_values", "SELECT DISTINCT event_type FROM events")
@@ -173,7 +180,17 @@ def sessions_page(spark, sf_dir):
     return SH.paginate(Ctx(spark, sf_dir).scoped.sessions, ["session_id"], page=3, size=50)
 
 
+@register("sessions_page_after", with_programme("""
+SELECT * FROM s_session WHERE session_date > DATE '1995-06-17' OR (session_date = DATE '1995-06-17' AND session_id > 100)
+ORDER BY session_date, session_id LIMIT 50"""))
+def sessions_page_after(spark, sf_dir):
+    """A keyset page by session date, which many sessions share."""
+    return SH.page_after(Ctx(spark, sf_dir).scoped.sessions, ["session_date", "session_id"], [dt.date(1995, 6, 17), 100], 50)
+
+
 @register("sample_rows", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
 def sample_rows(spark, sf_dir):
     """The sampling operator: first rows in key order (limit is the feature)."""
-    return driver_tables(spark, sf_dir)["orders"].orderBy("o_orderkey").limit(5)
+    from strata.sources.catalog import sample_rows as run
+
+    return run(driver_tables(spark, sf_dir)["orders"], ["o_orderkey"], 5)

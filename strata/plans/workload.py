@@ -12,9 +12,9 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strata.functions.dates import month_index, on_or_after, wall_clock
+from strata.functions.dates import as_datetime, month_index, wall_clock
 from strata.operators.metrics import kpis, stack_parts
-from strata.operators.scope import attendance_normalized
+from strata.operators.scope import apply_scope, attendance_in, attendance_normalized, sessions_since
 from strata.plans.oracle_base import with_programme
 from strata.plans.registry import AS_OF, SKILLS_AS_OF, Ctx, register
 
@@ -36,8 +36,19 @@ def session_attendance(c: Ctx) -> DataFrame:
             .join(c.scoped.cohorts.select("cohort_id", "academy_id"), "cohort_id"))
 
 
+def daily_attendance(c: Ctx) -> DataFrame:
+    """Attendance rows and present rows per (academy, session date)."""
+    return (session_attendance(c).groupBy("academy_id", "session_date")
+            .agg(F.sum("rows").alias("rows"), F.sum("flags").alias("flags")))
+
+
+def _attendance(c: Ctx) -> DataFrame:
+    """Partial counts with academy and date: the shared aggregate if there is one."""
+    return c.daily if c.daily is not None else session_attendance(c)
+
+
 def academy_rates(c: Ctx) -> DataFrame:
-    per_academy = (session_attendance(c).groupBy("academy_id")
+    per_academy = (_attendance(c).groupBy("academy_id")
                    .agg(F.sum("rows").alias("attendance_rows"), F.sum("flags").alias("flags")))
     return (per_academy.join(c.scoped.hierarchy.select("academy_id", "academy_code"), "academy_id")
             .select("academy_id", "academy_code", "attendance_rows",
@@ -70,12 +81,14 @@ def k02_in(c: Ctx, as_of=AS_OF) -> DataFrame:
 
 
 def inactive_participants(c: Ctx, as_of, days: int = 30) -> DataFrame:
-    """Participants with no present attendance in sessions of the last ``days``
-    days (anti join; the recent side is filtered before the shuffle)."""
-    recent = (attendance_normalized(c.tables).filter("attended_normalized")
-              .join(c.scoped.sessions.filter(on_or_after("session_date", as_of, days)).select("session_id"),
-                    "session_id")
-              .select("participant_id"))
+    """Participants of the scope with no present attendance, in any session of
+    the programme, in the last ``days`` days.  The scope narrows the
+    participants, not the evidence.  The recent side is filtered by date, then
+    de-duplicated: the right side of an anti join is never split, so a hot
+    participant must not fill it."""
+    everywhere = apply_scope(c.tables, c.hierarchy).sessions
+    recent = (attendance_in(c.tables, sessions_since(everywhere, as_of, days), as_of, days).filter("attended_normalized")
+              .select("participant_id").distinct())
     return (c.scoped.participants.join(recent, "participant_id", "left_anti")
             .select("participant_id", "cohort_id", "enrollment_date", "is_active"))
 
@@ -92,6 +105,18 @@ def k03_in(c: Ctx, as_of=AS_OF) -> DataFrame:
     return inactive_participants(c, as_of, 30)
 
 
+@register("k03_inactive_region", with_programme("""
+, everywhere AS (SELECT a.participant_id FROM p_attendance_n a JOIN p_session s ON a.session_id = s.session_id
+    JOIN p_cohort c ON s.cohort_id = c.cohort_id JOIN p_hierarchy h ON c.academy_id = h.academy_id
+    WHERE a.attended_normalized AND CAST(s.session_date AS TIMESTAMP) >= TIMESTAMP '2001-07-02 00:00:00')
+SELECT participant_id, cohort_id, enrollment_date, is_active FROM s_participant p
+WHERE participant_id NOT IN (SELECT participant_id FROM everywhere WHERE participant_id IS NOT NULL)""", where="region_id = 0"))
+def k03_inactive_region(spark, sf_dir):
+    from strata.operators.scope import Scope
+
+    return k03_in(Ctx(spark, sf_dir, Scope(region_id=0)))
+
+
 @register("k04_duration_by_region", with_programme("""
 SELECT h.region_id, h.region_name, count(*) AS sessions,
        round(sum(s.duration_minutes) * 1e0 / nullif(count(s.duration_minutes), 0), 6) AS avg_duration,
@@ -172,6 +197,7 @@ def k07_top_skills(spark, sf_dir):
 
 
 def k07_in(c: Ctx, as_of=SKILLS_AS_OF) -> DataFrame:
+    as_of = as_datetime(as_of)
     start = dt.datetime(as_of.year, as_of.month, 1)
     return (c.scoped.skills
             .filter((F.col("achieved_at") >= wall_clock(start)) & (F.col("achieved_at") < wall_clock(as_of)))
@@ -180,7 +206,7 @@ def k07_in(c: Ctx, as_of=SKILLS_AS_OF) -> DataFrame:
 
 
 def last_week_bounds(as_of) -> tuple[dt.date, dt.date]:
-    d = as_of.date() if isinstance(as_of, dt.datetime) else as_of
+    d = as_datetime(as_of).date()
     start = d - dt.timedelta(days=d.weekday() + 7)
     return start, start + dt.timedelta(days=6)
 
@@ -201,12 +227,16 @@ def k08_last_week(spark, sf_dir):
 
 def k08_in(c: Ctx, as_of=AS_OF) -> DataFrame:
     start, end = last_week_bounds(as_of)
-    week = c.scoped.sessions.filter(F.col("session_date").between(F.lit(start), F.lit(end)))
+    week = sessions_since(c.scoped.sessions, start, 0).filter(F.col("session_date") <= F.lit(end))
     s = week.agg(F.count(F.lit(1)).alias("sessions_scheduled"), F.sum("duration_minutes").alias("dur_sum"))
-    a = (attendance_normalized(c.tables).join(week.select("session_id"), "session_id")
-         .agg(F.count(F.lit(1)).alias("attendance_rows"),
-              F.count_distinct("session_id").alias("sessions_with_attendance"),
-              F.count_if("attended_normalized").alias("present_rows")))
+    # Attendance is reduced to a row per session before it meets the sessions, so
+    # a hot session ships one row per task.
+    per_session = (attendance_in(c.tables, None, start, 0).groupBy("session_id")
+                   .agg(F.count(F.lit(1)).alias("rows"), F.count_if("attended_normalized").alias("flags")))
+    a = (per_session.join(week.select("session_id"), "session_id")
+         .agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("attendance_rows"),
+              F.count(F.lit(1)).alias("sessions_with_attendance"),
+              F.coalesce(F.sum("flags"), F.lit(0)).alias("present_rows")))
     both = stack_parts([s, a])
     return both.select(
         "sessions_scheduled", "sessions_with_attendance", "attendance_rows",
@@ -243,10 +273,9 @@ def k09b_active_14d(spark, sf_dir):
 
 
 def k09b_in(c: Ctx, as_of=AS_OF) -> DataFrame:
-    recent = c.scoped.sessions.filter(on_or_after("session_date", as_of, 14)).select("session_id")
-    return (attendance_normalized(c.tables)
+    recent = sessions_since(c.scoped.sessions, as_of, 14)
+    return (attendance_in(c.tables, recent, as_of, 14)
             .filter(F.col("attended_normalized") & F.col("participant_id").isNotNull())
-            .join(recent, "session_id")
             .groupBy("participant_id").agg(F.count_distinct("session_id").alias("attended_sessions"))
             .filter(F.col("attended_sessions") >= 2))
 
@@ -278,9 +307,10 @@ def k10_attendance_by_product(spark, sf_dir):
 
 
 def k10_in(c: Ctx, as_of=AS_OF) -> DataFrame:
+    as_of = as_datetime(as_of)
     q0, q1 = _quarter_start(as_of, 0), _quarter_start(as_of, 1)
     quarter = F.trunc("session_date", "quarter")
-    f = session_attendance(c).join(c.scoped.hierarchy.select("academy_id", "product_type_name"), "academy_id")
+    f = _attendance(c).join(c.scoped.hierarchy.select("academy_id", "product_type_name"), "academy_id")
     agg = f.groupBy("product_type_name").agg(
         F.sum("rows").alias("attendance_rows"), F.sum("flags").alias("flags"),
         F.sum(F.when(quarter == F.lit(q0), F.col("rows"))).alias("r0"),
@@ -309,7 +339,7 @@ def k11_quarter_trend(spark, sf_dir):
 
 
 def k11_in(c: Ctx, as_of=AS_OF) -> DataFrame:
-    per_q = (session_attendance(c).groupBy(F.trunc("session_date", "quarter").alias("quarter"))
+    per_q = (_attendance(c).groupBy(F.trunc("session_date", "quarter").alias("quarter"))
              .agg(F.sum("rows").alias("attendance_rows"), F.sum("flags").alias("flags")))
     rate = F.col("flags").cast("double") * 100 / F.col("attendance_rows")
     per_q = per_q.withColumn("rate", rate).withColumn("qidx", F.year("quarter") * 4 + F.quarter("quarter"))
@@ -332,7 +362,7 @@ def k12_weekday(spark, sf_dir):
 
 
 def k12_in(c: Ctx, as_of=AS_OF) -> DataFrame:
-    per_day = (session_attendance(c).groupBy(F.weekday("session_date").cast("long").alias("weekday"))
+    per_day = (_attendance(c).groupBy(F.weekday("session_date").cast("long").alias("weekday"))
                .agg(F.sum("rows").alias("attendance_rows"), F.sum("flags").alias("flags")))
     names = F.array(*[F.lit(n) for n in WEEKDAYS])
     day_name = F.element_at(names, (F.col("weekday") + 1).cast("int")).alias("day_name")
@@ -389,7 +419,7 @@ def snapshot_in(c: Ctx, as_of=AS_OF) -> DataFrame:
 # Intent (see functions/routing.py) -> query over a context, for any scope.
 INTENT_FUNCTIONS = {
     "attendance_highest": k01_in, "attendance_lowest": k02_in, "inactive": k03_in, "session_duration": k04_in,
-    "top_skilled": k05_in, "top_skills": k07_in, "last_week": k08_in, "active_communities": k09_in,
+    "top_skilled": k05_in, "lowest_skill_rate": k06_in, "top_skills": k07_in, "last_week": k08_in, "active_communities": k09_in,
     "attendance_by_product": k10_in, "quarter_trend": k11_in, "weekday": k12_in, "enrollment_growth": k13_in,
     "snapshot": snapshot_in,
 }

@@ -30,8 +30,35 @@ def test_summary_stats_match_pandas(spark):
         s = pdf[c].dropna()
         assert got[c]["count"] == len(s)
         assert got[c].min_value == s.min() and got[c].max_value == s.max()
-        assert got[c].mean == pytest.approx(round(s.mean(), 6))
-        assert got[c].stddev == pytest.approx(round(s.std(), 6))
+        assert got[c].mean == pytest.approx(s.mean(), rel=1e-8)
+        assert got[c].stddev == pytest.approx(s.std(), rel=1e-8)
+
+
+def test_summary_stats_beyond_two_decimals_and_without_cancellation(spark):
+    df = spark.createDataFrame([(0.001, 1e9, 1e17), (0.004, 1e9 + 1, 3e17), (0.002, 1e9, 2e17)], "a double, b double, c double")
+    got = {r.column_name: r for r in SH.summary_stats(df, ["a", "b", "c"]).collect()}
+    assert got["a"].mean == pytest.approx(0.007 / 3, rel=1e-8) and got["a"].stddev == pytest.approx(0.0015275252, rel=1e-6)
+    assert got["b"].stddev == pytest.approx(0.5773502692, rel=1e-3)
+    assert got["c"].mean == pytest.approx(2e17) and got["c"].stddev == pytest.approx(1e17)
+
+
+def test_keyset_pages_keep_tied_rows(spark):
+    df = spark.createDataFrame([(1, 1), (2, 2), (2, 3), (2, 4), (3, 5)], "k long, id long")
+    last, seen = None, []
+    while True:
+        page = [(r.k, r.id) for r in SH.page_after(df, ["k", "id"], last, 2).collect()]
+        if not page:
+            break
+        seen += page
+        last = page[-1]
+    assert seen == [(1, 1), (2, 2), (2, 3), (2, 4), (3, 5)]
+    with pytest.raises(ValueError):
+        SH.page_after(df, ["k", "id"], [1], 2)
+
+
+def test_distribution_has_no_single_task_window(spark):
+    plan = SH.distribution(spark.range(100), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
 
 
 def test_growth_over_time_skips_missing_months(spark):
