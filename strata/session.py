@@ -44,16 +44,8 @@ def cluster_conf(total_cores: int) -> dict[str, str]:
     }
 
 
-def apply_conf(spark: SparkSession, conf: dict[str, str], override: bool = False) -> None:
-    """Set runtime SQL options on an existing session; by default only the
-    ones the cluster has not set itself."""
-    for k, v in conf.items():
-        if override or spark.conf.get(k, None) in (None, ""):
-            spark.conf.set(k, v)
-
-
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "strata",
-                  driver_memory: str = "8g", extra: dict | None = None) -> SparkSession:
+                  driver_memory: str = "8g", extra: dict | None = None, total_cores: int | None = None) -> SparkSession:
     """Create (or reuse) a session with the package defaults.
 
     On a cluster the session normally exists already; call ``shared_dir`` on it
@@ -63,6 +55,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     builder = SparkSession.builder.master(master).appName(app)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if total_cores:  # a cluster: its sizes replace the local ones
+        conf.update(cluster_conf(total_cores))
     conf["spark.driver.memory"] = driver_memory
     conf.update(extra or {})
     for k, v in conf.items():
@@ -77,8 +71,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     Read from the session; a local one is created only when the setting is unset
-    (tests, local runs).  Never a machine-local folder on a cluster, since the
-    cluster sets the option.  Works without a SparkContext (Spark Connect).
+    and the master is local (tests, local runs).  On a cluster without the
+    setting this raises: a machine-local folder there would lose data without
+    an error.  Works without a SparkContext (Spark Connect).
     """
     try:
         sc = spark.sparkContext
@@ -90,6 +85,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="strata-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(configured)

@@ -36,7 +36,7 @@ def describe_tables(spark: SparkSession, names: list[str]) -> DataFrame:
         try:
             desc = spark.sql(f"DESCRIBE TABLE {name}")
         except AnalysisException as exc:
-            err = str(exc).splitlines()[0][:50]
+            err = str(exc)
             parts.append(spark.createDataFrame(
                 [(name, 0, None, None, err)],
                 "table_name string, position long, column_name string, data_type string, error string"))
@@ -50,11 +50,19 @@ def describe_tables(spark: SparkSession, names: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def schema_context(described: DataFrame, max_tables: int | None = 15, max_columns: int | None = 12,
+def describe_frames(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
+    """``describe_tables`` for DataFrames, from their schemas; no view is made."""
+    rows = [(name, k, f.name, f.dataType.simpleString(), None)
+            for name, df in frames.items() for k, f in enumerate(df.schema.fields)]
+    return spark.createDataFrame(rows, "table_name string, position long, column_name string, data_type string, error string")
+
+
+def schema_context(described: DataFrame, max_tables: int | None = None, max_columns: int | None = None,
                    suffix: bool = True) -> DataFrame:
-    """One line per table, ``table(col:type, ...)``, at most ``max_columns``
-    columns then `` ... (N total)`` (unless ``suffix`` is off); the first
-    ``max_tables`` tables by name.  The reference's variants are 15 x 12 with
+    """One line per table, ``table(col:type, ...)``.  Caps are for display and
+    off by default: ``max_columns`` columns then `` ... (N total)`` (unless
+    ``suffix`` is off); ``max_tables`` tables by name, then a line
+    ``... and N more``.  The reference's variants are 15 x 12 with
     the suffix, no caps, 20 x 15 without it, and 10 x 10 with it.  Per-table
     lists are bounded by the schema width, not by data."""
     entries = F.sort_array(F.collect_list(F.struct("position", F.concat_ws(":", "column_name", "data_type")
@@ -70,7 +78,12 @@ def schema_context(described: DataFrame, max_tables: int | None = 15, max_column
     described = F.concat(F.col("table_name"), F.lit("("), text, F.lit(")"))
     line = F.when(F.col("error").isNotNull(), failed).otherwise(described)
     out = per_table.select("table_name", F.col("n").alias("column_count"), line.alias("context_line"))
-    return out.orderBy("table_name").limit(max_tables) if max_tables is not None else out
+    if max_tables is None:
+        return out
+    more = (per_table.agg((F.count(F.lit(1)) - max_tables).alias("more")).where("more > 0")
+            .select(F.lit(None).cast("string").alias("table_name"), F.lit(None).cast("long").alias("column_count"),
+                    F.concat(F.lit("... and "), F.col("more").cast("string"), F.lit(" more")).alias("context_line")))
+    return out.orderBy("table_name").limit(max_tables).unionByName(more)
 
 
 def table_row_counts(frames: dict[str, DataFrame]) -> DataFrame:
@@ -89,20 +102,20 @@ def profile_tables(frames: dict[str, DataFrame], sample: int = 3, key: dict[str,
         order = (key or {}).get(name) or df.columns[0]
         out[name] = {"columns": [(f.name, f.dataType.simpleString()) for f in df.schema.fields],
                      "row_count": counts[name],
-                     "sample": [r.asDict() for r in df.orderBy(order).limit(sample).collect()]}
+                     "sample": [r.asDict() for r in sample_rows(df, [order], sample).collect()]}
     return out
 
 
 def accessible_tables(spark: SparkSession, names: list[str]) -> DataFrame:
-    """Which tables resolve: ``table_name, accessible, error`` (error cut to
-    100 characters).  Resolution is analysis only; no data is read."""
+    """Which tables can be read: ``table_name, accessible, error``.  One row of
+    each is read, so a table whose files are gone or broken does not pass."""
     rows = []
     for name in names:
         try:
-            spark.table(name).schema
+            spark.table(name).take(1)
             rows.append((name, True, None))
-        except AnalysisException as exc:
-            rows.append((name, False, str(exc).splitlines()[0][:100]))
+        except Exception as exc:  # not resolved, refused or not readable
+            rows.append((name, False, str(exc)))
     schema = T.StructType([T.StructField("table_name", T.StringType()), T.StructField("accessible", T.BooleanType()),
                            T.StructField("error", T.StringType())])
     return spark.createDataFrame(rows, schema)

@@ -40,19 +40,21 @@ def write_weekly_rollup(rollup: DataFrame, path: str, mode: str = "overwrite") -
 
 def trend_from_rollup(spark: SparkSession, path: str, hierarchy: DataFrame, scope: Scope | None, as_of,
                       days_back: int = 90) -> DataFrame:
-    """Weekly trend read back from a written rollup: counts and rate exact,
-    distinct attendees estimated by merging the per-academy sketches.
+    """Weekly trend read back from a written rollup: counts and rate exact; if
+    the rollup was written with sketches, distinct attendees estimated by
+    merging them (distinct counts of academies cannot be added).
 
     The rollup holds whole weeks, so the week containing the cutoff is
     complete here, while the live trend cuts it at the cutoff."""
     r = spark.read.parquet(path)
-    r = r.filter(on_or_after("week", as_of, days_back + 6))  # prune partitions, then exact filter below
+    r = r.filter(on_or_after("week", as_of, days_back + 6))  # prunes the week partitions
     academies = (scope or Scope()).filter(hierarchy).select("academy_id")
     r = r.join(academies, "academy_id", "left_semi")
-    return (r.groupBy("week").agg(
-        F.sum("total_attendances").alias("total_attendances"),
-        F.round(F.sum("present_rows").cast("double") * 100 / F.sum("attendance_rows"), 6).alias("attendance_rate"),
-        F.hll_sketch_estimate(F.hll_union_agg("attendee_sketch")).alias("unique_attendees_est")))
+    aggs = [F.sum("total_attendances").alias("total_attendances"),
+            F.round(F.sum("present_rows").cast("double") * 100 / F.sum("attendance_rows"), 6).alias("attendance_rate")]
+    if "attendee_sketch" in r.columns:
+        aggs.append(F.hll_sketch_estimate(F.hll_union_agg("attendee_sketch")).alias("unique_attendees_est"))
+    return r.groupBy("week").agg(*aggs)
 
 
 def write_records_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

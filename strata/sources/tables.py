@@ -32,15 +32,17 @@ class Tables:
         return self.frames[name]
 
     def persist(self) -> "Tables":
-        """Snapshot cache (the reference's one-hour load cache): keep the small
-        dimensions and the normalised facts in memory/disk until ``unpersist``."""
-        for df in self.frames.values():
-            df.persist()
+        """Snapshot cache: keep the small dimensions until ``unpersist``.  Facts
+        stay on disk; write them with ``sources.layout`` to serve them fast."""
+        for name, df in self.frames.items():
+            if name in DIMENSIONS:
+                df.persist()
         return self
 
     def unpersist(self) -> None:
-        for df in self.frames.values():
-            df.unpersist()
+        for name, df in self.frames.items():
+            if name in DIMENSIONS:
+                df.unpersist()
 
 
 def load_tables(spark: SparkSession, location: str, fmt: str = "parquet",
@@ -50,8 +52,9 @@ def load_tables(spark: SparkSession, location: str, fmt: str = "parquet",
 
     ``location`` is either a catalog namespace (``catalog.schema`` or ``schema``;
     read with ``spark.table``) or a folder holding ``<name>.<fmt>`` (or a folder
-    ``<name>/``).  A table that fails to resolve becomes a typed empty table and
-    the rest continue, as the reference does; the failure is recorded.
+    ``<name>/``).  A table that fails to load (missing, corrupt, unreadable)
+    becomes a typed empty table and the rest continue; ``errors`` holds each
+    failure in full.
     """
     frames, missing, errors = {}, set(), {}
     is_path = "/" in location or location.startswith(".")
@@ -70,10 +73,10 @@ def load_tables(spark: SparkSession, location: str, fmt: str = "parquet",
             else:
                 raw = spark.table(f"{location}.{name}")
             frames[name] = conform(raw, name, keep_layout=True)
-        except AnalysisException as exc:  # missing table/path: typed empty table
+        except Exception as exc:  # missing, corrupt or refused: typed empty table, reported
             frames[name] = empty(spark, name)
             missing.add(name)
-            errors[name] = str(exc).splitlines()[0][:200]
+            errors[name] = str(exc)
     tables = Tables(frames, missing, errors)
     return tables.persist() if cache else tables
 
@@ -162,8 +165,8 @@ BAND_EDGES = (2500, 6500)
 # Order status of a part's latest order -> participant activity (1 active,
 # 2 inactive, anything else unknown).
 STATUS_CODES = {"O": 1, "F": 2, "P": 3}
-ORDER_KEY_LIMIT = 1 << 40
-EPOCH = "1970-01-01"
+# A segment outside the list is a product type of its own, "unknown".
+UNKNOWN_SEGMENT_ID = 0
 
 
 def _status_code(col):
@@ -174,7 +177,16 @@ def _segment_id(col):
     pairs = []
     for i, name in enumerate(SEGMENTS, start=1):
         pairs += [F.lit(name), F.lit(i).cast("long")]
-    return F.create_map(*pairs)[col]
+    return F.coalesce(F.create_map(*pairs)[col], F.lit(UNKNOWN_SEGMENT_ID).cast("long"))
+
+
+def attendance_from_lines(lines: DataFrame) -> DataFrame:
+    """Attendance rows of the driver's line items (batch or stream)."""
+    status = (F.when(F.col("l_returnflag") == "N", "Present")
+              .when(F.col("l_returnflag") == "R", "absent")
+              .when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), "yes"))
+    return lines.select(F.lit(None).cast("long").alias("attendance_id"), F.col("l_orderkey").alias("session_id"),
+                        F.col("l_partkey").alias("participant_id"), status.alias("attendance_status"))
 
 
 def program_tables(spark: SparkSession, sf_dir: str) -> Tables:
@@ -201,7 +213,8 @@ def derive_program_tables(spark: SparkSession, sf_dir: str) -> Tables:
     band = (F.when(F.col("c_acctbal") < BAND_EDGES[0], 0)
             .when(F.col("c_acctbal") < BAND_EDGES[1], 1).otherwise(2))
     cust = d["customer"].select(
-        "c_custkey", "c_nationkey", "c_mktsegment",
+        "c_custkey", "c_nationkey",
+        F.when(F.col("c_mktsegment").isin(SEGMENTS), F.col("c_mktsegment")).otherwise("unknown").alias("c_mktsegment"),
         (F.col("c_nationkey").cast("long") * 3 + band).alias("community_id"),
         _segment_id(F.col("c_mktsegment")).alias("seg"))
     cust = cust.withColumn("academy_id", F.col("community_id") * 10 + F.col("seg"))
@@ -222,32 +235,25 @@ def derive_program_tables(spark: SparkSession, sf_dir: str) -> Tables:
         (F.lit(20) + F.pmod(F.col("o_orderkey"), F.lit(9)) * 10).cast("int").alias("duration_minutes"))
 
     li = d["lineitem"]
-    status = (F.when(F.col("l_returnflag") == "N", "Present")
-              .when(F.col("l_returnflag") == "R", "absent")
-              .when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), "yes"))
-    attendance = li.select(F.lit(None).cast("long").alias("attendance_id"), F.col("l_orderkey").alias("session_id"),
-                           F.col("l_partkey").alias("participant_id"), status.alias("attendance_status"))
-
-    # First and last order of each part, ordered by (order date, order key).
-    # The pair is packed into one long (days << 40 | key) so min_by / max_by
-    # keep fixed-width buffers: hash aggregation with a map-side combine, so a
-    # part found on a third of all lines still ships one row per task.  Keys
-    # must fit 40 bits (TPC-H keys at 100 TB do); a larger key fails loudly.
-    key = F.col("o_orderkey")
-    checked_key = F.when((key >= 0) & (key < F.lit(ORDER_KEY_LIMIT)), key).otherwise(
-        F.raise_error(F.lit("order key outside the 40-bit range used for ordering")).cast("long"))
-    days = F.datediff(F.to_date("o_orderdate"), F.lit(EPOCH)).cast("long")
+    attendance = attendance_from_lines(li)
+
+    # First and last order of each part, ordered by (order date, order key), in
+    # two steps: per part and date by key, then per part by date.  min_by /
+    # max_by over fixed-width values are hash aggregations with a map-side
+    # combine, so a part found on a third of all lines ships one row per task
+    # and date; any key fits.
     line_orders = li.select("l_orderkey", "l_partkey").join(
         orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"),
         F.col("l_orderkey") == F.col("o_orderkey"))
-    firsts = (line_orders
-              .select("l_partkey", "o_custkey", "o_orderdate",
-                      (days * F.lit(ORDER_KEY_LIMIT) + checked_key).alias("rank_key"),
-                      _status_code(F.col("o_orderstatus")).alias("status_code"))
-              .groupBy("l_partkey")
-              .agg(F.min_by("o_custkey", "rank_key").alias("cohort_id"),
-                   F.min("o_orderdate").alias("first_date"),
-                   F.max_by("status_code", "rank_key").alias("last_status")))
+    per_date = (line_orders
+                .select("l_partkey", "o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"),
+                        F.coalesce(_status_code(F.col("o_orderstatus")), F.lit(0)).alias("status_code"))
+                .groupBy("l_partkey", "day")
+                .agg(F.min_by("o_custkey", "o_orderkey").alias("first_customer"),
+                     F.max_by("status_code", "o_orderkey").alias("last_status")))
+    firsts = (per_date.groupBy("l_partkey")
+              .agg(F.min_by("first_customer", "day").alias("cohort_id"), F.min("day").alias("first_date"),
+                   F.max_by("last_status", "day").alias("last_status")))
     participant = firsts.select(
         F.col("l_partkey").alias("participant_id"), "cohort_id",
         F.to_date("first_date").alias("enrollment_date"),

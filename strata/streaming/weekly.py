@@ -15,25 +15,35 @@ from strata.functions.dates import utc_date, utc_midnight
 from strata.functions.flags import attended
 from strata.operators.hierarchy import build_hierarchy
 from strata.operators.scope import Scope, apply_scope
+from strata.schemas import conform
 from strata.session import shared_dir
-from strata.sources.tables import driver_tables, program_tables
+from strata.sources.tables import Tables, attendance_from_lines, driver_tables, program_tables
 
 # 1970-01-01 was a Thursday: windows offset by 4 days start on Mondays.
 WEEK, MONDAY_OFFSET = "7 days", "4 days"
 
 
+def attendance_table_stream(spark: SparkSession, path: str, fmt: str = "parquet",
+                            max_files_per_trigger: int | None = None) -> DataFrame:
+    """Attendance rows from a file stream over the attendance table's folder:
+    files that are there, then those that arrive."""
+    reader = spark.readStream.format(fmt).schema(spark.read.format(fmt).load(path).schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return _rows(conform(reader.load(path), "attendance"))
+
+
 def attendance_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Attendance rows from a file stream over the line files of ``sf_dir``
-    (every file matching ``lineitem*.parquet``, old and new)."""
-    schema = driver_tables(spark, sf_dir)["lineitem"].schema
-    reader = spark.readStream.schema(schema)
+    """The same over the driver's line files in ``sf_dir`` (every file matching
+    ``lineitem*.parquet``, old and new)."""
+    reader = spark.readStream.schema(driver_tables(spark, sf_dir)["lineitem"].schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = reader.parquet(os.path.join(sf_dir, "lineitem*.parquet"))
-    status = (F.when(F.col("l_returnflag") == "N", "Present").when(F.col("l_returnflag") == "R", "absent")
-              .when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), "yes"))
-    return lines.select(F.col("l_orderkey").alias("session_id"), F.col("l_partkey").alias("participant_id"),
-                        attended(status).alias("attended_normalized"))
+    return _rows(attendance_from_lines(reader.parquet(os.path.join(sf_dir, "lineitem*.parquet"))))
+
+
+def _rows(attendance: DataFrame) -> DataFrame:
+    return attendance.select("session_id", "participant_id", attended().alias("attended_normalized"))
 
 
 def weekly_window_counts(rows: DataFrame, watermark: str) -> DataFrame:
@@ -49,8 +59,17 @@ def weekly_window_counts(rows: DataFrame, watermark: str) -> DataFrame:
 def stream_weekly_trend(spark: SparkSession, sf_dir: str, scope: Scope | None = None, sink_path: str | None = None,
                         checkpoint: str | None = None, watermark: str = "14 days",
                         output_mode: str = "complete", progress: list | None = None) -> DataFrame:
+    """``weekly_trend_of`` over the driver's tables."""
+    return weekly_trend_of(program_tables(spark, sf_dir), attendance_stream(spark, sf_dir), scope, sink_path, checkpoint,
+                           watermark, output_mode, progress)
+
+
+def weekly_trend_of(tables: Tables, stream: DataFrame, scope: Scope | None = None, sink_path: str | None = None,
+                    checkpoint: str | None = None, watermark: str = "14 days",
+                    output_mode: str = "complete", progress: list | None = None) -> DataFrame:
     """Run the stream over everything available (``availableNow``) and return
-    the weekly table it wrote.
+    the weekly table it wrote.  With the same ``checkpoint`` and ``sink_path``
+    the next run reads only the files that arrived since.
 
     ``complete`` mode keeps one state row per week (small; grows with the
     number of weeks, not rows) and is exact for out-of-order files.  ``append``
@@ -61,10 +80,10 @@ def stream_weekly_trend(spark: SparkSession, sf_dir: str, scope: Scope | None =
     to parquet in the shared checkpoint folder (overwritten per epoch, so a
     replayed epoch is harmless); state and offsets live in ``checkpoint``.
     """
-    tables = program_tables(spark, sf_dir)
+    spark = stream.sparkSession
     sessions = apply_scope(tables, build_hierarchy(tables), scope or Scope()).sessions
     static = sessions.select("session_id", utc_midnight("session_date").alias("session_ts"))
-    rows = attendance_stream(spark, sf_dir).join(static, "session_id")
+    rows = stream.join(static, "session_id")
     counts = weekly_window_counts(rows, watermark)
     out_path = sink_path or shared_dir(spark, "weekly-trend-stream")
     ckpt = checkpoint or shared_dir(spark, "weekly-trend-stream-state")
