@@ -12,7 +12,7 @@ reach.  Steps, each a Spark job over hashed columns:
    form index lists of (hash, size band, position).
 3. *Skipped blocks*.  A list is cut by size band: sets whose sizes differ by more than the threshold
    allows never meet; pairs are skipped whose positions leave too little room for the needed overlap, or
-   whose sketches differ by more than the allowed symmetric difference (a lower bound of it, so exact).
+   whose parity sketches differ in more cells than linked sets may differ in hashes (a lower bound, so exact).
 4. *Derived answers*.  Instead of all pairs of a list, each list links its sets to one pivot; pairs
    whose sets are already connected need no look (their answer follows from the pivots' answers).
    Some rounds with other pivots connect large groups; what is left, pairs of one list between
@@ -41,7 +41,8 @@ from strata.llm import pieces as P
 from strata.llm.common import materialise, text_chunks, texts_of
 
 PIVOT_ROUNDS = 2
-COARSE, CELLS = 8, 32  # of a set's sketch: how many of its hashes fall into each equal part of the hash space
+WORDS = 8  # 64-bit words of a set's parity sketch: a bit tells if an odd number of its hashes fall into a cell
+CELL_BITS = (64 * WORDS).bit_length() - 1
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -76,12 +77,12 @@ def _sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, wit
     """(doc_id, n, hi, lo): size and 128-bit fingerprint of each set; with tokens also the hashes
     that may fall into its prefix (eligible ones by value, then the fill) and how many are eligible."""
     src = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    schema = "doc_id bigint, n bigint, hi bigint, lo bigint" + (", n_first int, hashes array<bigint>, cells array<int>" if with_tokens else "")
+    schema = "doc_id bigint, n bigint, hi bigint, lo bigint" + (", n_first int, hashes array<bigint>, parity array<bigint>" if with_tokens else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch, 1):
-                sizes, his, los, firsts, tokens, cells = [], [], [], [], [], []
+                sizes, his, los, firsts, tokens, parities = [], [], [], [], [], []
                 for s in shingle_sets(texts_of(chunk, 1), n):
                     f = xxhash.xxh3_128_intdigest(s.tobytes())
                     sizes.append(len(s))
@@ -90,13 +91,14 @@ def _sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, wit
                     if with_tokens:
                         first = int(np.searchsorted(s, eligible_below(percent)))
                         firsts.append(first)
-                        cells.append(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=CELLS).astype(np.int32))
+                        odd = np.bincount((s >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS) & 1
+                        parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                         tokens.append(s[:max(first, prefix_length(len(s), percent))].view(np.int64))
                 cols = [chunk.column(0), pa.array(sizes, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64())]
                 names = ["doc_id", "n", "hi", "lo"]
                 if with_tokens:
-                    cols += [pa.array(firsts, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32()))]
-                    names += ["n_first", "hashes", "cells"]
+                    cols += [pa.array(firsts, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))]
+                    names += ["n_first", "hashes", "parity"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return src.mapInArrow(run, schema)
@@ -132,10 +134,20 @@ def _possible(percent: int, a: str = "a_", b: str = "b_"):
     sizes = (100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n"))
     need = F.expr(f"{percent} * ({a}n + {b}n) / {100 + percent}D - 1e-9")
     room = F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos"))
-    allowed = F.expr(f"{100 - percent} * ({a}n + {b}n) / {100 + percent}D + 1e-9")
-    coarse = F.expr(" + ".join(f"abs(get({a}coarse, {i}) - get({b}coarse, {i}))" for i in range(COARSE)))  # compiled, the next one is not
-    differ = F.aggregate(F.zip_with(f"{a}cells", f"{b}cells", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
-    return sizes & (room >= need) & (coarse <= allowed) & (differ <= allowed)
+    return sizes & (room >= need)
+
+
+def _sketched(rows: DataFrame, sketches: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Rows with the parity words of the set in ``key`` as columns."""
+    words = sketches.select(F.col("rep").alias(key), *[F.col("parity")[k].alias(f"{prefix}p{k}") for k in range(WORDS)])
+    return rows.join(words, key)
+
+
+def _near(percent: int, a_n: str, b_n: str, a: str = "a_", b: str = "b_"):
+    """Sets whose sketches differ in no more cells than the hashes in which linked sets may differ: each
+    such hash flips one cell, so the cells that differ are a lower bound."""
+    differ = F.expr(" + ".join(f"bit_count({a}p{k} ^ {b}p{k})" for k in range(WORDS)))
+    return differ <= F.expr(f"{100 - percent} * ({a_n} + {b_n}) / {100 + percent}D + 1e-9")
 
 
 def _banded(entries: DataFrame, percent: int) -> DataFrame:
@@ -163,25 +175,30 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, id_col: str, text_col: st
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, root): the smallest id that the edges (a, b) reach, by alternating large-star and
-    small-star passes; each pass is written to the shared folder."""
+    small-star passes; each pass is written to the shared folder.  The passes end when the edges are the
+    same twice, told by their number and the sum of their hashes."""
+    def sum_of(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
-    while True:
+    seen = sum_of(edges)
+    while seen[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        new = materialise(small, name)
-        settled = new.count() == edges.count() and new.exceptAll(edges).isEmpty()
-        edges = new
-        if settled:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        edges = materialise(small, name)
+        before, seen = seen, sum_of(edges)
+        if seen == before:
+            break
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
 def join_links(docs: DataFrame, sets: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b): verified links between classes, enough of them to connect every component."""
-    entries = index_lists(sets, percent).join(sets.select("rep", "cells", "coarse"), "rep")
-    lists = _banded(materialise(entries, "jaccard-lists"), percent)
+    lists = _banded(materialise(index_lists(sets, percent), "jaccard-lists"), percent)
+    sketches = sets.select("rep", "parity")
     links = None
     tried = None
     for k in range(PIVOT_ROUNDS + 1):
@@ -195,17 +212,23 @@ def join_links(docs: DataFrame, sets: DataFrame, n: int, percent: int, id_col: s
         if k < PIVOT_ROUNDS:
             # one pivot for each list: first the smallest id (most lists of a group agree on it), then any
             key = F.col("rep") if k == 0 else F.xxhash64("rep", "hash", F.lit(k))
-            pivots = marked.groupBy("hash", "band").agg(F.min(F.struct(key.alias("key"), F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("cells").alias("b_cells"), F.col("coarse").alias("b_coarse"), F.col("root").alias("b_root"))).alias("p")).select("hash", "band", "p.*")
+            pivots = marked.groupBy("hash", "band").agg(F.min(F.struct(key.alias("key"), F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("root").alias("b_root"))).alias("p")).select("hash", "band", "p.*")
             met = marked.join(pivots, ["hash", "band"])
         else:
-            other = marked.select("hash", "band", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("cells").alias("b_cells"), F.col("coarse").alias("b_coarse"), F.col("root").alias("b_root"), F.col("visitor").alias("b_visitor"))
+            marked = _sketched(marked, sketches, "rep", "a_")
+            other = marked.select("hash", "band", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("root").alias("b_root"), F.col("visitor").alias("b_visitor"), *[F.col(f"a_p{j}").alias(f"b_p{j}") for j in range(WORDS)])
             met = marked.join(other, ["hash", "band"]).where("rep < b and visitor + b_visitor < 2")
-        met = met.where("root <> b_root").withColumnsRenamed({"n": "a_n", "pos": "a_pos", "cells": "a_cells", "coarse": "a_coarse"}).where(_possible(percent))
+        met = met.where("root <> b_root").withColumnsRenamed({"n": "a_n", "pos": "a_pos"}).where(_possible(percent))
+        if k == PIVOT_ROUNDS:
+            met = met.where(_near(percent, "a_n", "b_n"))
         pairs = met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"), F.when(F.col("rep") < F.col("b"), F.col("a_n")).otherwise(F.col("b_n")).alias("n_a"), F.when(F.col("rep") < F.col("b"), F.col("b_n")).otherwise(F.col("a_n")).alias("n_b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
             if k == PIVOT_ROUNDS:
                 pairs = _unexcluded(pairs, tried, percent)
+        if k < PIVOT_ROUNDS:
+            columns = pairs.columns
+            pairs = _sketched(_sketched(pairs, sketches, "a", "a_"), sketches, "b", "b_").where(_near(percent, "n_a", "n_b")).select(*columns)
         pairs = materialise(pairs, f"jaccard-pairs-{k}")
         if pairs.isEmpty():
             if links is None:
@@ -232,7 +255,7 @@ def _unexcluded(pairs: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row."""
     members = _sets(docs, n, percent, id_col, text_col, False)
-    classes = _sets(docs, n, percent, id_col, text_col, True).where("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.first("n_first").alias("n_first"), F.first("hashes").alias("hashes"), F.first("cells").alias("cells")).withColumn("coarse", F.expr(f"transform(sequence(0, {COARSE - 1}), i -> aggregate(slice(cells, i * {CELLS // COARSE} + 1, {CELLS // COARSE}), 0, (t, x) -> t + x))"))
+    classes = _sets(docs, n, percent, id_col, text_col, True).where("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.first("n_first").alias("n_first"), F.first("hashes").alias("hashes"), F.first("parity").alias("parity"))
     classes = materialise(classes, "jaccard-classes")
     links = join_links(docs, classes, n, percent, id_col, text_col)
     roots = components(links)

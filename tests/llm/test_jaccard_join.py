@@ -80,11 +80,13 @@ def test_every_linked_pair_passes_in_some_list(spark):
     texts = corpus(7, groups=8, copies=10)
     docs = frame(spark, [(i, t, "en", "s", 0) for i, t in texts.items()])
     for n, percent in ((3, 90), (5, 80)):
-        sets = J._sets(docs, n, percent, "doc_id", "text", True).where("n > 0").withColumnRenamed("doc_id", "rep").withColumn("coarse", F.expr(f"transform(sequence(0, {J.COARSE - 1}), i -> aggregate(slice(cells, i * {J.CELLS // J.COARSE} + 1, {J.CELLS // J.COARSE}), 0, (t, x) -> t + x))"))
-        lists = J._banded(J.index_lists(sets, percent).join(sets.select("rep", "cells", "coarse"), "rep"), percent)
-        a = lists.select("hash", "band", *[F.col(c).alias(f"a_{c}") for c in ("rep", "n", "pos", "cells", "coarse", "visitor")])
-        b = lists.select("hash", "band", *[F.col(c).alias(f"b_{c}") for c in ("rep", "n", "pos", "cells", "coarse", "visitor")])
-        met = {(r[0], r[1]) for r in a.join(b, ["hash", "band"]).where("a_rep < b_rep and a_visitor + b_visitor < 2").where(J._possible(percent)).select("a_rep", "b_rep").distinct().collect()}
+        sets = J._sets(docs, n, percent, "doc_id", "text", True).where("n > 0").withColumnRenamed("doc_id", "rep")
+        lists = J._sketched(J._banded(J.index_lists(sets, percent), percent), sets, "rep", "a_")
+        names = ("rep", "n", "pos", "visitor")
+        a = lists.select("hash", "band", *[F.col(c).alias(f"a_{c}") for c in names], *[f"a_p{k}" for k in range(J.WORDS)])
+        b = lists.select("hash", "band", *[F.col(c).alias(f"b_{c}") for c in names], *[F.col(f"a_p{k}").alias(f"b_p{k}") for k in range(J.WORDS)])
+        both = a.join(b, ["hash", "band"]).where("a_rep < b_rep and a_visitor + b_visitor < 2")
+        met = {(r[0], r[1]) for r in both.where(J._possible(percent) & J._near(percent, "a_n", "b_n")).select("a_rep", "b_rep").distinct().collect()}
         own = {i: grams(t, n) for i, t in texts.items()}
         linked = {(x, y) for x in own for y in own if x < y and own[x] and own[y] and 100 * len(own[x] & own[y]) >= percent * len(own[x] | own[y])}
         assert linked and linked <= met
