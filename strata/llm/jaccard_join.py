@@ -126,7 +126,7 @@ def _band(n, percent: int):
 
 
 def _possible(percent: int, a: str = "a_", b: str = "b_"):
-    """What sizes, positions and sketches leave possible, for entries a and b of one list.
+    """What sizes and positions leave possible, for entries a and b of one list.
 
     At the first hash that two sets share, all their common hashes lie at or behind it, so a linked
     pair passes in that list; the same pair may fail in the lists of its later common hashes.
@@ -202,11 +202,12 @@ def join_links(docs: DataFrame, sets: DataFrame, n: int, percent: int, id_col: s
     links = None
     tried = None
     for k in range(PIVOT_ROUNDS + 1):
-        if k == 0:
+        if links is None:
             marked = lists.withColumn("root", F.col("rep"))
         else:
             roots = components(links.select("a", "b"))
             marked = lists.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        if k:
             mixed = marked.groupBy("hash", "band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("visitor").alias("v0")).where("r0 <> r1 and v0 = 0")
             marked = marked.join(mixed.select("hash", "band"), ["hash", "band"])
         if k < PIVOT_ROUNDS:
@@ -231,13 +232,11 @@ def join_links(docs: DataFrame, sets: DataFrame, n: int, percent: int, id_col: s
             pairs = _sketched(_sketched(pairs, sketches, "a", "a_"), sketches, "b", "b_").where(_near(percent, "n_a", "n_b")).select(*columns)
         pairs = materialise(pairs, f"jaccard-pairs-{k}")
         if pairs.isEmpty():
-            if links is None:
-                return pairs.select("a", "b")
             continue
         checked = materialise(_verify(pairs, docs, n, id_col, text_col), f"jaccard-checked-{k}")
         tried = checked if tried is None else tried.unionByName(checked)
         links = tried.where(f"100 * inter >= {percent} * (n_a + n_b - inter)")
-    return links.select("a", "b")
+    return (pairs if links is None else links).select("a", "b")
 
 
 def _unexcluded(pairs: DataFrame, tried: DataFrame, percent: int) -> DataFrame:

@@ -74,6 +74,17 @@ def test_query_matches_brute_force(spark):
     assert result(QUERIES["op8_ngram_jaccard_join"](spark, folder)) == brute(texts, 3, 90)
 
 
+def test_links_that_no_pivot_has(spark):
+    """Lists whose first pivot is near nobody still give the links among the others."""
+    shared = [f"s{k}" for k in range(40)]
+    far = " ".join(shared[:14] + [f"x{k}" for k in range(26)])
+    near = [" ".join(shared + [f"t{k}" for k in range(30)] + [f"u{j}"]) for j in range(2)]
+    texts = {0: far, 1: near[0], 2: near[1]}
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in texts.items()])
+    want = brute(texts, 3, 90)
+    assert want[2][1] == 1 and result(J.jaccard_components(docs)) == want
+
+
 def test_every_linked_pair_passes_in_some_list(spark):
     """The lists with their filters lose no link: checked pair by pair, without the pivots."""
     from pyspark.sql import functions as F
