@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from strata.session import shared_dir
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,16 +54,21 @@ def texts_of(chunk: pa.RecordBatch, column: int | str) -> list[str]:
     return [x or "" for x in chunk.column(column).to_pylist()]
 
 
-def map_text(df: DataFrame, fn: Callable[[list[str], pa.RecordBatch], dict[str, object]], schema: T.StructType, text_col: str = "text", keep: tuple[str, ...] | None = None, prepare: Callable[[], object] | None = None) -> DataFrame:
-    """Add the columns of ``schema`` that ``fn(texts, chunk)`` returns for each chunk of rows.
+def map_text(df: DataFrame, fn: Callable[[list[str], pa.Array], dict[str, object]], schema: T.StructType, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Add the columns of ``schema`` that ``fn(texts, column)`` returns for each chunk of rows: its
+    texts (null as empty) and the column they come from.
 
     ``keep`` names the input columns that stay (all by default); an input column with the name of an
     added one (in any case) is replaced.  ``fn`` runs inside Arrow tasks.
     """
     added = {f.name.lower() for f in schema.fields}
     kept = [c for c in (keep if keep is not None else df.columns) if c.lower() not in added]
-    src = df.select(*[df[c] for c in kept], df[text_col].cast("string").alias("__text"))
-    out = T.StructType([*(f for f in src.schema.fields[:-1]), *schema.fields])
+    if text_col in kept and dict(df.dtypes)[text_col] == "string":
+        at, more = kept.index(text_col), []  # the text crosses to Python once
+    else:
+        at, more = len(kept), [df[text_col].cast("string").alias("__text")]
+    src = df.select(*[df[c] for c in kept], *more)
+    out = T.StructType([*src.schema.fields[:len(kept)], *schema.fields])
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,10 +77,9 @@ def map_text(df: DataFrame, fn: Callable[[list[str], pa.RecordBatch], dict[str,
         want = to_arrow_schema(schema)
         types = [want.field(n).type for n in names]
         for batch in batches:
-            last = batch.num_columns - 1
-            for chunk in text_chunks(batch, last):
-                got = fn(texts_of(chunk, last), chunk)
+            for chunk in text_chunks(batch, at):
+                got = fn(texts_of(chunk, at), chunk.column(at))
                 cols = [got[n] if isinstance(got[n], (pa.Array, pa.ChunkedArray)) else pa.array(got[n], type=t) for n, t in zip(names, types)]
-                yield pa.RecordBatch.from_arrays([*chunk.columns[:last], *cols], names=[*kept, *names])
+                yield pa.RecordBatch.from_arrays([*chunk.columns[:len(kept)], *cols], names=[*kept, *names])
 
     return src.mapInArrow(run, out)

@@ -366,13 +366,14 @@ def mask_text(text: str, spans: list[Span]) -> str:
 def mask_pii(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with personal data masked in ``text_col``; null stays null."""
     held = docs.sparkSession.sparkContext.broadcast((model.emit, model.move))
-    columns = docs.columns
-    inner = docs.select(F.struct(*[docs[c] for c in columns]).alias("__row"), docs[text_col].cast("string").alias("__body"))
+    names = docs.columns
+    inner = docs.toDF(*[f"__{k}" for k in range(len(names))])
+    at = names.index(text_col)
 
-    def run(texts: list[str], chunk) -> dict[str, list]:
+    def run(texts: list[str], column) -> dict[str, list]:
         m = Crf()
         m.emit, m.move = held.value
-        return {"__masked": [None if missing else mask_text(t, spans) for t, (_, spans), missing in zip(texts, scan(m, texts), chunk.column(chunk.num_columns - 1).is_null().to_pylist())]}
+        return {"masked": [None if missing else mask_text(t, spans) for t, (_, spans), missing in zip(texts, scan(m, texts), column.is_null().to_pylist())]}
 
-    masked = map_text(inner, run, T.StructType([T.StructField("__masked", T.StringType())]), "__body", ("__row",))
-    return masked.select(*[(F.col("__masked") if c == text_col else F.col("__row")[c]).alias(c) for c in columns])
+    masked = map_text(inner, run, T.StructType([T.StructField("masked", T.StringType())]), f"__{at}")
+    return masked.select(*[F.col("masked" if k == at else f"__{k}").alias(c) for k, c in enumerate(names)])

@@ -76,7 +76,7 @@ def _repeat_words(hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
     return np.add.reduceat(np.append(covered, False).astype(np.int64), before[:-1]) * (np.diff(before) > 0)
 
 
-def measure(texts: list[str], _: pa.RecordBatch | None = None) -> dict[str, np.ndarray]:
+def measure(texts: list[str], _: pa.Array | None = None) -> dict[str, np.ndarray]:
     """The measurements of each text."""
     cp, offsets = P.codepoints(texts)
     starts, lengths, before = P.word_spans(cp, offsets)
@@ -141,10 +141,11 @@ def ablations(rows: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, policy: str = CURRENT, text_col: str = "text") -> DataFrame:
-    """The rows that a policy keeps, with the columns of ``docs``; helper columns of the ledger go under
-    names that ``docs`` cannot have."""
-    inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[text_col].alias("__body"))
-    return ledger(inner, "__body", ("__row",)).where(passes(policy)).select("__row.*")
+    """The rows that a policy keeps, with the columns of ``docs``, which stand under numbers while the
+    ledger's columns are there, so that no names clash."""
+    names = docs.columns
+    inner = docs.toDF(*[f"__{k}" for k in range(len(names))])
+    return ledger(inner, f"__{names.index(text_col)}").where(passes(policy)).select(*[F.col(f"__{k}").alias(c) for k, c in enumerate(names)])
 
 
 ORACLE = """

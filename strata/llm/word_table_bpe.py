@@ -35,7 +35,7 @@ from strata.llm import pieces as P
 from strata.llm.common import materialise, text_chunks, texts_of
 
 BLOCK_CHARS = 8 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 @lru_cache(2)
