@@ -2,16 +2,21 @@
 
 Fixed patterns (assignments, access keys, long hex) always count.  The battery looks at every other
 token ``[A-Za-z0-9+/_=-]{16,}``: its encoding is inferred (the smallest of hex, base26, base32, base36,
-base62 and base64 that holds its characters), and three tests ask whether its symbols look drawn at
+base62 and base64 that holds its characters), and four tests ask whether its symbols look drawn at
 random from that alphabet: chi-squared of the symbol counts over equal parts of the alphabet, runs above
-and below the middle, and lag-one serial correlation.  Fisher's method joins the three p-values to
-one score.
+and below the middle, lag-one serial correlation, and the likelihood of its symbol pairs in prose (one-sided,
+against its mean and variance for random symbols).  Fisher's method joins the four p-values to one score.
 
 What prose scores by chance depends on a token's length and alphabet, so the score becomes a p-value
-against a reference for each length class and encoding: prose of the same length under the same alphabet,
-written as names and paths are, from a bounded sample of texts (``REFERENCE_TEXTS``).  Within each length class and encoding,
-Benjamini-Hochberg at ``FDR`` over all tokens of all documents then sets the cut; it needs the counts of
-tokens by p-value (a reference has ``REFERENCE_SIZE`` members, so at most that many values), not the tokens.
+against a reference for each length class and encoding.  The reference covers the words of all documents
+(those outside the tokens under test): each distinct text's words are cut into blocks, every block is written as
+names and paths are (``STYLES``) in one encoding, and its windows are scored in the length classes, both dealt
+by the text's hash; Spark adds up the pair counts and the histograms of scores.  ``BUILT_IN`` prose always counts
+besides, so that no class is without a reference, whatever the script or the number of the documents.  Beyond the
+last ``TAIL`` members, p falls off exponentially in the root of the log score, fitted to those members: p has no floor.
+
+Within each length class and encoding, Benjamini-Hochberg at ``FDR`` over the distinct tokens of all documents
+then sets the cut; the driver holds at most ``BINS`` counts for each, not the tokens.
 
 Cases: null text is empty; repeated rows are scanned one by one; very long texts are scanned whole, in
 linear time; other columns stay unless they have the name of an added one.
@@ -19,11 +24,16 @@ linear time; other columns stay unless they have the name of an added one.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
+import zlib
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +41,10 @@ from strata.llm.common import map_text, materialise
 
 KINDS = ("assign", "access", "hex", "random")
 FDR = 0.01
-REFERENCE_TEXTS = 400
-REFERENCE_SIZE = 20_000
+BLOCK_WORDS = 64
+BUILT_IN_WINDOWS = 500  # about so many members of each class come from the built-in prose
+TAIL = 100  # at least so many members (and half a percent) are fitted
+BINS, BIN = 1000, 0.02  # of the root of minus the log score
 LENGTHS = (16, 20, 24, 32, 40, 64, 128)  # lower ends of the length classes
 
 ASSIGN = re.compile(r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -116,9 +128,34 @@ def infer(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return out
 
 
-def battery(chars: np.ndarray, lengths: np.ndarray, encoding: np.ndarray) -> np.ndarray:
+class Pairs:
+    """How likely symbol pairs are in prose, by encoding: the log of a symbol's probability behind another one,
+    less its mean, and the variance of that for random symbols."""
+
+    def __init__(self, counts: np.ndarray):
+        self.excess, self.variance = np.zeros((len(NAMES), 128, 128)), np.ones(len(NAMES))
+        for k, name in enumerate(NAMES):
+            at = np.array([ord(c) for c in ALPHABETS[name]])
+            n = counts.reshape(len(NAMES), 128, 128)[k][np.ix_(at, at)].astype(float)
+            single = (n.sum(axis=0) + 1) / (n.sum() + len(at))
+            log = np.log((n + 10 * single) / (n.sum(axis=1, keepdims=True) + 10))
+            log -= log.mean()
+            self.excess[k][np.ix_(at, at)] = log
+            self.variance[k] = max(1e-9, (log * log).mean() + 2 * (log.mean(axis=0) * log.mean(axis=1)).mean())
+        self.excess = self.excess.reshape(-1).astype(np.float32)
+
+
+def pair_codes(chars: np.ndarray, lengths: np.ndarray, encoding: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place in ``Pairs`` of each symbol behind its token's first one, and where these symbols are."""
+    inner = np.ones(len(chars), bool)
+    inner[np.cumsum(lengths) - lengths] = False
+    at = np.flatnonzero(inner)
+    return np.repeat(encoding, lengths)[at] * 16384 + chars[at - 1] * 128 + chars[at], at
+
+
+def battery(chars: np.ndarray, lengths: np.ndarray, encoding: np.ndarray, pairs: Pairs) -> np.ndarray:
     """The score of each token (tokens one after another in ``chars``): Fisher's joint p-value of the
-    three tests, near 0 for tokens that do not look random in their encoding."""
+    four tests, near 0 for tokens that do not look random in their encoding."""
     n = len(lengths)
     if not n:
         return np.zeros(0)
@@ -153,74 +190,136 @@ def battery(chars: np.ndarray, lengths: np.ndarray, encoding: np.ndarray) -> np.
     power = np.add.reduceat(x * x, begins)
     r = np.add.reduceat(follow, begins) / np.maximum(power, 1e-9)
     p_serial = np.where(power > 0, _normal_tail((r + 1 / lengths) * np.sqrt(lengths)), 1e-12)
-    fisher = -2 * (np.log(np.maximum(p_chi, 1e-300)) + np.log(p_runs) + np.log(p_serial))
-    return _chi2_tail(fisher, np.full(n, 3))
+
+    codes, at = pair_codes(chars, lengths, encoding)
+    excess = np.zeros(len(chars))
+    excess[at] = pairs.excess[codes]
+    z = np.add.reduceat(excess, begins) / np.sqrt(np.maximum(lengths - 1, 1) * pairs.variance[encoding])
+    p_pairs = np.maximum(np.where(z > 0, _normal_tail(z) / 2, 1 - _normal_tail(z) / 2), 1e-300)
+    fisher = -2 * (np.log(np.maximum(p_chi, 1e-300)) + np.log(p_runs) + np.log(p_serial) + np.log(p_pairs))
+    return _chi2_tail(fisher, np.full(n, 4))
 
 
 def length_class(lengths: np.ndarray) -> np.ndarray:
     return np.searchsorted(LENGTHS, lengths, "right") - 1
 
 
-def reference_streams(texts: list[str], alphabet: str) -> list[str]:
-    """Prose written the ways that names and paths are, as far as an alphabet allows: run together, in
-    camel case, with numbers, and joined by its special characters."""
-    words = re.findall(r"[a-z]+", " ".join(texts).lower())
-    if alphabet.startswith("0123456789"):  # hex: the letters' places, wrapped to the sixteen symbols
-        return ["".join(alphabet[(ord(c) - 97) % 16] for w in words for c in w)]
-    numbered = [f"{w}{(7919 * k) % 100}" if k % 3 == 0 else w for k, w in enumerate(words)]
-    if "a" not in alphabet:
-        return ["".join(words).upper(), *["".join(numbered).upper()] * ("9" in alphabet)]
-    out = ["".join(words), *["".join(numbered)] * ("9" in alphabet)]
-    if "A" in alphabet:
-        out += ["".join(w.capitalize() for w in words), "".join(w.capitalize() for w in numbered)]
-    return out + [sep.join(words) for sep in "/-_" if sep in alphabet]
+def score_codes(chars: np.ndarray, lengths: np.ndarray, encoding: np.ndarray, pairs: Pairs) -> np.ndarray:
+    """Encoding, length class and score bin of each token in one number; low bins look random."""
+    root = np.sqrt(-np.log(np.clip(battery(chars, lengths, encoding, pairs), 1e-300, 1)))
+    return (encoding * len(LENGTHS) + length_class(lengths)) * BINS + np.minimum((root / BIN).astype(np.int64), BINS - 1)
+
+
+#: The ways that names and paths are written: words run together, in camel case, with numbers, joined by a character.
+STYLES = {n: ["plain"] if n.startswith("hex") or n in ("lower", "upper") else ["plain", "numbered"] + (["camel", "camel_numbered"] if "a" in a and "A" in a else []) + [c for c in "/-_" if c in a] for n, a in ALPHABETS.items()}
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+_SPLIT = str.maketrans("+/_=-", "     ")
+#: Hex: the letters' places, wrapped to the sixteen symbols.
+_WRAPPED = {n: str.maketrans({c: ALPHABETS[n][(ord(c) - 97) % 16] for c in ALPHABETS["lower"]}) for n in ("hex", "hex_upper")}
+_NO_DIGITS, _NO_BASE32 = (str.maketrans("", "", x) for x in ("0123456789", "0189"))
+BUILT_IN = """the of and to in is that it was for on are with as his they be at one have this from or had by but some what there we can out other were all your
+when use word how said each she which do their time will way about many then them would write like so these long make thing see him two has look more day could go
+come did number sound no most people my over know water than call first who may down side been now find any new work part take get place made live where after back
+little only round man year came show every good me give our under name very through just form sentence great think say help low line differ turn cause much mean before
+data file path user index value config server client module service request response manager handler factory controller report test build source target default system""".split()
+
+
+def written(words: list[str], encoding: int, style: str) -> str:
+    """Words in one encoding and style, as far as the alphabet allows."""
+    name = NAMES[encoding]
+    alphabet = ALPHABETS[name]
+    if name in _WRAPPED:
+        return "".join(words).lower().translate(_WRAPPED[name])
+    if "numbered" in style:
+        words = [f"{w}{(7919 * k) % 100}" if k % 3 == 0 else w for k, w in enumerate(words)]
+    if "camel" in style:
+        return "".join([w.capitalize() if w.islower() else w for w in words])
+    text = (style if style in "/-_" else "").join(words)
+    text = text if "a" in alphabet and "A" in alphabet else text.lower() if "a" in alphabet else text.upper()
+    return text if "9" in alphabet else text.translate(_NO_DIGITS if "2" not in alphabet else _NO_BASE32)
+
+
+def windows(words: list[str], seed: int) -> list[tuple[bytes, int]]:
+    """Reference members (with their encoding) from a text's words: every block of words is written in one encoding
+    and style and cut into windows of the length classes, in turn; the last one ends where the block ends."""
+    out = []
+    for at in range(0, len(words), BLOCK_WORDS):
+        deal = seed + 2_654_435_761 * (at // BLOCK_WORDS)
+        k, deal = deal % len(NAMES), deal // len(NAMES)
+        styles = STYLES[NAMES[k]]
+        text = written(words[at:at + BLOCK_WORDS], k, styles[deal % len(styles)]).encode()
+        turn, start = deal // len(styles), 0
+        while len(text) - start >= LENGTHS[0]:
+            size = LENGTHS[turn % len(LENGTHS)]
+            size = size if start + size <= len(text) else max(n for n in LENGTHS if n <= len(text) - start)
+            out.append((text[start:start + size], k))
+            start, turn = start + size, turn + 1
+        if start < len(text) and len(text) >= LENGTHS[0]:
+            out.append((text[-LENGTHS[0]:], k))
+    return out
+
 
+def plain_words(text: str) -> list[str]:
+    """The words of a text outside the tokens under test."""
+    return " ".join([w for w in RUN.findall(text) if len(w) < 16]).translate(_SPLIT).split()
 
-class Reference:
-    """Scores of prose by length class and encoding, sorted; p-values of tokens against them."""
 
-    def __init__(self, texts: list[str]):
-        self.scores: dict[tuple[int, int], np.ndarray] = {}
-        for k, name in enumerate(NAMES):
-            streams = [np.frombuffer(x.encode(), np.uint8).astype(np.int64) for x in reference_streams(texts, ALPHABETS[name])]
-            if min(map(len, streams)) < 4 * LENGTHS[-1]:
-                continue
-            each = REFERENCE_SIZE // len(streams)
-            for c, size in enumerate(LENGTHS):
-                chars = []
-                for x in streams:
-                    at = (np.arange(each) * 104_729) % (len(x) - size)
-                    chars.append(x[at[:, None] + np.arange(size)[None, :]].reshape(-1))
-                n = each * len(streams)
-                self.scores[c, k] = np.sort(battery(np.concatenate(chars), np.full(n, size), np.full(n, k)))
-
-    def p_values(self, scores: np.ndarray, lengths: np.ndarray, encoding: np.ndarray) -> np.ndarray:
-        """The part of the reference that scores as high, in steps of 1 / (size + 1)."""
-        out = np.ones(len(scores))
-        if self.scores and len(scores):
-            classes = length_class(lengths)
-            for key in set(zip(classes.tolist(), encoding.tolist())) & set(self.scores):
-                own = (classes == key[0]) & (encoding == key[1])
-                ref = self.scores[key]
-                out[own] = (1 + len(ref) - np.searchsorted(ref, scores[own], "left")) / (len(ref) + 1)
-        return out
-
-
-def reference(docs: DataFrame, text_col: str = "text") -> Reference:
-    """From a bounded sample: REFERENCE_TEXTS distinct texts of at most 8 KiB, those with the least hash."""
-    src = docs.select(docs[text_col].cast("string").alias("text")).where("octet_length(text) between 1 and 8192").withColumn("key", F.xxhash64("text"))
-    keys = src.select("key").distinct().orderBy("key").limit(REFERENCE_TEXTS)
-    rows = src.join(F.broadcast(keys), "key").groupBy("key").agg(F.min("text").alias("text")).collect()
-    return Reference([r["text"] for r in sorted(rows, key=lambda r: r["key"])])
-
-
-_SCANNED = T.StructType([T.StructField("base", T.StringType()), T.StructField("n_assign", T.LongType()), T.StructField("n_access", T.LongType()), T.StructField("n_hex", T.LongType()), T.StructField("tokens", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("encoding", T.StringType()), T.StructField("p", T.DoubleType())])))])
-
-
-def scan(texts: list[str], ref: Reference) -> dict[str, list]:
-    """Base spans and scored tokens (those that no base span touches) of each text."""
+def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(parts), np.uint8).astype(np.int64), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+@lru_cache(1)
+def built_in() -> list[tuple[bytes, int]]:
+    """Members from the built-in prose."""
+    words = np.random.default_rng(0).choice(BUILT_IN, BLOCK_WORDS * len(NAMES) * BUILT_IN_WINDOWS)
+    return windows(words.tolist(), 0)
+
+
+def pairs_of(members: list[tuple[bytes, int]]) -> np.ndarray:
+    """The place in ``Pairs`` of every symbol pair of the members."""
+    chars, lengths = _joined([m for m, _ in members])
+    return pair_codes(chars, lengths, np.array([k for _, k in members], np.int64))[0] if members else np.zeros(0, np.int64)
+
+
+def learn_pairs(docs: DataFrame, text_col: str = "text") -> Pairs:
+    """From the words of all documents, and the built-in prose."""
+    def count(texts: list[str], _) -> dict[str, list]:
+        codes, n = np.unique(pairs_of([m for t in texts for m in windows(plain_words(t), zlib.crc32(t.encode("utf-8", "replace")))]), return_counts=True)
+        return {"pairs": [[{"code": a, "n": b} for a, b in zip(codes.tolist(), n.tolist())], *[[]] * (len(texts) - 1)]}
+
+    schema = T.StructType([T.StructField("pairs", T.ArrayType(T.StructType([T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])))])
+    rows = map_text(docs, count, schema, text_col, ()).select(F.explode("pairs").alias("p")).groupBy("p.code").agg(F.sum("p.n").alias("n")).collect()
+    counts = np.bincount(pairs_of(built_in()), minlength=len(NAMES) * 16384)
+    for r in rows:
+        counts[r["code"]] += r["n"]
+    return Pairs(counts)
+
+
+def p_values(members: np.ndarray) -> np.ndarray:
+    """For each bin the part of the reference that scores as high, from a histogram with at least one member.  Where
+    fewer than the fitted members score as high, the exponential tail through them."""
+    total = members.sum()
+    upto = np.cumsum(members)
+    p = (upto + 1) / (total + 1)
+    edge = int(np.searchsorted(upto, min(total, max(TAIL, total // 200))))  # the fitted members: bins up to here
+    own = members[:edge + 1]
+    spread = max(BIN, (own * (edge + 0.5 - np.arange(edge + 1))).sum() / own.sum() * BIN)
+    p[:edge] = p[edge] * np.exp(-(edge - np.arange(edge)) * BIN / spread)
+    return np.minimum(p, 1)
+
+
+_SCANNED = T.StructType([T.StructField("base", T.StringType()), T.StructField("n_assign", T.LongType()), T.StructField("n_access", T.LongType()), T.StructField("n_hex", T.LongType()), T.StructField("tokens", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("encoding", T.StringType()), T.StructField("code", T.IntegerType()), T.StructField("id", T.LongType())]))),
+                        T.StructField("text_id", T.BinaryType()), T.StructField("members", T.ArrayType(T.IntegerType()))])
+
+
+def _hash(data: bytes, size: int = 8) -> bytes:
+    return hashlib.blake2b(data, digest_size=size).digest()
+
+
+def scan(texts: list[str], pairs: Pairs) -> dict[str, list]:
+    """Base spans, scored tokens (those that no base span touches) and scored reference members of each text."""
     out: dict[str, list] = {f.name: [] for f in _SCANNED.fields}
-    owners, spans, parts = [], [], []
+    owners, spans, parts, members, sizes = [], [], [], [], []
     for k, text in enumerate(texts):
         tokens = [m.span() for m in TOKEN.finditer(text)]
         base = base_spans(text, tokens)
@@ -233,24 +332,25 @@ def scan(texts: list[str], ref: Reference) -> dict[str, list]:
                 spans.append((a, b))
                 parts.append(text[a:b].encode())
         out["tokens"].append([])
+        data = text.encode("utf-8", "replace")
+        out["text_id"].append(_hash(data, 16))
+        more = windows(plain_words(text), zlib.crc32(data))
+        members += more
+        sizes.append(len(more))
     if parts:
-        chars = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        chars, lengths = _joined(parts)
         encoding = infer(chars, np.cumsum(lengths) - lengths, lengths)
-        p = ref.p_values(battery(chars, lengths, encoding), lengths, encoding)
-        for k, (a, b), e, x in zip(owners, spans, encoding.tolist(), p.tolist()):
-            out["tokens"][k].append({"start": a, "end": b, "encoding": NAMES[e], "p": x})
+        for k, (a, b), part, e, x in zip(owners, spans, parts, encoding.tolist(), score_codes(chars, lengths, encoding, pairs).tolist()):
+            out["tokens"][k].append({"start": a, "end": b, "encoding": NAMES[e], "code": x, "id": int.from_bytes(_hash(part), "big", signed=True)})
+    codes = np.zeros(0, np.int32)
+    if members:
+        chars, lengths = _joined([m for m, _ in members])
+        codes = score_codes(chars, lengths, np.array([k for _, k in members], np.int64), pairs).astype(np.int32)
+    offsets = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]).astype(np.int32)
+    out["members"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes))
     return out
 
 
-def _stratum(token) -> Column:
-    """The number of a token's encoding and length class."""
-    get = (lambda f: F.col(f"{token}.{f}")) if isinstance(token, str) else (lambda f: token[f])
-    size = get("end") - get("start")
-    length = sum((F.when(size >= n, 1).otherwise(0) for n in LENGTHS[1:]), F.lit(0))
-    return (F.array_position(F.array(*[F.lit(n) for n in NAMES]), get("encoding")).cast("int") * len(LENGTHS) + length).cast("int")
-
-
 def benjamini_hochberg(counts: list[tuple[int, float, int]], rate: float = FDR) -> dict[int, float]:
     """For each stratum, the largest p-value that the step-up rule accepts, from (stratum, p, tokens)."""
     cuts: dict[int, float] = {}
@@ -267,17 +367,29 @@ def benjamini_hochberg(counts: list[tuple[int, float, int]], rate: float = FDR)
 def find_secrets(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """The columns of ``docs`` (or those in ``keep``) with n_assign, n_access, n_hex, base_sha256,
     ``spans`` (all spans) and ``discoveries`` (the tokens that the battery found)."""
-    spark = docs.sparkSession
-    ref = spark.sparkContext.broadcast(reference(docs, text_col))
-    scanned = materialise(map_text(docs, lambda texts, _: scan(texts, ref.value), _SCANNED, text_col, keep), "secret-scan")
-    token = F.explode("tokens").alias("t")
-    by_p = scanned.select(token).groupBy(_stratum("t").alias("stratum"), F.col("t.p").alias("p")).agg(F.count("*").alias("n")).collect()
-    cuts = benjamini_hochberg([(r["stratum"], r["p"], r["n"]) for r in by_p])
-    cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]) if cuts else F.create_map().cast("map<int,double>")
-    found = F.filter("tokens", lambda t: t["p"] <= F.coalesce(cut[_stratum(t)], F.lit(-1.0)))
+    pairs = learn_pairs(docs, text_col)
+    held = docs.sparkSession.sparkContext.broadcast(pairs)
+    scanned = materialise(map_text(docs, lambda texts, _: scan(texts, held.value), _SCANNED, text_col, keep), "secret-scan")
+    of_text = scanned.select("text_id", "members").where(F.size("members") > 0).groupBy("text_id").agg(F.first("members").alias("members"))  # copies count once
+    seen = of_text.select(F.explode("members").alias("code")).groupBy("code").agg(F.count("*").alias("n")).collect()
+    chars, lengths = _joined([m for m, _ in built_in()])
+    histogram = np.bincount(score_codes(chars, lengths, np.array([k for _, k in built_in()]), pairs), minlength=len(NAMES) * len(LENGTHS) * BINS)
+    for r in seen:
+        histogram[r["code"]] += r["n"]
+    p = np.concatenate([p_values(h) for h in histogram.reshape(-1, BINS)])
+    distinct = scanned.select(F.explode("tokens").alias("t")).select("t.code", "t.id").distinct().groupBy("code").agg(F.count("*").alias("n")).collect()
+    cuts = benjamini_hochberg([(r["code"] // BINS, p[r["code"]], r["n"]) for r in distinct])
+    accepted = {r["code"]: float(p[r["code"]]) for r in distinct if p[r["code"]] <= cuts.get(r["code"] // BINS, -1.0)}
+    worst: dict[int, int] = {}
+    for code in accepted:
+        worst[code // BINS] = max(code, worst.get(code // BINS, 0))
+    last = F.create_map(*[F.lit(x) for pair in worst.items() for x in pair]) if worst else F.create_map().cast("map<int,int>")
+    p_of = F.from_json(F.lit(json.dumps(accepted)), "map<string,double>")
+    found = F.transform(F.filter("tokens", lambda t: t["code"] <= F.coalesce(last[F.floor(t["code"] / BINS).cast("int")], F.lit(-1))),
+                        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["encoding"].alias("encoding"), p_of[t["code"].cast("string")].alias("p")))
     base = F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.split("base", ","))
     every = F.concat(F.transform(base, lambda s: F.struct(F.split(s, ":")[1].cast("bigint").alias("start"), F.when(s.startswith("assign"), 0).when(s.startswith("access"), 1).otherwise(2).alias("kind"), s.alias("span"))),
                      F.transform("discoveries", lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), F.concat_ws(":", F.lit("random"), t["start"].cast("string"), t["end"].cast("string")).alias("span"))))
     spans = F.array_join(F.transform(F.array_sort(every), lambda s: s["span"]), ",")
     rows = scanned.withColumn("discoveries", found).withColumn("base_sha256", F.sha2(F.col("base").cast("binary"), 256)).withColumn("spans", spans)
-    return rows.drop("base", "tokens")
+    return rows.drop("base", "tokens", "text_id", "members")

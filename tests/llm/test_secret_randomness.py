@@ -66,3 +66,23 @@ def test_odd_rows(spark):
     got = S.find_secrets(docs)
     assert got.count() == docs.count() and [c.lower() for c in got.columns].count("spans") == 1
     assert S.find_secrets(docs.limit(0)).count() == 0
+
+
+def camel_names(rng, n, size):
+    """Distinct names of ``size`` letters, in camel case."""
+    names = set()
+    while len(names) < n:
+        names.add("".join(w.capitalize() for w in rng.choices(S.BUILT_IN, k=size))[:size])
+    return sorted(names)
+
+
+def test_one_key_among_many_benign_tokens(spark):
+    rng = random.Random(8)
+    key = "".join(rng.choice(S.ALPHABETS["lower"] + S.ALPHABETS["upper"]) for _ in range(38))
+    names = camel_names(rng, 100_000, 38)
+    prose = [" ".join(rng.choices(S.BUILT_IN, k=400)) for _ in range(1000)]
+    rows = [(k, f"{t} {' '.join(names[100 * k:100 * k + 100])}", "en", "s", 1) for k, t in enumerate(prose)]
+    rows += [(5000, f"the key {key} here", "en", "s", 1)] + [(6000 + k, f"again {names[0]} " * 200, "en", "hot", 1) for k in range(50)]
+    got = S.find_secrets(frame(spark, rows)).where("size(discoveries) > 0").collect()
+    assert [r["doc_id"] for r in got] == [5000] and [d["encoding"] for d in got[0]["discoveries"]] == ["base62"]
+    assert 0 < got[0]["discoveries"][0]["p"] < 1e-7
