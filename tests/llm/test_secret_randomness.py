@@ -86,3 +86,17 @@ def test_one_key_among_many_benign_tokens(spark):
     got = S.find_secrets(frame(spark, rows)).where("size(discoveries) > 0").collect()
     assert [r["doc_id"] for r in got] == [5000] and [d["encoding"] for d in got[0]["discoveries"]] == ["base62"]
     assert 0 < got[0]["discoveries"][0]["p"] < 1e-7
+
+
+def test_reference_covers_long_texts_and_other_scripts(spark):
+    rng = random.Random(9)
+    key = "".join(rng.choice(S.ALPHABETS["base36"]) for _ in range(40))
+    for words in (["слово", "другое", "ещё"], rng.choices(S.BUILT_IN, k=300)):
+        text = " ".join(rng.choices(words, k=3000))  # above 8 KiB
+        rows = [(k, f"{text} {k} internationalizationofsomewords {key if k == 0 else ''}", "xx", "s", 1) for k in range(3)]
+        got = {r["doc_id"]: r["discoveries"] for r in S.find_secrets(frame(spark, rows)).collect()}
+        assert [d["end"] - d["start"] for d in got[0]] == [40] and not got[1] and not got[2]
+    # every word of a text is in the reference, whatever its length
+    words = [f"w{k}x" for k in range(1000)]
+    covered = b"".join(m for m, _ in S.windows(words, 11)).decode().lower()
+    assert len(covered) >= 0.9 * sum(map(len, words))
