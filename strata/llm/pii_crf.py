@@ -3,9 +3,11 @@
 Fixed patterns (e-mail, IP, card, phone) always count.  The CRF labels words ``O`` or one of the four
 kinds from features of the word's shape, and finds forms that the patterns miss (an address without a
 top-level domain, a phone number without its plus sign).  It is trained by gradient ascent on the
-conditional likelihood over a small labelled table: lines of a bounded sample of texts
-(``TRAIN_TEXTS``), labelled by the fixed patterns, some with the matched text disguised so that the
-shape, not the pattern, must tell.  The labelled table may also be given.
+conditional likelihood over a small labelled table: lines of up to twelve words from texts of any length, labelled by
+the fixed patterns, and those with personal data once more with the matched text disguised, so that the
+shape, not the pattern, must tell.  Of each kind (a label, odd words without a label, plain words) the table takes the
+distinct lines with the least hash over all texts, as many as ``LINES`` says (of a word, ``WORD_CHARS`` characters), so a
+source of logs takes no other kind's place.  The labelled table may also be given.
 
 Words without a digit or an ``@`` are ``O`` by a fixed constraint of the model, in training and decoding, and
 so are the ends of a line.  Exact Viterbi decoding then falls apart into the runs of other words, each
@@ -17,20 +19,25 @@ linear time; other columns stay unless they have the name of an added one.
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import re
-from collections.abc import Iterable
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.common import map_text
+from strata.llm.common import map_text, materialise, text_chunks, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
-TRAIN_TEXTS = 1500
-MAX_TEXT_BYTES = 16_384
+LINES = {"email": 400, "ip": 400, "card": 400, "phone": 400, "odd": 1600, "plain": 400}
+WORD_CHARS = 256
 BATCH = 2048
 NEVER = -50.0  # the emission score that forbids a label
 
@@ -217,11 +224,13 @@ class Crf:
 
 def label_line(line: str) -> tuple[list[str], list[int]]:
     """Words of a line with the labels of the fixed patterns."""
-    spans = base_spans(line)
-    words, labels = [], []
-    for m in WORD.finditer(line):
-        words.append(m[0])
-        labels.append(0 if plain(m[0]) else next((LABELS.index(k) for k, a, b in spans if a < m.end() and m.start() < b), 0))
+    at = [m.span() for m in WORD.finditer(line)]
+    words, labels = [line[a:b] for a, b in at], [0] * len(at)
+    starts, ends = [a for a, _ in at], [b for _, b in at]
+    for kind, a, b in base_spans(line):  # the first span that touches a word names it
+        for k in range(bisect_right(ends, a), bisect_left(starts, b)):
+            if not labels[k] and not plain(words[k]):
+                labels[k] = LABELS.index(kind)
     return words, labels
 
 
@@ -239,35 +248,84 @@ def disguised(words: list[str], labels: list[int]) -> list[str]:
     return out
 
 
-def labelled_lines(texts: list[str], window: int = 12) -> list[tuple[list[str], list[int]]]:
-    """Training lines: neighbourhoods of up to ``window`` words around every word with a digit or an
-    ``@``, and one plain neighbourhood of each text."""
+def neighbourhoods(text: str, window: int = 12) -> Iterator[tuple[list[str], list[int]]]:
+    """Labelled neighbourhoods of up to ``window`` words around every word of a text with a digit or an ``@``, and the
+    plain one that the text begins with."""
+    for line in text.split("\n"):
+        if "@" not in line and not DIGITS.search(line):
+            continue
+        words, labels = label_line(line)
+        at = 0
+        for k, w in enumerate(words):
+            if k >= at and not plain(w):
+                a, at = max(0, k - window // 2), k + window
+                yield words[a:at], labels[a:at]
+    words = [m[0] for m in islice(WORD.finditer(text), window)]
+    if all(map(plain, words)):
+        yield words, [0] * len(words)
+
+
+def with_disguise(lines: Iterable[tuple[list[str], list[int]]]) -> list[tuple[list[str], list[int]]]:
+    """The lines, those with personal data also disguised."""
     out = []
-    for text in texts:
-        for line in text.split("\n"):
-            words, labels = label_line(line)
-            odd = [k for k, w in enumerate(words) if not plain(w)]
-            at = 0
-            for k in odd:
-                if k >= at:
-                    a, at = max(0, k - window // 2), k + window
-                    out.append((words[a:at], labels[a:at]))
-                    if any(labels[a:at]):
-                        out.append((disguised(words[a:at], labels[a:at]), labels[a:at]))
-        words = WORD.findall(text)[:window]
-        if all(map(plain, words)):
-            out.append((words, [0] * len(words)))
+    for words, labels in lines:
+        out.append((words, labels))
+        if any(labels):
+            out.append((disguised(words, labels), labels))
     return out
 
 
+def labelled_lines(texts: list[str], window: int = 12) -> list[tuple[list[str], list[int]]]:
+    """Training lines of all neighbourhoods of the texts."""
+    return with_disguise(line for text in texts for line in neighbourhoods(text, window))
+
+
+def kinds_of(words: list[str], labels: list[int]) -> list[str]:
+    """The kinds whose lines a labelled line may stand for."""
+    return [LABELS[y] for y in sorted(set(labels)) if y] or ["plain" if all(map(plain, words)) else "odd"]
+
+
+_LINE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("key", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("labels", T.ArrayType(T.LongType()))])
+
+
+def _least_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the texts of a task, the distinct lines of each kind with the least hash."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    held: dict[str, dict[int, tuple[list[str], list[int]]]] = {kind: {} for kind in LINES}
+    heaps: dict[str, list[int]] = {kind: [] for kind in LINES}  # of -key: the largest key first
+    for batch in batches:
+        for chunk in text_chunks(batch, 0):
+            for text in texts_of(chunk, 0):
+                for words, labels in neighbourhoods(text):
+                    if not words:
+                        continue
+                    words = [w[:WORD_CHARS] for w in words]
+                    key = int.from_bytes(hashlib.blake2b("\n".join([*words, str(labels)]).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+                    for kind in kinds_of(words, labels):
+                        heap, lines = heaps[kind], held[kind]
+                        if key in lines or (len(heap) == LINES[kind] and key >= -heap[0]):
+                            continue
+                        lines[key] = words, labels
+                        heapq.heappush(heap, -key)
+                        if len(heap) > LINES[kind]:
+                            del lines[-heapq.heappop(heap)]
+    rows = [{"kind": kind, "key": key, "words": words, "labels": labels} for kind, lines in held.items() for key, (words, labels) in lines.items()]
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(_LINE))
+
+
+def labelled_table(docs: DataFrame, text_col: str = "text") -> list[tuple[list[str], list[int]]]:
+    """The bounded labelled table: of each kind, the LINES distinct lines of all texts with the least hash."""
+    found = docs.select(docs[text_col].cast("string").alias("text")).where("text is not null").mapInArrow(_least_lines, _LINE)
+    lines = materialise(found, "pii-lines").dropDuplicates(["kind", "key"])
+    rows = {r["key"]: r for kind, n in LINES.items() for r in lines.where(F.col("kind") == kind).orderBy("key").limit(n).collect()}
+    return [(rows[key]["words"], rows[key]["labels"]) for key in sorted(rows)]
+
+
 def train(docs: DataFrame, text_col: str = "text") -> Crf:
-    """Fit on a bounded sample: TRAIN_TEXTS distinct texts with a digit, of at most MAX_TEXT_BYTES, those
-    with the least hash."""
-    src = docs.select(docs[text_col].cast("string").alias("text")).where(F.octet_length("text") <= MAX_TEXT_BYTES).where(F.col("text").rlike("[0-9@]")).withColumn("key", F.xxhash64("text"))
-    keys = src.select("key").distinct().orderBy("key").limit(TRAIN_TEXTS)
-    rows = src.join(F.broadcast(keys), "key").groupBy("key").agg(F.min("text").alias("text")).collect()
-    lines = labelled_lines([r["text"] for r in sorted(rows, key=lambda r: r["key"])])
-    return Crf().fit(lines[:4000])
+    """Fit on the bounded labelled table of the texts."""
+    return Crf().fit(with_disguise(labelled_table(docs, text_col)))
 
 
 # --- scanning -----------------------------------------------------------------------------------

@@ -113,3 +113,27 @@ def test_masking_and_odd_rows(spark):
     assert C.mask_pii(docs, crf).columns == docs.columns
     assert C.find_pii(docs.limit(0), C.train(docs.limit(0))).count() == 0
     assert C.mask_text("abcdef", [("ip", 1, 4), ("card", 2, 5)]) == "a<IP>f"
+
+
+def private_lines(n):
+    rng = np.random.default_rng(3)
+    d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    return [f"please write to user{d(2)}@mail{k % 9}.example.com or call +1 ({d(3)}) 555-{d(4)} about item {d(3)} in room {d(2)} today" for k in range(n)]
+
+
+def test_long_texts_and_hot_logs_keep_every_kind(spark):
+    logs = [(k, "\n".join(f"{k} step {k * 1000 + j} took {j} of {j * 7} ms" for j in range(400)), "en", "hot", 1) for k in range(100)]
+    private = [(1000 + k, "plain words only here " * 800 + "\n" + line, "en", "s", 1) for k, line in enumerate(private_lines(150))]  # above 16 KiB
+    table = C.labelled_table(frame(spark, logs + private))
+    count = {kind: sum(kind in C.kinds_of(*line) for line in table) for kind in C.LINES}
+    assert count["email"] == count["phone"] == 150 and count["odd"] == C.LINES["odd"] and count["plain"] >= 1
+    crf = C.train(frame(spark, logs + private))
+    (_, spans), = C.scan(crf, ["please write to user77@mail3 about item 123 in room 45"])
+    assert [s[0] for s in spans] == ["email"]
+
+
+def test_labels_are_those_of_the_first_span():
+    for line in [t for t in TRICKY + ODD_TEXTS if t]:
+        spans = C.base_spans(line)
+        want = [0 if C.plain(m[0]) else next((C.LABELS.index(k) for k, a, b in spans if a < m.end() and m.start() < b), 0) for m in C.WORD.finditer(line)]
+        assert C.label_line(line)[1] == want, line
