@@ -7,8 +7,9 @@ the longest known context costs ``-log2(n / (total + distinct))``; otherwise the
 256 equal choices.  The shortest code, with the language's share of the training documents as prior,
 names the language; ``score`` is its posterior probability.
 
-The trees are fitted on a bounded sample of labelled texts (``TEXTS_PER_LANGUAGE`` distinct texts of at
-most ``MAX_TEXT_BYTES``, those with the smallest text hash), so the broadcast model is bounded by the
+The trees are fitted on a bounded sample of labelled texts (``TEXTS_PER_LANGUAGE`` distinct texts with a
+letter, of any length, those with the smallest text hash; of a text over ``MAX_TEXT_BYTES`` a piece of ``PIECE_CHARS``
+characters, from the first letter behind a place that the hash picks), so the broadcast model is bounded by the
 sample, whatever the corpus; shares are counted over all training documents.  Every text is scored whole.
 Texts are lower-cased, and runs of anything but letters count as one blank.
 
@@ -32,6 +33,7 @@ from strata.llm.common import map_text
 ORDER = 3
 TEXTS_PER_LANGUAGE = 400
 MAX_TEXT_BYTES = 8192
+PIECE_CHARS = 4096
 _PAD = b" " * ORDER
 _EMPTY = np.uint64(1 << 40)
 
@@ -192,12 +194,12 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     """Fit on a bounded sample of labelled rows; None if there are none."""
     labelled = rows.select(rows[text_col].cast("string").alias("text"), rows[lang_col].cast("string").alias("lang")).where("text is not null and lang is not null")
     shares = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    keyed = labelled.where(F.octet_length("text") <= MAX_TEXT_BYTES).withColumn("key", F.xxhash64("text"))
+    keyed = labelled.where(F.col("text").rlike(r"\p{L}")).withColumn("key", F.xxhash64("text"))
     # distinct keys first, so that copies of one text take one place; row_number with a limit is cut to
     # the limit before the shuffle.  The table of keys is bounded by TEXTS_PER_LANGUAGE and the languages.
     order = Window.partitionBy("lang").orderBy("key")
     keys = keyed.select("lang", "key").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TEXTS_PER_LANGUAGE).select("lang", "key")
-    sample = keyed.join(F.broadcast(keys), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
+    sample = keyed.join(F.broadcast(keys), ["lang", "key"]).withColumn("text", _piece()).groupBy("lang", "key").agg(F.min("text").alias("text"))
     found: dict[str, set[str]] = {}
     for r in sample.select("lang", "text").collect():
         found.setdefault(r["lang"], set()).add(r["text"])
@@ -206,6 +208,14 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     return fit(samples, {lang: shares[lang] for lang in samples}) if samples else None
 
 
+def _piece() -> Column:
+    """What the fit takes of a text: all of a short one, a piece with letters of a long one."""
+    rest = F.expr("substring(text, 1 + pmod(key, char_length(text)))")
+    first = lambda text: F.regexp_instr(text, F.lit(r"\p{L}"))
+    cut = lambda text: F.substring(text, first(text), F.lit(PIECE_CHARS))
+    return F.when(F.octet_length("text") <= MAX_TEXT_BYTES, F.col("text")).when(first(rest) > 0, cut(rest)).otherwise(cut(F.col("text")))
+
+
 def has_letter(texts: list[str]) -> np.ndarray:
     cp, offsets = P.codepoints(texts)
     return np.diff(np.concatenate([[0], np.cumsum(P.classes()[cp] == P.LETTER)])[offsets]) > 0

@@ -81,3 +81,15 @@ def test_copies_take_one_place_of_the_sample(spark):
     model = L.learn(frame(spark, rows))
     assert model.languages == ["en", "fr"]
     assert model.prior[0] < model.prior[1]  # shares count every row
+
+
+def test_a_language_with_long_texts_only_is_learned(spark):
+    en, ru = "the cat and the dog of the house ", "кошка и собака этого старого дома "
+    rows = [(1, en, "en", "s", 1), (2, en * 2, "en", "s", 1)] + [(10 + k, f"{k} " * 9000 + ru * 300 + f"{k} " * 9000, "ru", "s", 1) for k in range(3)]
+    model = L.learn(frame(spark, rows))
+    assert model.languages == ["en", "ru"]
+    got = L.predict(frame(spark, [(1, "собака и дом", None, "s", 1), (2, "the old house", None, "s", 1)]), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got] == ["ru", "en"]
+    assert L.learn(frame(spark, rows[2:])).languages == ["ru"]
+    # texts without a letter take no place of the sample
+    assert L.learn(frame(spark, [(k, f"{k} {k}", "ru", "s", 1) for k in range(2000)] + rows)).languages == ["en", "ru"]
