@@ -123,6 +123,8 @@ def plan(rows: DataFrame, target: Target) -> tuple[DataFrame, float]:
     weight = F.exp(F.lit(k / GRID) * F.log(F.col("tokens") / F.lit(total))) / F.lit(z)
     # a millionth of a token forgives the rounding of the least budget
     quota = F.when(F.col("tokens") > 0, F.floor(weight * F.lit(float(budget)) + 1e-6)).otherwise(0)
+    if target.budget is None:  # rounding never costs a document: the least budget holds all tokens of every source
+        quota = F.greatest(quota, F.col("tokens"))
     quotas = sources.withColumn("quota", quota.cast("bigint")).withColumns({
         "passes": F.when(F.col("tokens") > 0, F.expr("quota div tokens")).otherwise(1).cast("bigint"),
         "rest": F.when(F.col("tokens") > 0, F.expr("quota % tokens")).otherwise(0).cast("bigint"),

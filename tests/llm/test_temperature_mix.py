@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from helpers import frame, odd_documents, oracle, same_rows
@@ -86,3 +87,13 @@ def test_odd_rows(spark):
 def test_only_native_operators(spark):
     plan = QUERIES["op6_temperature_mix"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rounding_of_large_sources_loses_no_document(spark):
+    rng = random.Random(4)
+    sizes = [int(rng.uniform(1, 100) * 1e13) + 7 for _ in range(12)]
+    for k in range(4):
+        part = sizes[3 * k:3 * k + 3]
+        rows = spark.createDataFrame([(f"={s}", f"{j:015x}", n) for s, size in enumerate(part) for j, n in enumerate((size - 5, 5))], "mix_source string, mix_key string, mix_tokens bigint")
+        per_source, _ = M.plan(rows, M.Target(max_repeats=4))
+        assert all(r["passes"] >= 1 for r in per_source.collect()), part
