@@ -136,3 +136,16 @@ def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = docs.agg(F.sum(word_count(F.col("text"))).alias("t")).first()["t"] or 0
     mixed = mix(docs, Target(entropy=0.98, max_repeats=4, budget=total), seed=7)
     return mixed.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), "mix_key", "copies", "exponent")
+
+
+def _merkle_sql() -> str:
+    from strata.llm.merkle_manifest import ORACLE as sql
+
+    return sql
+
+
+@register("op11_merkle_manifest", _merkle_sql())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.merkle_manifest import audit
+
+    return audit(table(spark, sf_dir, "documents"))
