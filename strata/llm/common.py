@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.session import shared_dir
@@ -83,3 +86,38 @@ def map_text(df: DataFrame, fn: Callable[[list[str], pa.Array], dict[str, object
                 yield pa.RecordBatch.from_arrays([*chunk.columns[:len(kept)], *cols], names=[*kept, *names])
 
     return src.mapInArrow(run, out)
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` to the shared folder as a table bucketed by ``key`` and read it back: a join on ``key``
+    with a side partitioned into as many parts moves none of its rows."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    made = f"{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(made)
+    return spark.table(made)
+
+
+def text_size(docs: DataFrame, column: str) -> int:
+    """Characters of all texts; sizes of tables to be made come from it."""
+    return docs.agg(F.sum(F.length(docs[column].cast("string"))).alias("n")).first()["n"] or 0
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Integer arrays as one zstd frame, byte plane by byte plane."""
+    parts = []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        parts += [struct.pack("<qB", len(a), a.itemsize), a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()]
+    return zstandard.compress(b"".join(parts), 3)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.decompress(data), 0, []
+    while at < len(raw):
+        n, width = struct.unpack_from("<qB", raw, at)
+        at += 9
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(-1))
+        at += n * width
+    return out

@@ -149,3 +149,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.merkle_manifest import audit
 
     return audit(table(spark, sf_dir, "documents"))
+
+
+@register("op13_byte_word_shuffle")
+def op13_byte_word_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.byte_word_shuffle import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), digests=True)

@@ -1,0 +1,79 @@
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from helpers import ODD_TEXTS, frame, odd_documents
+
+from strata.llm import byte_word_shuffle as B
+from strata.llm.queries import QUERIES, tokenizer_file
+
+FILE = tokenizer_file("byte_bpe_multi_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=B._ranks(FILE), special_tokens={})
+
+
+def test_query_matches_the_library(spark, library):
+    folder = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = QUERIES["op13_byte_word_shuffle"](spark, folder).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode_ordinary(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_strange_texts_in_many_small_blocks(spark, library, monkeypatch):
+    rng = random.Random(4)
+    alphabet = "ab's' 'tre'LL 've \n\té1٣²½,.!　漢字😀ßİΣς́éﬁ\x00"
+    texts = ODD_TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts += ["ab " * 20_000, "ab" * 150_000, "\n" * 300_000, "word " * 60_000]
+    monkeypatch.setattr(B, "BLOCK_CHARS", 3000)
+    monkeypatch.setattr(B, "CACHE_WORDS", 50)
+    docs = frame(spark, [(k, t, "en", "s", 0) for k, t in enumerate(texts)]).repartition(5)
+    rows = B.round_trip(docs, FILE)
+    got = {r["doc_id"]: r for r in rows.collect()}
+    for k, t in enumerate(texts):
+        assert got[k]["ids"] == library.encode_ordinary(t or ""), t
+        assert bytes(got[k]["decoded"]) == (t or "").encode()
+    again = {r["doc_id"]: bytes(r["decoded"]) for r in B.decode(rows, FILE).collect()}
+    assert again == {k: (t or "").encode() for k, t in enumerate(texts)}
+
+
+def test_units_do_not_depend_on_row_order():
+    import pyarrow as pa
+
+    rows = [(1, 0, 1, 0, 7, b"cd"), (1, 0, 0, 1, 6, b"b"), (1, 0, 0, 0, 5, b"a"), (2, 0, 0, 0, 9, b"z")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()])], names=list("abcdef"))
+    for cut in range(5):
+        got = list(B.units(iter([batch.slice(0, cut), batch.slice(cut)])))
+        assert [(g[0], g[2].tolist(), g[3].tolist(), g[4].tolist(), g[5].tobytes()) for g in got] == [(1, [2, 1], [5, 6, 7], [2, 2], b"abcd"), (2, [1], [9], [1], b"z")]
+
+
+def test_decode_of_foreign_tables(spark, library):
+    rows = spark.createDataFrame([(1, library.encode_ordinary("one two")), (1, library.encode_ordinary("three")), (None, [5]), (3, []), (4, None)], "doc_id bigint, ids array<int>")
+    got = sorted((str(r["doc_id"]), bytes(r["decoded"])) for r in B.decode(rows, FILE).collect())
+    assert got == sorted([("1", b"one two"), ("1", b"three"), ("None", library.decode_bytes([5])), ("3", b""), ("4", b"")])
+    with pytest.raises(Exception, match="vocabulary lacks"):
+        B.decode(spark.createDataFrame([(1, [5, 60_000])], "doc_id bigint, ids array<int>"), FILE).collect()
+
+
+def test_positions_do_not_cross_the_network(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = B.round_trip(docs, FILE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2, plan  # pre-tokens there and back
+
+
+def test_odd_rows(spark):
+    docs = odd_documents(spark).withColumnRenamed("lang_pred", "block").withColumnRenamed("score", "words")
+    rows = B.round_trip(docs, FILE, digests=True).collect()
+    assert len(rows) == docs.count() and sum(r["doc_id"] is None for r in rows) == 1
+    assert [r["n_tokens"] for r in rows if r["doc_id"] in (0, 1)] == [0, 0]
+    assert B.round_trip(docs.limit(0), FILE, digests=True).count() == 0
