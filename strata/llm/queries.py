@@ -156,3 +156,16 @@ def op13_byte_word_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.byte_word_shuffle import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), digests=True)
+
+
+def _hard_sql() -> str:
+    from strata.llm.hard_negatives import ORACLE as sql
+
+    return sql
+
+
+@register("op12_hard_negatives", _hard_sql())
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.hard_negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
