@@ -8,7 +8,8 @@ is that of its two conversations, however many rows the table has.
 
 Cases: a pair with one side only gives no row; null role is ``unknown`` and null text empty; turns
 with the same number go by role, then text; the same turn twice is two turns; identical conversations
-have empty completions; extra columns are ignored; null ids give no row.
+have empty completions; turns of any length are taken whole; negative ids pair up like the others (-2 with
+-1); an empty table gives no rows; extra columns are ignored; null ids give no row.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ TRAINED_ROLE = "assistant"
 
 def pairs_by_id(turns: DataFrame) -> DataFrame:
     """Turns with ``pair_id`` and ``side`` (0 chosen, 1 rejected) from ``conv_id``."""
-    return turns.select(F.expr("conv_id div 2").alias("pair_id"), F.pmod(F.col("conv_id"), F.lit(2)).cast("int").alias("side"), "turn", "role", "text")
+    side = F.pmod(F.col("conv_id"), F.lit(2))  # the pair rounds down, so negative ids pair up like the others
+    return turns.select(F.expr("(conv_id - pmod(conv_id, 2)) div 2").alias("pair_id"), side.cast("int").alias("side"), "turn", "role", "text")
 
 
 def _render(turns: Column) -> Column:

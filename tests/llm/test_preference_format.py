@@ -42,6 +42,13 @@ def test_odd_conversations(spark):
     assert R.format_preferences(R.pairs_by_id(conversations(spark, []))).count() == 0
 
 
+def test_negative_ids_pair_up(spark):
+    rows = [(k, 0, "user", f"of {k}", None) for k in (-3, -2, -1, 0, 1)]
+    got = {r["pair_id"]: (r["chosen"], r["rejected"]) for r in R.format_preferences(R.pairs_by_id(conversations(spark, rows))).collect()}
+    shown = lambda k: f"<|im_start|>user\nof {k}<|im_end|>\n"
+    assert got == {-1: (shown(-2), shown(-1)), 0: (shown(0), shown(1))}
+
+
 def test_only_native_operators(spark):
     plan = QUERIES["op5_preference_format"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
