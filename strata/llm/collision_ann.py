@@ -13,7 +13,8 @@ meet pairwise in bounded tasks (``BLOCK_ROWS`` by ``QUERY_ROWS``).
 
 Cases: vectors that are null, empty, all zero, or hold a null or non-finite component take no part, nor
 do rows without an id; vectors are compared with those of their own dimension; ties go to the
-smaller id; rows that repeat a query's id are its own; an empty table gives an empty result.
+smaller id; rows that repeat a query's id are its own; components of any finite size are compared (a distance
+beyond the double range is infinite); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,10 +45,23 @@ def directions(dim: int) -> np.ndarray:
     return np.random.default_rng(SEED + dim).standard_normal((dim, PROJECTIONS)) / np.sqrt(dim)
 
 
+def distances(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision.  Differences whose squares would overflow are scaled by a
+    power of two first, which changes no digit."""
+    if max(np.abs(x).max(initial=0.0), np.abs(query).max()) < 1e150:
+        return np.sqrt(((x - query) ** 2).sum(axis=1))
+    half = x * 0.5 - query * 0.5
+    power = np.frexp(np.abs(half).max(axis=1))[1]
+    with np.errstate(over="ignore"):  # a distance beyond the double range is infinite
+        return np.ldexp(np.sqrt((np.ldexp(half, -power[:, None]) ** 2).sum(axis=1)), power + 1)
+
+
 def block_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, vector id, distance) of the best ``k`` of a block for each query."""
     n, a = len(ids), directions(x.shape[1])
-    projected, asked = x @ a, queries @ a
+    # scaled by a power of two, so that no projection overflows; order and ratios stay
+    scale = -np.frexp(max(np.abs(x).max(), np.abs(queries).max()))[1]
+    projected, asked = np.ldexp(x, scale) @ a, np.ldexp(queries, scale) @ a
     order = np.argsort(projected, axis=0, kind="stable")
     arrays = np.take_along_axis(projected, order, axis=0)
     flat = np.ascontiguousarray(order.T.astype(np.int32)).reshape(-1)
@@ -76,7 +90,7 @@ def block_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries:
                     continue
                 found = np.flatnonzero(count >= need)
                 found = found[ids[found] != query_ids[q]]
-                d = np.sqrt(((x[found] - queries[q]) ** 2).sum(axis=1))
+                d = distances(x[found], queries[q])
                 best = np.lexsort((ids[found], d))[:k]
                 out_q.append(np.full(len(best), query_ids[q]))
                 out_v.append(ids[found[best]])

@@ -56,3 +56,35 @@ def test_ties_copies_and_unusable_vectors(spark):
     assert A.search(vectors.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     few = [(r["vec_id"], r["score"]) for r in A.search(vectors.where("vec_id in (0, 12, 40)"), F.col("vec_id") == 0).orderBy("rank").collect()]
     assert few == [(12, 0.0), (40, 1.0)]
+
+
+def test_vectors_of_any_finite_size(spark):
+    """Components whose projections or squares would overflow, beside ordinary and tiny ones."""
+    rng = np.random.default_rng(5)
+    big = [[float(v) for v in row] for row in rng.uniform(-1, 1, (40, 3)) * 1.7e308]
+    rows = [(k, v) for k, v in enumerate(big)] + [(100 + k, [1.0 + k, 2.0, 3.0]) for k in range(40)] + [(200 + k, [1e-300 * (k + 1), 0.0, 1e-310]) for k in range(40)]
+    rows += [(300, [1e160, 0.0, 0.0]), (301, [1e160, 1e145, 0.0]), (302, [3e160, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got: dict = {}
+    for r in A.search(vectors, F.col("vec_id") % 100 == 0, k=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == {0, 100, 200, 300}
+    assert got[100][:2] == [(101, 1.0), (102, 2.0)]
+    assert got[300][0] == (301, 1e145) and got[300][0][1] <= got[300][1][1]
+    by = dict(rows)
+    want = sorted((math.dist([c / 4 for c in by[0]], [c / 4 for c in v]), i) for i, v in rows if i)[:3]
+    assert [i for i, _ in got[0]] == [i for _, i in want]
+    assert all(abs(s / 4 - d) <= 1e-12 * d or math.isinf(s) for (_, s), (d, _) in zip(got[0], want))
+
+
+def test_recall_over_blocks_through_search(spark, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK_ROWS", 700)
+    monkeypatch.setattr(A, "QUERY_ROWS", 5)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 16))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got: dict = {}
+    for r in A.search(vectors, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len({v for v, _ in brute(np.arange(3000), x, q)} & found) for q, found in got.items())
+    assert len(got) == 30 and hits / 300 >= 0.9
