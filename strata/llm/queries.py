@@ -130,11 +130,10 @@ def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus' own size as budget, 98 % of the largest entropy, at most four passes over a source."""
     from pyspark.sql import functions as F
 
-    from strata.llm.temperature_mix import Target, mix, word_count
+    from strata.llm.temperature_mix import Target, mix
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    total = docs.agg(F.sum(word_count(F.col("text"))).alias("t")).first()["t"] or 0
-    mixed = mix(docs, Target(entropy=0.98, max_repeats=4, budget=total), seed=7)
+    mixed = mix(docs, Target(entropy=0.98, max_repeats=4, budget_share=1.0), seed=7)
     return mixed.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), "mix_key", "copies", "exponent")
 
 

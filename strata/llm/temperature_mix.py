@@ -12,13 +12,14 @@ only that block is looked at document by document.  So no source is sorted in on
 and each document's ``copies`` follow from its own hash and one small row of its source.
 
 Cases: null source is a source of its own; null text has no tokens; sources without tokens keep their
-documents once; repeated rows share a hash and are taken or left together; an empty table gives an empty
-result; other columns stay, an input column named as an added one (in any case) is replaced.
+documents once; texts of any length are counted whole; repeated rows share a hash and are taken or left
+together; an empty table gives an empty result; ``mix`` replaces an input column named as one it adds
+(``ADDED``, in any case), ``realise`` keeps all columns and their values.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,17 +29,19 @@ from strata.llm.common import materialise
 GRID = 1024
 BLOCK_DOCS = 1024
 WORDS = r"[^\x20\x09-\x0D]+"
-ADDED = ("mix_source", "mix_tokens", "mix_key")
+ADDED = ("mix_source", "mix_tokens", "mix_key", "mix_passes", "mix_threshold", "copies", "exponent")
 
 
 @dataclass
 class Target:
     """What the exponent is bisected for: an entropy, as a part of the largest possible one, and the
-    most passes over a source.  Without a budget (in tokens), it is the least that keeps all documents."""
+    most passes over a source.  The budget is given in tokens or as a share of all tokens; without one, it is
+    the least that keeps all documents."""
 
     entropy: float | None = None
     max_repeats: float | None = None
     budget: int | None = None
+    budget_share: float | None = None
 
 
 def word_count(text: Column) -> Column:
@@ -54,10 +57,9 @@ def keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: st
         "mix_key": F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")), 1, 15)})
 
 
-def _at(exponents: list[int], sources: DataFrame) -> dict[int, tuple[float, float, float, int]]:
+def _at(exponents: list[int], sources: DataFrame, total: int) -> dict[int, tuple[float, float, float, int]]:
     """For each exponent (in grid steps): sum of powers, entropy, largest weight to share ratio, sources."""
-    total = sources.agg(F.sum("tokens").alias("all"))
-    shares = sources.where("tokens > 0").join(F.broadcast(total)).withColumn("ls", F.log(F.col("tokens") / F.col("all")))  # one row
+    shares = sources.where("tokens > 0").withColumn("ls", F.log(F.col("tokens") / F.lit(total)))
     a = F.col("k") / GRID
     rows = shares.withColumn("k", F.explode(F.array(*[F.lit(k) for k in exponents]))).groupBy("k").agg(
         F.sum(F.exp(a * F.col("ls"))).alias("z"), F.sum(F.col("ls") * F.exp(a * F.col("ls"))).alias("u"), F.max(F.exp((a - 1) * F.col("ls"))).alias("top"), F.count("*").alias("n"))
@@ -88,8 +90,8 @@ def bisect(sources: DataFrame, target: Target, total: int) -> int:
         while hi - lo > 1:
             step = max(1, (hi - lo) // 16)
             cuts = [k for k in range(lo + step, hi, step) if 0 <= k <= GRID] or [lo + 1]
-            values = _at(cuts, sources)
-            least.update(_least(cuts, sources, values))
+            values = _at(cuts, sources, total)
+            least.update(_least(cuts, sources, values, total))
             for k in cuts:
                 if test(values[k], k) == holds_low:
                     lo = k
@@ -102,10 +104,10 @@ def bisect(sources: DataFrame, target: Target, total: int) -> int:
     return max(k, section(False, few_repeats)) if target.max_repeats is not None else k
 
 
-def _least(exponents: list[int], sources: DataFrame, values: dict) -> dict[int, float]:
+def _least(exponents: list[int], sources: DataFrame, values: dict, total: int) -> dict[int, float]:
     """For each exponent the smallest weight to share ratio, from which the keep-all budget follows."""
-    total = sources.agg(F.sum("tokens").alias("all"))
-    top = sources.where("tokens > 0").join(F.broadcast(total)).agg(F.max(F.col("tokens") / F.col("all")).alias("s"), F.min(F.col("tokens") / F.col("all")).alias("t")).first()
+    share = F.col("tokens") / F.lit(total)
+    top = sources.where("tokens > 0").agg(F.max(share).alias("s"), F.min(share).alias("t")).first()
     return {k: min(top["s"] ** (k / GRID - 1), top["t"] ** (k / GRID - 1)) / values[k][0] for k in exponents}
 
 
@@ -115,11 +117,13 @@ def plan(rows: DataFrame, target: Target) -> tuple[DataFrame, float]:
     total = sources.agg(F.sum("tokens").alias("t")).first()["t"] or 0
     if not total:
         return sources.select("mix_source", F.lit(1).cast("bigint").alias("passes"), F.lit("").alias("threshold")), 1.0
+    if target.budget_share is not None:
+        target = replace(target, budget=round(target.budget_share * total))
     k = bisect(sources, target, total)
-    z, _, _, _ = _at([k], sources)[k]
+    z, _, _, _ = _at([k], sources, total)[k]
     budget = target.budget
     if budget is None:
-        budget = total / _least([k], sources, {k: (z,)})[k]
+        budget = total / _least([k], sources, {k: (z,)}, total)[k]
     weight = F.exp(F.lit(k / GRID) * F.log(F.col("tokens") / F.lit(total))) / F.lit(z)
     # a millionth of a token forgives the rounding of the least budget
     quota = F.when(F.col("tokens") > 0, F.floor(weight * F.lit(float(budget)) + 1e-6)).otherwise(0)
@@ -151,15 +155,21 @@ def mix(docs: DataFrame, target: Target, seed: int = 0, id_col: str = "doc_id",
     rows = keyed(docs, seed, id_col, text_col, source_col)
     narrow = materialise(rows.select("mix_source", "mix_key", "mix_tokens"), "mix-rows")
     per_source, exponent = plan(narrow, target)
-    copies = F.col("passes") + F.when(F.col("mix_key") <= F.col("threshold"), 1).otherwise(0)
-    kept = [c for c in rows.columns if c.lower() not in ("copies", "exponent", "passes", "threshold")]
-    return rows.select(*kept).join(per_source, "mix_source").withColumn("copies", copies.cast("bigint")).withColumn("exponent", F.lit(exponent)).drop("mix_source", "passes", "threshold")
-
-
-def realise(docs: DataFrame, target: Target, seed: int = 0, **cols: str) -> DataFrame:
-    """The rows of the mixture, each as often as it has copies, with the columns of ``docs``."""
-    mixed = mix(docs, target, seed, **cols)
-    return mixed.where("copies > 0").withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    per_source = per_source.withColumnsRenamed({"passes": "mix_passes", "threshold": "mix_threshold"})
+    copies = F.col("mix_passes") + F.when(F.col("mix_key") <= F.col("mix_threshold"), 1).otherwise(0)
+    mixed = rows.join(per_source, "mix_source").withColumn("copies", copies.cast("bigint")).withColumn("exponent", F.lit(exponent))
+    return mixed.drop("mix_source", "mix_passes", "mix_threshold")
+
+
+def realise(docs: DataFrame, target: Target, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of the mixture, each as often as it has copies, with the columns of ``docs`` and their
+    values, whatever their names."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    at = {name.lower(): f"c{k}" for k, name in enumerate(names)}
+    mixed = mix(plain, target, seed, at[id_col.lower()], at[text_col.lower()], at[source_col.lower()])
+    passes = mixed.where("copies > 0").withColumn("mix_pass", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return passes.select(*plain.columns).toDF(*names)
 
 
 ORACLE = """

@@ -84,9 +84,19 @@ def test_odd_rows(spark):
     assert M.realise(docs, M.Target(max_repeats=3)).columns == docs.columns
 
 
+def test_user_columns_keep_their_values(spark):
+    rows = [(k, "w " * (k % 3 + 1), "a" if k % 3 else "b", k, k + 1, k + 2, f"k{k}") for k in range(60)]
+    for names in (("threshold", "passes", "copies", "mix_key"), ("EXPONENT", "mix_source", "mix_pass", "c0"), ("Mix_Tokens", "quota", "rest", "block")):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"{n} {t}" for n, t in zip(names, ("int", "int", "int", "string"))))
+        made = M.realise(docs, M.Target(max_repeats=3))
+        assert made.columns == docs.columns
+        assert set(map(tuple, made.collect())) == set(map(tuple, rows))
+        assert M.mix(docs, M.Target(max_repeats=3)).count() == 60
+
+
 def test_only_native_operators(spark):
     plan = QUERIES["op6_temperature_mix"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan
 
 
 def test_rounding_of_large_sources_loses_no_document(spark):
