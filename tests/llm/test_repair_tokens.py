@@ -50,7 +50,47 @@ def test_grammar_round_trip_and_random_access():
         assert len(left) == 0 or len(seq) < len(ids)
         for a, b in ((0, 1), (3, 77), (len(ids) // 2, len(ids))):
             if b <= len(ids):
-                assert np.array_equal(R.expand_range(seq, left, right, firsts, lengths, 50_257, a, b), ids[a:b])
+                ends = R.symbol_ends(seq, lengths, 50_257)
+                assert np.array_equal(R.expand_range(seq, left, right, firsts, ends, 50_257, a, b), ids[a:b])
+
+
+def test_pairs_are_counted_exactly():
+    """Every frequent pair gets a rule, however many others there are; small and large symbols alike."""
+    from collections import Counter
+
+    rng = np.random.default_rng(3)
+    for top in (3000, 90_000):
+        ids = rng.zipf(1.2, 40_000).clip(1, top).astype(np.uint32)
+        place, counts, number = R.count_pairs(ids[:-1], ids[1:])
+        want = Counter(zip(ids[:-1].tolist(), ids[1:].tolist()))
+        assert {(int(ids[p]), int(ids[p + 1])): int(c) for p, c in zip(place, counts)} == want
+        assert all((ids[k], ids[k + 1]) == (ids[place[n]], ids[place[n] + 1]) for k, n in enumerate(number.tolist()[:500]))
+        _, left, right, _ = R.compress(ids, 100_000, rounds=1, min_count=6)
+        assert set(zip(left.tolist(), right.tolist())) == {p for p, c in want.items() if c >= max(6, max(want.values()) >> 4)}
+
+
+def test_documents_by_id(spark, tmp_path, monkeypatch):
+    """Only the ranges of the wanted documents are expanded; repeated and unknown ids are harmless."""
+    monkeypatch.setattr(R, "BLOCK_TOKENS", 2000)
+    monkeypatch.setattr(R, "READ_TOKENS", 100)
+    docs = frame(spark, [(k, f"text {k} " * (k % 50), "en", "s", 0) for k in range(400)] + [(7, "again", "en", "s", 0)])
+    path = str(tmp_path / "files")
+    R.write_tokens(docs, path, FILE, shards=3)
+    every = R.read_tokens(spark, path, FILE).collect()
+    wanted = spark.createDataFrame([(7,), (7,), (399,), (200,), (12_345,), (None,)], "doc_id bigint")
+    got = R.read_documents(spark, path, FILE, wanted).collect()
+    key = lambda rows: sorted((r["doc_id"], r["start"], r["n_tokens"], tuple(r["ids"])) for r in rows)
+    assert len(got) == 4 and key(got) == key(r for r in every if r["doc_id"] in (7, 399, 200))
+
+
+def test_long_text_and_clashing_names(spark, tmp_path):
+    """A text of several chunks; columns named as the files' own."""
+    long = "some words and more of them 12 345 " * 70_000
+    docs = spark.createDataFrame([(1, long, 5, "x"), (2, None, 6, "y")], "doc_id bigint, text string, start int, ids_crc32 string")
+    rows = {r["doc_id"]: r for r in R.round_trip(docs, FILE).collect()}
+    ids = Tokenizer.from_file(FILE).encode(long, add_special_tokens=False).ids + [2]
+    assert (rows[1]["start"], rows[1]["n_tokens"], rows[1]["ids_crc32"]) == (0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert (rows[2]["start"], rows[2]["n_tokens"]) == (len(ids), 1)
 
 
 def test_repeated_text_shrinks():
