@@ -2,37 +2,40 @@
 
 The texts are split into words in Spark tasks, block by block: a block keeps, for each document, the
 positions of its words in the block's own dictionary.  The dictionaries, dealt out by a hash of the
-word into ``buckets``, meet in one shuffle where each distinct word of a bucket is encoded once;
-the ids come back to their block by (block, bucket) and to their place by position.  Decoding joins
-ids to the vocabulary's pieces (a table bounded by the vocabulary).
-
-Only dictionaries and positions are shuffled, never the texts, and a word that fills the corpus
-occurs once in a block's dictionary, so no key is hot.  Memory in a task is bounded by a block
+word into ``buckets``, meet in one shuffle where each distinct word of a bucket is encoded once.  Decoding
+is a join: the words' ids, exploded with their positions, meet the table (id, piece) of the vocabulary,
+which is broadcast (its size is the vocabulary's), and a word's pieces are put together by position.
+Ids and pieces come back to their block by (block, bucket) and to their place by position.
+
+Blocks are written bucketed by block: positions and texts are never shuffled, only dictionaries are, there
+and back, and a word that fills the corpus occurs once in a block's dictionary, so no key is hot.  The numbers of
+blocks and buckets come from the size of the texts.  Memory in a task is bounded by a block
 (``BLOCK_CHARS``; one text at least) and by ``CACHE_WORDS`` encoded words.
 
-Cases: null text = empty text (no ids; digests of the empty string); repeated rows are encoded one
-by one; an empty table gives an empty result; extra columns of the input are ignored.
+Cases: null text = empty text (no ids; digests of the empty string); texts of any length are encoded whole;
+repeated rows are encoded one by one, and rows without an id too; an empty table gives an empty result; extra
+columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
-import struct
 import unicodedata
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import pieces as P
-from strata.llm.common import materialise, text_chunks, texts_of
+from strata.llm.common import bucketed, pack, text_chunks, text_size, texts_of, unpack
+from strata.llm.id_join import joined_bytes, units, vocabulary
 
 BLOCK_CHARS = 8 << 20
 CACHE_WORDS = 100_000
@@ -88,37 +91,17 @@ def split_words(texts: list[str], special: re.Pattern | None) -> tuple[str, np.n
     return "".join(segments), starts, lengths, P.span_hashes(cp, starts, lengths), np.searchsorted(starts, offsets[first])
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays as one zstd frame, byte plane by byte plane."""
-    parts = []
-    for a in arrays:
-        a = np.ascontiguousarray(a)
-        parts += [struct.pack("<qB", len(a), a.itemsize), a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()]
-    return zstandard.compress(b"".join(parts), 3)
-
-
-def _unpack(data: bytes) -> list[np.ndarray]:
-    raw, at, out = zstandard.decompress(data), 0, []
-    while at < len(raw):
-        n, width = struct.unpack_from("<qB", raw, at)
-        at += 9
-        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
-        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(-1))
-        at += n * width
-    return out
-
-
-_BLOCKS = "kind int, block string, bucket int, n_docs int, ids array<bigint>, payload binary"
+_BLOCK = "block bigint, ids array<bigint>, positions binary, words array<struct<bucket:int,names:binary>>"
 
 
 def blocks(docs: DataFrame, tokenizer: str, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """One row of kind 0 for each block (its documents and word positions) and one of kind 1 for
-    each bucket of its dictionary."""
+    """One row per block: its documents, the positions of their words, and its dictionary by bucket."""
     src = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))
+    part = pa.struct([("bucket", pa.int32()), ("names", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("positions", pa.binary()), ("words", pa.list_(part))])
 
-    def emit(ids: list, sizes: list, parts: list, words: dict[int, str]) -> Iterator[pa.RecordBatch]:
-        hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        distinct, inverse = np.unique(hashes, return_inverse=True)
+    def packed(block: int, ids: list, sizes: list, parts: list, words: dict[int, str]) -> pa.RecordBatch:
+        distinct, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         # numbered by falling frequency, which packs best; a bucket lists its words in that order
         ranked = np.argsort(-np.bincount(inverse, minlength=len(distinct)), kind="stable")
         rank = np.empty(len(distinct), np.uint32)
@@ -126,19 +109,16 @@ def blocks(docs: DataFrame, tokenizer: str, buckets: int, id_col: str, text_col:
         distinct = distinct[ranked]
         bucket = ((distinct >> np.uint64(7)) % np.uint64(buckets)).astype(np.uint32)
         order = np.argsort(bucket, kind="stable")
-        block = uuid.uuid4().hex
-        rows = [{"kind": 0, "block": block, "bucket": None, "n_docs": len(ids), "ids": ids, "payload": _pack(np.array(sizes, np.uint32), rank[inverse], bucket)}]
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         names = [words[h] for h in distinct[order].tolist()]
-        for k in np.flatnonzero(np.diff(edges)).tolist():
-            data = zstandard.compress("\n".join(names[edges[k]:edges[k + 1]]).encode("utf-8", "surrogatepass"), 3)
-            rows.append({"kind": 1, "block": block, "bucket": k, "n_docs": None, "ids": None, "payload": data})
-        yield pa.RecordBatch.from_pylist(rows, schema)
-
-    schema = pa.schema([("kind", pa.int32()), ("block", pa.string()), ("bucket", pa.int32()), ("n_docs", pa.int32()), ("ids", pa.list_(pa.int64())), ("payload", pa.binary())])
+        dealt = [{"bucket": k, "names": zstandard.compress("\n".join(names[edges[k]:edges[k + 1]]).encode(), 3)} for k in np.flatnonzero(np.diff(edges)).tolist()]
+        row = {"block": block, "ids": ids, "positions": pack(np.array(sizes, np.uint32), rank[inverse], bucket), "words": dealt}
+        return pa.RecordBatch.from_pylist([row], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special = _load(tokenizer)[2]
+        from pyspark import TaskContext
+
+        special, block = _load(tokenizer)[2], TaskContext.get().partitionId() << 32
         ids, sizes, parts, words, chars = [], [], [], {}, 0
         for batch in batches:
             for chunk in text_chunks(batch, 1):
@@ -152,23 +132,24 @@ def blocks(docs: DataFrame, tokenizer: str, buckets: int, id_col: str, text_col:
                 parts.append(hashes)
                 chars += len(joined)
                 if chars >= BLOCK_CHARS:
-                    yield from emit(ids, sizes, parts, words)
-                    ids, sizes, parts, words, chars = [], [], [], {}, 0
+                    yield packed(block, ids, sizes, parts, words)
+                    block, ids, sizes, parts, words, chars = block + 1, [], [], [], {}, 0
         if ids:
-            yield from emit(ids, sizes, parts, words)
+            yield packed(block, ids, sizes, parts, words)
 
-    return src.mapInArrow(run, _BLOCKS)
+    return src.mapInArrow(run, _BLOCK)
 
 
 def encode_words(words: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
-    """Encode the dictionaries (kind 1): the same (block, bucket) rows with the ids of each word.
+    """(block, bucket, ids of each word) of dictionaries (block, bucket, names).
     All rows of a bucket meet in one task, where a word seen before is looked up."""
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("ids", pa.list_(pa.list_(pa.int32())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, known = _load(tokenizer)[0], {}
         for batch in batches:
             for row in batch.to_pylist():
-                names = zstandard.decompress(row["payload"]).decode("utf-8", "surrogatepass").split("\n")
+                names = zstandard.decompress(row["names"]).decode().split("\n")
                 new = [w for w in names if w not in known]
                 if len(known) + len(new) > CACHE_WORDS:
                     known, new = {}, names
@@ -176,28 +157,27 @@ def encode_words(words: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
                     part = new[k:k + 4096]
                     known.update(zip(part, (e.ids for e in encoder.encode_batch(part, add_special_tokens=False))))
                 got = [known[w] for w in names]
-                sizes = np.fromiter(map(len, got), np.uint32, len(got))
-                flat = np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
-                yield pa.RecordBatch.from_pylist([{"block": row["block"], "bucket": row["bucket"], "payload": _pack(sizes, flat)}], schema)
+                ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))]).astype(np.int32)
+                flat = np.fromiter((i for g in got for i in g), np.int32, int(ends[-1]))
+                ids = pa.ListArray.from_arrays(np.array([0, len(got)], np.int32), pa.ListArray.from_arrays(ends, flat))
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["bucket"]], pa.int64()), ids], schema=schema)
 
-    schema = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("payload", pa.binary())])
-    dealt = words.select("block", "bucket", "payload").repartition(buckets, "bucket")
-    return dealt.mapInArrow(run, "block string, bucket int, payload binary")
+    dealt = words.select("block", "bucket", "names").repartition(buckets, "bucket")
+    return dealt.mapInArrow(run, "block bigint, bucket bigint, ids array<array<int>>")
 
 
 @lru_cache(2)
-def _spellings(tokenizer: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For decimal ids and for pieces: all spellings, each with a blank behind it, as bytes; starts; lengths."""
-    names, out = _load(tokenizer)[1], []
-    for spelled in ([f"{i} ".encode() for i in range(len(names))], [f"{x} ".encode() for x in names]):
-        sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
-        out.append((np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(sizes) - sizes, sizes))
-    return out
+def _decimals(tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All decimal ids, each with a blank behind it, as bytes; starts; lengths."""
+    spelled = [f"{i} ".encode() for i in range(len(_load(tokenizer)[1]))]
+    sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+    return np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
-def spell(tokenizer: str, ids: np.ndarray) -> list[bytes]:
-    """The decimal ids and the decoded text (pieces with a blank between), both in UTF-8."""
-    return [P.ragged(flat, starts[ids], sizes[ids])[:-1].tobytes() for flat, starts, sizes in _spellings(tokenizer)]
+def _pieces(spark: SparkSession, tokenizer: str) -> DataFrame:
+    """The vocabulary as a table: each id's piece with the blank that decoding puts behind it."""
+    names = _load(tokenizer)[1]
+    return vocabulary(spark, list(range(len(names))), [f"{x} ".encode() for x in names])
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, buckets: int | None = None) -> DataFrame:
@@ -205,47 +185,60 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     Returns one row per input row: ``id_col`` and either ``ids`` (array<int>) with ``decoded``, or,
     with ``digests``, ``n_tokens``, ``ids_sha256`` (of the decimal ids with a blank between) and
-    ``decoded_sha256``.  ``buckets`` defaults to the session's shuffle partitions.
+    ``decoded_sha256``.  ``buckets`` defaults to four times the root of the number of blocks.
     """
-    spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = materialise(blocks(docs, tokenizer, buckets, id_col, text_col), "bpe-blocks")
-    encoded = encode_words(made.where("kind = 1"), tokenizer, buckets)
-    back = encoded.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("words"))
-    joined = made.where("kind = 0").select("block", "ids", F.col("payload").alias("positions")).join(back, "block", "left").drop("block")
-    result = f"{id_col} bigint, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
+    homes = text_size(docs, text_col) // BLOCK_CHARS + 1
+    buckets = buckets or math.ceil(4 * math.sqrt(homes))
+    held = bucketed(blocks(docs, tokenizer, buckets, id_col, text_col), "bpe-blocks", "block", max(homes, 4))
+    words = held.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.names")
+    each = encode_words(words, tokenizer, buckets).select(F.col("block").alias("k1"), F.col("bucket").alias("k2"), F.posexplode("ids").alias("word", "ids"))
+    each = joined_bytes(each.select("k1", "k2", "word", F.posexplode("ids").alias("p", "id")), _pieces(docs.sparkSession, tokenizer))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, bucket, counts, ids, sizes, flat in units(batches):
+            found = pack(counts.astype(np.uint32), ids.astype(np.uint32), sizes.astype(np.uint32), flat)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int64()), pa.array([found], pa.binary())], names=["block", "bucket", "found"])
+
+    back = each.mapInArrow(packed, "block bigint, bucket bigint, found binary").repartition(max(homes, 4), "block")
+    back = back.groupBy("block").agg(F.collect_list(F.struct("bucket", "found")).alias("found"))
+    joined = held.select("block", "ids", "positions").join(back, "block", "left").drop("block")
+    result = f"`{id_col}` bigint, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                row = batch.slice(r, 1).to_pylist()[0]
-                sizes, ranks, bucket = _unpack(row["positions"])
-                order = np.argsort(bucket, kind="stable")
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                got = [_unpack(w["payload"]) for w in sorted(row["words"] or [], key=lambda w: w["bucket"])]
-                counts = np.concatenate([g[0] for g in got]).astype(np.int64) if got else np.zeros(0, np.int64)
-                flat = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.uint32)
-                starts, ends = np.cumsum(counts) - counts, np.cumsum(sizes, dtype=np.int64)
-                cols: list[list] = [[], [], []]
-                for begin, end in zip((ends - sizes).tolist(), ends.tolist()):
-                    at = place[ranks[begin:end]]
-                    ids = P.ragged(flat, starts[at], counts[at])
-                    numbers, text = spell(tokenizer, ids)
-                    if digests:
-                        got_row = len(ids), hashlib.sha256(numbers).hexdigest(), hashlib.sha256(text).hexdigest()
-                    else:
-                        got_row = ids.astype(np.int32), text.decode()
-                    for c, v in zip(cols, got_row):
-                        c.append(v)
-                ids = pa.array(row["ids"], pa.int64())
-                if digests:
-                    made_cols = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
-                    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-                else:
-                    made_cols, names = [pa.array(cols[0], pa.list_(pa.int32())), pa.array(cols[1], pa.string())], [id_col, "ids", "decoded"]
-                out = pa.RecordBatch.from_arrays([ids, *made_cols], names=names)
-                for k in range(0, out.num_rows, 2048):
-                    yield out.slice(k, 2048)
+                yield from placed(batch.slice(r, 1).to_pylist()[0], tokenizer, id_col, digests)
 
     return joined.mapInArrow(run, result)
+
+
+def placed(row: dict, tokenizer: str, id_col: str, digests: bool) -> Iterator[pa.RecordBatch]:
+    """The documents of a block: ids and pieces in the places of its words."""
+    sizes, ranks, bucket = unpack(row["positions"])
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    got = [unpack(w["found"]) for w in sorted(row["found"] or [], key=lambda w: w["bucket"])]
+    counts, flat, widths, text = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.uint32) for k in range(4))
+    counts, widths = counts.astype(np.int64), widths.astype(np.int64)
+    id_at, text_at, ends = np.cumsum(counts) - counts, np.cumsum(widths) - widths, np.cumsum(sizes, dtype=np.int64)
+    decimals, decimal_at, decimal_sizes = _decimals(tokenizer)
+    cols: list[list] = [[], [], []]
+    for begin, end in zip((ends - sizes).tolist(), ends.tolist()):
+        at = place[ranks[begin:end]]
+        ids = P.ragged(flat, id_at[at], counts[at])
+        decoded = P.ragged(text, text_at[at], widths[at])[:-1].tobytes()
+        if digests:
+            spelled = P.ragged(decimals, decimal_at[ids], decimal_sizes[ids])[:-1].tobytes()
+            values = len(ids), hashlib.sha256(spelled).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        else:
+            values = ids.astype(np.int32), decoded.decode()
+        for c, v in zip(cols, values):
+            c.append(v)
+    if digests:
+        kinds, names = [pa.int64(), pa.string(), pa.string()], ["n_tokens", "ids_sha256", "decoded_sha256"]
+    else:
+        kinds, names = [pa.list_(pa.int32()), pa.string()], ["ids", "decoded"]
+    out = pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=[id_col, *names])
+    for k in range(0, out.num_rows, 2048):
+        yield out.slice(k, 2048)
