@@ -4,7 +4,7 @@ A document's set is its distinct word n-grams, as 64-bit hashes.  The join links
 ``100 * |A & B| >= percent * |A | B|`` and labels each document with the smallest id that links
 reach.  Steps, each a Spark job over hashed columns:
 
-1. *Equal sets* become one class (``min(doc_id)``, map-side combined), so copies never meet a join.
+1. *Equal sets* become one class (map-side combined, named by a hash of the set), so copies never meet a join.
 2. *Index lists*.  Two linked sets share a hash among the first ``n - ceil(t n) + 1`` ("prefix") of
    either one, under any common order of the hashes.  The order used puts a fixed part of the hash
    space (``eligible_below``) first, rarest hash first, counted over all documents; a set with too few of
@@ -22,8 +22,9 @@ reach.  Steps, each a Spark job over hashed columns:
 
 No link between different texts is lost: steps 2 to 4 drop only pairs that cannot link or whose
 ends are connected anyway.  Cases: null text, or a text without words: empty set, linked with nothing;
-fewer than n words: the whole sequence is the one n-gram; repeated rows share a class; an empty table
-gives an empty result; extra columns are ignored.
+fewer than n words: the whole sequence is the one n-gram; texts of any length are taken whole; repeated rows share a
+class; unlike texts that share an id are documents of their own; rows without an id link nothing; an
+empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,9 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import types as T
 
 from strata.llm import pieces as P
-from strata.llm.common import materialise, text_chunks, texts_of
+from strata.llm.common import map_text, materialise, text_chunks, texts_of
 
 PIVOT_ROUNDS = 2
 WORDS = 8  # 64-bit words of a set's parity sketch: a bit tells if an odd number of its hashes fall into a cell
@@ -64,6 +66,12 @@ def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
     return out
 
 
+def fingerprints(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """128 bits of each set, as two signed words."""
+    found = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+    return [(f >> 64) - (1 << 63) for f in found], [(f & (1 << 64) - 1) - (1 << 63) for f in found]
+
+
 def eligible_below(percent: int) -> np.uint64:
     """Hashes below this come first in the order of the prefix: twice the part that a prefix takes."""
     return np.uint64(min((1 << 64) - 1, (1 << 64) * 2 * (100 - percent) // 100))
@@ -82,12 +90,11 @@ def _sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, wit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch, 1):
-                sizes, his, los, firsts, tokens, parities = [], [], [], [], [], []
-                for s in shingle_sets(texts_of(chunk, 1), n):
-                    f = xxhash.xxh3_128_intdigest(s.tobytes())
+                sizes, firsts, tokens, parities = [], [], [], []
+                sets = shingle_sets(texts_of(chunk, 1), n)
+                his, los = fingerprints(sets)
+                for s in sets:
                     sizes.append(len(s))
-                    his.append((f >> 64) - (1 << 63))
-                    los.append((f & (1 << 64) - 1) - (1 << 63))
                     if with_tokens:
                         first = int(np.searchsorted(s, eligible_below(percent)))
                         firsts.append(first)
@@ -156,20 +163,30 @@ def _banded(entries: DataFrame, percent: int) -> DataFrame:
     return own.withColumn("visitor", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("visitor"))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, n_a, n_b, inter) of candidate pairs; whole sets, rebuilt from the texts of just the sets in pairs."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _class(rows: DataFrame):
+    """The number of a set: a hash of its fingerprint."""
+    return F.xxhash64(rows["hi"], rows["lo"], rows["n"])
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b, n_a, n_b, inter) of candidate pairs; whole sets, rebuilt from the texts of just the sets in pairs.
+    A document stands for its class; others that share its id are told apart by their sets."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    ids = classes.select("rep", "doc_id").join(needed, "rep", "left_semi").select("doc_id").distinct()
     src = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    src = src.join(needed, "doc_id", "left_semi")
+    src = src.join(ids, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch, 1):
-                grams = [x.view(np.int64) for x in shingle_sets(texts_of(chunk, 1), n)]
-                yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["doc_id", "grams"])
-
-    sets = src.mapInArrow(run, "doc_id bigint, grams array<bigint>")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
+                grams = shingle_sets(texts_of(chunk, 1), n)
+                his, los = fingerprints(grams)
+                yield pa.RecordBatch.from_arrays([pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(list(map(len, grams)), pa.int64()), pa.array([x.view(np.int64) for x in grams], pa.list_(pa.int64()))], names=["hi", "lo", "n", "grams"])
+
+    sets = src.mapInArrow(run, "hi bigint, lo bigint, n bigint, grams array<bigint>")
+    # rows that repeat both id and text count once
+    sets = sets.groupBy(_class(sets).alias("rep")).agg(F.first("grams").alias("grams"))
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("grams").alias("grams_b")), "b")
     return both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("bigint").alias("inter"))
 
 
@@ -233,7 +250,7 @@ def join_links(docs: DataFrame, sets: DataFrame, n: int, percent: int, id_col: s
         pairs = materialise(pairs, f"jaccard-pairs-{k}")
         if pairs.isEmpty():
             continue
-        checked = materialise(_verify(pairs, docs, n, id_col, text_col), f"jaccard-checked-{k}")
+        checked = materialise(_verify(pairs, docs, sets, n, id_col, text_col), f"jaccard-checked-{k}")
         tried = checked if tried is None else tried.unionByName(checked)
         links = tried.where(f"100 * inter >= {percent} * (n_a + n_b - inter)")
     return (pairs if links is None else links).select("a", "b")
@@ -251,13 +268,46 @@ def _unexcluded(pairs: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     return known.where(~F.coalesce(far, F.lit(False))).select(*pairs.columns)
 
 
+def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The classes of equal sets (hi, lo, n, rep, doc_id: the smallest), and the component of each:
+    (hi, lo, n, root, component_id)."""
+    sets = _sets(docs, n, percent, id_col, text_col, True).where("n > 0 and doc_id is not null")
+    classes = sets.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("doc_id"), F.first("n_first").alias("n_first"), F.first("hashes").alias("hashes"), F.first("parity").alias("parity"))
+    classes = materialise(classes.withColumn("rep", _class(classes)), "jaccard-classes")
+    roots = components(join_links(docs, classes, n, percent, id_col, text_col)).withColumnRenamed("id", "rep")
+    rooted = classes.select("hi", "lo", "n", "rep", "doc_id").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rooted = materialise(rooted, "jaccard-roots")
+    return rooted, rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row."""
     members = _sets(docs, n, percent, id_col, text_col, False)
-    classes = _sets(docs, n, percent, id_col, text_col, True).where("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.first("n_first").alias("n_first"), F.first("hashes").alias("hashes"), F.first("parity").alias("parity"))
-    classes = materialise(classes, "jaccard-classes")
-    links = join_links(docs, classes, n, percent, id_col, text_col)
-    roots = components(links)
-    named = classes.select("hi", "lo", F.col("n").alias("size"), "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", "size", F.coalesce("root", "rep").alias("root"))
+    classes, labels = _classes(docs, n, percent, id_col, text_col)
+    named = classes.join(labels, "root").select("hi", "lo", F.col("n").alias("size"), "component_id")
     same = (members["hi"] == named["hi"]) & (members["lo"] == named["lo"]) & (members["n"] == named["size"])
-    return members.join(named, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    return members.join(named, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component one row stays, of the smallest id.  Rows
+    that repeat an id with the same set of n-grams count as copies, rows that repeat an id with another set are
+    documents of their own; rows without n-grams are linked with nothing, and rows without an id stay."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    at = {name.lower(): f"c{k}" for k, name in enumerate(names)}
+    id_at, text_at = at[id_col.lower()], at[text_col.lower()]
+    classes, _ = _classes(plain, n, percent, id_at, text_at)
+    first = classes.groupBy("root").agg(F.min(F.struct("doc_id", "hi", "lo", "n")).alias("f")).select("f.*")
+
+    def marks(texts: list[str], _: pa.Array) -> dict[str, object]:
+        sets = shingle_sets(texts, n)
+        hi, lo = fingerprints(sets)
+        return {"hi": hi, "lo": lo, "n": list(map(len, sets))}
+
+    marked = map_text(plain, marks, T.StructType([T.StructField(c, T.LongType()) for c in ("hi", "lo", "n")]), text_at)
+    keys = ["doc_id", "hi", "lo", "n"]
+    marked = marked.withColumn("doc_id", F.col(id_at).cast("bigint"))
+    winners = marked.where("n > 0").join(first, keys, "left_semi").unionByName(marked.where("n = 0 and doc_id is not null"))
+    kept = winners.dropDuplicates(keys).select(*plain.columns)
+    return kept.unionByName(plain.where(F.col(id_at).cast("bigint").isNull())).toDF(*names)

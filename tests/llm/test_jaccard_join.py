@@ -123,3 +123,33 @@ def test_prefix_length_is_exact():
             need = -(-percent * size // 100)
             assert J.prefix_length(size, percent) == size - need + 1
     assert all(np.all(np.diff(s.astype(float)) > 0) for s in J.shingle_sets(["a b c d e f", "b a b a b a b"], 3))
+
+
+def test_unlike_texts_under_one_id(spark):
+    """They are documents of their own: nothing is linked through the id, nothing is lost."""
+    word = lambda k: " ".join(f"{k}w{j}" for j in range(30))
+    rows = [(1, word("a"), 0), (1, word("b"), 1), (2, word("a"), 2), (3, word("b"), 3), (4, word("c"), 4), (4, word("c"), 5), (5, None, 6), (5, None, 7), (None, word("a"), 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, hi int")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in J.jaccard_components(docs).collect())
+    assert got == sorted([("1", 28, 1), ("1", 28, 1), ("2", 28, 1), ("3", 28, 1), ("4", 28, 4), ("4", 28, 4), ("5", 0, 5), ("5", 0, 5), ("None", 28, 1)])
+    kept = J.keep_first(docs, n=3, percent=90)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, [(1, word("a")), (1, word("b")), (4, word("c")), (5, None), (None, word("a"))]))
+
+
+def test_ids_do_not_connect_components(spark):
+    """2 and 3 share nothing, though both are linked with a text of id 1: their rows have components 1, of different texts."""
+    a, b = [f"a{j}" for j in range(60)], [f"b{j}" for j in range(60)]
+    rows = [(10, " ".join(a), 0), (10, " ".join(b), 0), (2, " ".join(a[:59] + ["x"]), 0), (3, " ".join(b[:59] + ["y"]), 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_shingles int")
+    got = {r["doc_id"]: r["component_id"] for r in J.jaccard_components(docs).collect() if r["doc_id"] != 10}
+    assert got == {2: 2, 3: 3}
+    assert sorted(r["doc_id"] for r in J.keep_first(docs, n=3, percent=90).collect()) == [2, 3]
+
+
+def test_long_text_and_clashing_names(spark):
+    long = " ".join(f"w{k % 5000}" for k in range(80_000))
+    docs = spark.createDataFrame([(1, long, 1, "x"), (2, long + " end", 2, "y"), (3, "short one here", 3, "z")], "doc_id bigint, text string, component_id int, hashes string")
+    assert result(J.jaccard_components(docs)) == brute({1: long, 2: long + " end", 3: "short one here"}, 3, 90)
+    assert sorted(map(tuple, J.keep_first(docs).collect())) == [(1, long, 1, "x"), (3, "short one here", 3, "z")]
+    assert J.keep_first(docs.limit(0)).count() == 0
