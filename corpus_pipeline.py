@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, near duplicates, personal data, mixing, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written to the shared folder and
-read again as the next one's ``docs``.  All but the last return the columns of ``documents``.
+read again as the next one's ``docs``.  All but the last return the columns of ``documents``, whatever else
+the table holds.
+
+Cases: null and empty texts fail the quality rules; very long texts go through whole; of documents that tie the
+smallest id stays; repeated rows count as copies; an empty table goes through all stages and gives no rows; extra
+columns keep their values to the stage before the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm.common import materialise, table
-from strata.llm.jaccard_join import jaccard_components
+from strata.llm.jaccard_join import keep_first
 from strata.llm.pii_crf import mask_pii, train
 from strata.llm.quality_rules import keep_clean
 from strata.llm.queries import tokenizer_file
@@ -29,11 +34,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of five-word shingles at Jaccard 0.8 make: the smallest id.
-    Rows that repeat an id count as copies; rows without an id stay."""
-    found = jaccard_components(docs, n=5, percent=80)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    Rows that repeat both id and text count as copies; unlike texts under one id, and rows without an id, stay."""
+    return keep_first(docs, n=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
