@@ -60,3 +60,17 @@ def test_stages_match_a_plain_version(spark, tmp_path):
 def test_run_is_the_stages_in_a_row(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} == set(rows[0].asDict())
+
+
+def test_empty_table_and_clashing_columns(spark, tmp_path):
+    """No stage crashes on an empty table; extra columns keep their values up to the last stage."""
+    text = "A plain line of words that no rule rejects , number %d of several with its own ending %d"
+    rows = [(k, text % (k, k * k) + "".join(f" w{k}x{j}" for j in range(30)), "en", "s", 5, k, k + 1, f"v{k}") for k in range(12)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, copies int, threshold int, component_id string"
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        left = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, left, str(tmp_path))
+            assert left.columns == docs.columns, name
+        assert set(map(tuple, left.drop("text").collect())) == set(map(tuple, docs.drop("text").collect()))
+        assert corpus_pipeline.STAGES[-1][1](spark, left, str(tmp_path)).count() == left.count()
