@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 
 from strata.llm import pieces as P
 from strata.llm.common import bucketed, pack, text_chunks, text_size, texts_of, unpack
+from strata.llm.id_join import joined_bytes, units, vocabulary
 
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
 CACHE_WORDS = 200_000
 
 
@@ -56,8 +57,7 @@ def _encoder(path: str):
 def token_bytes(spark: SparkSession, ranks: str) -> DataFrame:
     """The vocabulary as a table (id, bytes)."""
     found = _ranks(ranks)
-    rows = pa.table({"id": pa.array(list(found.values()), pa.int32()), "bytes": pa.array(list(found.keys()), pa.binary())})
-    return spark.createDataFrame(rows)
+    return vocabulary(spark, list(found.values()), list(found.keys()))
 
 
 _BLOCK = "block bigint, ids array<bigint>, positions binary, words array<struct<bucket:int,names:binary>>"
@@ -147,55 +147,6 @@ def encode_words(words: DataFrame, ranks: str, buckets: int) -> DataFrame:
     return dealt.mapInArrow(run, "block bigint, bucket bigint, ids array<array<int>>")
 
 
-def joined_bytes(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Rows (k1 bigint, k2 bigint, word int, p int, id int) with the ``bytes`` of their id.  A unit's rows stay neighbours: the
-    vocabulary is broadcast, so rows are only looked up."""
-    return rows.join(F.broadcast(vocabulary), "id", "left").select("k1", "k2", "word", "p", "id", "bytes")
-
-
-def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(k1, k2, tokens of each word, ids, bytes of each word, all bytes) of each run of rows with equal keys."""
-    held: list[tuple] = []
-
-    def close() -> tuple:
-        word, p, ids, sizes, flat = (np.concatenate([h[k] for h in held]) for k in range(5))
-        order = np.lexsort((p, word))
-        if np.any(np.diff(order) < 0):
-            flat = P.ragged(flat, (np.cumsum(sizes) - sizes)[order], sizes[order])
-            word, ids, sizes = word[order], ids[order], sizes[order]
-        counts = np.bincount(word)
-        return counts, ids, np.bincount(word, weights=sizes, minlength=len(counts)).astype(np.int64), flat
-
-    key = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k1, k2 = batch.column(0), batch.column(1).to_numpy()
-        one = k1.fill_null(-1).to_numpy(zero_copy_only=False)
-        change = np.flatnonzero((np.diff(k2) != 0) | (np.diff(one) != 0)) + 1
-        for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
-            now = (k1[a].as_py(), int(k2[a]))
-            if now != key:
-                if held:
-                    yield *key, *close()
-                key, held = now, []
-            part = batch.slice(a, b - a)
-            if part.column(4).null_count:  # a unit without ids
-                part = part.filter(part.column(4).is_valid())
-            held.append((*[part.column(c).to_numpy() for c in (2, 3, 4)], *binary_parts(part.column(5))))
-    if held:
-        yield *key, *close()
-
-
-def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and joined bytes of a binary column without nulls."""
-    if not len(column):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
-    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
-    return np.diff(offsets).astype(np.int64), data[offsets[0]:offsets[-1]]
-
-
 def decode(tokens: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, decoded binary) of every row of a table of ids, by the join with the token-byte table.
     Null and empty lists give no bytes; an id that the vocabulary lacks raises."""

@@ -8,6 +8,7 @@ import tiktoken
 from helpers import ODD_TEXTS, frame, odd_documents
 
 from strata.llm import byte_word_shuffle as B
+from strata.llm.id_join import units
 from strata.llm.queries import QUERIES, tokenizer_file
 
 FILE = tokenizer_file("byte_bpe_multi_50k.tiktoken")
@@ -53,7 +54,7 @@ def test_units_do_not_depend_on_row_order():
     rows = [(1, 0, 1, 0, 7, b"cd"), (1, 0, 0, 1, 6, b"b"), (1, 0, 0, 0, 5, b"a"), (2, 0, 0, 0, 9, b"z")]
     batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()])], names=list("abcdef"))
     for cut in range(5):
-        got = list(B.units(iter([batch.slice(0, cut), batch.slice(cut)])))
+        got = list(units(iter([batch.slice(0, cut), batch.slice(cut)])))
         assert [(g[0], g[2].tolist(), g[3].tolist(), g[4].tolist(), g[5].tobytes()) for g in got] == [(1, [2, 1], [5, 6, 7], [2, 2], b"abcd"), (2, [1], [9], [1], b"z")]
 
 
