@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from strata.plans.oracle_base import with_programme
-from strata.plans.registry import Ctx, register
+from pyspark.sql import functions as F
+
+from strata.operators.scope import Scope
+from strata.plans.registry import AS_OF, REGION, Ctx, register
+from strata.session import shared_dir
 from strata.sources import catalog as CAT
+from strata.sources import layout as LY
+from strata.sources import rollup as RU
 from strata.sources import sinks as SK
 from strata.sources.tables import DRIVER_TABLES, driver_tables
 
@@ -21,18 +27,53 @@ def schema_context(spark, sf_dir):
     return CAT.schema_context(CAT.describe_frames(spark, dict(driver_tables(spark, sf_dir).items())))
 
 
-@register("weekly_rollup", with_programme("""
+_ROLLUP_SQL = with_programme("""
 SELECT c.academy_id, CAST(date_trunc('week', s.session_date) AS DATE) AS week, count(*) AS attendance_rows,
        count(*) FILTER (WHERE a.attended_normalized) AS present_rows, count(a.participant_id) AS total_attendances,
        count(DISTINCT a.participant_id) AS unique_attendees
 FROM p_attendance_n a JOIN p_session s ON a.session_id = s.session_id JOIN p_cohort c ON s.cohort_id = c.cohort_id
 JOIN p_hierarchy h ON c.academy_id = h.academy_id
-GROUP BY 1, 2"""))
+GROUP BY 1, 2""")
+
+
+@register("weekly_rollup", _ROLLUP_SQL)
 def weekly_rollup(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     return SK.weekly_rollup(c.tables, c.hierarchy)
 
 
+@register("rollup_refreshed", _ROLLUP_SQL)
+def rollup_refreshed(spark, sf_dir):
+    """The rollup after an incremental refresh: a third of the last months' attendance arrives late, as new
+    files, and only the weeks these touch are computed again."""
+    c = Ctx(spark, sf_dir)
+    root, target = shared_dir(spark, "programme"), shared_dir(spark, "rollup")
+    sessions = c.tables["session"]
+    late = sessions.filter((F.col("session_date") >= F.lit("2001-06-01").cast("date")) & (F.pmod("session_id", F.lit(3)) == 0)).select("session_id")
+    on_time = {**c.tables.frames, "attendance": c.tables["attendance"].join(late, "session_id", "left_anti")}
+    LY.write_program_tables(type(c.tables)(on_time), root)
+    RU.refresh(spark, root, target)
+    RU.append_attendance(type(c.tables)({**c.tables.frames, "attendance": c.tables["attendance"].join(late, "session_id", "left_semi")}), root)
+    RU.refresh(spark, root, target)
+    return RU.read_weeks(spark, target)
+
+
+@register("trend_from_bitmaps", with_programme("""
+SELECT CAST(date_trunc('week', s.session_date) AS DATE) AS week,
+       count(DISTINCT a.participant_id) AS unique_attendees,
+       count(a.participant_id) AS total_attendances,
+       round(count(*) FILTER (WHERE a.attended_normalized) * 100e0 / count(*), 6) AS attendance_rate
+FROM p_attendance_n a JOIN s_session s ON a.session_id = s.session_id
+WHERE date_trunc('week', s.session_date) >= TIMESTAMP '2000-07-26 00:00:00'
+GROUP BY 1""", where=f"region_id = {REGION}"))
+def trend_from_bitmaps(spark, sf_dir):
+    """Region 0's weekly trend, distinct attendees included, from the written rollup and its bitmaps."""
+    c = Ctx(spark, sf_dir)
+    target = shared_dir(spark, "rollup")
+    RU.build(c.tables, c.hierarchy, target)
+    return RU.trend(spark, target, c.hierarchy, Scope(region_id=REGION), AS_OF, 365)
+
+
 @register("stream_weekly_trend", with_programme("""
 SELECT CAST(date_trunc('week', s.session_date) AS DATE) AS week, count(a.participant_id) AS total_attendances,
        count(*) AS attendance_rows,
@@ -41,7 +82,6 @@ FROM p_attendance_n a JOIN s_session s ON a.session_id = s.session_id GROUP BY 1
 def stream_weekly_trend(spark, sf_dir):
     """Streamed weekly counts and rate (the approximate distinct is left out of
     the compared columns)."""
-    from pyspark.sql import functions as F
     from strata.streaming.weekly import stream_weekly_trend as run
 
     out = run(spark, sf_dir)
