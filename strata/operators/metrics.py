@@ -103,90 +103,118 @@ def skill_kpis(scoped: Scoped) -> DataFrame:
     return _finish(scoped.skills.agg(*_skill_parts()))
 
 
+def skills_per_participant(skills: DataFrame) -> DataFrame:
+    """(participant_id, achievements, skills): the skills of one participant are few, and distinct."""
+    return skills.filter("participant_id is not null").groupBy("participant_id").agg(
+        F.count(F.lit(1)).alias("achievements"), F.collect_set("skill_id").alias("skills"))
+
+
+def _participants_with_skills(participants: DataFrame, skills: DataFrame, as_of, *keys: str) -> DataFrame:
+    """One row per participant (and ``keys``): its parts, its achievements and their skills.  Participants are read
+    once for their own KPIs and for those of the skills."""
+    own = participants.groupBy("participant_id", *keys).agg(*_participant_parts(as_of))
+    return own.join(skills_per_participant(skills), "participant_id", "left")
+
+
+def _people_kpis(scoped: Scoped, all_skills: DataFrame, as_of) -> DataFrame:
+    """The parts of participants and skills in one pass: each participant's row is repeated per skill, its
+    additive parts count on the first."""
+    people = _participants_with_skills(scoped.participants, all_skills, as_of)
+    parts = ("total_participants", "active_participants", "days_sum", "days_n", "achievements")
+    rows = people.select(*parts, F.posexplode_outer("skills").alias("place", "skill_id"))
+    first = F.coalesce(F.col("place"), F.lit(0)) == 0
+    sums = [F.sum(F.when(first, F.col(p))).alias(p if p != "achievements" else "total_achievements") for p in parts]
+    return rows.agg(*sums, F.count(F.when(first, F.col("achievements"))).alias("participants_with_achievements"),
+                    F.count_distinct("skill_id").alias("unique_skills_achieved"))
+
+
 def kpis(scoped: Scoped, as_of) -> DataFrame:
-    """All 12 KPIs of one scope as one row: four separate aggregations (one
-    per fact), stacked and collapsed."""
-    return _finish(stack_parts([scoped.participants.agg(*_participant_parts(as_of)),
-                                scoped.sessions.agg(*_session_parts()),
-                                scoped.attendance.agg(*_attendance_parts()),
-                                scoped.skills.agg(*_skill_parts())]))
+    """All 12 KPIs of one scope as one row: three separate aggregations (participants with their skills,
+    sessions, attendance), stacked and collapsed."""
+    skills = scoped.skills if scoped.all_skills is None else scoped.all_skills
+    return _finish(stack_parts([_people_kpis(scoped, skills, as_of), scoped.sessions.agg(*_session_parts()),
+                                scoped.attendance.agg(*_attendance_parts())]))
 
 
 def kpis_rollup(tables: Tables, hierarchy: DataFrame, as_of) -> DataFrame:
     """KPIs for every region, city, community and academy, and the total.
 
-    One pass over each fact.  Each fact is reduced to a grain keyed by academy
-    and the value its distinct measure counts -- sessions per (academy, date),
-    attendance per (academy, participant), skills per (academy, skill) and
-    (academy, participant); participants per academy -- with its additive
-    parts (rows, flags, sums) alongside.  The grains are stacked as tagged rows,
-    shuffled once by (measure, value), and de-duplicated bottom-up: academies
-    to communities, cities, regions and the total, each level from the one
-    below.  A small aggregation per node then counts the values (the distinct
-    measure) and adds up the parts.  The
-    hierarchy itself is stacked in too, so every academy and every parent gets
-    a row (zeros when it has no facts); the grouping id tells a subtotal from a
-    NULL parent stored in the data.
+    One pass over each fact.  Each fact is reduced to a grain keyed by academy and the value its distinct
+    measure counts -- sessions per (academy, date), attendance per (academy, participant), participants with
+    their skills per (academy, skill) and (academy, participant) -- with its additive parts alongside.  The
+    grains are stacked as tagged rows and meet by (measure, value) in one shuffle: there the academies of a value
+    (at most the whole hierarchy's) give the communities, cities and regions that count it, each once.
+    What follows has one row per node and measure: counts are added up, and the additive parts of the
+    academies go to the nodes above.  Every academy and every parent of the hierarchy gets a row (zeros when
+    it has no facts); the grouping id tells a subtotal from a NULL parent stored in the data.
     """
-    h = hierarchy.select(*ROLLUP_KEYS)
-    cohort_academy = tables["cohort"].select("cohort_id", "academy_id")
+    h = hierarchy.select(*ROLLUP_KEYS, F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in ROLLUP_KEYS]).alias("path"))
+    cohort_academy = tables["cohort"].select("cohort_id", "academy_id").join(h.select("academy_id"), "academy_id")
     sessions = tables["session"].join(cohort_academy, "cohort_id")
     participants = participants_normalized(tables).join(cohort_academy, "cohort_id")
     attendance = attendance_normalized(tables).join(sessions.select("session_id", "academy_id"), "session_id")
-    skills = tables["skill_achievement"].join(participants.select("participant_id", "academy_id"), "participant_id")
+    people = _participants_with_skills(participants, tables["skill_achievement"], as_of, "academy_id")
     one = F.count(F.lit(1))
-
-    def tagged(df: DataFrame, measure: str, value, **parts) -> DataFrame:
-        cols = [F.col("academy_id"), F.lit(measure).alias("measure"), value.cast("long").alias("value")]
-        return df.select(*cols, *[c.cast("long").alias(k) for k, c in parts.items()])
-
-    grains = [
-        tagged(h, "academies", F.lit(None)),
-        tagged(participants.groupBy("academy_id").agg(*_participant_parts(as_of)), "participants",
-               F.lit(None), n=F.col("total_participants"), active=F.col("active_participants"),
-               days_sum=F.col("days_sum"), days_n=F.col("days_n")),
-        tagged(sessions.groupBy("academy_id", "session_date").agg(
-            one.alias("n"), F.sum("duration_minutes").alias("dur_sum"), F.count("duration_minutes").alias("dur_n")),
-            "sessions", F.datediff("session_date", F.lit("1970-01-01")),
-            n=F.col("n"), dur_sum=F.col("dur_sum"), dur_n=F.col("dur_n")),
-        tagged(attendance.groupBy("academy_id", "participant_id").agg(
-            one.alias("n"), F.count_if("attended_normalized").alias("flags")),
-            "attendance", F.col("participant_id"), n=F.col("n"), flags=F.col("flags")),
-        tagged(skills.groupBy("academy_id", "skill_id").agg(one.alias("n")), "skills", F.col("skill_id"),
-               n=F.col("n")),
-        tagged(skills.groupBy("academy_id", "participant_id").agg(one.alias("n")), "skill_participants",
-               F.col("participant_id")),
-    ]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), grains)
-    parts = [c for c in stacked.columns if c not in ("academy_id", "measure", "value")]
-
-    # One shuffle by the value serves all levels: the hierarchy is a tree, so each
-    # level's de-duplicated values follow from the level below, in place.
-    sums = [F.sum(c).alias(c) for c in parts]
-    level_rows = stacked.join(h, "academy_id").repartition("measure", "value")
-    nodes = []
-    for depth, gid in zip(range(len(ROLLUP_KEYS), -1, -1), LEVEL_OF_GROUPING):
-        keys = ROLLUP_KEYS[:depth]
-        level_rows = level_rows.groupBy("measure", "value", *keys).agg(*sums)
-        node = level_rows.groupBy("measure", *keys).agg(F.count("value").alias("distinct_values"), *sums)
-        nodes.append(node.select(
-            "measure", *[F.col(k) if k in keys else F.lit(None).cast(h.schema[k].dataType).alias(k) for k in ROLLUP_KEYS],
-            F.lit(gid).cast("long").alias("gid"), "distinct_values", *parts))
-    per_node = reduce(lambda a, b: a.unionByName(b), nodes)
+    parts = ("n", "flags", "days_sum", "days_n", "dur_sum", "dur_n")
+
+    def entry(measure: str, value=None, **cols) -> Column:
+        value = F.lit(None) if value is None else value
+        return F.struct(F.lit(measure).alias("measure"), value.cast("long").alias("value"),
+                        *[cols.get(p, F.lit(None)).cast("long").alias(p) for p in parts])
+
+    # a participant counts for itself, as an achiever, and once for each of its skills
+    own = entry("participants", n=F.col("total_participants"), flags=F.col("active_participants"), days_sum=F.col("days_sum"), days_n=F.col("days_n"))
+    achiever = entry("achievers", F.when(F.col("achievements").isNotNull(), F.col("participant_id")), n=F.col("achievements"))
+    learnt = F.transform(F.coalesce("skills", F.array().cast("array<bigint>")), lambda k: entry("skills", k))
+    entries = [people.select("academy_id", F.explode(F.concat(F.array(own, achiever), learnt)).alias("e")),
+               sessions.groupBy("academy_id", "session_date").agg(one.alias("n"), F.sum("duration_minutes").alias("dur_sum"), F.count("duration_minutes").alias("dur_n"))
+               .select("academy_id", entry("sessions", F.unix_date("session_date"), n=F.col("n"), dur_sum=F.col("dur_sum"), dur_n=F.col("dur_n")).alias("e")),
+               attendance.groupBy("academy_id", "participant_id").agg(one.alias("n"), F.count_if("attended_normalized").alias("flags"))
+               .select("academy_id", entry("attendance", F.col("participant_id"), n=F.col("n"), flags=F.col("flags")).alias("e"))]
+    stacked = reduce(lambda a, b: a.unionByName(b), entries).select("academy_id", "e.*")
+    sums = [F.sum(p).alias(p) for p in parts]
+    grain = stacked.groupBy("measure", "value", "academy_id").agg(*sums).join(h.select("academy_id", "path"), "academy_id")
+    by_value = grain.groupBy("measure", "value").agg(F.collect_list(F.struct("path", *parts)).alias("rows"))
+
+    # a node is its path and its depth; the academies of a value name each node above them once
+    nothing = [F.lit(None).cast("long").alias(p) for p in parts]
+    upper = [(depth, F.array_distinct(_cut("rows", depth))) for depth in range(4)]
+    academies = F.transform("rows", lambda r: F.struct(r["path"].alias("path"), F.lit(4).alias("depth"), *[r[p].alias(p) for p in parts]))
+    above = [_nodes_of(paths, depth, nothing) for depth, paths in upper]
+    nodes = by_value.select("measure", F.col("value").isNotNull().cast("long").alias("distinct_values"), F.explode(F.concat(academies, *above)).alias("node"))
+    nodes = nodes.select("measure", "distinct_values", "node.*").groupBy("measure", "path", "depth").agg(F.sum("distinct_values").alias("distinct_values"), *sums)
+
+    # one row per node and measure from here on: an academy's parts go to the nodes above it
+    here = F.struct("path", "depth", "distinct_values", *parts)
+    higher = [F.struct(F.substring_index("path", "/", depth).alias("path"), F.lit(depth).alias("depth"), F.lit(0).cast("long").alias("distinct_values"), *parts) for depth in range(4)]
+    per_node = nodes.select("measure", F.explode(F.when(F.col("depth") == 4, F.array(here, *higher)).otherwise(F.array(here))).alias("s")).select("measure", "s.*")
 
     def pick(measure: str, col: str, name: str):
-        return F.max(F.when(F.col("measure") == measure, F.col(col))).alias(name)
+        return F.sum(F.when(F.col("measure") == measure, F.col(col))).alias(name)
 
-    wide = per_node.groupBy(*ROLLUP_KEYS, "gid").agg(
-        pick("participants", "n", "total_participants"), pick("participants", "active", "active_participants"),
+    wide = per_node.groupBy("path", "depth").agg(
+        pick("participants", "n", "total_participants"), pick("participants", "flags", "active_participants"),
         pick("participants", "days_sum", "days_sum"), pick("participants", "days_n", "days_n"),
         pick("sessions", "n", "total_sessions"), pick("sessions", "distinct_values", "unique_session_days"),
         pick("sessions", "dur_sum", "dur_sum"), pick("sessions", "dur_n", "dur_n"),
         pick("attendance", "n", "total_attendances"), pick("attendance", "flags", "flags_sum"),
         pick("attendance", "distinct_values", "participants_attended"),
-        pick("skills", "n", "total_achievements"), pick("skills", "distinct_values", "unique_skills_achieved"),
-        pick("skill_participants", "distinct_values", "participants_with_achievements"))
+        pick("achievers", "n", "total_achievements"), pick("skills", "distinct_values", "unique_skills_achieved"),
+        pick("achievers", "distinct_values", "participants_with_achievements"))
+    # every node of the hierarchy, with or without facts
+    gids = dict(zip(range(4, -1, -1), LEVEL_OF_GROUPING))
+    prefix = [F.struct(F.substring_index("path", "/", depth).alias("path"), F.lit(depth).alias("depth"), F.lit(gids[depth]).cast("long").alias("gid"),
+                       *[(F.col(k) if j < depth else F.lit(None).cast(h.schema[k].dataType)).alias(k) for j, k in enumerate(ROLLUP_KEYS)]) for depth in range(5)]
+    every = h.select(F.explode(F.array(*prefix)).alias("n")).select("n.*").distinct()
     out_keys = ROLLUP_KEYS + ("gid",)
-    out = _finish(wide, out_keys)
+    out = _finish(every.join(wide, ["path", "depth"], "left"), out_keys)
     level = F.create_map(*[x for g, name in LEVEL_OF_GROUPING.items() for x in (F.lit(g), F.lit(name))])
     return out.select(level[F.col("gid")].alias("level"), *[c for c in out.columns])
+
+
+def _cut(rows: str, depth: int) -> Column:
+    return F.transform(rows, lambda r: F.substring_index(r["path"], "/", depth))
+
+
+def _nodes_of(paths: Column, depth: int, nothing: list[Column]) -> Column:
+    return F.transform(paths, lambda p: F.struct(p.alias("path"), F.lit(depth).alias("depth"), *nothing))

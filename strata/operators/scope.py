@@ -36,7 +36,8 @@ class Scope:
 
 @dataclass
 class Scoped:
-    """The six narrowed tables, all lazy."""
+    """The six narrowed tables, all lazy, and the skills before they are narrowed (for a join that narrows
+    them anyway)."""
 
     hierarchy: DataFrame
     cohorts: DataFrame
@@ -44,6 +45,7 @@ class Scoped:
     sessions: DataFrame
     attendance: DataFrame
     skills: DataFrame
+    all_skills: DataFrame | None = None
 
 
 def attendance_normalized(tables: Tables) -> DataFrame:
@@ -73,7 +75,7 @@ def apply_scope(tables: Tables, hierarchy: DataFrame, scope: Scope | None = None
     sessions = tables["session"].join(cohort_ids, "cohort_id", "left_semi")
     attendance = attendance_normalized(tables).join(sessions.select("session_id"), "session_id", "left_semi")
     skills = tables["skill_achievement"].join(participants.select("participant_id"), "participant_id", "left_semi")
-    return Scoped(h, cohorts, participants, sessions, attendance, skills)
+    return Scoped(h, cohorts, participants, sessions, attendance, skills, tables["skill_achievement"])
 
 
 def sessions_in_range(sessions: DataFrame, start: dt.date | None, end: dt.date | None) -> DataFrame:

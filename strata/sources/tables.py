@@ -189,6 +189,22 @@ def attendance_from_lines(lines: DataFrame) -> DataFrame:
                         F.col("l_partkey").alias("participant_id"), status.alias("attendance_status"))
 
 
+def first_and_last_orders(line_orders: DataFrame) -> DataFrame:
+    """(l_partkey, cohort_id, first_date, last_status): the first and last order of each part, by (order
+    date, order key); undated orders do not count.
+
+    The least and greatest struct of each part, found before the only shuffle, so a part on a third of
+    all lines ships one row per task.  (Grouping by part and date first would ship nearly every line.)
+    """
+    rows = line_orders.select("l_partkey", "o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"),
+                              F.coalesce(_status_code(F.col("o_orderstatus")), F.lit(0)).alias("status_code"))
+    dated = F.col("day").isNotNull()
+    ends = rows.groupBy("l_partkey").agg(F.min(F.when(dated, F.struct("day", "o_orderkey", "o_custkey"))).alias("first"),
+                                         F.max(F.when(dated, F.struct("day", "o_orderkey", "status_code"))).alias("last"))
+    return ends.select("l_partkey", F.col("first.o_custkey").alias("cohort_id"), F.col("first.day").alias("first_date"),
+                       F.col("last.status_code").alias("last_status"))
+
+
 def program_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Programme tables derived from the driver tables, memoised per folder."""
     derived = _memo(spark, sf_dir)[2]
@@ -237,23 +253,10 @@ def derive_program_tables(spark: SparkSession, sf_dir: str) -> Tables:
     li = d["lineitem"]
     attendance = attendance_from_lines(li)
 
-    # First and last order of each part, ordered by (order date, order key), in
-    # two steps: per part and date by key, then per part by date.  min_by /
-    # max_by over fixed-width values are hash aggregations with a map-side
-    # combine, so a part found on a third of all lines ships one row per task
-    # and date; any key fits.
     line_orders = li.select("l_orderkey", "l_partkey").join(
         orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"),
         F.col("l_orderkey") == F.col("o_orderkey"))
-    per_date = (line_orders
-                .select("l_partkey", "o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"),
-                        F.coalesce(_status_code(F.col("o_orderstatus")), F.lit(0)).alias("status_code"))
-                .groupBy("l_partkey", "day")
-                .agg(F.min_by("o_custkey", "o_orderkey").alias("first_customer"),
-                     F.max_by("status_code", "o_orderkey").alias("last_status")))
-    firsts = (per_date.groupBy("l_partkey")
-              .agg(F.min_by("first_customer", "day").alias("cohort_id"), F.min("day").alias("first_date"),
-                   F.max_by("last_status", "day").alias("last_status")))
+    firsts = first_and_last_orders(line_orders)
     participant = firsts.select(
         F.col("l_partkey").alias("participant_id"), "cohort_id",
         F.to_date("first_date").alias("enrollment_date"),
