@@ -88,3 +88,17 @@ def stream_weekly_trend(spark, sf_dir):
     return out.select("week", "total_attendances", "attendance_rows",
                       F.round(F.col("present_rows").cast("double") * 100 / F.col("attendance_rows"), 6)
                       .alias("attendance_rate"))
+
+
+@register("stream_weekly_unique", with_programme("""
+, w AS (SELECT CAST(date_trunc('week', s.session_date) AS DATE) AS week, a.participant_id, a.attended_normalized, max(s.session_date) OVER () AS newest
+  FROM p_attendance_n a JOIN s_session s ON a.session_id = s.session_id)
+SELECT week, count(*) AS attendance_rows, count(participant_id) AS total_attendances,
+       count(*) FILTER (WHERE attended_normalized) AS present_rows, count(DISTINCT participant_id) AS unique_attendees
+FROM w WHERE week + 7 <= newest - 14 GROUP BY week"""))
+def stream_weekly_unique(spark, sf_dir):
+    """Streamed weeks with exact distinct attendees: those that the watermark (14 days) has closed."""
+    from strata.sources.tables import program_tables
+    from strata.streaming.weekly import attendance_stream, exact_weekly_trend_of
+
+    return exact_weekly_trend_of(program_tables(spark, sf_dir), attendance_stream(spark, sf_dir))

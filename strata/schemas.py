@@ -50,13 +50,14 @@ KEYS: dict[str, str] = {
 LAYOUT_COLUMNS: dict[str, tuple[str, ...]] = {"session": ("session_month",), "attendance": ("session_month",)}
 
 
-def conform(df: DataFrame, table: str, keep_layout: bool = False) -> DataFrame:
+def conform(df: DataFrame, table: str, keep_layout: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """Project ``df`` onto the fixed schema of ``table``.
 
     Renames documented aliases, casts to the declared types, adds missing
     optional columns as typed NULL (a missing metric column then yields 0 or
-    NULL instead of an error) and drops rows with a NULL dimension key.  Pure
-    projection + filter, so Catalyst prunes and pushes through it.
+    NULL instead of an error) and drops rows with a NULL dimension key; the columns
+    ``extra`` stay as they are.  Pure projection + filter, so Catalyst prunes and
+    pushes through it.
     """
     schema = SCHEMAS[table]
     present = set(df.columns)
@@ -77,6 +78,7 @@ def conform(df: DataFrame, table: str, keep_layout: bool = False) -> DataFrame:
         cols.append(c.alias(field.name))
     if keep_layout:
         cols += [F.col(c) for c in LAYOUT_COLUMNS.get(table, ()) if c in present]
+    cols += [F.col(c) for c in extra]
     out = df.select(*cols)
     key = KEYS.get(table)
     if key is not None:
