@@ -102,3 +102,20 @@ def stream_weekly_unique(spark, sf_dir):
     from strata.streaming.weekly import attendance_stream, exact_weekly_trend_of
 
     return exact_weekly_trend_of(program_tables(spark, sf_dir), attendance_stream(spark, sf_dir))
+
+
+# how DuckDB says the values of each line item column: as a number or as text
+_LINE_NUMBERS = {c: f"CAST({c} AS DOUBLE)" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")} | {"l_shipdate": "epoch_us(l_shipdate) / 1e6"}
+
+
+def _profile_sql(c: str) -> str:
+    number, text = _LINE_NUMBERS.get(c, "CAST(NULL AS DOUBLE)"), "CAST(NULL AS VARCHAR)" if c in _LINE_NUMBERS else c
+    return (f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, round((count(*) - count({c})) * 1e0 / count(*), 6) AS null_share, "
+            f"min({number}) AS min_number, max({number}) AS max_number, min({text}) AS min_text, max({text}) AS max_text FROM lineitem")
+
+
+@register("profile_columns", "\nUNION ALL\n".join(_profile_sql(c) for c in (*_LINE_NUMBERS, "l_returnflag", "l_linestatus")))
+def profile_columns(spark, sf_dir):
+    """Facts of every line item column in one aggregation (the estimates are left out of the compared columns)."""
+    facts = CAT.profile_columns(driver_tables(spark, sf_dir)["lineitem"])
+    return facts.select("column_name", "row_count", "null_count", "null_share", "min_number", "max_number", "min_text", "max_text")

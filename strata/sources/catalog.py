@@ -7,7 +7,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def list_tables(spark: SparkSession, namespace: str | None = None) -> DataFrame:
@@ -94,31 +94,83 @@ def table_row_counts(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def profile_tables(frames: dict[str, DataFrame], sample: int = 3, key: dict[str, str] | None = None) -> dict:
-    """Per table: column list, row count and a few sample rows in key order
-    (small driver-side dict for display).  Counts come from one Spark job."""
-    counts = {r["table_name"]: r["row_count"] for r in table_row_counts(frames).collect()}
+    """Per table: column list, row count, facts of each column (``profile_columns``) and a few sample rows in key
+    order (small driver-side dict for display).  Counts and column facts come from one pass per table."""
     out = {}
     for name, df in frames.items():
         order = (key or {}).get(name) or df.columns[0]
+        facts = [r.asDict(recursive=True) for r in profile_columns(df).collect()]
         out[name] = {"columns": [(f.name, f.dataType.simpleString()) for f in df.schema.fields],
-                     "row_count": counts[name],
+                     "row_count": facts[0]["row_count"] if facts else df.count(), "column_facts": facts,
                      "sample": [r.asDict() for r in sample_rows(df, [order], sample).collect()]}
     return out
 
 
-def accessible_tables(spark: SparkSession, names: list[str]) -> DataFrame:
-    """Which tables can be read: ``table_name, accessible, error``.  One row of
-    each is read, so a table whose files are gone or broken does not pass."""
+EPOCH = "1970-01-01 00:00:00"
+TRACKED = 10_000  # distinct values that the sketch of frequent ones keeps per column
+
+
+def _measured(field: T.StructField) -> tuple[str, str] | None:
+    """(SQL of a column's values as number or text, ``number`` or ``text``), None for types without an order
+    that a profile could show."""
+    name, kind = "`" + field.name.replace("`", "``") + "`", field.dataType
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return f"CAST({name} AS DOUBLE)", "number"
+    if isinstance(kind, T.DateType):
+        return f"unix_date({name}) * 86400D", "number"
+    if isinstance(kind, T.TimestampNTZType):  # wall-clock time, whatever the session's zone
+        return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '{EPOCH}', {name}) / 1e6D", "number"
+    if isinstance(kind, T.TimestampType):
+        return f"unix_micros({name}) / 1e6D", "number"
+    return (name, "text") if isinstance(kind, T.StringType) else None
+
+
+def profile_columns(df: DataFrame, top: int = 3) -> DataFrame:
+    """One row per column, from one aggregation over the table: ``column_name, data_type, row_count, null_count,
+    null_share, approx_distinct`` (HyperLogLog, 2 % standard error), least and greatest value (``min_number`` /
+    ``max_number`` for numbers, booleans, and dates and times as seconds since 1970; ``min_text`` /
+    ``max_text`` for strings) and ``frequent``, the most frequent values with their estimated counts (a
+    sketch of at most ``TRACKED`` values per column).  Columns of other types (arrays, structs, binary) only have
+    their counts.  Every state is bounded and merges, however large the table."""
+    aggs, rows = [F.count(F.lit(1)).alias("rows")], []
+    for k, field in enumerate(df.schema.fields):
+        name, how = "`" + field.name.replace("`", "``") + "`", _measured(field)
+        aggs.append(F.expr(f"count({name})").alias(f"n{k}"))
+        if how:
+            aggs += [F.expr(f"approx_count_distinct({name}, 0.02)").alias(f"d{k}"), F.expr(f"min({how[0]})").alias(f"lo{k}"), F.expr(f"max({how[0]})").alias(f"hi{k}"),
+                     F.expr(f"approx_top_k(CAST({name} AS STRING), {top}, {TRACKED})").alias(f"t{k}")]
+
+        def found(col: str, kind: str, side: str | None = None) -> Column:
+            known = how and side in (None, how[1])
+            return (F.col(f"{col}{k}") if known else F.lit(None)).cast(kind)
+
+        rows.append(F.struct(
+            F.lit(field.name).alias("column_name"), F.lit(field.dataType.simpleString()).alias("data_type"), F.col("rows").alias("row_count"),
+            (F.col("rows") - F.col(f"n{k}")).alias("null_count"), found("d", "bigint").alias("approx_distinct"),
+            found("lo", "double", "number").alias("min_number"), found("hi", "double", "number").alias("max_number"),
+            found("lo", "string", "text").alias("min_text"), found("hi", "string", "text").alias("max_text"),
+            found("t", "array<struct<value:string,count:bigint>>").alias("frequent")))
+    long = df.agg(*aggs).select(F.explode(F.array(*rows)).alias("c")).select("c.*")
+    share = F.round(F.try_divide(F.col("null_count").cast("double"), F.col("row_count")), 6)
+    return long.withColumn("null_share", share).select("column_name", "data_type", "row_count", "null_count", "null_share", "approx_distinct",
+                                                       "min_number", "max_number", "min_text", "max_text", "frequent")
+
+
+def accessible_tables(spark: SparkSession, names: list[str], counts: bool = False) -> DataFrame:
+    """Which tables can be read: ``table_name, accessible, error``, with ``counts`` also ``row_count``.  One
+    row of each is read, so a table whose files are gone or broken does not pass; a count reads no column."""
     rows = []
     for name in names:
         try:
-            spark.table(name).take(1)
-            rows.append((name, True, None))
+            df = spark.table(name)
+            df.take(1)
+            rows.append((name, True, None, df.count() if counts else None))
         except Exception as exc:  # not resolved, refused or not readable
-            rows.append((name, False, str(exc)))
+            rows.append((name, False, str(exc), None))
     schema = T.StructType([T.StructField("table_name", T.StringType()), T.StructField("accessible", T.BooleanType()),
-                           T.StructField("error", T.StringType())])
-    return spark.createDataFrame(rows, schema)
+                           T.StructField("error", T.StringType()), T.StructField("row_count", T.LongType())])
+    found = spark.createDataFrame(rows, schema)
+    return found if counts else found.drop("row_count")
 
 
 def ensure_schema(spark: SparkSession, namespace: str) -> None:
