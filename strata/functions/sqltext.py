@@ -20,7 +20,16 @@ SELECT_TO_SEMICOLON = r"(?is)(SELECT\s+.*?(?:;|$))"
 # Ours: a statement may also open with a common table expression, written as
 # WITH name [(columns)] AS ( -- the plain word "with" is prose.
 WITH_OPENING = r"\bWITH\s+(?:RECURSIVE\s+)?[\w`\"]+\s*(?:\([^)]*\)\s*)?AS\s*\("
-STATEMENT = r"(?is)((?:" + WITH_OPENING + r"|\bSELECT\s+).*?)(?:;|\n\n|$)"
+# A statement is read part by part: quoted text, quoted names and comments are parts of their own, in which
+# ';' and blank lines mean nothing.  A quote that never closes is an ordinary character.
+_PART = (r"(?:[^;'\"`/\n-]++|'(?:[^'\\]|\\.|'')*+'|\"(?:[^\"\\]|\\.)*+\"|`[^`]*+`|--[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/"
+         r"|\n(?![ \t]*\n)|['\"`/-])")
+STATEMENT = r"(?is)((?:" + WITH_OPENING + r"|\bSELECT\s+)" + _PART + r"*+)"
+# Prose that says "select": what follows SELECT, or FROM, is a word that no select list or table starts with, or
+# there is no FROM and the list is not one of values or calls.
+_PROSE = r"(?:an?|the|this|that|these|those|one|some|any|each|every|all|your|our|my|its|their|from|which|what|whether|between|among|it|them)"
+PROSE_SELECT = (r"(?is)^SELECT\s+(?:" + _PROSE + r"\s+(?!as\b|from\b)[a-z]|(?!.*\bFROM\b)(?!\s*(?:DISTINCT\s+)?(?:['\"\d(*+\-:]|\w+\s*\(|(?:CASE|NULL|TRUE|FALSE|DATE|TIMESTAMP|INTERVAL|CURRENT_\w+)\b)))"
+                r"|^SELECT\b.*?\bFROM\s+(?:an?|the|this|that|these|those|your|our|my|its|their|any|each|every|all)\s+[a-z]")
 
 
 def strip_ws(col: Column) -> Column:
@@ -52,16 +61,21 @@ def extract_sql_short(text: Column) -> Column:
             .otherwise(strip_ws(text)))
 
 
+def _statement(text: Column) -> Column:
+    """The first unfenced statement, without a closing fence; '' if the text has none or only prose."""
+    found = F.regexp_replace(_group(text, STATEMENT), r"\s*```\s*$", "")
+    return F.when(found.rlike(PROSE_SELECT), F.lit("")).otherwise(found)
+
+
 def extract_sql(text: Column) -> Column:
-    """Same ladder, but ``WITH ... SELECT`` is kept whole (not cut at its inner
-    SELECT) and a closing fence left at the end is removed."""
+    """Same ladder, but ``WITH ... SELECT`` is kept whole (not cut at its inner SELECT), ';' and blank lines
+    inside quotes or comments do not end a statement, prose that says "select" is no statement, and a closing
+    fence left at the end is removed."""
     plain = _group(text, PLAIN_FENCE)
     opens = F.upper(plain).startswith("SELECT") | F.upper(plain).startswith("WITH")
-    unfenced = F.regexp_replace(_group(text, STATEMENT), r"\s*```\s*$", "")
     return (F.when(text.rlike(SQL_FENCE), _group(text, SQL_FENCE))
             .when(text.rlike(PLAIN_FENCE) & opens, plain)
-            .when(text.rlike(STATEMENT), unfenced)
-            .otherwise(strip_ws(text)))
+            .otherwise(F.coalesce(F.nullif(_statement(text), F.lit("")), strip_ws(text))))
 
 
 def with_extracted_sql(df, text_col: str, reference_col: str = "extracted_sql_reference",
@@ -83,6 +97,5 @@ def with_extracted_sql(df, text_col: str, reference_col: str = "extracted_sql_re
                  .otherwise(strip_ws(t)))
     opens = F.upper(g2).startswith("SELECT") | F.upper(g2).startswith("WITH")
     ours = (F.when(in_sql_fence, g1).when(in_plain_fence & opens, g2)
-            .when(t.rlike(STATEMENT), F.regexp_replace(_group(t, STATEMENT), r"\s*```\s*$", ""))
-            .otherwise(strip_ws(t)))
+            .otherwise(F.coalesce(F.nullif(_statement(t), F.lit("")), strip_ws(t))))
     return base.select(*df.columns, reference.alias(reference_col), ours.alias(ours_col))

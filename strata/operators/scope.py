@@ -92,23 +92,26 @@ def sessions_in_range(sessions: DataFrame, start: dt.date | None, end: dt.date |
 MONTH_COLUMN = "session_month"
 
 
-def _recent_months(df: DataFrame, as_of, days_back: int) -> DataFrame:
-    """Only the months that a trailing window can touch, where the table is
-    partitioned by month: a constant predicate on the partition column."""
+def _recent_months(df: DataFrame, as_of, days_back: int, until: dt.date | None = None) -> DataFrame:
+    """Only the months that a window can touch, where the table is partitioned by
+    month: constant predicates on the partition column.  ``until`` is the window's
+    last day (None: open)."""
     if MONTH_COLUMN not in df.columns:
         return df
     first = (as_datetime(as_of) - dt.timedelta(days=days_back)).date().replace(day=1)
-    return df.filter(F.col(MONTH_COLUMN) >= F.lit(first))
+    out = df.filter(F.col(MONTH_COLUMN) >= F.lit(first))
+    return out if until is None else out.filter(F.col(MONTH_COLUMN) <= F.lit(until.replace(day=1)))
 
 
-def sessions_since(sessions: DataFrame, as_of, days_back: int) -> DataFrame:
-    """Sessions of the trailing window."""
-    return _recent_months(sessions, as_of, days_back).filter(on_or_after("session_date", as_of, days_back))
+def sessions_since(sessions: DataFrame, as_of, days_back: int, until: dt.date | None = None) -> DataFrame:
+    """Sessions of the window: from ``days_back`` before ``as_of`` to the day ``until``."""
+    out = _recent_months(sessions, as_of, days_back, until).filter(on_or_after("session_date", as_of, days_back))
+    return out if until is None else out.filter(F.col("session_date") <= F.lit(until))
 
 
 def attendance_in(tables: Tables, sessions: DataFrame | None, as_of, days_back: int,
-                  columns: tuple[str, ...] = ("session_id",)) -> DataFrame:
+                  columns: tuple[str, ...] = ("session_id",), until: dt.date | None = None) -> DataFrame:
     """Attendance of the months that the window can touch, joined to the given
     sessions (None: not joined), with ``columns`` of theirs."""
-    a = _recent_months(attendance_normalized(tables), as_of, days_back).drop(MONTH_COLUMN)
+    a = _recent_months(attendance_normalized(tables), as_of, days_back, until).drop(MONTH_COLUMN)
     return a if sessions is None else a.join(sessions.select(*columns), "session_id")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strata.functions.dates import as_datetime, month_index, wall_clock
 from strata.operators.metrics import kpis, stack_parts
-from strata.operators.scope import apply_scope, attendance_in, attendance_normalized, sessions_since
+from strata.operators.scope import Scope, apply_scope, attendance_in, attendance_normalized, sessions_since
 from strata.plans.oracle_base import with_programme
 from strata.plans.registry import AS_OF, SKILLS_AS_OF, Ctx, register
 
@@ -29,9 +29,11 @@ def _pct(num, den) -> F.Column:
 def session_attendance(c: Ctx) -> DataFrame:
     """Per scoped session: attendance rows and present rows, with the session's
     cohort, date and academy."""
-    per_session = (attendance_normalized(c.tables).groupBy("session_id")
-                   .agg(F.count(F.lit(1)).alias("rows"), F.count_if("attended_normalized").alias("flags")))
     sessions = c.scoped.sessions.select("session_id", "cohort_id", "session_date")
+    rows = attendance_normalized(c.tables)
+    if c.scope != Scope():  # a scope cuts the rows before they are aggregated
+        rows = rows.join(sessions.select("session_id"), "session_id", "left_semi")
+    per_session = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("attended_normalized").alias("flags"))
     return (per_session.join(sessions, "session_id")
             .join(c.scoped.cohorts.select("cohort_id", "academy_id"), "cohort_id"))
 
@@ -227,13 +229,12 @@ def k08_last_week(spark, sf_dir):
 
 def k08_in(c: Ctx, as_of=AS_OF) -> DataFrame:
     start, end = last_week_bounds(as_of)
-    week = sessions_since(c.scoped.sessions, start, 0).filter(F.col("session_date") <= F.lit(end))
+    week = sessions_since(c.scoped.sessions, start, 0, until=end)
     s = week.agg(F.count(F.lit(1)).alias("sessions_scheduled"), F.sum("duration_minutes").alias("dur_sum"))
-    # Attendance is reduced to a row per session before it meets the sessions, so
-    # a hot session ships one row per task.
-    per_session = (attendance_in(c.tables, None, start, 0).groupBy("session_id")
-                   .agg(F.count(F.lit(1)).alias("rows"), F.count_if("attended_normalized").alias("flags")))
-    a = (per_session.join(week.select("session_id"), "session_id")
+    # Only the week's months are read, and only its sessions' rows are counted.
+    rows = attendance_in(c.tables, None, start, 0, until=end).join(week.select("session_id"), "session_id", "left_semi")
+    per_session = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("attended_normalized").alias("flags"))
+    a = (per_session
          .agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("attendance_rows"),
               F.count(F.lit(1)).alias("sessions_with_attendance"),
               F.coalesce(F.sum("flags"), F.lit(0)).alias("present_rows")))

@@ -41,6 +41,14 @@ CASES = [
      "WITH w AS (SELECT 1) SELECT * FROM w"),
     ("  nothing here  ", "nothing here", "nothing here"),
     ("Here is a query with the counts per type: SELECT a FROM t;", "SELECT a FROM t", "SELECT a FROM t"),
+    ("Run SELECT ';' AS a, 'x\n\ny' AS b FROM t; done", "SELECT '", "SELECT ';' AS a, 'x\n\ny' AS b FROM t"),
+    ("Run SELECT a /* one; two */ FROM t -- no; end\nWHERE b = 1;", "SELECT a /* one", "SELECT a /* one; two */ FROM t -- no; end\nWHERE b = 1"),
+    ("SELECT it's from t; rest", "SELECT it's from t", "SELECT it's from t"),
+    ("You can select a chart from the list; then go.", "select a chart from the list", "You can select a chart from the list; then go."),
+    ("Please select one of these options.", "select one of these options.", "Please select one of these options."),
+    ("Try select 1 + 1", "select 1 + 1", "select 1 + 1"),
+    ("select count(*), 'the' from orders; ok", "select count(*), 'the' from orders", "select count(*), 'the' from orders"),
+    ("I select from the menu and leave", "select from the menu and leave", "I select from the menu and leave"),
     ("You could go with this one.", "You could go with this one.", "You could go with this one."),
     ("Try WITH w (a, b) AS (SELECT 1, 2) SELECT a FROM w; ok", "SELECT 1, 2) SELECT a FROM w", "WITH w (a, b) AS (SELECT 1, 2) SELECT a FROM w"),
 ]
@@ -206,3 +214,10 @@ def test_answers_within_a_scope(spark):
     region1 = answer_questions(q, Ctx(spark, "/root/testdata/sf0.001", Scope(region_id=1)), AS_OF).first()
     assert everything.intent == region1.intent == "snapshot"
     assert everything.answer != region1.answer  # fewer participants within region 1
+
+
+def test_long_replies_with_many_parts(spark):
+    """Hundreds of thousands of lines, quotes and comments are read without recursion."""
+    body = "SELECT a\n" + "  , 'x;' AS b -- c;\n" * 100_000 + "FROM t"
+    df = spark.createDataFrame([("Go: " + body + "; done",)], "t string")
+    assert df.select(extract_sql(F.col("t")).alias("s")).first().s == body
