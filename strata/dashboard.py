@@ -16,7 +16,8 @@ from strata.operators import hierarchy as H
 from strata.operators import metrics as M
 from strata.operators import scope as SC
 from strata.operators import trends as T
-from strata.sources.tables import Tables, load_tables
+from strata.sources.snapshot import HOUR, Snapshot
+from strata.sources.tables import Tables
 
 # The trend periods the dashboard offers (days), default 90; any
 # other number of days works, too.
@@ -24,20 +25,35 @@ TREND_PERIODS = (30, 60, 90, 180, 365)
 
 
 class Dashboard:
-    def __init__(self, spark: SparkSession, tables: Tables, as_of: dt.datetime | dt.date | str | None = None):
+    """Over tables that the caller holds, or (``load``) over a snapshot that is renewed when it is older than
+    its time to live."""
+
+    def __init__(self, spark: SparkSession, tables: Tables | Snapshot, as_of: dt.datetime | dt.date | str | None = None):
         self.spark = spark
-        self.tables = tables
+        self._source = tables
         self.as_of = as_datetime(as_of) if as_of is not None else dt.datetime.now()
-        self.location: str | None = None
-        self.hierarchy = H.build_hierarchy(tables).persist()
+        self._hierarchy, self._of = None, None
 
     @classmethod
     def load(cls, spark: SparkSession, location: str, fmt: str = "parquet", as_of=None,
-             cache: bool = False) -> "Dashboard":
-        """Load every table from a catalog namespace or folder (see ``load_tables``)."""
-        dash = cls(spark, load_tables(spark, location, fmt=fmt, cache=cache), as_of)
-        dash.location, dash._fmt, dash._cache = location, fmt, cache
-        return dash
+             cache: bool = False, ttl: float | None = HOUR, **options) -> "Dashboard":
+        """Load every table from a catalog namespace or folder (see ``load_tables``); ``ttl`` in seconds
+        (None: until ``reload``)."""
+        return cls(spark, Snapshot(spark, location, fmt=fmt, ttl=ttl, cache=cache, **options), as_of)
+
+    @property
+    def tables(self) -> Tables:
+        return self._source.tables if isinstance(self._source, Snapshot) else self._source
+
+    @property
+    def hierarchy(self) -> DataFrame:
+        """The cached hierarchy of the current tables."""
+        tables = self.tables
+        if self._of is not tables:
+            if self._hierarchy is not None:
+                self._hierarchy.unpersist()
+            self._hierarchy, self._of = H.build_hierarchy(tables).persist(), tables
+        return self._hierarchy
 
     def options(self, scope: SC.Scope | None = None) -> DataFrame:
         """The four cascading option lists under ``scope``, sorted, "All" first."""
@@ -113,16 +129,10 @@ class Dashboard:
     def reload(self) -> None:
         """Drop cached data and Spark's cached table metadata, then load again
         (the dashboard's "reload" button)."""
-        self.hierarchy.unpersist()
-        self.tables.unpersist()
-        if self.location is not None:
-            is_path = "/" in self.location or self.location.startswith(".")
-            for name in self.tables.frames:
-                if name in self.tables.missing:
-                    continue
-                if is_path:
-                    self.spark.catalog.refreshByPath(self.location)
-                    break
-                self.spark.catalog.refreshTable(f"{self.location}.{name}")
-            self.tables = load_tables(self.spark, self.location, fmt=self._fmt, cache=self._cache)
-        self.hierarchy = H.build_hierarchy(self.tables).persist()
+        if isinstance(self._source, Snapshot):
+            self._source.reload()
+        else:
+            self._source.unpersist()
+        if self._hierarchy is not None:
+            self._hierarchy.unpersist()
+        self._of = None
