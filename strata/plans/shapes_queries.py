@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.dates import wall_clock
 from strata.operators import shapes as SH
+from strata.operators.pages import PageIndex
 from strata.plans.oracle_base import with_programme
 from strata.plans.registry import AS_OF, Ctx, register
 from strata.sources.tables import driver_tables
@@ -198,6 +199,13 @@ def sessions_page_after(spark, sf_dir):
     return SH.page_after(Ctx(spark, sf_dir).scoped.sessions, ["session_date", "session_id"], [dt.date(1995, 6, 17), 100], 50)
 
 
+@register("sessions_page_deep", with_programme("SELECT * FROM s_session ORDER BY session_date, session_id LIMIT 50 OFFSET 10000"))
+def sessions_page_deep(spark, sf_dir):
+    """Page 200 through an index of ranges: only the range that holds it is read and sorted."""
+    index = PageIndex.build(Ctx(spark, sf_dir).scoped.sessions, ["session_date", "session_id"], range_rows=4096)
+    return index.page(200, 50)
+
+
 @register("sample_rows", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
 def sample_rows(spark, sf_dir):
     """The sampling operator: first rows in key order (limit is the feature)."""
