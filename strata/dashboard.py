@@ -80,8 +80,11 @@ class Dashboard:
             narrowed = SC.Scope(**{f"{level}_id": value}).filter(narrowed)
         return SC.Scope(**chosen)
 
-    def scoped(self, scope: SC.Scope | None = None) -> SC.Scoped:
-        return SC.apply_scope(self.tables, self.hierarchy, scope)
+    def scoped(self, scope: SC.Scope | None = None, narrow: bool = False) -> SC.Scoped:
+        """The facts of a scope.  With ``narrow`` its session ids are found now and, if few, filter attendance at
+        the scan (see ``scope.narrow``): for repeated looks at a small scope of a large table."""
+        found = SC.apply_scope(self.tables, self.hierarchy, scope)
+        return SC.narrow(self.tables, found) if narrow else found
 
     def metrics(self, scope: SC.Scope | None = None) -> DataFrame:
         return M.kpis(self.scoped(scope), self.as_of)

@@ -4,7 +4,7 @@ chain that narrows every fact table to it."""
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -78,6 +78,27 @@ def apply_scope(tables: Tables, hierarchy: DataFrame, scope: Scope | None = None
     return Scoped(h, cohorts, participants, sessions, attendance, skills, tables["skill_achievement"])
 
 
+# So many session ids (16 MB) may be sent to every task.
+SMALL_IDS = 1 << 21
+
+
+def narrow(tables: Tables, scoped: Scoped, limit: int = SMALL_IDS) -> Scoped:
+    """``scoped`` with a filter of its session ids at the attendance scan, where they are few.
+
+    A static plan cannot know how few sessions a scope leaves, so it may shuffle all attendance to meet them.
+    Here the ids are found first (one job over the sessions) and counted: up to ``limit`` they are
+    broadcast, and attendance outside the scope drops at the scan, before any shuffle; beyond it
+    the scope stays as it is.  The ids are kept in memory until ``unpersist`` of the session's cache; a lost block
+    is computed again.
+    """
+    ids = scoped.sessions.select("session_id").filter("session_id is not null").distinct().persist()
+    if ids.limit(limit + 1).count() > limit:
+        ids.unpersist()
+        return scoped
+    attendance = attendance_normalized(tables).join(F.broadcast(ids), "session_id", "left_semi")
+    return replace(scoped, attendance=attendance)
+
+
 def sessions_in_range(sessions: DataFrame, start: dt.date | None, end: dt.date | None) -> DataFrame:
     """Sessions with ``start <= session_date <= end`` (either bound optional)."""
     out = sessions
