@@ -9,13 +9,14 @@ names the language; ``score`` is its posterior probability.
 
 The trees are fitted on a bounded sample of labelled texts (``TEXTS_PER_LANGUAGE`` distinct texts with a
 letter, of any length, those with the smallest text hash; of a text over ``MAX_TEXT_BYTES`` a piece of ``PIECE_CHARS``
-characters, from the first letter behind a place that the hash picks), so the broadcast model is bounded by the
-sample, whatever the corpus; shares are counted over all training documents.  Every text is scored whole.
+characters, from the first letter behind a place that the hash picks) of the ``LANGUAGES`` labels with the most
+training documents, so the driver's sample and the broadcast model are bounded, whatever the corpus and however dirty
+its labels; shares are counted over all training documents.  Every text is scored whole.
 Texts are lower-cased, and runs of anything but letters count as one blank.
 
 Cases: null text, or a text without a letter: ``und`` with score 0; no training rows at all: ``und``;
-ties go to the language that sorts first; repeated rows are scored one by one; other columns stay
-unless they have the name of an added one.
+ties go to the language that sorts first; repeated rows are scored one by one; texts of any length are scored
+whole; an empty table gives no rows; other columns stay unless they have the name of an added one.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from strata.llm.common import map_text
 
 ORDER = 3
 TEXTS_PER_LANGUAGE = 400
+LANGUAGES = 128
 MAX_TEXT_BYTES = 8192
 PIECE_CHARS = 4096
 _PAD = b" " * ORDER
@@ -193,21 +195,39 @@ def fit(samples: dict[str, list[str]], shares: dict[str, float]) -> Model:
 def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on a bounded sample of labelled rows; None if there are none."""
     labelled = rows.select(rows[text_col].cast("string").alias("text"), rows[lang_col].cast("string").alias("lang")).where("text is not null and lang is not null")
-    shares = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    keyed = labelled.where(F.col("text").rlike(r"\p{L}")).withColumn("key", F.xxhash64("text"))
-    # distinct keys first, so that copies of one text take one place; row_number with a limit is cut to
-    # the limit before the shuffle.  The table of keys is bounded by TEXTS_PER_LANGUAGE and the languages.
-    order = Window.partitionBy("lang").orderBy("key")
-    keys = keyed.select("lang", "key").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TEXTS_PER_LANGUAGE).select("lang", "key")
-    sample = keyed.join(F.broadcast(keys), ["lang", "key"]).withColumn("text", _piece()).groupBy("lang", "key").agg(F.min("text").alias("text"))
-    found: dict[str, set[str]] = {}
-    for r in sample.select("lang", "text").collect():
-        found.setdefault(r["lang"], set()).add(r["text"])
-    samples = {lang: sorted(texts) for lang, texts in found.items()}
+    keyed = labelled.withColumn("key", F.when(F.col("text").rlike(r"\p{L}"), F.xxhash64("text")))
+    known = keyed.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("texts"))
+    shares, wanted = {}, {}
+    for r in known.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect():
+        shares[r["lang"]] = r["n"]
+        if r["texts"]:
+            wanted[r["lang"]] = 4 * TEXTS_PER_LANGUAGE / r["texts"]
+    samples: dict[str, list[str]] = {}
+    while wanted:
+        found = _sample(keyed, wanted)
+        samples |= found
+        # keys are spread evenly, so a share that gives too few texts is most unlikely; it is widened
+        wanted = {lang: 16 * share for lang, share in wanted.items() if share < 1 and len(found.get(lang, [])) < TEXTS_PER_LANGUAGE}
     samples = {lang: texts for lang, texts in samples.items() if has_letter(texts).any()}
     return fit(samples, {lang: shares[lang] for lang in samples}) if samples else None
 
 
+def _sample(keyed: DataFrame, share: dict[str, float]) -> dict[str, list[str]]:
+    """Of each language the texts with the TEXTS_PER_LANGUAGE smallest keys.  Only about ``share`` of the range of
+    keys is looked at, some times as many texts as are wanted: every task drops the others before the
+    shuffle, so a language that fills the table meets no task with more than these."""
+    least = -(1 << 63)
+    limits = [(lang, min((1 << 63) - 1, least + int(min(part, 1.0) * (1 << 64)))) for lang, part in share.items()]
+    table = F.broadcast(keyed.sparkSession.createDataFrame(limits, "lang string, upto bigint"))  # LANGUAGES rows at most
+    near = keyed.join(table, "lang").where("key <= upto").groupBy("lang", "key").agg(F.min(_piece()).alias("text"))
+    order = Window.partitionBy("lang").orderBy("key")
+    first = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TEXTS_PER_LANGUAGE)
+    out: dict[str, set[str]] = {}
+    for r in first.select("lang", "text").collect():
+        out.setdefault(r["lang"], set()).add(r["text"])
+    return {lang: sorted(texts) for lang, texts in out.items()}
+
+
 def _piece() -> Column:
     """What the fit takes of a text: all of a short one, a piece with letters of a long one."""
     rest = F.expr("substring(text, 1 + pmod(key, char_length(text)))")

@@ -93,3 +93,29 @@ def test_a_language_with_long_texts_only_is_learned(spark):
     assert L.learn(frame(spark, rows[2:])).languages == ["ru"]
     # texts without a letter take no place of the sample
     assert L.learn(frame(spark, [(k, f"{k} {k}", "ru", "s", 1) for k in range(2000)] + rows)).languages == ["en", "ru"]
+
+
+def test_the_sample_is_the_texts_with_the_smallest_hashes(spark, monkeypatch):
+    """Whatever the first guess of the share: also when it is far too small."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"text number {k} of a language", "en", "s", 1) for k in range(3000)] + [(9000 + k, f"eine andere Sprache {k}", "de", "s", 1) for k in range(7)]
+    docs = frame(spark, rows)
+    monkeypatch.setattr(L, "TEXTS_PER_LANGUAGE", 25)
+    order = [r["text"] for r in docs.where("lang = 'en'").orderBy(F.xxhash64("text")).limit(25).collect()]
+    seen = {}
+    monkeypatch.setattr(L, "fit", lambda samples, shares: seen.update(samples=samples, shares=shares))
+    L.learn(docs)
+    assert seen["samples"]["en"] == sorted(order) and len(seen["samples"]["de"]) == 7 and seen["shares"] == {"en": 3000, "de": 7}
+    keyed = docs.withColumn("key", F.xxhash64("text"))
+    assert len(L._sample(keyed, {"en": 1e-12}).get("en", [])) < 25
+    narrow = L._sample
+    monkeypatch.setattr(L, "_sample", lambda keyed, share: narrow(keyed, {k: v / 1000 for k, v in share.items()} if max(share.values()) < 1 else share))
+    L.learn(docs)
+    assert seen["samples"]["en"] == sorted(order)
+
+
+def test_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGUAGES", 3)
+    rows = [(k, f"words of label {k % 40}", f"l{k % 40:02d}", "s", 1) for k in range(400)] + [(900, "more of these words", "l07", "s", 1), (901, "and of those", "l31", "s", 1)]
+    assert L.learn(frame(spark, rows)).languages == ["l00", "l07", "l31"]
