@@ -177,17 +177,23 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, id_co
     src = src.join(ids, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # a class once a task, however often its text stands there
         for batch in batches:
             for chunk in text_chunks(batch, 1):
                 grams = shingle_sets(texts_of(chunk, 1), n)
                 his, los = fingerprints(grams)
+                new = []
+                for k, mark in enumerate(zip(his, los)):
+                    if mark not in seen:
+                        seen.add(mark)
+                        new.append(k)
+                grams, his, los = ([x[k] for k in new] for x in (grams, his, los))
                 yield pa.RecordBatch.from_arrays([pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(list(map(len, grams)), pa.int64()), pa.array([x.view(np.int64) for x in grams], pa.list_(pa.int64()))], names=["hi", "lo", "n", "grams"])
 
     sets = src.mapInArrow(run, "hi bigint, lo bigint, n bigint, grams array<bigint>")
-    # rows that repeat both id and text count once
-    sets = sets.groupBy(_class(sets).alias("rep")).agg(F.first("grams").alias("grams"))
+    sets = sets.select(_class(sets).alias("rep"), "grams")
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("grams").alias("grams_b")), "b")
-    return both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("bigint").alias("inter"))
+    return both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("bigint").alias("inter")).distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -308,6 +314,7 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     marked = map_text(plain, marks, T.StructType([T.StructField(c, T.LongType()) for c in ("hi", "lo", "n")]), text_at)
     keys = ["doc_id", "hi", "lo", "n"]
     marked = marked.withColumn("doc_id", F.col(id_at).cast("bigint"))
-    winners = marked.where("n > 0").join(first, keys, "left_semi").unionByName(marked.where("n = 0 and doc_id is not null"))
-    kept = winners.dropDuplicates(keys).select(*plain.columns)
+    # one shuffle by the keys serves the join and the choice among repeated rows
+    found = marked.where("doc_id is not null").join(first.withColumn("first", F.lit(True)), keys, "left")
+    kept = found.where("n = 0 or first").dropDuplicates(keys).select(*plain.columns)
     return kept.unionByName(plain.where(F.col(id_at).cast("bigint").isNull())).toDF(*names)
