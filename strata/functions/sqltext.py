@@ -41,15 +41,30 @@ def _group(text: Column, pattern: str) -> Column:
     return strip_ws(F.regexp_extract(text, pattern, 1))
 
 
+def _reference(text: Column, in_sql_fence: Column, sql: Column, in_plain_fence: Column, plain: Column) -> Column:
+    """The reference ladder over the matches of both fences."""
+    return (F.when(in_sql_fence, sql)
+            .when(in_plain_fence & F.upper(plain).startswith("SELECT"), plain)
+            .when(text.rlike(SELECT_STATEMENT), F.regexp_replace(_group(text, SELECT_STATEMENT), r";+$", ""))
+            .otherwise(strip_ws(text)))
+
+
+def _corrected(text: Column, in_sql_fence: Column, sql: Column, in_plain_fence: Column, plain: Column) -> Column:
+    """Ours over the same matches."""
+    opens = F.upper(plain).startswith("SELECT") | F.upper(plain).startswith("WITH")
+    return (F.when(in_sql_fence, sql).when(in_plain_fence & opens, plain)
+            .otherwise(F.coalesce(F.nullif(_statement(text), F.lit("")), strip_ws(text))))
+
+
+def _fences(text: Column) -> tuple[Column, Column, Column, Column]:
+    return text.rlike(SQL_FENCE), _group(text, SQL_FENCE), text.rlike(PLAIN_FENCE), _group(text, PLAIN_FENCE)
+
+
 def extract_sql_reference(text: Column) -> Column:
     """The reference ladder: ```sql fence -> plain fence if it starts with
     SELECT -> first ``SELECT ...`` up to ';', a blank line or the end -> the
     whole text stripped."""
-    plain = _group(text, PLAIN_FENCE)
-    return (F.when(text.rlike(SQL_FENCE), _group(text, SQL_FENCE))
-            .when(text.rlike(PLAIN_FENCE) & F.upper(plain).startswith("SELECT"), plain)
-            .when(text.rlike(SELECT_STATEMENT), F.regexp_replace(_group(text, SELECT_STATEMENT), r";+$", ""))
-            .otherwise(strip_ws(text)))
+    return _reference(text, *_fences(text))
 
 
 def extract_sql_short(text: Column) -> Column:
@@ -71,11 +86,7 @@ def extract_sql(text: Column) -> Column:
     """Same ladder, but ``WITH ... SELECT`` is kept whole (not cut at its inner SELECT), ';' and blank lines
     inside quotes or comments do not end a statement, prose that says "select" is no statement, and a closing
     fence left at the end is removed."""
-    plain = _group(text, PLAIN_FENCE)
-    opens = F.upper(plain).startswith("SELECT") | F.upper(plain).startswith("WITH")
-    return (F.when(text.rlike(SQL_FENCE), _group(text, SQL_FENCE))
-            .when(text.rlike(PLAIN_FENCE) & opens, plain)
-            .otherwise(F.coalesce(F.nullif(_statement(text), F.lit("")), strip_ws(text))))
+    return _corrected(text, *_fences(text))
 
 
 def with_extracted_sql(df, text_col: str, reference_col: str = "extracted_sql_reference",
@@ -90,12 +101,5 @@ def with_extracted_sql(df, text_col: str, reference_col: str = "extracted_sql_re
     base = df.select("*",
                      F.regexp_extract(t, SQL_FENCE, 0).alias("_m1"), F.regexp_extract(t, SQL_FENCE, 1).alias("_g1"),
                      F.regexp_extract(t, PLAIN_FENCE, 0).alias("_m2"), F.regexp_extract(t, PLAIN_FENCE, 1).alias("_g2"))
-    in_sql_fence, in_plain_fence = F.col("_m1") != "", F.col("_m2") != ""
-    g1, g2 = strip_ws(F.col("_g1")), strip_ws(F.col("_g2"))
-    reference = (F.when(in_sql_fence, g1).when(in_plain_fence & F.upper(g2).startswith("SELECT"), g2)
-                 .when(t.rlike(SELECT_STATEMENT), F.regexp_replace(_group(t, SELECT_STATEMENT), r";+$", ""))
-                 .otherwise(strip_ws(t)))
-    opens = F.upper(g2).startswith("SELECT") | F.upper(g2).startswith("WITH")
-    ours = (F.when(in_sql_fence, g1).when(in_plain_fence & opens, g2)
-            .otherwise(F.coalesce(F.nullif(_statement(t), F.lit("")), strip_ws(t))))
-    return base.select(*df.columns, reference.alias(reference_col), ours.alias(ours_col))
+    matches = (F.col("_m1") != "", strip_ws(F.col("_g1")), F.col("_m2") != "", strip_ws(F.col("_g2")))
+    return base.select(*df.columns, _reference(t, *matches).alias(reference_col), _corrected(t, *matches).alias(ours_col))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import json
 import os
 import time
 from collections.abc import Callable
@@ -128,10 +127,11 @@ def answer_results(ctx, intents: list[str], as_of) -> dict[str, DataFrame]:
     return {i: INTENT_FUNCTIONS[i](ctx, as_of(i) if callable(as_of) else as_of) for i in intents}
 
 
-def answer_intent(ctx, intent: str, as_of, preview_rows: int = PREVIEW_ROWS, results_dir: str | None = None) -> dict:
+def answer_intent(ctx, intent: str, as_of, preview_rows: int = PREVIEW_ROWS, results_dir: str | None = None, results_format: str = "parquet") -> dict:
     """One intent's answer: rows are counted and the first ``preview_rows`` in
-    its order taken in one pass (a top-k).  With ``results_dir`` all rows are
-    written below it.  A failure becomes an answer with status "error"."""
+    its order taken in one pass (a top-k), as rows and as JSON made by Spark.  With
+    ``results_dir`` all rows are written below it, as ``parquet`` or ``json``
+    lines.  A failure becomes an answer with status "error"."""
     begun = time.perf_counter()
     out = dict.fromkeys(("answer", "row_count", "preview_json", "results", "error"))
     out |= {"intent": intent, "status": "success", "sql": f"query:{intent}", "rows": []}
@@ -139,15 +139,17 @@ def answer_intent(ctx, intent: str, as_of, preview_rows: int = PREVIEW_ROWS, res
         res = answer_results(ctx, [intent], as_of)[intent]
         if results_dir:
             out["results"] = os.path.join(results_dir, intent)
-            res.write.mode("overwrite").parquet(out["results"])
-            res = ctx.spark.read.parquet(out["results"])
+            kept = {"ignoreNullFields": "false"} if results_format == "json" else {}
+            res.write.mode("overwrite").format(results_format).options(**kept).save(out["results"])
+            res = ctx.spark.read.schema(res.schema).format(results_format).load(out["results"])
         seen = Observation()
-        top = res.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*[F.expr(c.removesuffix(" DESC")).desc() if c.endswith(" DESC")
-                                                                       else F.expr(c).asc() for c in INTENT_ORDER[intent].split(", ")])
-        out["rows"] = [r.asDict() for r in top.limit(preview_rows).collect()]
+        order = [F.expr(c.removesuffix(" DESC")).desc() if c.endswith(" DESC") else F.expr(c).asc() for c in INTENT_ORDER[intent].split(", ")]
+        as_json = F.to_json(F.struct(*res.columns), {"ignoreNullFields": "false"})
+        shown = res.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("row_json", as_json).orderBy(*order).limit(preview_rows).collect()
+        out["rows"] = [{c: r[c] for c in res.columns} for r in shown]
         n = seen.get["n"]
         out |= {"row_count": n, "answer": answer_text(intent, n, out["rows"][0] if out["rows"] else None),
-                "preview_json": json.dumps(out["rows"], default=str)}
+                "preview_json": "[" + ", ".join(r["row_json"] for r in shown) + "]"}
     except Exception as exc:  # one failing intent must not lose the batch
         out |= {"status": "error", "error": f"{type(exc).__name__}: {exc}", "answer": f"Error executing query: {exc}"}
     return out | {"seconds": round(time.perf_counter() - begun, 6)}
@@ -155,12 +157,13 @@ def answer_intent(ctx, intent: str, as_of, preview_rows: int = PREVIEW_ROWS, res
 
 def answer_questions(questions: DataFrame, ctx, as_of: dt.datetime | Callable[[str], dt.datetime],
                      envelope: str = "standard", parallelism: int = 4, preview_rows: int = PREVIEW_ROWS,
-                     results_dir: str | None = None) -> DataFrame:
+                     results_dir: str | None = None, results_format: str = "parquet") -> DataFrame:
     """Envelope per question over any tables and scope (a ``Ctx``): status,
     question, answer, sql, row_count, execution_time, timestamp, error.
     ``envelope="extended"`` gives the other shape: result_count,
     execution_time_seconds, model, sql_query and raw_results (the folder that
-    holds all rows, if ``results_dir`` is given).
+    holds all rows, if ``results_dir`` is given; Parquet, or JSON lines with
+    ``results_format="json"``).
 
     The questions are routed first and only the intents that occur are run, each
     once, from a few threads.  The driver sees a bounded preview per intent; that
@@ -169,7 +172,7 @@ def answer_questions(questions: DataFrame, ctx, as_of: dt.datetime | Callable[[s
     intents = sorted(r["intent"] for r in routed.select("intent").distinct().collect())
     with ctx.shared_daily(sum(i in DAILY_INTENTS for i in intents) > 1):
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            rows = list(pool.map(lambda i: answer_intent(ctx, i, as_of, preview_rows, results_dir), intents))
+            rows = list(pool.map(lambda i: answer_intent(ctx, i, as_of, preview_rows, results_dir, results_format), intents))
     names = [c.split()[0] for c in ANSWER_SCHEMA.split(", ")]
     answers = ctx.spark.createDataFrame([tuple(r[c] for c in names) for r in rows], ANSWER_SCHEMA)
     out = routed.join(F.broadcast(answers), "intent", "left")

@@ -221,3 +221,17 @@ def test_long_replies_with_many_parts(spark):
     body = "SELECT a\n" + "  , 'x;' AS b -- c;\n" * 100_000 + "FROM t"
     df = spark.createDataFrame([("Go: " + body + "; done",)], "t string")
     assert df.select(extract_sql(F.col("t")).alias("s")).first().s == body
+
+
+def test_full_answers_leave_as_json_lines(spark, tmp_path):
+    import json
+
+    from strata.plans.questions import answer_questions, questions_frame
+    from strata.plans.registry import AS_OF, Ctx
+    c = Ctx(spark, "/root/testdata/sf0.001")
+    q = questions_frame(spark, ["Show me participants who haven't attended in the last 30 days"])
+    r = answer_questions(q, c, AS_OF, envelope="extended", results_dir=str(tmp_path), results_format="json").first()
+    lines = [json.loads(x["value"]) for x in spark.read.text(r.raw_results).collect()]
+    assert len(lines) == r.result_count and all(set(x) == {"participant_id", "cohort_id", "enrollment_date", "is_active"} for x in lines)
+    preview = json.loads(r.preview_json)
+    assert all(x in lines for x in preview) and preview == sorted(preview, key=lambda x: x["participant_id"])
