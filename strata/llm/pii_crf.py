@@ -14,7 +14,8 @@ so are the ends of a line.  Exact Viterbi decoding then falls apart into the run
 between two ``O``; they are decoded in numpy batches of like length, and most text is never featurised.
 
 Cases: null text is empty; repeated rows are scanned one by one; very long texts are scanned whole in
-linear time; other columns stay unless they have the name of an added one.
+linear time (of a word, its first 64 characters give its shape); of equally likely label sequences the one with the
+first label wins; an empty table gives no rows, and a model without weights that adds no span; other columns stay unless they have the name of an added one.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ be stored; a policy is a versioned mask of the rules that reject, so a new polic
 out, is a bitwise operation on the ledger and never a second pass over texts.
 
 Rules compare counts by whole-number arithmetic, so that SQL gives the same verdicts.  Cases: null
-text has no words and fails ``few_words``; empty and repeated rows are measured one by one; input
+text has no words and fails ``few_words``; empty and repeated rows are measured one by one; texts of any
+length are measured whole; an empty table gives an empty ledger; nothing is ranked, so there are no ties; input
 columns named as an added one (in any case) are replaced, all others stay.
 """
 

@@ -19,7 +19,8 @@ Within each length class and encoding, Benjamini-Hochberg at ``FDR`` over the di
 then sets the cut; the driver holds at most ``BINS`` counts for each, not the tokens.
 
 Cases: null text is empty; repeated rows are scanned one by one; very long texts are scanned whole, in
-linear time; other columns stay unless they have the name of an added one.
+linear time; tokens of equal score share their verdict, and spans that begin together are listed by kind; an empty
+table gives no rows; other columns stay unless they have the name of an added one.
 """
 
 from __future__ import annotations
