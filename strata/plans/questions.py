@@ -143,13 +143,16 @@ def answer_intent(ctx, intent: str, as_of, preview_rows: int = PREVIEW_ROWS, res
             res.write.mode("overwrite").format(results_format).options(**kept).save(out["results"])
             res = ctx.spark.read.schema(res.schema).format(results_format).load(out["results"])
         seen = Observation()
-        order = [F.expr(c.removesuffix(" DESC")).desc() if c.endswith(" DESC") else F.expr(c).asc() for c in INTENT_ORDER[intent].split(", ")]
-        as_json = F.to_json(F.struct(*res.columns), {"ignoreNullFields": "false"})
-        shown = res.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("row_json", as_json).orderBy(*order).limit(preview_rows).collect()
-        out["rows"] = [{c: r[c] for c in res.columns} for r in shown]
+        # each key within a struct: an answer that is sorted already would else be cut before all its rows are counted
+        order = [F.struct(F.expr(c.removesuffix(" DESC"))).desc() if c.endswith(" DESC") else F.struct(F.expr(c)).asc()
+                 for c in INTENT_ORDER[intent].split(", ")]
+        shown = res.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*order).limit(preview_rows).collect()
+        out["rows"] = [r.asDict() for r in shown]
+        as_json = F.to_json(F.struct(*res.columns), {"ignoreNullFields": "false"}).alias("row_json")
+        lines = ctx.spark.createDataFrame(shown, res.schema).select(as_json).collect() if shown else []
         n = seen.get["n"]
         out |= {"row_count": n, "answer": answer_text(intent, n, out["rows"][0] if out["rows"] else None),
-                "preview_json": "[" + ", ".join(r["row_json"] for r in shown) + "]"}
+                "preview_json": "[" + ", ".join(r["row_json"] for r in lines) + "]"}
     except Exception as exc:  # one failing intent must not lose the batch
         out |= {"status": "error", "error": f"{type(exc).__name__}: {exc}", "answer": f"Error executing query: {exc}"}
     return out | {"seconds": round(time.perf_counter() - begun, 6)}

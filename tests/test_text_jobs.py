@@ -235,3 +235,12 @@ def test_full_answers_leave_as_json_lines(spark, tmp_path):
     assert len(lines) == r.result_count and all(set(x) == {"participant_id", "cohort_id", "enrollment_date", "is_active"} for x in lines)
     preview = json.loads(r.preview_json)
     assert all(x in lines for x in preview) and preview == sorted(preview, key=lambda x: x["participant_id"])
+
+
+def test_sorted_answers_are_counted_whole(spark):
+    """An answer whose rows already stand in the preview's order is still counted to its end."""
+    from strata.plans.questions import PREVIEW_ROWS, answer_intent, answer_results
+    from strata.plans.registry import AS_OF, Ctx
+    c = Ctx(spark, "/root/testdata/sf0.01")
+    got = answer_intent(c, "inactive", AS_OF)
+    assert got["row_count"] == answer_results(c, ["inactive"], AS_OF)["inactive"].count() > PREVIEW_ROWS == len(got["rows"])
