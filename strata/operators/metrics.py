@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strata.functions.bits import bit_of, block_of
 from strata.functions.dates import as_datetime
 from strata.operators.scope import Scoped, attendance_normalized, participants_normalized
 from strata.sources.tables import Tables
@@ -139,11 +140,12 @@ def kpis(scoped: Scoped, as_of) -> DataFrame:
 def kpis_rollup(tables: Tables, hierarchy: DataFrame, as_of) -> DataFrame:
     """KPIs for every region, city, community and academy, and the total.
 
-    One pass over each fact.  Each fact is reduced to a grain keyed by academy and the value its distinct
-    measure counts -- sessions per (academy, date), attendance per (academy, participant), participants with
-    their skills per (academy, skill) and (academy, participant) -- with its additive parts alongside.  The
-    grains are stacked as tagged rows and meet by (measure, value) in one shuffle: there the academies of a value
-    (at most the whole hierarchy's) give the communities, cities and regions that count it, each once.
+    One pass over each fact.  Each fact is reduced to a grain keyed by academy and a block of 64 neighbouring values
+    of what its distinct measure counts, held as the bits of a long (``functions.bits``) -- sessions per (academy,
+    dates), attendance per (academy, participants), participants with their skills per (academy, skills) and
+    (academy, participants) -- with its additive parts alongside.  The grains are stacked as tagged rows and meet by
+    (measure, block) in one shuffle: there the blocks of the academies are united for their communities, cities
+    and regions, so each node counts a value once.
     What follows has one row per node and measure: counts are added up, and the additive parts of the
     academies go to the nodes above.  Every academy and every parent of the hierarchy gets a row (zeros when
     it has no facts); the grouping id tells a subtotal from a NULL parent stored in the data.
@@ -152,37 +154,41 @@ def kpis_rollup(tables: Tables, hierarchy: DataFrame, as_of) -> DataFrame:
     cohort_academy = tables["cohort"].select("cohort_id", "academy_id").join(h.select("academy_id"), "academy_id")
     sessions = tables["session"].join(cohort_academy, "cohort_id")
     participants = participants_normalized(tables).join(cohort_academy, "cohort_id")
-    attendance = attendance_normalized(tables).join(sessions.select("session_id", "academy_id"), "session_id")
+    attendance = attendance_normalized(tables).join(sessions.select("session_id", "academy_id").hint("shuffle_hash"), "session_id")
     people = _participants_with_skills(participants, tables["skill_achievement"], as_of, "academy_id")
     one = F.count(F.lit(1))
     parts = ("n", "flags", "days_sum", "days_n", "dur_sum", "dur_n")
 
-    def entry(measure: str, value=None, **cols) -> Column:
-        value = F.lit(None) if value is None else value
-        return F.struct(F.lit(measure).alias("measure"), value.cast("long").alias("value"),
-                        *[cols.get(p, F.lit(None)).cast("long").alias(p) for p in parts])
+    def entry(measure: str, block=None, bits=None, **cols) -> Column:
+        longs = {"block": block, "bits": bits} | {p: cols.get(p) for p in parts}
+        return F.struct(F.lit(measure).alias("measure"), *[(F.lit(None) if v is None else v).cast("long").alias(c) for c, v in longs.items()])
+
+    def bits(value) -> Column:
+        return F.bit_or(bit_of(value)).alias("bits")
 
     # a participant counts for itself, as an achiever, and once for each of its skills
     own = entry("participants", n=F.col("total_participants"), flags=F.col("active_participants"), days_sum=F.col("days_sum"), days_n=F.col("days_n"))
-    achiever = entry("achievers", F.when(F.col("achievements").isNotNull(), F.col("participant_id")), n=F.col("achievements"))
-    learnt = F.transform(F.coalesce("skills", F.array().cast("array<bigint>")), lambda k: entry("skills", k))
-    entries = [people.select("academy_id", F.explode(F.concat(F.array(own, achiever), learnt)).alias("e")),
-               sessions.groupBy("academy_id", "session_date").agg(one.alias("n"), F.sum("duration_minutes").alias("dur_sum"), F.count("duration_minutes").alias("dur_n"))
-               .select("academy_id", entry("sessions", F.unix_date("session_date"), n=F.col("n"), dur_sum=F.col("dur_sum"), dur_n=F.col("dur_n")).alias("e")),
-               attendance.groupBy("academy_id", "participant_id").agg(one.alias("n"), F.count_if("attended_normalized").alias("flags"))
-               .select("academy_id", entry("attendance", F.col("participant_id"), n=F.col("n"), flags=F.col("flags")).alias("e"))]
-    stacked = reduce(lambda a, b: a.unionByName(b), entries).select("academy_id", "e.*")
+    who = F.when(F.col("achievements").isNotNull(), F.col("participant_id"))
+    achiever = entry("achievers", block_of(who), bit_of(who), n=F.col("achievements"))
+    learnt = F.transform(F.coalesce("skills", F.array().cast("array<bigint>")), lambda k: entry("skills", block_of(k), bit_of(k)))
+    day = F.unix_date("session_date").cast("long")
+    of_people = people.select("academy_id", F.explode(F.concat(F.array(own, achiever), learnt)).alias("e")).select("academy_id", "e.*")
+    of_sessions = sessions.groupBy("academy_id", block_of(day).alias("block")).agg(
+        bits(day), one.alias("n"), F.sum("duration_minutes").alias("dur_sum"), F.count("duration_minutes").alias("dur_n"))
+    of_attendance = attendance.groupBy("academy_id", block_of("participant_id").alias("block")).agg(
+        bits("participant_id"), one.alias("n"), F.count_if("attended_normalized").alias("flags"))
     sums = [F.sum(p).alias(p) for p in parts]
-    grain = stacked.groupBy("measure", "value", "academy_id").agg(*sums).join(h.select("academy_id", "path"), "academy_id")
-    by_value = grain.groupBy("measure", "value").agg(F.collect_list(F.struct("path", *parts)).alias("rows"))
-
-    # a node is its path and its depth; the academies of a value name each node above them once
-    nothing = [F.lit(None).cast("long").alias(p) for p in parts]
-    upper = [(depth, F.array_distinct(_cut("rows", depth))) for depth in range(4)]
-    academies = F.transform("rows", lambda r: F.struct(r["path"].alias("path"), F.lit(4).alias("depth"), *[r[p].alias(p) for p in parts]))
-    above = [_nodes_of(paths, depth, nothing) for depth, paths in upper]
-    nodes = by_value.select("measure", F.col("value").isNotNull().cast("long").alias("distinct_values"), F.explode(F.concat(academies, *above)).alias("node"))
-    nodes = nodes.select("measure", "distinct_values", "node.*").groupBy("measure", "path", "depth").agg(F.sum("distinct_values").alias("distinct_values"), *sums)
+    grains = [of_people.groupBy("measure", "block", "academy_id").agg(F.bit_or("bits").alias("bits"), *sums).select("academy_id", F.struct("measure", "block", "bits", *parts).alias("e")),
+              of_sessions.select("academy_id", entry("sessions", F.col("block"), F.col("bits"), n=F.col("n"), dur_sum=F.col("dur_sum"), dur_n=F.col("dur_n")).alias("e")),
+              of_attendance.select("academy_id", entry("attendance", F.col("block"), F.col("bits"), n=F.col("n"), flags=F.col("flags")).alias("e"))]
+    grain = reduce(lambda a, b: a.unionByName(b), grains).select("academy_id", "e.*").repartition("measure", "block")
+
+    # a node is its path and its depth; an academy's block goes to each node above it, its additive parts stay
+    places = h.select("academy_id", F.array(*[F.struct(F.substring_index("path", "/", depth).alias("path"), F.lit(depth).alias("depth")) for depth in range(5)]).alias("places"))
+    spread = grain.join(places, "academy_id").select("measure", "block", "bits", *parts, F.explode("places").alias("p"))
+    kept = [F.when(F.col("p.depth") == 4, F.col(p)).alias(p) for p in parts]
+    nodes = spread.select("measure", "block", "bits", "p.*", *kept).groupBy("measure", "block", "path", "depth").agg(F.bit_or("bits").alias("bits"), *sums)
+    nodes = nodes.groupBy("measure", "path", "depth").agg(F.sum(F.bit_count("bits")).alias("distinct_values"), *sums)
 
     # one row per node and measure from here on: an academy's parts go to the nodes above it
     here = F.struct("path", "depth", "distinct_values", *parts)
@@ -210,11 +216,3 @@ def kpis_rollup(tables: Tables, hierarchy: DataFrame, as_of) -> DataFrame:
     out = _finish(every.join(wide, ["path", "depth"], "left"), out_keys)
     level = F.create_map(*[x for g, name in LEVEL_OF_GROUPING.items() for x in (F.lit(g), F.lit(name))])
     return out.select(level[F.col("gid")].alias("level"), *[c for c in out.columns])
-
-
-def _cut(rows: str, depth: int) -> Column:
-    return F.transform(rows, lambda r: F.substring_index(r["path"], "/", depth))
-
-
-def _nodes_of(paths: Column, depth: int, nothing: list[Column]) -> Column:
-    return F.transform(paths, lambda p: F.struct(p.alias("path"), F.lit(depth).alias("depth"), *nothing))

@@ -254,7 +254,7 @@ def derive_program_tables(spark: SparkSession, sf_dir: str) -> Tables:
     attendance = attendance_from_lines(li)
 
     line_orders = li.select("l_orderkey", "l_partkey").join(
-        orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"),
+        orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus").hint("shuffle_hash"),
         F.col("l_orderkey") == F.col("o_orderkey"))
     firsts = first_and_last_orders(line_orders)
     participant = firsts.select(
