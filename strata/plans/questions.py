@@ -35,6 +35,8 @@ INTENT_ORDER = {
 }
 # Intents that are sums of the same (academy, date) attendance counts.
 DAILY_INTENTS = ("attendance_highest", "attendance_lowest", "attendance_by_product", "quarter_trend", "weekday")
+# Intents that read the participants, or the skills of those in scope.
+PARTICIPANT_INTENTS = ("inactive", "top_skilled", "lowest_skill_rate", "top_skills", "active_communities", "enrollment_growth", "snapshot")
 
 PREVIEW_ROWS = 15  # rows shown with an answer; the full rows are DataFrames (``answer_results``)
 
@@ -169,11 +171,13 @@ def answer_questions(questions: DataFrame, ctx, as_of: dt.datetime | Callable[[s
     ``results_format="json"``).
 
     The questions are routed first and only the intents that occur are run, each
-    once, from a few threads.  The driver sees a bounded preview per intent; that
+    once, from a few threads; what several of them derive (daily attendance, participants) is derived once and kept
+    while they run.  The driver sees a bounded preview per intent; that
     answer table (at most one row per intent of the ladder) is broadcast."""
     routed = route_questions(questions).withColumn("intent", F.col("intent_corrected")).drop("intent_corrected")
     intents = sorted(r["intent"] for r in routed.select("intent").distinct().collect())
-    with ctx.shared_daily(sum(i in DAILY_INTENTS for i in intents) > 1):
+    shared = [sum(i in group for i in intents) > 1 for group in (DAILY_INTENTS, PARTICIPANT_INTENTS)]
+    with ctx.shared_daily(shared[0]), ctx.shared_participants(shared[1]):
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
             rows = list(pool.map(lambda i: answer_intent(ctx, i, as_of, preview_rows, results_dir, results_format), intents))
     names = [c.split()[0] for c in ANSWER_SCHEMA.split(", ")]

@@ -73,6 +73,20 @@ class Ctx:
                 self.daily.unpersist()
                 self.daily = None
 
+    @contextmanager
+    def shared_participants(self, wanted: bool = True):
+        """Within the block, queries that read participants share one derivation of them (a row per participant,
+        however many rows attended): it is kept by the first that asks."""
+        participants = self.tables["participant"]
+        wanted = wanted and not participants.is_cached
+        if wanted:
+            participants.persist()
+        try:
+            yield self
+        finally:
+            if wanted:
+                participants.unpersist()
+
     @classmethod
     def of(cls, spark: SparkSession, tables: Tables, hierarchy: DataFrame, scope: SC.Scope | None = None) -> "Ctx":
         """A context over tables that are already loaded (e.g. a dashboard's)."""

@@ -244,3 +244,25 @@ def test_sorted_answers_are_counted_whole(spark):
     c = Ctx(spark, "/root/testdata/sf0.01")
     got = answer_intent(c, "inactive", AS_OF)
     assert got["row_count"] == answer_results(c, ["inactive"], AS_OF)["inactive"].count() > PREVIEW_ROWS == len(got["rows"])
+
+
+def test_participants_are_derived_once_for_all_intents(spark, mini):
+    """Each participant's row is made once, however many intents read it, and is not kept after the answers."""
+    from strata.operators.hierarchy import build_hierarchy
+    from strata.plans.questions import answer_questions, questions_frame
+    from strata.plans.registry import AS_OF, Ctx
+    from strata.sources.tables import Tables
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    people = mini["participant"].withColumn("is_active", F.udf(seen, "string")("is_active"))
+    t = Tables({**mini.frames, "participant": people})
+    qs = ["How many participants are inactive?", "Which communities have the most active participants?", "enrollment growth"]
+    got = answer_questions(questions_frame(spark, qs), Ctx.of(spark, t, build_hierarchy(t)), AS_OF).collect()
+    assert {r.status for r in got} == {"success"} and len({r.intent for r in got}) > 1
+    assert made.value == mini["participant"].count()
+    assert not people.is_cached
