@@ -6,8 +6,9 @@ with it, takes the months of files that came, went or changed, and recomputes th
 touch; the rollup is partitioned by week and overwritten partition by partition.  A file of a dimension table
 has no month: when one changed, all weeks are computed again.
 
-Distinct attendees are kept as bitmaps, one per (academy, week, bucket of ids), so the distinct count of any
-scope follows from the rollup alone, exactly: bitmaps of its academies are united, and bits counted.
+Distinct attendees are kept as bitmaps, one long per (academy, week, block of 64 ids), so the distinct count of any
+scope follows from the rollup alone, exactly: bitmaps of its academies are united, and bits counted.  A block has
+a row only where it has an attendee, so the bitmaps grow with the attendance and not with the range of the ids.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import os
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from strata.functions.bits import bit_of, block_of
 from strata.functions.dates import on_or_after, week_start
 from strata.operators.hierarchy import build_hierarchy
 from strata.operators.scope import MONTH_COLUMN, Scope
@@ -29,20 +31,20 @@ FILES = "file string, length bigint, modified timestamp, month date"
 
 
 def attendee_bitmaps(tables: Tables, hierarchy: DataFrame) -> DataFrame:
-    """Distinct attendees per (academy, week) as bitmaps: one row per bucket of 32,768 neighbouring ids
-    that has any.  Aggregated map-side, so a hot academy ships one bitmap per task and bucket."""
+    """Distinct attendees per (academy, week) as bitmaps: one row per block of 64 neighbouring ids
+    that has any.  Aggregated map-side, so a hot academy ships each of its blocks once per task."""
     sessions = (tables["session"].select("session_id", "cohort_id", "session_date")
                 .join(tables["cohort"].select("cohort_id", "academy_id"), "cohort_id")
                 .join(hierarchy.select("academy_id"), "academy_id"))
-    rows = tables["attendance"].filter("participant_id is not null").select("session_id", "participant_id").join(sessions, "session_id")
-    return (rows.groupBy("academy_id", week_start("session_date").alias("week"), F.bitmap_bucket_number("participant_id").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("participant_id")).alias("bitmap")))
+    rows = tables["attendance"].filter("participant_id is not null").select("session_id", "participant_id").join(sessions.hint("shuffle_hash"), "session_id")
+    return (rows.groupBy("academy_id", week_start("session_date").alias("week"), block_of("participant_id").alias("block"))
+            .agg(F.bit_or(bit_of("participant_id")).alias("bitmap")))
 
 
 def unite(bitmaps: DataFrame, *keys: str) -> DataFrame:
     """Exact distinct attendees per ``keys``, from bitmaps of any finer grain."""
-    each = bitmaps.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
-    return each.groupBy(*keys).agg(F.sum(F.bitmap_count("bitmap")).alias("unique_attendees"))
+    each = bitmaps.groupBy(*keys, "block").agg(F.bit_or("bitmap").alias("bitmap"))
+    return each.groupBy(*keys).agg(F.sum(F.bit_count("bitmap")).alias("unique_attendees"))
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -130,6 +132,7 @@ def refresh(spark: SparkSession, root: str, target: str) -> dict:
     try:
         before = spark.read.parquet(manifest)
         months, full = changed_months(now, before)
+        full = full or "block" not in read_bitmaps(spark, target).columns  # a rollup with bitmaps of another form
     except AnalysisException:  # the first run
         months, full = [], True
     if not months and not full:

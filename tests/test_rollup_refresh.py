@@ -126,3 +126,28 @@ def test_bitmaps_equal_the_live_trend(spark, mini, layout):
         assert os.path.join(root, "attendance") not in "".join(got.inputFiles())
         everyone = scoped.attendance.agg(F.count_distinct("participant_id")).first()[0]
         assert R.participants_attended(spark, target, h, scope).first()[0] == everyone, scope
+
+
+def test_bitmaps_grow_with_the_attendees(spark, mini):
+    """Far-apart ids take one fixed-width row each, hashed and not sorted; neighbours share one."""
+    ids = [None, -130, -1, 0, 63, 64, 5_000_000, (1 << 40) + 7, (1 << 62) + 1]
+    some = spark.createDataFrame([(900 + k, 2, i, "Present") for k, i in enumerate(ids + ids)], mini["attendance"].schema)
+    t = Tables({**mini.frames, "attendance": some})
+    made = R.attendee_bitmaps(t, build_hierarchy(t))
+    assert made.schema["bitmap"].dataType.simpleString() == "bigint"
+    got = {r["block"]: r["bitmap"] & (1 << 64) - 1 for r in made.collect()}
+    assert got == {-3: 1 << 62, -1: 1 << 63, 0: 1 | 1 << 63, 1: 1, 78125: 1, 1 << 34: 1 << 7, 1 << 56: 2}
+    assert R.unite(made, "academy_id", "week").first()["unique_attendees"] == len(ids) - 1
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_a_rollup_of_another_form_is_computed_again(spark, mini, layout):
+    root, target = layout
+    R.refresh(spark, root, target)
+    old = spark.read.parquet(os.path.join(target, "bitmaps")).withColumnRenamed("block", "bucket").withColumn("bitmap", F.lit(b"\0")).collect()
+    spark.createDataFrame(old, "academy_id long, bucket long, bitmap binary, week date").write.mode("overwrite").partitionBy("week").parquet(os.path.join(target, "bitmaps"))
+    R.append_attendance(late_row(mini, spark, 1, 77), root)
+    assert R.refresh(spark, root, target)["full"]
+    assert "block" in R.read_bitmaps(spark, target).columns
+    assert rows(R.read_weeks(spark, target)) == live(spark, root)
