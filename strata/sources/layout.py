@@ -34,7 +34,7 @@ def with_session_month(tables: Tables, name: str):
         return tables["session"].select("*", month)
     df = tables["attendance"]
     months = tables["session"].select("session_id", month)
-    return df.join(months, "session_id", "left").select(*df.columns, PARTITION_COLUMN)
+    return df.join(months.hint("shuffle_hash"), "session_id", "left").select(*df.columns, PARTITION_COLUMN)
 
 
 def write_program_tables(tables: Tables, root: str, mode: str = "overwrite") -> None:

@@ -15,12 +15,13 @@ def weekly_rollup(tables: Tables, hierarchy: DataFrame, with_sketch: bool = Fals
     attendees so coarser levels can be re-aggregated from the rollup alone.
 
     Attendance meets session->academy in one join (skew on a hot session is
-    split by AQE); the grouping is two-level for the distinct count.
+    split by AQE), which holds the sessions of a task and streams its attendance,
+    several times their number, unsorted; the grouping is two-level for the distinct count.
     """
     session_academy = (tables["session"].select("session_id", "cohort_id", "session_date")
                        .join(tables["cohort"].select("cohort_id", "academy_id"), "cohort_id")
                        .join(hierarchy.select("academy_id"), "academy_id"))
-    rows = attendance_normalized(tables).join(session_academy, "session_id")
+    rows = attendance_normalized(tables).join(session_academy.hint("shuffle_hash"), "session_id")
     aggs = [F.count(F.lit(1)).alias("attendance_rows"), F.count_if("attended_normalized").alias("present_rows"),
             F.count("participant_id").alias("total_attendances"),
             F.count_distinct("participant_id").alias("unique_attendees")]
