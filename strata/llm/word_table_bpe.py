@@ -10,7 +10,8 @@ Ids and pieces come back to their block by (block, bucket) and to their place by
 Blocks are written bucketed by block: positions and texts are never shuffled, only dictionaries are, there
 and back, and a word that fills the corpus occurs once in a block's dictionary, so no key is hot.  The numbers of
 blocks and buckets come from the size of the texts.  Memory in a task is bounded by a block
-(``BLOCK_CHARS``; one text at least) and by ``CACHE_WORDS`` encoded words.
+(``BLOCK_CHARS``; one text at least) and by ``CACHE_WORDS`` encoded words.  Python workers outlive their tasks, and what they
+hold counts in every later stage: only tasks that encode load the tokenizer, word by word in the task's own thread.
 
 Cases: null text = empty text (no ids; digests of the empty string); texts of any length are encoded whole;
 repeated rows are encoded one by one, and rows without an id too; an empty table gives an empty result; extra
@@ -24,6 +25,7 @@ import json
 import math
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,16 +44,24 @@ CACHE_WORDS = 100_000
 
 
 @lru_cache(2)
-def _load(path: str) -> tuple[object, list[str], re.Pattern | None]:
-    """The word encoder, the piece of each id, and a pattern of the special tokens."""
+def _encoder(path: str) -> object:
+    """The word encoder."""
     from tokenizers import Tokenizer
 
+    encoder = Tokenizer.from_file(path)
+    encoder.normalizer = None  # the words are normalised when the texts are split
+    return encoder
+
+
+@lru_cache(2)
+def _load(path: str) -> tuple[object, list[str], re.Pattern | None]:
+    """The word encoder, the piece of each id, and a pattern of the special tokens.  For the driver: tasks get what they
+    need of it with their function."""
     spec = json.load(open(path, encoding="utf-8"))
     if spec["decoder"] is not None or spec["model"]["end_of_word_suffix"] != "</w>":
         raise ValueError("a word-level BPE file without a decoder is needed")
     special = [t["content"] for t in spec["added_tokens"]]
-    spec["normalizer"] = None  # the words are normalised when the texts are split
-    encoder = Tokenizer.from_str(json.dumps(spec))
+    encoder = _encoder(path)
     names = [""] * encoder.get_vocab_size(with_added_tokens=True)
     for name, i in encoder.get_vocab(with_added_tokens=True).items():
         names[i] = name
@@ -97,6 +107,7 @@ _BLOCK = "block bigint, ids array<bigint>, positions binary, words array<struct<
 def blocks(docs: DataFrame, tokenizer: str, buckets: int, id_col: str, text_col: str) -> DataFrame:
     """One row per block: its documents, the positions of their words, and its dictionary by bucket."""
     src = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))
+    special = _load(tokenizer)[2]
     part = pa.struct([("bucket", pa.int32()), ("names", pa.binary())])
     schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("positions", pa.binary()), ("words", pa.list_(part))])
 
@@ -118,7 +129,7 @@ def blocks(docs: DataFrame, tokenizer: str, buckets: int, id_col: str, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        special, block = _load(tokenizer)[2], TaskContext.get().partitionId() << 32
+        block = TaskContext.get().partitionId() << 32
         ids, sizes, parts, words, chars = [], [], [], {}, 0
         for batch in batches:
             for chunk in text_chunks(batch, 1):
@@ -146,19 +157,18 @@ def encode_words(words: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("ids", pa.list_(pa.list_(pa.int32())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, known = _load(tokenizer)[0], {}
+        encoder, known = _encoder(tokenizer), {}  # the ids of a word as bytes, smaller than lists
         for batch in batches:
             for row in batch.to_pylist():
                 names = zstandard.decompress(row["names"]).decode().split("\n")
                 new = [w for w in names if w not in known]
                 if len(known) + len(new) > CACHE_WORDS:
                     known, new = {}, names
-                for k in range(0, len(new), 4096):
-                    part = new[k:k + 4096]
-                    known.update(zip(part, (e.ids for e in encoder.encode_batch(part, add_special_tokens=False))))
+                # not as a batch: its threads, one for each core of the machine, keep memory of their own
+                known.update((w, array("i", encoder.encode(w, add_special_tokens=False).ids).tobytes()) for w in new)
                 got = [known[w] for w in names]
-                ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))]).astype(np.int32)
-                flat = np.fromiter((i for g in got for i in g), np.int32, int(ends[-1]))
+                ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 4)]).astype(np.int32)
+                flat = np.frombuffer(b"".join(got), np.int32)
                 ids = pa.ListArray.from_arrays(np.array([0, len(got)], np.int32), pa.ListArray.from_arrays(ends, flat))
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["bucket"]], pa.int64()), ids], schema=schema)
 
@@ -167,9 +177,9 @@ def encode_words(words: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
 
 
 @lru_cache(2)
-def _decimals(tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _decimals(n_ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All decimal ids, each with a blank behind it, as bytes; starts; lengths."""
-    spelled = [f"{i} ".encode() for i in range(len(_load(tokenizer)[1]))]
+    spelled = [f"{i} ".encode() for i in range(n_ids)]
     sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
     return np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(sizes) - sizes, sizes
 
@@ -202,17 +212,18 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     back = each.mapInArrow(packed, "block bigint, bucket bigint, found binary").repartition(max(homes, 4), "block")
     back = back.groupBy("block").agg(F.collect_list(F.struct("bucket", "found")).alias("found"))
     joined = held.select("block", "ids", "positions").join(back, "block", "left").drop("block")
+    n_ids = len(_load(tokenizer)[1])
     result = f"`{id_col}` bigint, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                yield from placed(batch.slice(r, 1).to_pylist()[0], tokenizer, id_col, digests)
+                yield from placed(batch.slice(r, 1).to_pylist()[0], n_ids, id_col, digests)
 
     return joined.mapInArrow(run, result)
 
 
-def placed(row: dict, tokenizer: str, id_col: str, digests: bool) -> Iterator[pa.RecordBatch]:
+def placed(row: dict, n_ids: int, id_col: str, digests: bool) -> Iterator[pa.RecordBatch]:
     """The documents of a block: ids and pieces in the places of its words."""
     sizes, ranks, bucket = unpack(row["positions"])
     order = np.argsort(bucket, kind="stable")
@@ -222,7 +233,7 @@ def placed(row: dict, tokenizer: str, id_col: str, digests: bool) -> Iterator[pa
     counts, flat, widths, text = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.uint32) for k in range(4))
     counts, widths = counts.astype(np.int64), widths.astype(np.int64)
     id_at, text_at, ends = np.cumsum(counts) - counts, np.cumsum(widths) - widths, np.cumsum(sizes, dtype=np.int64)
-    decimals, decimal_at, decimal_sizes = _decimals(tokenizer)
+    decimals, decimal_at, decimal_sizes = _decimals(n_ids)
     cols: list[list] = [[], [], []]
     for begin, end in zip((ends - sizes).tolist(), ends.tolist()):
         at = place[ranks[begin:end]]

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 from helpers import ODD_TEXTS, frame, odd_documents
@@ -75,3 +76,21 @@ def test_positions_do_not_move(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = W.encode(docs, FILE)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "BroadcastHashJoin" in plan  # words there and back; the pieces
+
+
+def test_only_encoding_tasks_hold_the_tokenizer_and_without_its_threads(spark):
+    """Workers are reused: what one holds after its task counts in all later stages."""
+    rng = random.Random(7)
+    docs = frame(spark, [(k, " ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(400)), "en", "s", 0) for k in range(64)]).repartition(8)
+    assert W.encode(docs, FILE, digests=True).count() == 64
+
+    def held(batches):
+        import pyarrow as pa
+        from strata.llm import word_table_bpe as worker
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([worker._load.cache_info().currsize]), pa.array([len(os.listdir("/proc/self/task"))])], names=["loaded", "threads"])
+
+    rows = spark.range(0, 64, 1, 16).mapInArrow(held, "loaded bigint, threads bigint").collect()
+    assert max(r["loaded"] for r in rows) == 0
+    assert os.cpu_count() < 4 or max(r["threads"] for r in rows) < os.cpu_count()
