@@ -40,7 +40,7 @@ from pyspark.sql import Window
 from pyspark.sql import types as T
 
 from strata.llm import pieces as P
-from strata.llm.common import map_text, materialise, text_chunks, texts_of
+from strata.llm.common import give_back, map_text, materialise, text_chunks, texts_of
 
 PIVOT_ROUNDS = 2
 WORDS = 8  # 64-bit words of a set's parity sketch: a bit tells if an odd number of its hashes fall into a cell
@@ -108,7 +108,7 @@ def _sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, wit
                     names += ["n_first", "hashes", "parity"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(give_back(run), schema)
 
 
 def index_lists(sets: DataFrame, percent: int) -> DataFrame:
@@ -190,7 +190,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, id_co
                 grams, his, los = ([x[k] for k in new] for x in (grams, his, los))
                 yield pa.RecordBatch.from_arrays([pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(list(map(len, grams)), pa.int64()), pa.array([x.view(np.int64) for x in grams], pa.list_(pa.int64()))], names=["hi", "lo", "n", "grams"])
 
-    sets = src.mapInArrow(run, "hi bigint, lo bigint, n bigint, grams array<bigint>")
+    sets = src.mapInArrow(give_back(run), "hi bigint, lo bigint, n bigint, grams array<bigint>")
     sets = sets.select(_class(sets).alias("rep"), "grams")
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("grams").alias("grams_b")), "b")
     return both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("bigint").alias("inter")).distinct()

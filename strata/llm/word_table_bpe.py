@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import pieces as P
-from strata.llm.common import bucketed, pack, text_chunks, text_size, texts_of, unpack
+from strata.llm.common import bucketed, give_back, pack, text_chunks, text_size, texts_of, unpack
 from strata.llm.id_join import joined_bytes, units, vocabulary
 
 BLOCK_CHARS = 8 << 20
@@ -148,7 +148,7 @@ def blocks(docs: DataFrame, tokenizer: str, buckets: int, id_col: str, text_col:
         if ids:
             yield packed(block, ids, sizes, parts, words)
 
-    return src.mapInArrow(run, _BLOCK)
+    return src.mapInArrow(give_back(run), _BLOCK)
 
 
 def encode_words(words: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
@@ -173,7 +173,7 @@ def encode_words(words: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["bucket"]], pa.int64()), ids], schema=schema)
 
     dealt = words.select("block", "bucket", "names").repartition(buckets, "bucket")
-    return dealt.mapInArrow(run, "block bigint, bucket bigint, ids array<array<int>>")
+    return dealt.mapInArrow(give_back(run), "block bigint, bucket bigint, ids array<array<int>>")
 
 
 @lru_cache(2)
@@ -209,7 +209,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             found = pack(counts.astype(np.uint32), ids.astype(np.uint32), sizes.astype(np.uint32), flat)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int64()), pa.array([found], pa.binary())], names=["block", "bucket", "found"])
 
-    back = each.mapInArrow(packed, "block bigint, bucket bigint, found binary").repartition(max(homes, 4), "block")
+    back = each.mapInArrow(give_back(packed), "block bigint, bucket bigint, found binary").repartition(max(homes, 4), "block")
     back = back.groupBy("block").agg(F.collect_list(F.struct("bucket", "found")).alias("found"))
     joined = held.select("block", "ids", "positions").join(back, "block", "left").drop("block")
     n_ids = len(_load(tokenizer)[1])
@@ -220,7 +220,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             for r in range(batch.num_rows):
                 yield from placed(batch.slice(r, 1).to_pylist()[0], n_ids, id_col, digests)
 
-    return joined.mapInArrow(run, result)
+    return joined.mapInArrow(give_back(run), result)
 
 
 def placed(row: dict, n_ids: int, id_col: str, digests: bool) -> Iterator[pa.RecordBatch]:

@@ -94,3 +94,27 @@ def test_only_encoding_tasks_hold_the_tokenizer_and_without_its_threads(spark):
     rows = spark.range(0, 64, 1, 16).mapInArrow(held, "loaded bigint, threads bigint").collect()
     assert max(r["loaded"] for r in rows) == 0
     assert os.cpu_count() < 4 or max(r["threads"] for r in rows) < os.cpu_count()
+
+
+def test_a_task_gives_freed_memory_back(spark):
+    """Small objects that keep the heap from shrinking by itself, as a block's words do."""
+    from strata.llm.common import give_back
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        def size():
+            return int(next(x for x in open("/proc/self/smaps_rollup") if x.startswith("Anonymous:")).split()[1]) // 1024
+
+        for _ in batches:
+            before = size()
+            held = [bytes(1000) for _ in range(200_000)]
+            last = held[::1000]
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([before]), pa.array([size()])], names=["pid", "before", "full"])
+            del held, last
+
+    spent = spark.range(0, 1, 1, 1).mapInArrow(give_back(sizes), "pid bigint, before bigint, full bigint").collect()[0]
+    assert spent["full"] > spent["before"] + 150
+    later = spark.range(0, 16, 1, 8).mapInArrow(sizes, "pid bigint, before bigint, full bigint").collect()
+    same = [r["before"] for r in later if r["pid"] == spent["pid"]]
+    assert not same or min(same) < spent["before"] + 60
